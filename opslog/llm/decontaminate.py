@@ -84,7 +84,7 @@ class FMIndex:
     """Counts and locates sequences of symbols > 0 in a text of symbols >= 0."""
 
     def __init__(self, text: np.ndarray, sample: int = SAMPLE):
-        text = np.r_[text, 0].astype(np.int64)
+        text = np.r_[text + 1, 0].astype(np.int64)  # an end of its own keeps the walk from row to row a cycle
         order = suffix_order(text)
         last = text[order - 1]
         self.bwt = WaveletMatrix(last, max(1, int(text.max()).bit_length()))
@@ -96,6 +96,7 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [lo, hi) of the suffixes that begin with each pattern (rows of a matrix of one length)."""
+        patterns = patterns + 1
         lo = np.zeros(len(patterns), np.int64)
         hi = np.full(len(patterns), self.bwt.n, np.int64)
         alive = np.flatnonzero((patterns < len(self.before) - 1).all(axis=1))

@@ -4,9 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, simhash, token_files
+from . import (
+    decontaminate,
+    language_id,
+    line_dedup,
+    packing,
+    secret_scan,
+    simhash,
+    token_files,
+    topk,
+    toxicity,
+    url_filter,
+)
 from .common import new_path, table
 
+#: (verdict, host, path) that hold before the method's own verdict.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
 
 def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), weights=(1.0, 1e-3, 1e-3))
@@ -23,6 +43,14 @@ def op3_line_dedup(spark, sf_dir):
     return clean.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,9 +60,84 @@ def op7_decontamination(spark, sf_dir):
     return decontaminate.digest(spans)
 
 
+def op8_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_secret_scan(spark, sf_dir):
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_token_files, op3_line_dedup, op6_simhash, op7_decontamination)
+    for f in (
+        op1_best_fit_packing,
+        op2_token_files,
+        op3_line_dedup,
+        op4_toxicity,
+        op5_language_id,
+        op6_simhash,
+        op7_decontamination,
+        op8_top_k,
+        op9_url_filter,
+        op10_secret_scan,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE = {
+    "op3_line_dedup": rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
+  FROM documents),
+keyed AS (
+  SELECT doc_id, k, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key
+  FROM l),
+often AS (
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT d.*, coalesce(o.last_doc <> d.doc_id, false) AS dropped FROM keyed d LEFT JOIN often o USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+    "op7_decontamination": rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(10, len(ws)) AS n, array_to_string(ws[k:k + least(10, len(ws)) - 1], ' ') AS win
+  FROM b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS t(k) WHERE len(ws) > 0),
+lens AS (SELECT DISTINCT n FROM win),
+places AS (
+  SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS win
+  FROM w, lens, unnest(range(1, len(ws) - n + 2)) AS t(k)),
+hits AS (SELECT doc_id, k, n, item FROM places JOIN win USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) AS t(p) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op8_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
+}
