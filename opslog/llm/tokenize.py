@@ -1,7 +1,8 @@
 """Token ids with the tokenizers library, one memory of encoded pieces per Python worker.
 
-Byte-level BPE never merges across the start of a blank that a non-blank follows, so a text's ids are the
-ids of its blank-led pieces in turn. Pieces recur, hence each worker keeps those it has met.
+Byte-level BPE never merges across the start of a blank that a non-blank follows, nor between a letter and an ASCII
+mark, so a text's ids are those of its pieces in turn. Pieces recur, hence each worker keeps those it has met; a new
+word goes to the library's BPE model alone, any other new piece to the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -17,34 +18,62 @@ BYTE_BPE = "byte_bpe_50k.json"
 
 _PIECE_START = re.compile(r"(?= \S)")
 _UNUSUAL_BLANK = re.compile(r" (?:\s|\Z)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_WORD = re.compile(f"[{_LETTERS}]+")
+#: Words between ASCII marks other than the apostrophe, which begins contractions, and single line breaks or tabs.
+_PLAIN = re.compile(f"(?:[{_LETTERS}!-&(-~]|[\\t\\n\\r](?![\\t\\n\\r]))+")
+_PARTS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class _Pieces(dict):
-    """Piece (without its leading blank) to the little-endian ids of blank + piece."""
+    """Piece (without its lead) to the little-endian ids of lead + piece."""
 
-    def __init__(self, encode, lead: str, most: int):
+    def __init__(self, own: PieceEncoder, lead: str):
         super().__init__()
-        self.encode, self.lead, self.most = encode, lead, most
+        self.own, self.lead, self.mixed = own, lead, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(self.lead + piece)
-        if len(self) < self.most and len(piece) <= 48:
+        own = self.own
+        if _WORD.fullmatch(piece):
+            ids = own.word(self.lead + piece)
+            if len(self) < own.most and len(piece) <= 48:
+                self[piece] = ids
+            return ids
+        if len(piece) < 200 and _PLAIN.fullmatch(piece):
+            first, *rest = _PARTS.findall(piece)
+            if rest:
+                ids = self[first] + b"".join(map(own.bare.__getitem__, rest))
+            else:
+                ids = own.whole(self.lead + piece)
+        else:
+            ids = own.whole(self.lead + piece)
+        if self.mixed < own.most // 3 and len(piece) <= 48:
             self[piece] = ids
+            self.mixed += 1
         return ids
 
 
 class PieceEncoder:
-    """Encodes whole texts to unsigned 32-bit little-endian ids. most: pieces kept, which bounds memory."""
+    """Encodes whole texts to unsigned 32-bit little-endian ids. most: words kept, which bounds memory."""
 
-    def __init__(self, name: str = BYTE_BPE, most: int = 600_000):
+    def __init__(self, name: str = BYTE_BPE, most: int = 500_000):
         tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         tokenizer.encode_special_tokens = True
+        model, letters, self.most = tokenizer.model, _byte_letters(), most
 
-        def encode(text: str) -> bytes:
-            ids = tokenizer.encode(text, add_special_tokens=False).ids
+        def pack(ids: list[int]) -> bytes:
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.whole, self.after_blank = encode, _Pieces(encode, " ", most)
+        self.whole = lambda text: pack(tokenizer.encode(text, add_special_tokens=False).ids)
+        self.word = lambda word: pack([t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))])
+        self.after_blank, self.bare = _Pieces(self, " "), _Pieces(self, "")
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -53,7 +82,7 @@ class PieceEncoder:
             first, *rest = _PIECE_START.split(text)
             return self.whole(first) + b"".join([self.after_blank[p[1:]] for p in rest])
         first, *rest = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join(map(self.after_blank.__getitem__, rest))
+        return (self.bare[first] if first else b"") + b"".join(map(self.after_blank.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
