@@ -56,3 +56,16 @@ def words_of(text: str) -> list[bytes]:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; counts no further than needed."""
     return df.limit(rows + 1).count() <= rows
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows inner-joined with keyed (one row per key, where n counts the key's rows among `total`), whatever the skew.
+
+    Keys with over a thousandth of all rows are at most a thousand, so they are broadcast; the rows of any other key are
+    few enough for one task of a shuffled join. keyed should be a stored table, as it is read twice.
+    """
+    most = total / 1000
+    hot = F.broadcast(keyed.filter(F.col(n) > most).drop(n))
+    cold = keyed.filter(F.col(n) <= most).drop(n)
+    others = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(others.join(cold, keys))

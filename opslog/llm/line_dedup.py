@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored, whole_text
+from .common import join_counted, new_path, stored, whole_text
 
 BLANKS = b" \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
@@ -95,8 +95,8 @@ class LineRuns:
             self._push(level + 1, merged)
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """h1, h2, last_doc of lines in at least min_docs documents over all runs."""
-        return self._merged(self._read(self.paths())).filter(F.col("n_docs") >= min_docs).select(*HASH, "last_doc")
+        """h1, h2, n_docs, last_doc of lines in at least min_docs documents over all runs."""
+        return self._merged(self._read(self.paths())).filter(F.col("n_docs") >= min_docs)
 
 
 def repeated_lines(
@@ -110,7 +110,9 @@ def repeated_lines(
     runs = LineRuns(docs.sparkSession, fanout=fanout)
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
-    lost = lines.join(runs.frequent(min_docs), HASH).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    frequent = stored(runs.frequent(min_docs), "frequent-lines")
+    held = join_counted(lines.drop("batch"), frequent, HASH, "n_docs", lines.count())
+    lost = held.filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*HASH)).alias("drop"))
 
 
