@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import join_counted, stored, whole_text
 from .components import components
 
 SEED = 42
@@ -108,11 +108,11 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     component has no other. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     roots = components(near_links(classes.select("fp"), most=most)).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    named = stored(rooted.join(least, "root").select("fp", "n", "component_id"), "named")
+    return join_counted(prints, named, ["fp"], "n", prints.count()).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
