@@ -167,7 +167,7 @@ def fold(id_col: str) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", per_class=2500
+    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", per_class=1000
 ) -> Model:
     """Fits the field on a bounded sample: the per_class training rows of each label that come first by the hash of
     their id. Rows of fold 0 are never read. Null labels are left out."""
