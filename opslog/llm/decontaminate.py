@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, stored, whole_text, words_of
+from .common import ALNUM_BYTES, slices, whole_text, words_of
 
 SAMPLE = 8
 
@@ -263,7 +263,7 @@ def _searcher(items, width: int, shard_chars: int):
         phrases = Phrases(items.value, width)
 
         def shards():
-            for batch in batches:
+            for batch in slices(batches, 1000):
                 texts, at, held = batch.column(1).to_pylist(), 0, 0
                 for k, text in enumerate(texts):
                     held += len(text)
@@ -328,7 +328,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_
     k = names.index(own[text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = batch.column(len(names)).to_pylist()
             texts = [
                 cut_spans(t, [(s["start"], s["end"]) for s in x]) if x else t

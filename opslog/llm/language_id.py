@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, stored, whole_text
+from .common import slices, small_enough, stored, whole_text
 
 BUCKETS = 1 << 16
 
@@ -63,7 +63,7 @@ def fit_text(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lan
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = trigrams([_raw(text)])[0]
                 sums[lang] = sums.get(lang, 0) + np.bincount(found, minlength=BUCKETS)
@@ -99,27 +99,15 @@ def text_scores(docs: DataFrame, model: TextModel, *, id_col="doc_id", text_col=
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = shared.value.log_p
 
-        def shares(raw):
-            at, held = 0, 0
-            for k, x in enumerate(raw):
-                held += len(x)
-                if held > 4_000_000:
-                    yield at, k + 1
-                    at, held = k + 1, 0
-            if at < len(raw):
-                yield at, len(raw)
-
-        for batch in batches:
+        for batch in slices(batches, 200):
             raw = [_raw(t) for t in batch.column(1).to_pylist()]
-            out, grams = np.zeros((len(raw), len(log_p))), np.zeros(len(raw), np.int64)
-            for a, b in shares(raw):
-                buckets, sizes = trigrams(raw[a:b])
-                grams[a:b] = sizes
-                full = np.flatnonzero(sizes)
-                starts = (np.cumsum(sizes) - sizes)[full]
-                for k, row in enumerate(log_p):
-                    if len(full):
-                        out[a + full, k] = np.add.reduceat(row[buckets], starts, dtype=np.float64)
+            out = np.zeros((len(raw), len(log_p)))
+            buckets, grams = trigrams(raw)
+            full = np.flatnonzero(grams)
+            starts = (np.cumsum(grams) - grams)[full]
+            for k, row in enumerate(log_p):
+                if len(full):
+                    out[full, k] = np.add.reduceat(row[buckets], starts, dtype=np.float64)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(raw) + 1, dtype=np.int32) * len(log_p)), pa.array(out.reshape(-1))
             )

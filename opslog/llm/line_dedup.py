@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, new_path, stored, whole_text
+from .common import join_counted, new_path, slices, stored, whole_text
 
 BLANKS = b" \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
@@ -35,7 +35,7 @@ def line_hashes(docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars=
     """doc_id, h1, h2: each document's distinct line keys of at least min_chars code points. Texts are not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = {line_hash(line, min_chars) for line in text.encode("utf-8", "surrogatepass").split(b"\n")}
@@ -136,7 +136,7 @@ def dedup_lines(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, drops = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
             kept, n, lost, sha = [], [], [], []
             for text, drop in zip(texts, drops.to_pylist()):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, stored, whole_text
+from .common import join_counted, slices, stored, whole_text
 from .components import components
 
 SEED = 42
@@ -59,14 +59,10 @@ def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=3
     """doc_id, fp (the 64 bits as a long). Texts without words have fp 0. Texts are not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                each = [np.array(shingle_hashes(t, shingle), np.uint64) for t in batch.column(1).to_pylist()]
-                prints = majority_bits(np.concatenate(each), np.array([len(x) for x in each], np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"]
-                )
+        for batch in slices(batches):
+            each = [np.array(shingle_hashes(t, shingle), np.uint64) for t in batch.column(1).to_pylist()]
+            prints = majority_bits(np.concatenate(each), np.array([len(x) for x in each], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     return chosen.mapInArrow(run, "doc_id long, fp long")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import slices, whole_text
 from .tokenize import BYTE_BPE, encoder
 
 END_ID = 0
@@ -63,18 +63,16 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, before = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids = [encode(text) + end for text in batch.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(n)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(before + ends - n), pa.array(n), lists], schema=schema
-                )
-                before += int(ends[-1]) if len(ends) else 0
+        for batch in slices(batches):
+            ids = [encode(text) + end for text in batch.column(1).to_pylist()]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            ends = np.cumsum(n)
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(before + ends - n), pa.array(n), lists], schema=schema
+            )
+            before += int(ends[-1])
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))

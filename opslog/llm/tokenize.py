@@ -63,7 +63,7 @@ class _Pieces(dict):
 class PieceEncoder:
     """Encodes whole texts to unsigned 32-bit little-endian ids. most: words kept, which bounds memory."""
 
-    def __init__(self, name: str = BYTE_BPE, most: int = 500_000):
+    def __init__(self, name: str = BYTE_BPE, most: int = 300_000):
         tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         tokenizer.encode_special_tokens = True
         model, letters, self.most = tokenizer.model, _byte_letters(), most
