@@ -1,4 +1,6 @@
 """All queries of the library over the given tables, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import graph_plans, stat_plans, table_plans, time_plans  # noqa: F401  (they register their queries)
+from .bind import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
