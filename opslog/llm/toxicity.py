@@ -9,8 +9,7 @@ probability; a document's score is a logistic function of their maximum, their s
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM_BYTES, whole_text, words_of
 
 BITS = 18
+LABEL_BITS = 22
 CHAIN = 128
 SPAN = "array<struct<start: int, end: int>>"
 
@@ -92,66 +92,90 @@ def doc_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _token_labels(docs: list[list[bytes]], toxic: np.ndarray, least: int = 4, share: float = 0.95) -> list[set[bytes]]:
-    """For each document, its words that are toxic; only toxic documents have any."""
-    seen, bad = Counter(), Counter()
-    for words, y in zip(docs, toxic):
-        parts = {w[:k] for w in set(words) for k in range(3, 8) if len(w) >= k} | {w + b" " for w in set(words)}
-        seen.update(parts)
-        if y:
-            bad.update(parts)
-    balance = max(1, len(toxic) - toxic.sum()) / max(1, toxic.sum())
-    marks = {p for p, n in bad.items() if n >= least and n * balance / (n * balance + seen[p] - n) >= share}
-    return [
-        {w for w in set(words) if w + b" " in marks or any(w[:k] in marks for k in range(3, 8))} if y else set()
-        for words, y in zip(docs, toxic)
-    ]
+def _beginnings(word: bytes) -> list[int]:
+    """Hashed names of a word and of its beginnings, from which tokens are labelled."""
+    parts = [word + b" ", *(word[:k] for k in range(3, 8) if len(word) >= k)]
+    return [zlib.crc32(p) & ((1 << LABEL_BITS) - 1) for p in parts]
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All values in turn and the list each is of."""
+    sizes = [len(x) for x in lists]
+    return np.fromiter((v for x in lists for v in x), np.int64, sum(sizes)), np.repeat(np.arange(len(lists)), sizes)
+
 
+def _toxic_words(docs: list[np.ndarray], toxic: np.ndarray, words: list[bytes], least_share: float = 0.01, share: float = 0.95) -> np.ndarray:
+    """Whether each word, or a beginning of it, stands almost only in toxic documents (both labels weighted alike).
 
-def fit_field(docs: list[list[bytes]], toxic: np.ndarray, *, rounds: int = 30, rate: float = 0.3, l2: float = 1e-4) -> Model:
+    Occurrences count once for each pair of neighbours, so that copies of a document add nothing; a mark needs as many as a
+    hundredth of the toxic documents, five at least.
+    """
+    parts = [_beginnings(w) for w in words]
+    names, owner = _flat(parts)
+    ids = np.concatenate(docs).astype(np.uint64)
+    before, after = np.roll(ids, 1), np.roll(ids, -1)
+    context = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids << np.uint64(40)) ^ (after * np.uint64(0xC2B2AE3D27D4EB4F))
+    y = np.repeat(toxic > 0, [len(d) for d in docs])
+    counts = []
+    for chosen in (y, ~y):
+        first = np.unique(context[chosen], return_index=True)[1]
+        per_word = np.bincount(ids[chosen][first].astype(np.int64), minlength=len(words))
+        counts.append(np.bincount(names, per_word[owner], 1 << LABEL_BITS))
+    bad, good = counts
+    balance = max(1, (~y).sum()) / max(1, y.sum())
+    marks = (bad >= max(5, least_share * toxic.sum())) & (bad * balance >= share * (bad * balance + good))
+    return np.array([marks[p].any() for p in parts])
+
+
+def _in_blocks(emission: np.ndarray, mask: np.ndarray, steps: np.ndarray, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """marginals of many chains, a block at a time."""
+    out, pairs = np.empty(emission.shape, np.float32), np.zeros((2, 2))
+    for a in range(0, len(emission), rows):
+        out[a : a + rows], own = marginals(emission[a : a + rows], mask[a : a + rows], steps)
+        pairs += own
+    return out, pairs
+
+
+def fit_field(texts: Iterable[str], toxic: np.ndarray, *, rounds: int = 20, rate: float = 0.3, l2: float = 1e-4) -> Model:
     """Maximum likelihood by full-batch Adam; gradients are expected minus labelled counts."""
     size = 1 << BITS
-    if not docs or not any(docs):
-        return Model(np.zeros(size, np.float32), -4.0, np.zeros((2, 2)), np.array([0.0, 0, 0, -4]))
-    labelled = _token_labels(docs, toxic)
     vocabulary: dict[bytes, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in docs for w in words])
-    y = np.array([w in own for words, own in zip(docs, labelled) for w in words], float)
-    sizes = np.array([len(w) for w in docs])
+    docs = []
+    for text in texts:
+        own = words_of(text)
+        docs.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in own), np.int32, len(own)))
+    words = list(vocabulary)
+    if not words:
+        return Model(np.zeros(size, np.float32), -4.0, np.zeros((2, 2)), np.array([0.0, 0, 0, -4]))
+    sizes = np.array([len(d) for d in docs])
+    ids = np.concatenate(docs)
+    y = (_toxic_words(docs, toxic, words)[ids] & np.repeat(toxic > 0, sizes)).astype(np.float32)
     at, mask = chains(sizes)
-    gold = np.zeros(mask.size)
+    gold = np.zeros(mask.size, np.int8)
     gold[at] = y
     gold = gold.reshape(mask.shape)
-    pairs = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            pairs[a, b] = ((gold[:, :-1] == a) & (gold[:, 1:] == b) & mask[:, 1:]).sum()
-    lists = [features(w) for w in vocabulary]
-    flat = np.concatenate([np.array(x) for x in lists])
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    pairs = np.array([[((gold[:, :-1] == a) & (gold[:, 1:] == b) & mask[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)])
+    flat, owner = _flat([features(w) for w in words])
     theta = np.zeros(size + 5)  # weights, bias, steps
     theta[size] = -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    emission = np.zeros(mask.size, np.float32)
     for k in range(1, rounds + 1):
-        word_score = np.bincount(owner, theta[flat], len(lists)) + theta[size]
-        emission = np.zeros(mask.size)
-        emission[at] = word_score[ids]
-        p, expected = marginals(emission.reshape(mask.shape), mask, theta[size + 1 :].reshape(2, 2))
-        wrong = np.bincount(ids, p.reshape(-1)[at] - y, len(lists))
+        emission[at] = (np.bincount(owner, theta[flat], len(words)) + theta[size])[ids]
+        p, expected = _in_blocks(emission.reshape(mask.shape), mask, theta[size + 1 :].reshape(2, 2))
+        wrong = np.bincount(ids, p.reshape(-1)[at] - y, len(words))
         grad = np.concatenate([np.bincount(flat, wrong[owner], size), [wrong.sum()], (expected - pairs).reshape(-1)])
         grad = grad / len(ids) * 1000 + l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     model = Model(theta[:size].astype(np.float32), float(theta[size]), theta[size + 1 :].reshape(2, 2), np.zeros(4))
-    word_score = np.array([model.emission(w) for w in vocabulary])
-    emission = np.zeros(mask.size)
-    emission[at] = word_score[ids]
-    p, _ = marginals(emission.reshape(mask.shape), mask, model.steps)
+    emission[at] = (np.bincount(owner, model.weights[flat], len(words)) + model.bias)[ids]
+    p, _ = _in_blocks(emission.reshape(mask.shape), mask, model.steps)
     model.calibration = _fit_logistic(doc_features(p.reshape(-1)[at], sizes), toxic)
     return model
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
+def _fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1) -> np.ndarray:
     """Newton's method; a few features."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
@@ -167,21 +191,21 @@ def fold(id_col: str) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", per_class=1000
+    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", fit_clean=3000, fit_toxic=1500
 ) -> Model:
-    """Fits the field on a bounded sample: the per_class training rows of each label that come first by the hash of
+    """Fits the field on a bounded sample: the fit_clean and fit_toxic training rows that come first by the hash of
     their id. Rows of fold 0 are never read. Null labels are left out."""
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(
         (fold("_id") != 0) & F.col("_y").isin(0, 1)
     )
     sample = None
-    for y in (0, 1):
-        some = rows.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+    for y, most in ((0, fit_clean), (1, fit_toxic)):
+        some = rows.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
         sample = some if sample is None else sample.union(some)
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
-    # at most 2 * per_class rows
+    # at most fit_clean + fit_toxic rows
     found = texts.join(F.broadcast(sample), "_id").orderBy("_id").select("_text", "_y").collect()
-    return fit_field([words_of(r[0]) for r in found], np.array([r[1] for r in found], float))
+    return fit_field((r[0] for r in found), np.array([r[1] for r in found], float))
 
 
 class _Emissions(dict):
