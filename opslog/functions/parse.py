@@ -157,7 +157,7 @@ def hash_split(key: Column, shares: Sequence[tuple[str, float]]) -> Column:
 
 def zscore(c: Column, mean: float, std: float, clip: float = 5.0) -> Column:
     z = (c - mean) / (std or 1.0)
-    return F.coalesce(F.greatest(F.lit(-clip), F.least(F.lit(clip), z)), F.lit(0.0))
+    return F.when(c.isNull(), 0.0).otherwise(F.greatest(F.lit(-clip), F.least(F.lit(clip), z)))
 
 
 def one_hot(c: Column, n: int) -> Column:

@@ -78,7 +78,7 @@ def rewards(
     clipped = F.greatest(F.lit(-float(clip_s)), F.least(F.lit(float(clip_s)), F.col(delay))) / 60
     known = F.coalesce(F.col(outcome), F.lit("unknown"))
     raw = {
-        "delay": F.coalesce(-gate * clipped, F.lit(0.0)),
+        "delay": F.when(F.col(delay).isNotNull(), -gate * clipped).otherwise(0.0),  # least() passes over nulls
         "throughput": F.when(is_set, parse_lookup(known)).otherwise(0.0),
         "headway": F.when(F.col(headway) < headway_limit_s, -1.0).otherwise(0.0),
         "wait": F.when(is_set, 0.0).otherwise(-1.0),

