@@ -123,7 +123,7 @@ def test_rewards_sum_and_nulls(spark):
 
 def test_verdicts(spark):
     df = spark.range(1)
-    v = lambda p, opts: df.select(evaluate.platform_verdict(F.lit(p), F.array(F.lit(3)), F.array(*map(F.lit, opts)))).first()[0]
+    v = lambda p, opts: df.select(evaluate.platform_verdict(F.lit(p).cast("int"), F.array(F.lit(3)), F.array(*map(F.lit, opts)))).first()[0]
     assert [v(3, [1]), v(1, [3]), v(1, [2]), v(None, [3])] == ["compliant", "non-compliant", "preferred-unavailable", "undetermined"]
     r = lambda x, opts: df.select(evaluate.route_verdict(F.lit(x), F.lit("p"), F.array(F.lit("q")), F.array(*map(F.lit, opts)))).first()[0]
     assert [r("p", ["p"]), r("q", ["p"]), r("q", ["q"]), r("z", ["z"])] == ["compliant", "non-compliant", "compliant", "preferred-unavailable"]
