@@ -224,11 +224,11 @@ def contaminated_spans(
         F.col(id_col).cast("long").alias("_doc"), whole_text(text_col).alias("_text"), *keep
     )
     kept = "".join(f", `{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
-    parts = []
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes) or ():
-        parts.append(chosen.mapInArrow(_searcher(spark.sparkContext.broadcast(items), width, shard_chars), f"doc_id long{kept}, n_words int, spans {SPANS}, items array<string>"))
-    if not parts:
-        parts.append(chosen.mapInArrow(_searcher(spark.sparkContext.broadcast([]), width, shard_chars), f"doc_id long{kept}, n_words int, spans {SPANS}, items array<string>"))
+    schema = f"doc_id long{kept}, n_words int, spans {SPANS}, items array<string>"
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    share = spark.sparkContext.broadcast
+    parts = [chosen.mapInArrow(_searcher(share(items), width, shard_chars), schema) for items in blocks]
+    parts = parts or [chosen.mapInArrow(_searcher(share([]), width, shard_chars), schema)]
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
@@ -246,7 +246,7 @@ def contaminated_spans(
         last = F.element_at(acc, -1)
         joined = F.concat(
             F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))),
+            F.array(F.named_struct(F.lit("start"), last["start"], F.lit("end"), F.greatest(last["end"], x["end"]))),
         )
         return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), joined).otherwise(F.concat(acc, F.array(x)))
 

@@ -102,7 +102,7 @@ class LineRuns:
 def repeated_lines(
     docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars=20, min_docs=3, batches=4, fanout=4
 ) -> DataFrame:
-    """doc_id, drop: the hashes of the lines that each document loses (documents that lose none are not there)."""
+    """doc_id, _drop: the hashes of the lines that each document loses (documents that lose none are not there)."""
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
     lines = stored(
         line_hashes(docs, id_col=id_col, text_col=text_col, min_chars=min_chars).select("*", bucket), "lines"
@@ -113,7 +113,7 @@ def repeated_lines(
     frequent = stored(runs.frequent(min_docs), "frequent-lines")
     held = join_counted(lines.drop("batch"), frequent, HASH, "n_docs", lines.count())
     lost = held.filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*HASH)).alias("drop"))
+    return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*HASH)).alias("_drop"))
 
 
 def dedup_lines(
@@ -132,7 +132,7 @@ def dedup_lines(
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped", "kept_sha256")]
     rows = docs.select(*others, whole_text(text_col).alias(text_col))
     joined = rows.join(repeated, rows[id_col].cast("long").eqNullSafe(repeated["_doc"]), "left").select(
-        *others, text_col, "drop"
+        *others, text_col, "_drop"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

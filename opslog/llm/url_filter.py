@@ -26,22 +26,30 @@ http://adserver.media.test/banner/300x250
 https://click.affiliate-hub.test/go/991
 http://doubleads.test/popup/4
 https://www.casino-bonus.test/free-spins
-http://lucky-casino.test/slots/win
+https://www.lucky-casino.test/slots/win
 https://poker-bets.test/en/bonus
-https://cheap-pills.test/buy/viagra
+https://www.cheap-pills.test/buy/viagra
 http://pharma-discount.test/pills/order
-https://xxx-videos.test/watch/12
+https://www.xxx-videos.test/watch/12
 http://adult-cams.test/live/xxx
 https://sexchat.test/free
 http://free-download-crack.test/keygen/photoshop
 https://warez-torrents.test/download/crack
-http://spam-links.test/seo/backlinks
-https://win-prize-now.test/claim/prize
+http://www.spam-links.test/seo/backlinks
+https://www.win-prize-now.test/claim/prize
 http://popunder.adnetwork.test/serve
 https://phish-login.test/account/verify
 http://malware-host.test/setup.exe
 https://tracking.beacon.test/pixel.gif
 http://promo-ads.test/offers/click
+https://www.grand-casino.test/roulette/bonus
+http://online-casino-games.test/jackpot
+https://king-slots.test/casino/deposit
+https://pills-express.test/order/cialis
+http://order-pills.test/pharmacy/cheap
+https://banner-ads.test/track/impression
+http://ad-track.stats.test/en/9
+https://adclick.trackers.test/redirect
 """.split()
 ALLOWED = """
 https://www.citylibrary.test/catalogue/1024
@@ -68,6 +76,14 @@ https://science.magazine.test/en/42362
 http://www.orchestra.test/concerts
 https://letters.poetry.test/es/26123
 https://maps.hiking.test/trails/21
+https://wiki.botany.test/article/88
+http://wiki.railways.test/article/trains
+https://www.cathedral.test/history
+https://blog.painting.test/de/5521
+https://library.physics.test/article/31
+http://www.kindergarten.test/menu
+https://trains.museum.test/locomotives
+https://shop.bakery.test/bread
 """.split()
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,7 +119,7 @@ class UrlModel:
         return self.bias + float(self.weights[found].sum()) / np.sqrt(max(1, len(found)))
 
 
-def fit(urls: list[str], blocked: list[int], *, rounds=300, rate=0.5, l2=1e-3) -> UrlModel:
+def fit(urls: list[str], blocked: list[int], *, rounds=600, rate=0.5, l2=1e-3) -> UrlModel:
     """Gradient descent over a table small enough for the driver, n-gram counts over the root of their number."""
     rows = [grams(*split_url(u)) for u in urls]
     flat = np.concatenate([np.array(r) for r in rows])
