@@ -26,13 +26,22 @@ def as_of(
     forward: bool = False,
     tie: str | None = None,
     null_values: bool = True,
+    bin_s: int | None = None,
 ) -> DataFrame:
     """Every probe with, for each name in values, that expression over its last event at (or before) the probe.
 
     forward takes the first event at or after instead. tie orders events of one time (file order, say). With
     null_values False, an event whose value is null is passed over, for each value by itself. Probes without an event
-    get nulls. Probe columns named like a value are replaced.
+    get nulls. Probe columns named like a value are replaced. bin_s is for keys that hold a large part of all rows: work is
+    then dealt by key and bin of time, see _as_of_in_bins.
     """
+    if bin_s is not None:
+        if not null_values:
+            raise ValueError("bins carry whole events, so null values can't be passed over")
+        return _as_of_in_bins(
+            probes, events, keys=keys, probe_ts=probe_ts, event_ts=event_ts, values=values, inclusive=inclusive, forward=forward,
+            tie=tie, bin_s=bin_s,
+        )
     kept = [c for c in probes.columns if c not in values]
     payload = F.struct(*(F.col(c) for c in kept))
     made = {n: (F.expr(v) if isinstance(v, str) else v) for n, v in values.items()}
@@ -60,6 +69,32 @@ def as_of(
     return out.select("_probe.*", *(F.col(f"_v_{n}").alias(n) for n in made))
 
 
+def time_bin(ts: Column, bin_s: int) -> Column:
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / (bin_s * 1_000_000))
+
+
+def _as_of_in_bins(probes, events, *, keys, probe_ts, event_ts, values, inclusive, forward, tie, bin_s) -> DataFrame:
+    """The same look-up without a task per key: first within (key, bin); probes that meet nothing there take the last
+    event of the last earlier bin that has one (the first of the next, forward), from a table with a row per key and bin."""
+    kept = [c for c in probes.columns if c not in values]
+    made = {n: (F.expr(v) if isinstance(v, str) else v) for n, v in values.items()}
+    order = F.struct(F.col(event_ts).alias("t"), *([F.col(tie).alias("o")] if tie else []))
+    binned = events.withColumn("_bin", time_bin(F.col(event_ts), bin_s)).withColumn("_found", F.struct(*(v.alias(n) for n, v in made.items())))
+    asked = probes.select(*kept, time_bin(F.col(probe_ts), bin_s).alias("_bin"))
+    near = as_of(
+        asked, binned, keys=[*keys, "_bin"], probe_ts=probe_ts, event_ts=event_ts, values={"_near": F.col("_found")}, inclusive=inclusive,
+        forward=forward, tie=tie,
+    )
+    edge = (F.min_by if forward else F.max_by)("_found", order)
+    edges = binned.groupBy(*keys, "_bin").agg(edge.alias("_edge"))
+    places = asked.select(*keys, "_bin").distinct()
+    far = as_of(
+        places, edges, keys=keys, probe_ts="_bin", event_ts="_bin", values={"_far": F.col("_edge")}, inclusive=False, forward=forward
+    )
+    both = near.join(far, [*keys, "_bin"], "left").withColumn("_hit", F.coalesce("_near", "_far"))
+    return both.select(*kept, *(F.col("_hit")[n].alias(n) for n in made))
+
+
 def seconds(later: Column, earlier: Column) -> Column:
     """later - earlier in seconds, exact to the microsecond."""
     return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(1e6)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .asof import as_of, seconds
+from .asof import as_of, seconds, time_bin
 
 
 def state_prefix(events: DataFrame, *, key: str, ts: str, state: str, tie: str | None = None) -> DataFrame:
@@ -55,19 +55,36 @@ def window_stats(
 
 def sessions(
     events: DataFrame, *, keys: Sequence[str], ts: str, gap_s: float, tie: Sequence[str] = (),
-    boundaries: Sequence[str] = (), name="session_no",
+    boundaries: Sequence[str] = (), name="session_no", bin_s: int | None = None,
 ) -> DataFrame:
-    """Adds a running session number per key: a gap over gap_s starts a session, and so does crossing a boundary time."""
-    order = W.partitionBy(*keys).orderBy(ts, *tie)
-    last = F.lag(ts).over(order)
-    new = seconds(F.col(ts), last) > gap_s
+    """Adds a running session number per key: a gap over gap_s starts a session, and so does crossing a boundary time.
+
+    With bin_s, work is dealt by key and bin of time, for keys that hold a large part of all rows: the end of the bin before
+    and the sessions begun in earlier bins come from a table with a row per key and bin.
+    """
+    if bin_s is None:
+        order = W.partitionBy(*keys).orderBy(ts, *tie)
+        marked = events.withColumn("_new", _starts(F.col(ts), F.lag(ts).over(order), gap_s, boundaries))
+        return marked.withColumn(name, F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    by_bin = [*keys, "_bin"]
+    rows = events.withColumn("_bin", time_bin(F.col(ts), bin_s))
+    order, bins = W.partitionBy(*by_bin).orderBy(ts, *tie), W.partitionBy(*keys).orderBy("_bin")
+    ends = rows.groupBy(*by_bin).agg(F.max(ts).alias("_end")).withColumn("_before", F.lag("_end").over(bins)).drop("_end")
+    last = F.coalesce(F.lag(ts).over(order), F.col("_before"))
+    marked = rows.join(ends, by_bin).withColumn("_new", _starts(F.col(ts), last, gap_s, boundaries)).drop("_before")
+    begun = F.coalesce(F.sum("_sum").over(bins.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = marked.groupBy(*by_bin).agg(F.sum("_new").alias("_sum")).select(*by_bin, begun.alias("_begun"))
+    own = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return marked.join(sums, by_bin).withColumn(name, own + F.col("_begun")).drop("_new", "_begun", "_bin").select(*events.columns, name)
+
+
+def _starts(t: Column, last: Column, gap_s: float, boundaries: Sequence[str]) -> Column:
+    """1 where a session starts after the row at `last`, null last counting as none."""
+    new = seconds(t, last) > gap_s
     for b in boundaries:
         cut = F.lit(b).cast("timestamp_ntz")
-        new = new | ((last < cut) & (F.col(ts) >= cut))
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    return events.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")).withColumn(
-        name, F.sum("_new").over(upto)
-    ).drop("_new")
+        new = new | ((last < cut) & (t >= cut))
+    return F.coalesce(new, F.lit(False)).cast("int")
 
 
 def positions(df: DataFrame, *, session: Sequence[str], order: Sequence[str]) -> DataFrame:

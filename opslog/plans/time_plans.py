@@ -46,6 +46,16 @@ def j1_state_as_of(spark, d):
     return asof.state_at(purchases(spark, d), timeline(spark, d), key="user_id", probe_ts="ts", event_ts="ts", state="st", default=0).select("event_id", "state")
 
 
+@query(f"""WITH {TL} SELECT p.event_id, coalesce(tl.st, 0) AS state, f.event_type AS next_kind FROM p ASOF LEFT JOIN tl ON p.user_id = tl.user_id AND p.ts >= tl.ts
+  JOIN (SELECT p.event_id, tl.event_type FROM p ASOF LEFT JOIN tl ON p.user_id = tl.user_id AND p.ts < tl.ts) f USING (event_id)""")
+def j1_state_as_of_in_bins(spark, d):
+    """For keys that hold a large part of all rows."""
+    kw = dict(keys=["user_id"], probe_ts="ts", event_ts="ts", bin_s=HALF_DAY)
+    back = asof.as_of(purchases(spark, d), timeline(spark, d), values={"state": "st"}, **kw).fillna({"state": 0})
+    both = asof.as_of(back, timeline(spark, d), values={"next_kind": "event_type"}, forward=True, inclusive=False, **kw)
+    return both.select("event_id", "state", "next_kind")
+
+
 @query(f"""WITH {TL} SELECT p.event_id, CASE WHEN tl.st = 1 AND tl.event_type <> 'click' THEN tl.event_type END AS occupier
   FROM p ASOF LEFT JOIN tl ON p.user_id = tl.user_id AND p.ts >= tl.ts""")
 def j2_occupier_as_of(spark, d):
@@ -136,6 +146,12 @@ def w3_sessions(spark, d):
     return _sessions(spark, d).select("event_id", F.concat_ws(":", "user_id", "session_no").alias("session_id"))
 
 
+@query(f"WITH {_SESS} SELECT event_id, user_id || ':' || hard_no AS session_id FROM s")
+def w4_sessions_in_bins(spark, d):
+    """For keys that hold a large part of all rows."""
+    return _sessions(spark, d, boundaries=["2024-01-15"], bin_s=DAY).select("event_id", F.concat_ws(":", "user_id", "session_no").alias("session_id"))
+
+
 @query(f"WITH {_SESS} SELECT user_id, count(DISTINCT hard_no) AS n_sessions FROM s GROUP BY 1")
 def w4_bounded_sessions(spark, d):
     return _sessions(spark, d, boundaries=["2024-01-15"]).groupBy("user_id").agg(F.count_distinct("session_no").alias("n_sessions"))
