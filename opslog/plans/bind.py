@@ -57,6 +57,11 @@ def r6(c: Column | str, name: str) -> Column:
     return F.round(c, 6).alias(name)
 
 
+def micros(ts: str, name: str) -> Column:
+    """Microseconds since 1970 of a timestamp without zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)).alias(name)
+
+
 TL = """tl AS (SELECT user_id, ts, CASE WHEN event_type IN ('view','click') THEN 1 ELSE 0 END AS st, event_type, value
   FROM events WHERE event_type <> 'purchase'),
 p AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase')"""

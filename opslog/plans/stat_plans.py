@@ -309,11 +309,12 @@ def j18_coverage(spark, d):
 @query("""WITH tl AS (SELECT user_id AS e, ts, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS st, event_type AS train FROM events WHERE event_type <> 'purchase'),
   rq AS (SELECT event_id, ts, (user_id + k) % 150 AS e, k FROM events, range(3) AS t(k) WHERE event_type = 'purchase'),
   h AS (SELECT rq.*, tl.st, tl.train FROM rq ASOF LEFT JOIN tl ON rq.e = tl.e AND rq.ts >= tl.ts)
-  SELECT event_id, count(*) AS n_elements, count(*) FILTER (st = 1) AS n_occupied, count(*) FILTER (st = 1 AND train <> 'view') AS n_by_other, (min(k) FILTER (st = 1))::INTEGER AS first_occupied FROM h GROUP BY 1""")
+  SELECT event_id, count(*) AS n_elements, count(*) FILTER (st = 1) AS n_occupied, count(*) FILTER (st = 1 AND train <> 'view') AS n_by_other, coalesce(min(k) FILTER (st = 1), -1)::INTEGER AS first_occupied FROM h GROUP BY 1""")
 def j13_conflicts(spark, d):
     tl = events(spark, d).filter("event_type <> 'purchase'").select(F.col("user_id").alias("e"), F.col("ts").alias("ets"), F.col("event_type").isin("view", "click").cast("int").alias("st"), F.col("event_type").alias("train"))
     rq = events(spark, d, "purchase").select("event_id", "ts", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (F.col("user_id") + k) % 150).alias("els"), F.lit("view").alias("focal"))
-    return joins.conflicts(rq, tl, request_id="event_id", ts="ts", elements="els", element="e", event_ts="ets", state="st", train="train", focal="focal")
+    out = joins.conflicts(rq, tl, request_id="event_id", ts="ts", elements="els", element="e", event_ts="ets", state="st", train="train", focal="focal")
+    return out.withColumn("first_occupied", F.coalesce("first_occupied", F.lit(-1)))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN 'closed' END, CASE WHEN p_size > 40 THEN 'large' END, 'none') AS tag

@@ -10,7 +10,7 @@ from ..functions import parse
 from ..functions.shared import shared_dir, stored
 from ..operators import decisions
 from ..sources import io
-from .bind import events, query, r6, table
+from .bind import events, micros, query, r6, table
 
 _ROUTE_TEXT = "'R' || CASE l_suppkey % 3 WHEN 0 THEN 'TD' WHEN 1 THEN 'DC' ELSE 'XX' END || l_partkey || CASE l_linenumber % 2 WHEN 0 THEN 'A' ELSE 'B' END || CASE WHEN l_quantity > 25 THEN '-' || l_linenumber ELSE '' END || '(' || CASE l_returnflag WHEN 'A' THEN 'M' WHEN 'N' THEN 'C' ELSE 'S' END || ')'"
 _ROUTE_RE = r"^R(DW|TD|DC|EC|DY)(\d+[A-Za-z]*)([A-Z]+)(?:-(\d+))?\((M|C|S|W|PS|SP)\)$"
@@ -63,20 +63,20 @@ def p8_change_tokens(spark, d):
     return parse.change_tokens(rows, type_col="event_type", types=("view", "click")).select("event_id", "asset_idx", "token_state")
 
 
-@query("""SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' THEN ts - INTERVAL 1 HOUR ELSE ts END AS ts,
+@query("""SELECT event_id, epoch_us(CASE WHEN ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' THEN ts - INTERVAL 1 HOUR ELSE ts END) AS ts_us,
   ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AS clock_fixed FROM events""")
 def p9_clock_fix(spark, d):
     kw = dict(times=["ts"], reference="ref", start=datetime(2024, 1, 10), end=datetime(2024, 1, 20))
     once = parse.clock_fix(events(spark, d).withColumn("ref", F.col("ts")), **kw)
-    return parse.clock_fix(once, **kw).select("event_id", "ts", "clock_fixed")  # a second application changes nothing
+    return parse.clock_fix(once, **kw).select("event_id", micros("ts", "ts_us"), "clock_fixed")  # a second application changes nothing
 
 
-@query("""SELECT event_id, CASE WHEN k BETWEEN 1 AND 7 THEN k END AS platform, abs(value) * 60 * CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS late_s
+@query("""SELECT event_id, CASE WHEN k BETWEEN 1 AND 7 THEN k ELSE -1 END AS platform, abs(value) * 60 * CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS late_s
   FROM (SELECT *, json_extract_string(props, '$.k')::INTEGER AS k FROM events)""")
 def p11_p12_platform_lateness(spark, d):
     k = F.concat(F.lit(" "), F.get_json_object("props", "$.k"), F.lit(" "))
     late = parse.signed_lateness_s(F.col("value"), F.col("event_type"), late="view", early="click")
-    return events(spark, d).select("event_id", parse.number_in_range(k, 1, 7).alias("platform"), late.alias("late_s"))
+    return events(spark, d).select("event_id", F.coalesce(parse.number_in_range(k, 1, 7), F.lit(-1)).alias("platform"), late.alias("late_s"))
 
 
 @query("""SELECT event_id, CASE WHEN value <= 2 THEN 1.0 WHEN value <= 6 THEN 0.5 WHEN value <= 16 THEN 0.1 ELSE 0.0 END::DOUBLE AS gate,

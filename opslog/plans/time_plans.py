@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asof, chains, decisions, joins, windows
-from .bind import RUNS, TL, events, purchases, query, r6, timeline
+from .bind import RUNS, TL, events, micros, purchases, query, r6, timeline
 
 DAY, HALF_DAY = 86_400, 43_200
 KW = dict(keys=["user_id"], probe_ts="ts", event_ts="ts")
@@ -204,13 +204,13 @@ def w7_next_headway(spark, d):
 @query(f"""WITH {_ONE}, q AS (SELECT event_id, user_id, ts FROM ev WHERE event_type = 'purchase'),
   a AS (SELECT q.*, (SELECT min(ts) FROM ev WHERE ev.user_id = q.user_id AND event_type = 'signup' AND ev.ts >= q.ts) AS rel FROM q),
   b AS (SELECT a.*, CASE WHEN rel IS NOT NULL THEN (SELECT count(*) FROM ev WHERE ev.user_id = a.user_id AND event_type = 'error' AND ev.ts BETWEEN a.ts AND a.rel) END AS n_used FROM a)
-  SELECT event_id, n_used, CASE WHEN rel IS NULL THEN 'unknown' WHEN n_used > 0 THEN 'used'
+  SELECT event_id, coalesce(n_used, -1) AS n_used, CASE WHEN rel IS NULL THEN 'unknown' WHEN n_used > 0 THEN 'used'
     WHEN epoch_us(rel) - epoch_us(ts) < 21600000000 THEN 'unused_cancelled' ELSE 'unused_timeout' END AS outcome FROM b""")
 def w8_lifecycle(spark, d):
     out = chains.lifecycle(
         purchases(spark, d), events(spark, d, "signup"), events(spark, d, "error"), key="user_id", probe_ts="ts", event_ts="ts", cancel_s=21600
     )
-    return out.select("event_id", "n_used", "outcome")
+    return out.select("event_id", F.coalesce("n_used", F.lit(-1)).alias("n_used"), "outcome")
 
 
 @query(f"""WITH {_ONE}, q AS (SELECT event_id, user_id, ts FROM ev WHERE event_type = 'purchase'),
@@ -348,20 +348,20 @@ def _spans(spark, d):
 
 @query(f"""WITH {_SPANS}, m AS (SELECT q.event_id, iv.session_no, row_number() OVER (PARTITION BY q.event_id ORDER BY abs(epoch_us(q.ts) - (epoch_us(a) + epoch_us(b)) / 2.0), a, b, session_no) AS k
     FROM q JOIN iv ON q.user_id = iv.user_id AND q.ts BETWEEN iv.a - INTERVAL 30 MINUTE AND iv.b + INTERVAL 30 MINUTE)
-  SELECT q.event_id, m.session_no::BIGINT AS session_no FROM q LEFT JOIN m ON q.event_id = m.event_id AND m.k = 1""")
+  SELECT q.event_id, coalesce(m.session_no, -1)::BIGINT AS session_no FROM q LEFT JOIN m ON q.event_id = m.event_id AND m.k = 1""")
 def j8_nearest_interval(spark, d):
     probes = events(spark, d, "error").select("event_id", "user_id", "ts")
     out = joins.interval_join(probes, _spans(spark, d), key="user_id", probe_id="event_id", probe_ts="ts", span_id=["session_no"], buffer_s=1800)
-    return out.select("event_id", "session_no")
+    return out.select("event_id", F.coalesce("session_no", F.lit(-1)).alias("session_no"))
 
 
 @query(f"""WITH {_SPANS}, m AS (SELECT q.event_id, iv.session_no, row_number() OVER (PARTITION BY q.event_id ORDER BY a, b, session_no) AS k
     FROM q JOIN iv ON q.user_id = iv.user_id AND q.ts BETWEEN iv.a AND iv.b)
-  SELECT q.event_id, m.session_no::BIGINT AS session_no FROM q LEFT JOIN m ON q.event_id = m.event_id AND m.k = 1""")
+  SELECT q.event_id, coalesce(m.session_no, -1)::BIGINT AS session_no FROM q LEFT JOIN m ON q.event_id = m.event_id AND m.k = 1""")
 def j8b_first_interval(spark, d):
     probes = events(spark, d, "error").select("event_id", "user_id", "ts")
     out = joins.interval_join(probes, _spans(spark, d), key="user_id", probe_id="event_id", probe_ts="ts", span_id=["session_no"], nearest=False)
-    return out.select("event_id", "session_no")
+    return out.select("event_id", F.coalesce("session_no", F.lit(-1)).alias("session_no"))
 
 
 @query("""SELECT event_id FROM events e WHERE event_type = 'view' AND NOT EXISTS (
@@ -410,9 +410,10 @@ def d4_lookahead_sweep(spark, d):
     )
 
 
-@query("""SELECT user_id, min(ts) - INTERVAL 30 MINUTE AS t_first, max(ts) + INTERVAL 30 MINUTE AS t_last, arg_min(event_type, ts) AS event_type FROM events GROUP BY 1""")
+@query("""SELECT user_id, epoch_us(min(ts) - INTERVAL 30 MINUTE) AS t_first, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS t_last, arg_min(event_type, ts) AS event_type FROM events GROUP BY 1""")
 def d5_pass_intervals(spark, d):
-    return decisions.pass_intervals(events(spark, d), key="user_id", ts="ts", buffer_s=1800, columns=["event_type"])
+    out = decisions.pass_intervals(events(spark, d), key="user_id", ts="ts", buffer_s=1800, columns=["event_type"])
+    return out.select("user_id", micros("t_first", "t_first"), micros("t_last", "t_last"), "event_type")
 
 
 @query("""WITH RECURSIVE occ AS (SELECT event_id, user_id::VARCHAR AS train, floor(value * 10)::BIGINT % 7 AS signal, ts FROM events WHERE event_type = 'view'),
