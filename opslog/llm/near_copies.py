@@ -2,7 +2,8 @@
 
 Two texts of that similarity differ in 4 to 18 of 64 SimHash bits, where unrelated texts begin too, so fingerprints within 3
 bits find only the closest copies. The stage therefore takes those links and adds MinHash bands as candidates, each of which is
-verified by the exact similarity of the two shingle sets.
+verified by the exact similarity of the two shingle sets. A bucket's texts first meet its first and last text; where texts of
+a bucket are then still apart, an exact join on the rarest shingles of each finds every pair among them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from .simhash import majority_bits, near_links, shingle_hashes
 
 BANDS, ROWS = 20, 5
 
+#: Counters for how common shingles are; two shingles in one counter only make the order of shingles less telling.
+SLOTS = 1 << 20
+
 
 def _constants(n: int) -> list[tuple[np.uint64, np.uint64]]:
     """(mask, odd multiplier) of each permutation, from a fixed hash."""
@@ -78,12 +82,99 @@ def shingle_sets(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=5
     return chosen.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of sets.shingles fall in each of SLOTS counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in slices(batches):
+            n += np.bincount(batch.column(0).flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return counts
+
+
+def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, root, mass, n, shingle, at, indexed: each text's n shingles from the rarest on, as many as a pair needs.
+
+    Of two texts of that similarity, the first shingle they share in this order is among the rows of both, and is indexed in
+    the one with fewer shingles.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(slot_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in slices(batches):
+            lists = batch.column(3)
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            sizes = np.diff(ends)
+            probed = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1
+            indexed = sizes - np.ceil(2 * similarity / (1 + similarity) * sizes - 1e-6).astype(np.int64) + 1
+            probed = np.minimum(probed, sizes)
+            chosen = []
+            for k, p in enumerate(probed):
+                h = flat[ends[k] : ends[k + 1]]
+                chosen.append(h[np.lexsort((h, counts[h & (SLOTS - 1)]))[:p]])
+            of = np.repeat(np.arange(len(sizes)), probed)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(probed) - probed, probed)
+            taken = [batch.column(c).take(pa.array(of)) for c in range(3)]
+            more = map(pa.array, (sizes[of].astype(np.int64), np.concatenate(chosen), at.astype(np.int64), at < indexed[of]))
+            yield pa.RecordBatch.from_arrays([*taken, *more], names=["doc_id", "root", "mass", "n", "shingle", "at", "indexed"])
+
+    schema = "doc_id long, root long, mass long, n long, shingle long, at long, indexed boolean"
+    return sets.select("doc_id", "root", "mass", "shingles").mapInArrow(run, schema)
+
+
+def likely_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: pairs of sets (doc_id, root, mass, shingles) with different roots, all pairs of that similarity among them.
+
+    Exact: a pair left out shares too few shingles. In the texts of one shingle those of the root with the most texts do not
+    meet each other, so a large group that is linked already costs no more than its rows for each text outside it.
+    """
+    rare = stored(rare_shingles(sets, similarity), "rare")
+    tops = rare.groupBy("shingle").agg(
+        F.max(F.struct("mass", "root"))["root"].alias("top"), F.min("root").alias("_a"), F.max("root").alias("_b")
+    )
+    mixed = stored(rare.join(tops.filter("_a <> _b").select("shingle", "top"), "shingle"), "mixed")
+    x, y = mixed.filter("root <> top").alias("x"), mixed.alias("y")
+    fewer = F.struct("x.n", "x.doc_id") < F.struct("y.n", "y.doc_id")
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    can = (
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.root") != F.col("y.root"))
+        & F.when(fewer, F.col("x.indexed")).otherwise(F.col("y.indexed"))
+        & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6)
+        & ((1 + similarity) * most >= similarity * (F.col("x.n") + F.col("y.n")) - 1e-6)
+    )
+    return x.join(y, can).select(F.greatest("x.doc_id", "y.doc_id").alias("u"), F.least("x.doc_id", "y.doc_id").alias("v")).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have that similarity."""
+    a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    return pairs.join(a, "u").join(b, "v").filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def texts_apart(banded: DataFrame, ends: DataFrame, roots: DataFrame) -> DataFrame:
+    """rep, root: the texts of each bucket where two texts other than its first and last have different roots."""
+    inner = banded.join(ends.filter("n > 3"), ["band", "key"]).filter("rep <> lo AND rep <> hi").select("band", "key", "rep")
+    rooted = stored(inner.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
+    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b")
+    return rooted.join(apart.select("band", "key"), ["band", "key"], "left_semi").select("rep", "root").distinct()
+
+
 def near_copy_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=5, similarity=0.8) -> DataFrame:
     """doc_id, first_id for every document that is not the first (smallest doc_id) of its group of near copies.
 
-    Copies enter once. In a bucket of equal bands each text is compared with the bucket's first and last text, so work is in
-    proportion to the bucket; with 20 bands of 5 rows a pair of similarity 0.8 shares a bucket with a chance of 0.9996. A null doc_id
-    takes no part. Null and empty texts are copies of one another; an empty table gives an empty result.
+    Copies enter once. In a bucket of equal bands each text is compared with the bucket's first and last text; then every pair of
+    the others that no links connect yet is settled by likely_pairs. So no pair that shares a bucket is left out; with 20 bands of 5
+    rows a pair of similarity 0.8 shares one with a chance of 0.9996. A null doc_id takes no part. Null and empty texts are copies of one another; an empty table gives an empty result.
     """
     rows = stored(sketches(docs.filter(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, shingle=shingle), "sketches")
     texts = stored(
@@ -98,16 +189,24 @@ def near_copy_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", shing
         .select(F.col("hu").alias("u"), F.col("hv").alias("v"))
     )
     banded = texts.select("rep", F.posexplode("bands").alias("band", "key"))
-    ends = banded.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
+    ends = banded.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     met = banded.join(ends, ["band", "key"]).select("rep", F.explode(F.array("lo", "hi")).alias("other")).filter("rep <> other")
     pairs = stored(met.select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v")).distinct(), "pairs")
     ids = pairs.select(F.col("u").alias("_id")).union(pairs.select("v")).distinct()
     asked = docs.join(ids, docs[id_col] == ids["_id"], "left_semi").dropDuplicates([id_col])
     sets = stored(shingle_sets(asked, id_col=id_col, text_col=text_col, shingle=shingle), "sets")
-    a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    verified = pairs.join(a, "u").join(b, "v").filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
-    roots = components(same.unionByName(close).unionByName(verified)).withColumnRenamed("node", "rep")
+    links = same.unionByName(close).unionByName(similar(pairs, sets, similarity))
+    roots = stored(components(links).withColumnRenamed("node", "rep"), "roots")
+    apart = stored(texts_apart(banded, ends, roots), "apart")
+    if not apart.isEmpty():
+        mass = apart.groupBy("root").agg(F.count("*").alias("mass"))
+        named = apart.join(mass, "root").withColumnRenamed("rep", "doc_id")
+        open_sets = stored(sets.join(named, "doc_id"), "open_sets")
+        found = similar(stored(likely_pairs(open_sets, similarity), "pairs"), open_sets, similarity)
+        names = apart.select(F.col("rep"), F.col("root"))
+        between = found.join(names.toDF("u", "_u"), "u").join(names.toDF("v", "_v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+        joined = components(between).toDF("root", "_least")
+        every = roots.unionByName(apart.select("rep", "root")).distinct()
+        roots = every.join(joined, "root", "left").select("rep", F.coalesce("_least", "root").alias("root"))
     first = stored(texts.select("c1", "c2", "rep").join(roots, "rep", "left").select("c1", "c2", F.coalesce("root", "rep").alias("first_id")), "first")
     return rows.select("doc_id", "c1", "c2").join(first, ["c1", "c2"]).filter("doc_id <> first_id").select("doc_id", "first_id")
