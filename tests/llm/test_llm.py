@@ -317,18 +317,18 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_near_copies_inside_a_family(spark):
-    """Pairs at 0.85 in a family whose other texts, first and last in its buckets, are at 0.7 to one another and to the pairs."""
-    frame = [f"frame{k}" for k in range(246)]
+    """Pairs at 0.85 in a family whose other texts, first and last in its buckets, are at 0.66 to one another."""
+    frame = [f"frame{k}" for k in range(240)]
 
     def text(doc, pair=None):
-        shared = [f"pair{pair}x{k}" for k in range(30)] if pair is not None else [f"own{doc}y{k}" for k in range(30)]
+        shared = [f"pair{pair}x{k}" for k in range(36)] if pair is not None else [f"own{doc}y{k}" for k in range(36)]
         return " ".join(frame + shared + [f"doc{doc}z{k}" for k in range(24)])
 
     texts = {k: text(k) for k in [*range(60), *range(1000, 1060)]}
-    texts |= {500 + 2 * p + k: text(500 + 2 * p + k, p) for p in range(8) for k in range(2)}
+    texts |= {500 + 2 * p + k: text(500 + 2 * p + k, p) for p in range(40) for k in range(2)}
     sets = {d: set(simhash.shingle_hashes(t, 5)) for d, t in texts.items()}
     near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert near == {(500 + 2 * p, 501 + 2 * p) for p in range(8)}
+    assert near == {(500 + 2 * p, 501 + 2 * p) for p in range(40)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     prints = {d: int(simhash.majority_bits(np.array(h, np.uint64), np.array([len(h)], np.int64))[0]) for d, h in ((d, list(x)) for d, x in sets.items())}
     near |= {(a, b) for a in sets for b in sets if a < b and (prints[a] ^ prints[b]).bit_count() <= 3}
