@@ -115,6 +115,29 @@ def g10_g11_subgraph(spark, d):
     return n.join(e, "seed", "left").select("seed", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
+def _all_hops(r, most):
+    seeds = r.select(F.col("signal").alias("seed"), F.element_at("elements", 1).alias("node")).distinct()
+    return graph.hops(graph.connects(r, elements="elements"), seeds, most=most)
+
+
+@query()
+def g9_hops_all(spark, d):
+    """g9_hops over all routes, to the operator's 30 hops."""
+    return _all_hops(routes(spark, d), 30).groupBy("seed", "hops").agg(F.count("*").alias("n"))
+
+
+@query()
+def g10_g11_subgraph_all(spark, d):
+    """g10_g11_subgraph over all routes."""
+    r = routes(spark, d)
+    kind = F.when(F.col("node") % 2 == 0, "track").otherwise("signal")
+    nodes = graph.subgraph(_all_hops(r, 3).withColumn("kind", kind), center="seed", node="node", node_type="kind", caps={"track": 20, "signal": 5}, most_hops=3)
+    inside = graph.edges_inside(graph.connects(r, elements="elements"), nodes, center="seed", node="node")
+    n = nodes.groupBy("seed").agg(F.count("*").alias("n_nodes"))
+    e = inside.groupBy("seed").agg(F.count("*").alias("n_edges"))
+    return n.join(e, "seed", "left").select("seed", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
 @query(f"WITH {ROUTES} SELECT signal, count(*) AS n, sum(element)::BIGINT AS s FROM (SELECT DISTINCT signal + 100 AS signal, unnest(elements[greatest(len(elements) - 1, 1):]) AS element FROM routes) GROUP BY 1")
 def g12_approach(spark, d):
     e = graph.approach_elements(_r(spark, d), ends="ends", elements="elements", k=2)
