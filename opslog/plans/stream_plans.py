@@ -10,31 +10,57 @@ from ..functions.shared import shared_dir
 from ..streaming import live
 from .bind import query, table
 
-#: What a watermark of an hour may still hold back at the end: the last day's windows.
+#: The end of what the SQL of stream_inventory and stream_sessions asks for; the queries named _all go to the log's end.
 _UNTIL = "2024-01-25"
 
 
+#: Files of one day lie side by side in the log, so a row is at most a day behind those read before it.
+_LATE = "1 day"
+
+
 def _log(spark, d):
-    """The events as a folder that a stream can watch."""
+    """The events as a folder that a stream can watch: day after day, then a row without key whose time closes all windows."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events")
-    events.write.parquet(f"{base}/in")
+    day = F.to_date("ts")
+    for (k,) in events.select(day).distinct().filter("to_date(ts) IS NOT NULL").orderBy(day).collect():
+        events.filter(day == F.lit(k)).write.mode("append").parquet(f"{base}/in")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"))
+    end.select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema)).write.mode("append").parquet(f"{base}/in")
     return live.read_log(spark, f"{base}/in", events.schema), base
 
 
+def _inventory(spark, d):
+    log, base = _log(spark, d)
+    out = live.run_available(live.live_inventory(log, ts="ts", kind="event_type", late=_LATE), f"{base}/out", f"{base}/state")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def _sessions(spark, d):
+    log, base = _log(spark, d)
+    return live.run_available(live.live_sessions(log, key="user_id", ts="ts", late=_LATE), f"{base}/out", f"{base}/state")
+
+
 @query(f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '{_UNTIL}' GROUP BY 1, 2")
 def stream_inventory(spark, d):
-    log, base = _log(spark, d)
-    out = live.run_available(live.live_inventory(log, ts="ts", kind="event_type"), f"{base}/out", f"{base}/state")
-    day = F.date_format("window_start", "yyyy-MM-dd")
-    return out.select(day.alias("day"), "event_type", "n").filter(F.col("day") < _UNTIL)
+    return _inventory(spark, d).filter(F.col("day") < _UNTIL)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_inventory_all(spark, d):
+    return _inventory(spark, d)
 
 
 @query(f"""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 43200000000 THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g), f AS (SELECT user_id, no, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY 1, 2)
   SELECT user_id, count(*) AS n_sessions, sum(n)::BIGINT AS n_events FROM f WHERE last < TIMESTAMP '{_UNTIL}' GROUP BY 1""")
 def stream_sessions(spark, d):
-    log, base = _log(spark, d)
-    out = live.run_available(live.live_sessions(log, key="user_id", ts="ts"), f"{base}/out", f"{base}/state")
-    done = out.filter(F.col("session_end") - F.expr("INTERVAL 12 HOURS") < F.lit(_UNTIL).cast("timestamp"))
+    done = _sessions(spark, d).filter(F.col("session_end") - F.expr("INTERVAL 12 HOURS") < F.lit(_UNTIL).cast("timestamp"))
     return done.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 43200000000 THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g), f AS (SELECT user_id, no, count(*) AS n FROM s GROUP BY 1, 2)
+  SELECT user_id, count(*) AS n_sessions, sum(n)::BIGINT AS n_events FROM f GROUP BY 1""")
+def stream_sessions_all(spark, d):
+    return _sessions(spark, d).groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))
