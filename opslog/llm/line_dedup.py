@@ -1,26 +1,28 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-A run is a Parquet table of (h1, h2, n_docs, last_doc) sorted by hash. A batch of documents adds one run at level 0;
-once a level holds `fanout` runs they are merged into one run of the next level, so n batches are rewritten
-log(n) times. Look-ups and new batches merge-join the runs on the hash.
+A run is a table of (h1, h2, n_docs, last_doc), bucketed and sorted by the hash, and no hash is in two runs. A batch of
+documents is grouped by hash and merge-anti-joined with the runs: hashes in none of them become the batch's own run, the
+others are noted as later appearances, in runs of their own. Two runs of a level are merged into one of the next, so n batches
+are rewritten log(n) times. All these joins are of tables bucketed alike: no run is shuffled once it is written.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_counted, new_path, slices, stored, whole_text
+from .common import discard, join_counted, long_id, map_texts, new_path, quoted, slices, stored, texts_of, whole_text
 
 BLANKS = b" \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
-_RUN = "h1 long, h2 long, n_docs long, last_doc long"
 
 
 def line_hash(line: bytes, min_chars: int) -> bytes | None:
@@ -31,135 +33,168 @@ def line_hash(line: bytes, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
-def line_hashes(docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars=20) -> DataFrame:
-    """doc_id, h1, h2: each document's distinct line keys of at least min_chars code points. Texts are not shuffled."""
+def _ids(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """doc_id, copy: what tells a document's text; rows alike in both lose the same lines."""
+    return [long_id(docs, id_col).alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("copy")]
+
+
+def line_hashes(docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars=20, keep=()) -> DataFrame:
+    """doc_id, copy, the columns of keep, h1, h2: each document's distinct line keys of at least min_chars code points."""
+    chosen = docs.select(long_id(docs, id_col).alias("doc_id"), whole_text(text_col).alias("text"), *_ids(docs, id_col, text_col)[1:], *keep)
+    kept = [f for f in chosen.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, hashes = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            each = []
+            for text in texts_of(batch.column(1)):
                 own = {line_hash(line, min_chars) for line in text.encode("utf-8", "surrogatepass").split(b"\n")}
                 own.discard(None)
-                hashes += own
-                ids += [doc] * len(own)
-            pairs = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())],
-                names=["doc_id", *HASH],
-            )
+                each.append(own)
+            pairs = np.frombuffer(b"".join(h for own in each for h in own), "<i8").reshape(-1, 2)
+            of = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+            columns = [batch.column(f.name).take(of) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(pairs[:, k].copy()) for k in (0, 1))], names=[*(f.name for f in kept), *HASH])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, h1 long, h2 long")
+    return map_texts(chosen, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", h1 long, h2 long")
 
 
 class LineRuns:
-    """The levels of runs. Their list of paths is the only state on the driver; it grows with log(batches)."""
-
-    def __init__(self, spark: SparkSession, *, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[str]] = []
-
-    def _write(self, runs: DataFrame) -> str:
-        path = new_path(self.spark, "line-run")
-        runs.sortWithinPartitions(*HASH).write.parquet(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], _RUN)
-        return self.spark.read.schema(_RUN).parquet(*paths)
-
-    @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    """The levels of runs, and those of later appearances. Their names are the only state on the driver: log(batches)."""
+
+    def __init__(self, spark: SparkSession, *, buckets: int | None = None):
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.firsts: list[str | None] = []
+        self.again: list[str | None] = []
+        self.paths: dict[str, str] = {}
+
+    def _write(self, rows: DataFrame) -> str:
+        name, path = f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "line-run")
+        rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", path).saveAsTable(name)
+        self.paths[name] = path
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        discard(self.spark, self.paths.pop(name))
+
+    def _runs(self, levels: list[str | None]) -> list[DataFrame]:
+        return [self.spark.table(name) for name in levels if name]
+
+    def _push(self, levels: list[str | None], run: str) -> None:
+        """Puts a run at level 0; two of a level are merged into one of the next by a join of their buckets."""
+        at = 0
+        while at < len(levels) and levels[at]:
+            other = levels[at]
+            a, b = self.spark.table(run), self.spark.table(other).toDF(*HASH, "n_more", "last_more")
+            n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0))
+            merged = a.join(b, HASH, "full").select(*HASH, n.alias("n_docs"), F.greatest("last_doc", "last_more").alias("last_doc"))
+            both = [run, other]
+            run = self._write(merged)
+            levels[at] = None
+            for name in both:
+                self._drop(name)
+            at += 1
+        if at == len(levels):
+            levels.append(None)
+        levels[at] = run
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """Rows of (doc_id, h1, h2) whose hash is in no run: the merge anti-join a new batch starts with."""
-        return lines.join(self._read(self.paths()).select(*HASH), HASH, "left_anti")
+        """Rows whose hash is in no run: the merge-anti-join that a new batch starts with."""
+        for run in self._runs(self.firsts):
+            lines = lines.join(run.select(*HASH), HASH, "left_anti")
+        return lines
 
     def add(self, lines: DataFrame) -> None:
-        """One batch's (doc_id, h1, h2), at most once per document and line, becomes a run."""
-        run = lines.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        self._push(0, self._write(run))
-
-    def _push(self, level: int, path: str) -> None:
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merged(self._read(self.levels[level])))
-            self.levels[level] = []
-            self._push(level + 1, merged)
+        """One batch: (doc_id, h1, h2), at most once per document and line. What is new becomes a run."""
+        own = self._write(lines.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        if not any(self.firsts):
+            self._push(self.firsts, own)
+            return
+        batch = self.spark.table(own)
+        new = self._write(self.unseen(batch))
+        seen = self._write(batch.join(self.spark.table(new).select(*HASH), HASH, "left_anti"))
+        self._drop(own)
+        self._push(self.firsts, new)
+        self._push(self.again, seen)
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """h1, h2, n_docs, last_doc of lines in at least min_docs documents over all runs."""
-        return self._merged(self._read(self.paths())).filter(F.col("n_docs") >= min_docs)
+        """h1, h2, n_docs, last_doc of lines in at least min_docs documents of all batches."""
+        out = None
+        for run in self._runs(self.firsts):
+            for k, more in enumerate(self._runs(self.again)):
+                run = run.join(more.toDF(*HASH, f"n_{k}", f"last_{k}"), HASH, "left")
+            n = sum((F.coalesce(c, F.lit(0)) for c in run.columns if c.startswith("n_")), F.lit(0))
+            last = [c for c in run.columns if c.startswith("last_")]
+            part = run.select(*HASH, n.alias("n_docs"), (F.greatest(*last) if len(last) > 1 else F.col(last[0])).alias("last_doc"))
+            part = part.filter(F.col("n_docs") >= min_docs)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def clear(self) -> None:
+        for name in list(self.paths):
+            self._drop(name)
 
 
 def repeated_lines(
-    docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars=20, min_docs=3, batches=4, fanout=4
+    docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars=20, min_docs=3, batch_docs=50_000_000, least_batches=4
 ) -> DataFrame:
-    """doc_id, _drop: the hashes of the lines that each document loses (documents that lose none are not there)."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
-    lines = stored(
-        line_hashes(docs, id_col=id_col, text_col=text_col, min_chars=min_chars).select("*", bucket), "lines"
-    )
-    runs = LineRuns(docs.sparkSession, fanout=fanout)
+    """doc_id, copy, _drop: the hashes of the lines that each document loses (documents that lose none are not there).
+
+    The documents come in batches of about batch_docs, at least least_batches; the result does not depend on their number.
+    """
+    spark = docs.sparkSession
+    batches = max(least_batches, -(-docs.count() // batch_docs))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)).cast("int").alias("batch")
+    path = new_path(spark, "lines")
+    line_hashes(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, keep=[dealt]).write.partitionBy("batch").parquet(path)
+    lines = spark.read.schema("doc_id long, copy long, h1 long, h2 long, batch int").parquet(path)
+    runs = LineRuns(spark)
     for b in range(batches):
-        runs.add(lines.filter(F.col("batch") == b))
+        runs.add(lines.filter(F.col("batch") == b).select("doc_id", *HASH))
     frequent = stored(runs.frequent(min_docs), "frequent-lines")
+    runs.clear()
     held = join_counted(lines.drop("batch"), frequent, HASH, "n_docs", lines.count())
     lost = held.filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct(*HASH)).alias("_drop"))
+    return lost.groupBy("doc_id", "copy").agg(F.collect_set(F.struct(*HASH)).alias("_drop"))
 
 
-def dedup_lines(
-    docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars=20, min_docs=3, batches=4, fanout=4
-) -> DataFrame:
-    """docs with text_col cleaned and the columns n_lines, n_dropped, kept_sha256 added.
+def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", **settings) -> DataFrame:
+    """docs with text_col cleaned and the columns n_lines, n_dropped, kept_sha256 added (such columns of docs are replaced).
 
     A key of at least min_chars code points that min_docs documents or more hold keeps its lines only in the largest
     doc_id holding it. A null or empty text is one empty line and becomes an empty text. Each row counts as one
     document, so repeated rows count separately and lose or keep their lines alike; a null id is never the largest
     while another holds the line. An empty table stays empty; extra columns pass through.
     """
-    repeated = repeated_lines(
-        docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, batches=batches, fanout=fanout
-    ).withColumnRenamed("doc_id", "_doc")
+    min_chars = settings.get("min_chars", 20)
+    repeated = repeated_lines(docs, id_col=id_col, text_col=text_col, **settings)
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped", "kept_sha256")]
-    rows = docs.select(*others, whole_text(text_col).alias(text_col))
-    joined = rows.join(repeated, rows[id_col].cast("long").eqNullSafe(repeated["_doc"]), "left").select(
-        *others, text_col, "_drop"
-    )
+    inner = [f"c{k}" for k in range(len(others))]
+    rows = docs.select(*(quoted(c).alias(n) for c, n in zip(others, inner)), whole_text(text_col).alias("text"), *_ids(docs, id_col, text_col))
+    same = rows["doc_id"].eqNullSafe(repeated["doc_id"]) & (rows["copy"] == repeated["copy"])
+    joined = rows.join(repeated, same, "left").select(*inner, rows["text"], "_drop")
+    at = len(inner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts, drops = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
-            kept, n, lost, sha = [], [], [], []
-            for text, drop in zip(texts, drops.to_pylist()):
+        for batch in slices(batches, at):
+            drops, kept, n, lost, sha = batch.column(at + 1), [], [], [], []
+            flat, ends = drops.flatten(), np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(drops), 0).to_numpy(zero_copy_only=False))]
+            raw_drops = np.stack([flat.field(k).to_numpy() for k in (0, 1)], axis=1).astype("<i8").tobytes()
+            for text, a, b in zip(texts_of(batch.column(at)), ends[:-1].tolist(), ends[1:].tolist()):
                 raw = text.encode("utf-8", "surrogatepass")
                 lines = raw.split(b"\n")
                 n.append(len(lines))
-                if drop:
-                    gone = {np.array([d["h1"], d["h2"]], "<i8").tobytes() for d in drop}
+                if b > a:
+                    gone = {raw_drops[16 * k : 16 * k + 16] for k in range(a, b)}
                     lines = [x for x in lines if line_hash(x, min_chars) not in gone]
                     raw = b"\n".join(lines)
                 lost.append(n[-1] - len(lines))
                 kept.append(raw.decode("utf-8", "surrogatepass"))
                 sha.append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(k) for k in range(batch.num_columns - 2)),
-                    pa.array(kept, pa.string()),
-                    pa.array(n, pa.int64()),
-                    pa.array(lost, pa.int64()),
-                    pa.array(sha, pa.string()),
-                ],
-                names=[*others, text_col, "n_lines", "n_dropped", "kept_sha256"],
-            )
-
-    fields = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in [*others, text_col])
-    return joined.mapInArrow(run, f"{fields}, n_lines long, n_dropped long, kept_sha256 string")
+            made = [pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at)), *made], names=[*inner, "text", "n_lines", "n_dropped", "kept_sha256"])
+
+    fields = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in [*inner, "text"])
+    clean = map_texts(joined, run, f"{fields}, n_lines long, n_dropped long, kept_sha256 string")
+    return clean.toDF(*others, text_col, "n_lines", "n_dropped", "kept_sha256")
