@@ -3,25 +3,28 @@
 Labels exist for documents only, so tokens are labelled from them: in a toxic training document, a word is toxic when
 it, or a beginning of it, occurs almost only in toxic training documents. The field has two tags; a word's emission
 is the sum of hashed weights of the word, its beginnings and its end. Forward-backward marginals give each word's
-probability; a document's score is a logistic function of their maximum, their sum and their noisy-or.
+probability; a document's score is a logistic function of their maximum, their sum and their noisy-or. A document is one
+chain, however long.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, whole_text, words_of
+from .common import ALNUM_BYTES, long_id, map_texts, quoted, slices, stored, whole_text, words_of
+from .crf import marginals
 
 BITS = 18
 LABEL_BITS = 22
-CHAIN = 128
 SPAN = "array<struct<start: int, end: int>>"
 
 
@@ -37,46 +40,12 @@ class Model:
     steps: np.ndarray  # log potentials of tag pairs, [from, to]
     calibration: np.ndarray  # weights of doc_features, the constant last
 
-    def emission(self, word: bytes) -> float:
-        return float(self.weights[features(word)].sum()) + self.bias
-
-
-def marginals(emission: np.ndarray, mask: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(tag 1) of each place of padded chains [n, length], and the expected counts of tag pairs [2, 2]."""
-    n, length = emission.shape
-    odds = np.exp(np.clip(emission, -30, 30))
-    node = np.stack([1 / (1 + odds), odds / (1 + odds)], axis=2)
-    step = np.exp(steps)
-    ahead, back = np.empty((length, n, 2)), np.ones((length, n, 2))
-    ahead[0] = node[:, 0]
-    for t in range(1, length):
-        a = (ahead[t - 1] @ step) * node[:, t]
-        a /= a.sum(axis=1, keepdims=True)
-        ahead[t] = np.where(mask[:, t, None], a, ahead[t - 1])
-    for t in range(length - 2, -1, -1):
-        b = (back[t + 1] * node[:, t + 1]) @ step.T
-        b /= b.sum(axis=1, keepdims=True)
-        back[t] = np.where(mask[:, t + 1, None], b, 1.0)
-    both = ahead * back
-    p = both[:, :, 1] / both.sum(axis=2)
-    pairs = np.zeros((2, 2))
-    for t in range(1, length):
-        x = ahead[t - 1][:, :, None] * step[None] * (node[:, t] * back[t])[:, None, :]
-        x /= x.sum(axis=(1, 2), keepdims=True)
-        pairs += x[mask[:, t]].sum(axis=0)
-    return p.T * mask, pairs
-
-
-def chains(sizes: np.ndarray, length: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each word in padded chains (documents one after another, cut after `length` words), and the mask."""
-    each = -(-sizes // length)
-    word_doc = np.repeat(np.arange(len(sizes)), sizes)
-    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    first = np.cumsum(each) - each
-    at = (first[word_doc] + within // length) * length + within % length
-    mask = np.zeros(int(each.sum()) * length, bool)
-    mask[at] = True
-    return at, mask.reshape(-1, length)
+    def emissions(self, words: list[bytes]) -> np.ndarray:
+        """Log odds of tag 1 for each word by itself."""
+        if not words:
+            return np.zeros(0)
+        flat, of = _flat([features(w) for w in words])
+        return np.bincount(of, self.weights[flat], len(words)) + self.bias
 
 
 def doc_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -127,51 +96,40 @@ def _toxic_words(docs: list[np.ndarray], toxic: np.ndarray, words: list[bytes],
     return np.array([marks[p].any() for p in parts])
 
 
-def _in_blocks(emission: np.ndarray, mask: np.ndarray, steps: np.ndarray, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """marginals of many chains, a block at a time."""
-    out, pairs = np.empty(emission.shape, np.float32), np.zeros((2, 2))
-    for a in range(0, len(emission), rows):
-        out[a : a + rows], own = marginals(emission[a : a + rows], mask[a : a + rows], steps)
-        pairs += own
-    return out, pairs
-
-
-def fit_field(texts: Iterable[str], toxic: np.ndarray, *, rounds: int = 20, rate: float = 0.3, l2: float = 1e-4) -> Model:
-    """Maximum likelihood by full-batch Adam; gradients are expected minus labelled counts."""
+def fit_field(texts: Iterable[str], toxic: Sequence[float], *, rounds: int = 20, rate: float = 0.3, l2: float = 1e-4) -> Model:
+    """Maximum likelihood by full-batch Adam; gradients are expected minus labelled counts. toxic is read after the texts."""
     size = 1 << BITS
     vocabulary: dict[bytes, int] = {}
     docs = []
     for text in texts:
         own = words_of(text)
         docs.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in own), np.int32, len(own)))
+    toxic = np.array(toxic, float)
     words = list(vocabulary)
     if not words:
         return Model(np.zeros(size, np.float32), -4.0, np.zeros((2, 2)), np.array([0.0, 0, 0, -4]))
     sizes = np.array([len(d) for d in docs])
     ids = np.concatenate(docs)
-    y = (_toxic_words(docs, toxic, words)[ids] & np.repeat(toxic > 0, sizes)).astype(np.float32)
-    at, mask = chains(sizes)
-    gold = np.zeros(mask.size, np.int8)
-    gold[at] = y
-    gold = gold.reshape(mask.shape)
-    pairs = np.array([[((gold[:, :-1] == a) & (gold[:, 1:] == b) & mask[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)])
+    y = _toxic_words(docs, toxic, words)[ids] & np.repeat(toxic > 0, sizes)
+    inner = np.ones(len(ids), bool)
+    inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+    now = np.flatnonzero(inner)
+    pairs = np.bincount(2 * y[now - 1].astype(int) + y[now], minlength=4).reshape(2, 2)
     flat, owner = _flat([features(w) for w in words])
     theta = np.zeros(size + 5)  # weights, bias, steps
     theta[size] = -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    emission = np.zeros(mask.size, np.float32)
     for k in range(1, rounds + 1):
-        emission[at] = (np.bincount(owner, theta[flat], len(words)) + theta[size])[ids]
-        p, expected = _in_blocks(emission.reshape(mask.shape), mask, theta[size + 1 :].reshape(2, 2))
-        wrong = np.bincount(ids, p.reshape(-1)[at] - y, len(words))
+        emission = (np.bincount(owner, theta[flat], len(words)) + theta[size])[ids]
+        p, expected = marginals(emission, sizes, theta[size + 1 :].reshape(2, 2))
+        wrong = np.bincount(ids, p - y, len(words))
         grad = np.concatenate([np.bincount(flat, wrong[owner], size), [wrong.sum()], (expected - pairs).reshape(-1)])
         grad = grad / len(ids) * 1000 + l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     model = Model(theta[:size].astype(np.float32), float(theta[size]), theta[size + 1 :].reshape(2, 2), np.zeros(4))
-    emission[at] = (np.bincount(owner, model.weights[flat], len(words)) + model.bias)[ids]
-    p, _ = _in_blocks(emission.reshape(mask.shape), mask, model.steps)
-    model.calibration = _fit_logistic(doc_features(p.reshape(-1)[at], sizes), toxic)
+    p, _ = marginals(model.emissions(words)[ids], sizes, model.steps, counts=False)
+    model.calibration = _fit_logistic(doc_features(p, sizes), toxic)
     return model
 
 
@@ -191,38 +149,51 @@ def fold(id_col: str) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", fit_clean=3000, fit_toxic=1500
+    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", fit_clean=3000, fit_toxic=1500, fit_chars=16_000_000
 ) -> Model:
-    """Fits the field on a bounded sample: the fit_clean and fit_toxic training rows that come first by the hash of
-    their id. Rows of fold 0 are never read. Null labels are left out."""
-    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(
-        (fold("_id") != 0) & F.col("_y").isin(0, 1)
-    )
+    """Fits the field on a bounded sample: the fit_clean and fit_toxic training rows that come first by the hash of their id,
+    as far as their whole texts have fit_chars together (a text that would go beyond is left out). Rows of fold 0 are never
+    read. Null labels are left out. Texts come to the driver one partition at a time and are kept as word numbers."""
+    rows = labels.select(quoted(id_col).alias("_id"), quoted(label_col).cast("int").alias("_y")).filter((fold("_id") != 0) & F.col("_y").isin(0, 1))
     sample = None
     for y, most in ((0, fit_clean), (1, fit_toxic)):
         some = rows.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
         sample = some if sample is None else sample.union(some)
-    texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
+    texts = docs.select(quoted(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     # at most fit_clean + fit_toxic rows
-    found = texts.join(F.broadcast(sample), "_id").orderBy("_id").select("_text", "_y").collect()
-    return fit_field((r[0] for r in found), np.array([r[1] for r in found], float))
+    found = stored(texts.join(F.broadcast(sample), "_id").withColumn("_size", F.char_length("_text")), "training")
+    upto = F.sum("_size").over(W.orderBy(F.xxhash64("_id"), "_id", "_size").rowsBetween(W.unboundedPreceding, 0))
+    sizes = found.select("_id", "_size", upto.alias("_upto")).filter(F.col("_upto") <= fit_chars).select("_id", "_size").distinct()
+    chosen = found.join(F.broadcast(sizes), ["_id", "_size"]).coalesce(4).sortWithinPartitions("_id", "_text").select("_text", "_y")
+    toxic: list[float] = []
+
+    def each() -> Iterator[str]:
+        for text, y in chosen.toLocalIterator():
+            toxic.append(y)
+            yield text
+
+    return fit_field(each(), toxic)
+
 
+class _Emissions:
+    """Log odds of words, those of the words met so far kept up to a bound."""
 
-class _Emissions(dict):
-    def __init__(self, model: Model, most: int = 500_000):
-        super().__init__()
-        self.model, self.most = model, most
+    def __init__(self, model: Model, most: int = 300_000):
+        self.model, self.most, self.known = model, most, {}
 
-    def __missing__(self, word: bytes) -> float:
-        e = self.model.emission(word)
-        if len(self) < self.most and len(word) <= 48:
-            self[word] = e
-        return e
+    def __call__(self, words: list[list[bytes]]) -> np.ndarray:
+        every = list(chain.from_iterable(words))
+        new = list(set(every) - self.known.keys())
+        own = dict(zip(new, self.model.emissions(new).tolist()))
+        known = self.known | own if len(self.known) + len(own) > self.most else None
+        if known is None:
+            self.known.update(own)
+            known = self.known
+        return np.fromiter(map(known.__getitem__, every), float, len(every))
 
 
-def _offsets(text: str, hits: np.ndarray) -> list[dict]:
+def _offsets(raw: bytes, hits: np.ndarray) -> list[dict]:
     """Spans of consecutive hit words in code points."""
-    raw = text.encode("utf-8", "surrogatepass")
     plain = np.frombuffer(raw.translate(ALNUM_BYTES), np.uint8) != 32
     edges = np.flatnonzero(np.diff(np.r_[0, plain, 0].astype(np.int8)))
     points = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
@@ -237,39 +208,33 @@ def score(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", at
     """doc_id, score, spans (code points, end exclusive, of words with marginals of at_least) of every whole text.
 
     The text alone enters a score. Null and empty texts get the score of a document without words; rows may repeat.
-    Chains are cut after 128 words. Texts are not shuffled.
+    Texts are not shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
-        emission = _Emissions(field)
+        emissions = _Emissions(field)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for whole in batches:
-            for start in range(0, whole.num_rows, 400):
-                batch = whole.slice(start, 400)
-                texts = batch.column(1).to_pylist()
-                words = [words_of(t) for t in texts]
-                sizes = np.array([len(w) for w in words], np.int64)
-                p = np.zeros(0)
-                if sizes.sum():
-                    at, mask = chains(sizes)
-                    e = np.zeros(mask.size)
-                    e[at] = np.fromiter((emission[w] for own in words for w in own), float, int(sizes.sum()))
-                    p = marginals(e.reshape(mask.shape), mask, field.steps)[0].reshape(-1)[at]
-                x = doc_features(p, sizes) @ field.calibration
-                ends = np.cumsum(sizes)
-                spans = [
-                    _offsets(t, own >= at_least) if len(own) and own.max() >= at_least else []
-                    for t, own in zip(texts, np.split(p, ends[:-1]))
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))), pa.array(spans, kind)],
-                    names=["doc_id", "score", "spans"],
-                )
-
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return chosen.mapInArrow(run, f"doc_id long, score double, spans {SPAN}")
+        for batch in slices(batches, 1, 2 << 20, 5000):
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            words = [t.translate(ALNUM_BYTES).split() for t in texts]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            p, _ = marginals(emissions(words), sizes, field.steps, counts=False)
+            x = doc_features(p, sizes) @ field.calibration
+            ends = np.cumsum(sizes)
+            hit = p >= at_least
+            toxic = np.flatnonzero(np.diff(np.r_[0, np.r_[0, np.cumsum(hit)][ends]]))
+            spans: list[list] = [[] for _ in texts]
+            for k in toxic.tolist():
+                spans[k] = _offsets(texts[k], hit[ends[k] - sizes[k] : ends[k]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))), pa.array(spans, kind)],
+                names=["doc_id", "score", "spans"],
+            )
+
+    chosen = docs.select(long_id(docs, id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    return map_texts(chosen, run, f"doc_id long, score double, spans {SPAN}")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
