@@ -1,6 +1,6 @@
 """Language by Bayesian fusion of text, declared language, markup, address suffix and host.
 
-Text likelihoods are byte trigram frequencies per language over hashed buckets. A page of a document adds its markup
+Text likelihoods are byte trigram frequencies per language over hashed buckets. Every page of a document adds its markup
 language, the suffix of its host and the host itself. Host priors are grouped counts of text decisions, smoothed from
 all documents to the domain and from the domain to the host; a document without a page has its source in their place.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_enough, stored, whole_text
+from .common import join_counted, long_id, map_texts, quoted, slices, stored, texts_of, whole_text
 
 BUCKETS = 1 << 16
 
@@ -47,24 +47,16 @@ class TextModel:
 
 def fit_text(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", fit_rows=8000) -> TextModel:
     """Trigram frequencies from a bounded sample: the fit_rows labelled documents that come first by their id's hash."""
-    ids = (
-        docs.filter(F.col(lang_col).isNotNull())
-        .select(F.col(id_col).alias("_id"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(fit_rows)
-        .distinct()
-    )
-    sample = (
-        docs.filter(F.col(lang_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), whole_text(text_col).alias("_text"))
-        .join(F.broadcast(ids), "_id")
-        .select("_lang", "_text")
+    labelled = docs.filter(quoted(lang_col).isNotNull()).select(
+        quoted(id_col).alias("_id"), quoted(lang_col).alias("_lang"), whole_text(text_col).alias("_text")
     )
+    ids = labelled.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(fit_rows).distinct()
+    sample = labelled.join(F.broadcast(ids), "_id").select("_lang", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in slices(batches):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 found = trigrams([_raw(text)])[0]
                 sums[lang] = sums.get(lang, 0) + np.bincount(found, minlength=BUCKETS)
         for lang, n in sums.items():
@@ -76,7 +68,7 @@ def fit_text(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lan
 
     # at most languages * BUCKETS rows
     counts = (
-        sample.mapInArrow(count, "lang string, bucket int, n long")
+        map_texts(sample, count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -93,14 +85,14 @@ def fit_text(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lan
 def text_scores(docs: DataFrame, model: TextModel, *, id_col="doc_id", text_col="text", keep=()) -> DataFrame:
     """doc_id, the kept columns, grams, log_p (per language, summed over the whole text). Texts are not shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("_text"), *keep)
+    chosen = docs.select(long_id(docs, id_col).alias("doc_id"), whole_text(text_col).alias("_text"), *keep)
     names = [c for c in chosen.columns if c not in ("doc_id", "_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = shared.value.log_p
 
-        for batch in slices(batches, 200):
-            raw = [_raw(t) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, 1, 1 << 20):
+            raw = [_raw(t) for t in texts_of(batch.column(1))]
             out = np.zeros((len(raw), len(log_p)))
             buckets, grams = trigrams(raw)
             full = np.flatnonzero(grams)
@@ -117,26 +109,21 @@ def text_scores(docs: DataFrame, model: TextModel, *, id_col="doc_id", text_col=
             )
 
     kept = "".join(f", `{c}` {chosen.schema[c].dataType.simpleString()}" for c in names)
-    return chosen.mapInArrow(run, f"doc_id long{kept}, grams long, log_p array<double>")
+    return map_texts(chosen, run, f"doc_id long{kept}, grams long, log_p array<double>")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """doc_id, markup, suffix, domain, host: from the page whose address ends in the document's number; of several the
-    first by address. Addresses without host or number give nothing."""
+    """doc_id, markup, suffix, domain, host of the pages whose address ends in a document's number, pages that agree in all of
+    them taken once. Addresses without host or number give nothing."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1))
     markup = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
     found = pages.select(
         F.regexp_extract("url", r"://[^?#]*/(\d{1,18})(?:\.[a-z]+)?/?(?:[?#]|$)", 1).try_cast("long").alias("doc_id"),
-        F.struct("url", F.nullif(markup, F.lit("")).alias("markup"), host.alias("host")).alias("p"),
-    ).filter(F.col("doc_id").isNotNull() & (F.col("p.host") != ""))
-    one = found.groupBy("doc_id").agg(F.min("p").alias("p"))
-    return one.select(
-        "doc_id",
-        "p.markup",
-        F.substring_index("p.host", ".", -1).alias("suffix"),
-        F.substring_index("p.host", ".", -2).alias("domain"),
-        "p.host",
-    )
+        F.nullif(markup, F.lit("")).alias("markup"),
+        host.alias("host"),
+    ).filter(F.col("doc_id").isNotNull() & (F.col("host") != ""))
+    suffix, domain = F.substring_index("host", ".", -1), F.substring_index("host", ".", -2)
+    return found.distinct().select("doc_id", "markup", suffix.alias("suffix"), domain.alias("domain"), "host")
 
 
 def _agreement(said: Column, lang: str, n: int, trust: float) -> Column:
@@ -149,11 +136,37 @@ def _agreement(said: Column, lang: str, n: int, trust: float) -> Column:
     )
 
 
-def _tallies(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    counts = [F.sum((F.col("best") == k).cast("long")).cast("double") for k in range(n)]
-    tally = stored(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array(*counts).alias(name)), "tally")
-    # a few rows for each key: broadcast only when they are proven few, else a shuffled join
-    return F.broadcast(tally) if small_enough(tally, 100_000) else tally
+def _counts(n: int, name: str) -> Column:
+    """Rows by their text's best language, as an array."""
+    return F.array(*(F.sum((F.col("best") == k).cast("long")).cast("double") for k in range(n))).alias(name)
+
+
+def _summed(name: str, n: int) -> Column:
+    return F.array(*(F.sum(F.col(name)[k]) for k in range(n))).alias(name)
+
+
+def _smooth(counts: str, parent: Column, smoothing: float) -> Column:
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.zip_with(counts, parent, lambda c, p: (c + smoothing * p) / (total + smoothing))
+
+
+def host_evidence(places: DataFrame, decided: DataFrame, share: Column, n: int, smoothing: float) -> DataFrame:
+    """host, n_pages, evidence: log P(language | host) and log P(suffix | language), both against the share of all documents.
+
+    places: page_evidence; decided: doc_id, best. Counts go up from hosts to domains and suffixes, so documents are met once.
+    """
+    met = places.select("doc_id", "host", "domain", "suffix").join(decided, "doc_id", "left")
+    hosts = stored(met.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n_pages"), _counts(n, "by_host")), "hosts")
+    total = hosts.count()
+    out = hosts
+    for key, name in (("domain", "by_domain"), ("suffix", "by_suffix")):
+        sums = hosts.groupBy(key).agg(F.count("*").alias("n"), _summed("by_host", n).alias(name))
+        out = join_counted(out, stored(sums, "tally"), [key], "n", total)
+    prior = _smooth("by_host", _smooth("by_domain", share, smoothing), smoothing)
+    evidence = F.zip_with(
+        F.zip_with(prior, _smooth("by_suffix", share, smoothing), lambda a, b: F.log(a) + F.log(b)), share, lambda x, s: x - 2 * F.log(s)
+    )
+    return out.select("host", "n_pages", evidence.alias("evidence"))
 
 
 def identify(
@@ -173,49 +186,46 @@ def identify(
 ) -> DataFrame:
     """doc_id, declared, language, probability, kept.
 
-    The text counts as at most text_grams independent trigrams, so that the other evidence can matter. A document is
-    kept when its best language has a probability of `least` and its text fits that language better than no language
-    at all (uniform trigrams). Null and empty texts have no trigrams: they are decided by the other evidence and not
-    kept. Null declared languages, sources and pages count as nothing said. Rows may repeat; an empty table stays empty.
+    The text counts as at most text_grams independent trigrams, so that the other evidence can matter. All pages of a document
+    count, pages that agree in host and markup once. A document is kept when its best language has a probability of `least`
+    and its text fits that language better than no language at all (uniform trigrams). Of languages with equal evidence the
+    first by name is taken. Null and empty texts have no trigrams: they are decided by the other evidence and not kept. Null
+    declared languages, sources and pages count as nothing said. Rows may repeat; an empty table stays empty.
     """
     model = fit_text(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, fit_rows=fit_rows)
     n = len(model.languages)
     scored = text_scores(
-        docs, model, id_col=id_col, text_col=text_col,
-        keep=[F.col(lang_col).alias("declared"), F.concat(F.lit("source:"), F.col(source_col)).alias("source")],
-    )
+        docs, model, id_col=id_col, text_col=text_col, keep=[quoted(lang_col).alias("declared"), quoted(source_col).alias("source")]
+    )
     best = (F.array_position("log_p", F.array_max("log_p")) - 1).cast("int")
-    rows = scored.withColumn("best", F.when(F.col("grams") > 0, best))
+    rows = stored(scored.withColumn("best", F.when(F.col("grams") > 0, best)), "evidence")
+    n_rows, *whole = rows.agg(F.count("*"), *(F.sum((F.col("best") == k).cast("long")) for k in range(n))).first()
+    totals = np.array([x or 0 for x in whole], float) + 1.0
+    share = F.array(*(F.lit(float(x)) for x in totals / totals.sum()))
+    nothing = F.lit(None).cast("array<double>")
     if pages is None:
-        for c in ("markup", "suffix", "domain", "host"):
-            rows = rows.withColumn(c, F.lit(None).cast("string"))
+        rows = rows.withColumn("of_pages", nothing)
     else:
-        rows = rows.join(page_evidence(pages), "doc_id", "left")
-    rows = stored(
-        rows.withColumn("domain", F.coalesce("domain", "source")).withColumn("host", F.coalesce("host", "source")),
-        "evidence",
+        places = stored(page_evidence(pages), "places")
+        hosts = stored(host_evidence(places, rows.select("doc_id", "best"), share, n, smoothing), "host-evidence")
+        met = join_counted(places.select("doc_id", "markup", "host"), hosts, ["host"], "n_pages", places.count())
+        said = F.array(*(F.col("evidence")[k] + _agreement(F.col("markup"), lang, n, trust_markup) for k, lang in enumerate(model.languages)))
+        per = met.select("doc_id", said.alias("of_pages")).groupBy("doc_id").agg(_summed("of_pages", n))
+        rows = stored(rows.join(per, "doc_id", "left"), "evidence")
+    without = rows.filter(F.col("of_pages").isNull())
+    tally = without.filter(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("n"), _counts(n, "by_source"))
+    prior = _smooth("by_source", _smooth("by_source", share, smoothing), smoothing)
+    of_source = tally.select("source", "n", F.zip_with(prior, share, lambda a, s: F.log(a) - F.log(s)).alias("of_source"))
+    rows = rows.filter(F.col("of_pages").isNotNull()).withColumn("of_source", nothing).unionByName(
+        join_counted(without, stored(of_source, "sources"), ["source"], "n", n_rows, "left"), allowMissingColumns=True
     )
-    whole = [F.sum((F.col("best") == k).cast("long")) for k in range(n)]
-    totals = np.array([x or 0 for x in rows.agg(*whole).first()], float) + 1.0
-    share = F.array(*(F.lit(float(x)) for x in totals / totals.sum()))
-    for key, name in (("domain", "by_domain"), ("host", "by_host"), ("suffix", "by_suffix")):
-        rows = rows.join(_tallies(rows, key, n, name), key, "left")
-
-    def smooth(counts: str, parent: Column) -> Column:
-        total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        mixed = F.zip_with(counts, parent, lambda c, p: (c + smoothing * p) / (total + smoothing))
-        return F.coalesce(mixed, parent)
-
-    rows = rows.withColumn("prior", smooth("by_domain", share)).withColumn("prior", smooth("by_host", F.col("prior")))
-    # P(suffix | language), up to a factor that all languages share
-    rows = rows.withColumn("by_suffix", F.zip_with(smooth("by_suffix", share), share, lambda a, b: a / b))
     weight = F.least(F.lit(1.0), F.lit(float(text_grams)) / F.greatest("grams", F.lit(1)))
+    other = F.coalesce("of_pages", "of_source")
     sums = [
         F.col("log_p")[k] * weight
         + _agreement(F.col("declared"), lang, n, trust_declared)
-        + _agreement(F.col("markup"), lang, n, trust_markup)
-        + F.log(F.col("by_suffix")[k])
-        + F.log(F.col("prior")[k])
+        + F.coalesce(other[k], F.lit(0.0))
+        + F.log(share[k])
         for k, lang in enumerate(model.languages)
     ]
     rows = rows.withColumn("fused", F.array(*sums)).withColumn("top", F.array_max("fused"))
