@@ -3,21 +3,21 @@
 Texts become word ids over the benchmark's vocabulary; words that no benchmark item holds cannot be part of a
 match, so a shard's index covers the stretches between them that are long enough for the shortest window. The index
 is the Burrows-Wheeler transform of those stretches in a wavelet matrix of ranks, with every eighth suffix position
-sampled. All windows of all items are searched backwards at once, their places are found by walking to the
+sampled. All distinct windows of the items are searched backwards at once, their places are found by walking to the
 next sample, and overlapping places merge into spans to remove.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, slices, whole_text, words_of
+from .common import ALNUM_BYTES, long_id, map_texts, quoted, slices, stored, whole_text, words_of
 
 SAMPLE = 8
 
@@ -96,17 +96,19 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [lo, hi) of the suffixes that begin with each pattern (rows of a matrix of one length)."""
-        patterns = patterns + 1
-        lo = np.zeros(len(patterns), np.int64)
-        hi = np.full(len(patterns), self.bwt.n, np.int64)
-        alive = np.flatnonzero((patterns < len(self.before) - 1).all(axis=1))
-        hi[(patterns >= len(self.before) - 1).any(axis=1)] = 0
+        lo, hi = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
+        alive, a, b, first = np.arange(len(patterns)), None, None, True
         for column in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[alive, column]
-            lo[alive] = self.before[symbol] + self.bwt.rank(symbol, lo[alive])
-            hi[alive] = self.before[symbol] + self.bwt.rank(symbol, hi[alive])
-            alive = alive[lo[alive] < hi[alive]]
-        hi = np.maximum(lo, hi)
+            symbol = patterns[alive, column].astype(np.int64) + 1
+            there = symbol < len(self.before) - 1
+            alive, symbol = alive[there], symbol[there]
+            if first:
+                a, b, first = self.before[symbol], self.before[symbol + 1], False
+            else:
+                a, b = (self.before[symbol] + self.bwt.rank(symbol, x[there]) for x in (a, b))
+            found = a < b
+            alive, a, b = alive[found], a[found], b[found]
+        lo[alive], hi[alive] = a, b
         return lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -126,28 +128,59 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of benchmark items over their own vocabulary, grouped by length."""
+    """The distinct windows of benchmark items over their own vocabulary, as a matrix of word ids for each length."""
 
     def __init__(self, items: list[tuple[str, str]], width: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.items = [str(i) for i, _ in items]
-        windows: dict[int, dict[tuple, set[int]]] = {}
-        for k, (_, text) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text or "")]
-            n = min(width, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                windows.setdefault(n, {}).setdefault(tuple(ids[at : at + n]), set()).add(k)
-        self.matrices = {n: np.array(list(found), np.int64) for n, found in windows.items()}
-        self.holders = {n: [sorted(x) for x in found.values()] for n, found in windows.items()}
-        self.shortest = min(windows, default=0)
-
-
-def find(phrases: Phrases, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
-    """(words, merged spans in words, items) for each text of a shard."""
-    get, sizes, runs, homes = phrases.vocabulary.get, [], [], []
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        vocabulary: dict[bytes, int] = {}
+        words, starts, owners = [], {}, {}
+        at = 0
+        for name, text in items:
+            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text or "")]
+            if ids:
+                n = min(width, len(ids))
+                words.append(np.array(ids, np.int32))
+                starts.setdefault(n, []).append(np.arange(at, at + len(ids) - n + 1))
+                owners.setdefault(n, []).append(np.full(len(ids) - n + 1, number[name]))
+                at += len(ids)
+        self.words = list(vocabulary)  # ids count from 1
+        flat = np.concatenate(words) if words else np.zeros(0, np.int32)
+        self.matrices, self.holders = {}, {}
+        for n in starts:
+            rows = flat[np.concatenate(starts[n])[:, None] + np.arange(n)]
+            distinct, of = np.unique(rows, axis=0, return_inverse=True)
+            pairs = np.unique(of.reshape(-1) * len(self.names) + np.concatenate(owners[n]))
+            window, owner = np.divmod(pairs, len(self.names))
+            self.matrices[n] = distinct
+            self.holders[n] = np.searchsorted(window, np.arange(len(distinct) + 1)), owner.astype(np.int32)
+        self.shortest = min(starts, default=0)
+
+
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of documents with those that overlap or touch made one, in order."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if not len(doc):
+        return doc, start, end
+    wide = int(end.max()) + 2
+    reach = np.maximum.accumulate(doc * wide + end)
+    new = np.r_[True, doc[1:] * wide + start[1:] > reach[:-1]]
+    last = np.r_[np.flatnonzero(new)[1:] - 1, len(doc) - 1]
+    return doc[new], start[new], reach[last] - doc[new] * wide
+
+
+def _taken(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... as many as counts[i], in turn."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
+
+
+def find(phrases: Phrases, ids_of: dict[bytes, int], texts: list[bytes]):
+    """Words of each text of a shard; then (text, start, end) of merged spans in words, and (text, item number), in order."""
+    get, sizes, runs, homes = ids_of.get, np.zeros(len(texts), np.int32), [], []
     for k, text in enumerate(texts):
-        words = words_of(text)
-        sizes.append(len(words))
+        words = text.translate(ALNUM_BYTES).split()
+        sizes[k] = len(words)
         if not phrases.shortest or len(words) < phrases.shortest:
             continue
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
@@ -156,37 +189,31 @@ def find(phrases: Phrases, texts: list[str]) -> Iterator[tuple[int, list[tuple[i
             if b - a >= phrases.shortest:
                 runs += [ids[a:b], np.zeros(1, np.int64)]
                 homes.append((k, a, b - a + 1))
-    spans: dict[int, list[tuple[int, int]]] = {}
-    items: dict[int, set[int]] = {}
+    spans, items = [], []
     if homes:
         index = FMIndex(np.concatenate(runs))
         doc, first, size = (np.array(x) for x in zip(*homes))
         begin = np.cumsum(size) - size
         for n, patterns in phrases.matrices.items():
             lo, hi = index.search(patterns)
-            many = hi - lo
-            which = np.repeat(np.arange(len(patterns)), many)
-            rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            places = index.locate(rows)
+            which = np.repeat(np.arange(len(patterns)), hi - lo)
+            places = index.locate(_taken(lo, hi - lo))
             run = np.searchsorted(begin, places, "right") - 1
             starts = first[run] + places - begin[run]
-            for d, s, w in zip(doc[run].tolist(), starts.tolist(), which.tolist()):
-                spans.setdefault(d, []).append((s, s + n))
-                items.setdefault(d, set()).update(phrases.holders[n][w])
-    for k, n in enumerate(sizes):
-        merged: list[list[int]] = []
-        for a, b in sorted(spans.get(k, ())):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        yield n, [(a, b) for a, b in merged], sorted(phrases.items[i] for i in items.get(k, ()))
+            spans.append((doc[run], starts, starts + n))
+            hit = np.unique(np.stack([doc[run], which]), axis=1)
+            ends, owners = phrases.holders[n]
+            many = ends[hit[1] + 1] - ends[hit[1]]
+            items.append(np.repeat(hit[0], many) * len(phrases.names) + owners[_taken(ends[hit[1]], many)])
+    none = np.zeros(0, np.int64)
+    spans = merged(*(np.concatenate(x) for x in zip(*spans))) if spans else (none, none, none)
+    return sizes, spans, np.divmod(np.unique(np.concatenate(items)), len(phrases.names)) if items else (none, none)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """The items in blocks of bounded text, so that what goes to the tasks is bounded however many items there are."""
     block, held = [], 0
-    for row in benchmark.select(F.col(item_col).cast("string"), whole_text(text_col)).toLocalIterator():
+    for row in benchmark.select(quoted(item_col).cast("string"), whole_text(text_col)).toLocalIterator():
         block.append((row[0] or "", row[1]))
         held += len(row[1])
         if held >= most_bytes:
@@ -208,83 +235,86 @@ def contaminated_spans(
     item_col="item_id",
     item_text_col="text",
     width=10,
-    shard_chars=4_000_000,
+    shard_bytes=4_000_000,
     block_bytes=16_000_000,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """doc_id, the columns of `keep`, n_words, spans (merged, in words), items (sorted as strings), for every document.
+    """doc_id, the columns of `keep`, n_words, spans (merged, in words), items (sorted as strings), one row per document row.
 
-    Documents stay where they are: a shard is shard_chars of consecutive texts of one partition, at least one text.
-    Benchmark items go to the tasks in blocks of block_bytes; more than one block means one pass over the documents
-    for each, merged by a grouped union. A null text has no words; repeated rows and items are treated alike.
+    Documents stay where they are: a shard is shard_bytes of consecutive texts of one partition, at least one text. Items go
+    to the tasks in blocks of block_bytes. For more than one block the texts are stored with row numbers and read once for
+    each, one block after another, with each block's hits written before the next is sent; results are the same for any
+    block_bytes. A null text has no words. Items of one id count once, a null id is the empty string; repeated document rows
+    have one result each, whatever their ids.
     """
     keep = list(keep or ())
-    spark = docs.sparkSession
-    chosen = docs.select(
-        F.col(id_col).cast("long").alias("_doc"), whole_text(text_col).alias("_text"), *keep
-    )
-    kept = "".join(f", `{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"doc_id long{kept}, n_words int, spans {SPANS}, items array<string>"
+    spark, share = docs.sparkSession, docs.sparkSession.sparkContext.broadcast
+    chosen = docs.select(long_id(docs, id_col).alias("_doc"), whole_text(text_col).alias("_text"), *map(quoted, keep))
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    share = spark.sparkContext.broadcast
-    parts = [chosen.mapInArrow(_searcher(share(items), width, shard_chars), schema) for items in blocks]
-    parts = parts or [chosen.mapInArrow(_searcher(share([]), width, shard_chars), schema)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # of a document the blocks' results are alike in all but spans and items; a repeated row has the same ones
-    merged = every.groupBy("doc_id", *keep, "n_words").agg(
-        (F.count("*") / len(parts)).cast("int").alias("_times"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        kept = "".join(f", `{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
+        found = map_texts(chosen, _searcher(share(Phrases(first, width)), shard_bytes), f"_doc long{kept}, n_words int, spans {SPANS}, items array<string>")
+        return found.withColumnRenamed("_doc", "doc_id")
+    rows = stored(chosen.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+    sizes = hits = None
+    for items in chain([first, second], blocks):
+        shared = share(Phrases(items, width))
+        found = map_texts(rows.select("_row", "_text"), _searcher(shared, shard_bytes), f"_row long, n_words int, spans {SPANS}, items array<string>")
+        if sizes is None:
+            found = stored(found, "hits")
+            sizes = found.select("_row", "n_words")
+        part = found.filter(F.size("spans") > 0).drop("n_words")
+        part = part if hits is None else stored(part, "hits")
+        hits = part if hits is None else hits.unionByName(part)
+        shared.destroy()
+    grouped = hits.groupBy("_row").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    empty = F.array().cast(SPANS)
+    joined = rows.drop("_text").join(sizes, "_row").join(map_texts(grouped, _merge, f"_row long, spans {SPANS}, items array<string>"), "_row", "left")
+    none = F.array().cast
+    return joined.select(
+        F.col("_doc").alias("doc_id"), *map(quoted, keep), "n_words", F.coalesce("spans", none(SPANS)).alias("spans"),
+        F.coalesce("items", none("array<string>")).alias("items"),
+    )
+
+
+_KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _lists(of: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """One list for each of n rows, of the values whose row is in `of` (ascending)."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), values)
+
 
-    def extend(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.named_struct(F.lit("start"), last["start"], F.lit("end"), F.greatest(last["end"], x["end"]))),
-        )
-        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), joined).otherwise(F.concat(acc, F.array(x)))
+def _span_lists(n: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.ListArray:
+    ends = [pa.array(x.astype(np.int32)) for x in (start, end)]
+    return _lists(doc, n, pa.StructArray.from_arrays(ends, names=["start", "end"])).cast(_KIND)
 
-    return merged.select(
-        "doc_id", *keep, "n_words", F.aggregate("spans", empty, extend).alias("spans"), "items",
-        F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_k"),
-    ).drop("_k")
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(1)
+        flat = lists.flatten()
+        doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        spans = merged(doc, flat.field("start").to_numpy().astype(np.int64), flat.field("end").to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), _span_lists(len(lists), *spans), batch.column(2)], names=["_row", "spans", "items"])
 
-def _searcher(items, width: int, shard_chars: int):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+def _searcher(shared, shard_bytes: int):
+    """Searches shards of batches of (key, text, others); gives key, others, n_words, spans, items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(items.value, width)
-
-        def shards():
-            for batch in slices(batches, 1000):
-                texts, at, held = batch.column(1).to_pylist(), 0, 0
-                for k, text in enumerate(texts):
-                    held += len(text)
-                    if held >= shard_chars:
-                        yield batch.slice(at, k + 1 - at), texts[at : k + 1]
-                        at, held = k + 1, 0
-                if at < len(texts):
-                    yield batch.slice(at), texts[at:]
-
-        for batch, texts in shards():
-            found = list(find(phrases, texts))
-            spans = [[{"start": a, "end": b} for a, b in s] for _, s, _ in found]
+        phrases = shared.value
+        ids_of = {w: k for k, w in enumerate(phrases.words, 1)}
+        names = pa.array(phrases.names, pa.string())
+        for batch in slices(batches, 1, shard_bytes, 10_000):
+            n, spans, (doc, item) = find(phrases, ids_of, batch.column(1).cast(pa.binary()).to_pylist())
+            others = [batch.column(0), *(batch.column(k) for k in range(2, batch.num_columns))]
+            items = _lists(doc, batch.num_rows, names.take(pa.array(item)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    *(batch.column(k) for k in range(2, batch.num_columns)),
-                    pa.array([n for n, _, _ in found], pa.int32()),
-                    pa.array(spans, kind),
-                    pa.array([x for _, _, x in found], pa.list_(pa.string())),
-                ],
-                names=["doc_id", *batch.schema.names[2:], "n_words", "spans", "items"],
+                [*others, pa.array(n), _span_lists(batch.num_rows, *spans), items],
+                names=[batch.schema.names[0], *batch.schema.names[2:], "n_words", "spans", "items"],
             )
 
     return run
@@ -303,9 +333,8 @@ def digest(spans: DataFrame) -> DataFrame:
     )
 
 
-def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+def cut_spans(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and what stands between them."""
-    raw = text.encode("utf-8", "surrogatepass")
     plain = np.frombuffer(raw.translate(ALNUM_BYTES), np.uint8) != 32
     edges = np.flatnonzero(np.diff(np.r_[0, plain, 0].astype(np.int8)))
     begins, ends = edges[::2], edges[1::2]
@@ -313,29 +342,55 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     for a, b in spans:
         out.append(raw[at : begins[a]])
         at = int(ends[b - 1])
-    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-
-
-def without_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", **settings) -> DataFrame:
+    return b"".join([*out, raw[at:]])
+
+
+def _cut(batch: pa.RecordBatch, k: int, sizes: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """The batch with the spans cut out of the texts in column k, without rows of which no word is left."""
+    if not len(doc):
+        return batch
+    hit = np.bincount(doc, end - start, len(sizes))
+    texts, edges = batch.column(k).cast(pa.binary()).to_pylist(), np.searchsorted(doc, np.arange(len(sizes) + 1)).tolist()
+    for row in np.flatnonzero(hit).tolist():
+        a, b = edges[row], edges[row + 1]
+        texts[row] = cut_spans(texts[row], list(zip(start[a:b].tolist(), end[a:b].tolist())))
+    columns = batch.columns
+    columns[k] = pa.array(texts, pa.binary()).view(pa.string())
+    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array((hit == 0) | (hit < sizes)))
+
+
+def without_contamination(
+    docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", width=10,
+    shard_bytes=4_000_000, block_bytes=16_000_000,
+) -> DataFrame:
     """docs with every contaminated span cut from text_col; documents of which no word is left are dropped,
-    unless they had none. Other rows and columns are as they were."""
+    unless they had none. Other rows and columns are as they were. Of one block of items, in one pass."""
     names = [f"_c{k}" for k in range(len(docs.columns))]
-    inner = docs.toDF(*names)
-    own = dict(zip(docs.columns, names))
-    found = contaminated_spans(inner, benchmark, id_col=own[id_col], text_col=own[text_col], keep=names, **settings)
-    hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    left = found.filter((hit == 0) | (hit < F.col("n_words"))).select(*names, "spans")
-    k = names.index(own[text_col])
+    k = docs.columns.index(text_col)
+    inner = docs.withColumn(text_col, quoted(text_col).cast("string")).toDF(*names)
+    long_id(docs, id_col)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    first = next(blocks, [])
+    if next(blocks, None) is None:
+        shared = docs.sparkSession.sparkContext.broadcast(Phrases(first, width))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases = shared.value
+            ids_of = {w: n for n, w in enumerate(phrases.words, 1)}
+            for batch in slices(batches, k, shard_bytes, 10_000):
+                n, spans, _ = find(phrases, ids_of, [x or b"" for x in batch.column(k).cast(pa.binary()).to_pylist()])
+                yield _cut(batch, k, n, *spans)
+
+        return map_texts(inner, search, inner.schema).toDF(*docs.columns)
+
+    settings = {"item_col": item_col, "item_text_col": item_text_col, "width": width, "shard_bytes": shard_bytes, "block_bytes": block_bytes}
+    found = contaminated_spans(inner, benchmark, id_col=names[docs.columns.index(id_col)], text_col=names[k], keep=names, **settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            spans = batch.column(len(names)).to_pylist()
-            texts = [
-                cut_spans(t, [(s["start"], s["end"]) for s in x]) if x else t
-                for t, x in zip(batch.column(k).to_pylist(), spans)
-            ]
-            columns = [batch.column(j) for j in range(len(names))]
-            columns[k] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return left.mapInArrow(run, inner.schema).toDF(*docs.columns)
+        for batch in slices(batches, k):
+            lists = batch.column(len(names) + 1)
+            doc, flat = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+            spans = (flat.field(side).to_numpy().astype(np.int64) for side in ("start", "end"))
+            yield _cut(batch.select(names), k, batch.column(len(names)).to_numpy(), doc, *spans)
+
+    return map_texts(found.select(*names, "n_words", "spans"), run, inner.schema).toDF(*docs.columns)
