@@ -1,7 +1,8 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
-Each task keeps its rows in blocks with one sorted list per dimension. A query walks the lists from the end that its sign
-favours, scores the rows it meets, and stops once no row further down any list can beat its k-th result.
+Each task keeps its rows in blocks with one sorted list per dimension. Queries walk the lists down from both ends, a few
+depths at a time, and score the rows they meet there, all queries of a chunk in one matrix product; a query stops once no row
+further down any list can reach its k-th result.
 """
 
 from __future__ import annotations
@@ -14,52 +15,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import long_id, quoted, stored
+
+CHUNK = 256
+
+
+class Best:
+    """The k best (score, id) of each query so far, ties to smaller ids; floors are scores that the k-th best reaches."""
+
+    def __init__(self, n: int, k: int, floors: np.ndarray | None = None):
+        self.k = k
+        self.scores, self.ids = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+        self.floors = np.full(n, -np.inf) if floors is None else floors.copy()
+
+    def add(self, which: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores [query of which, row] of rows with these ids."""
+        least = self.floors[which]
+        if scores.shape[1] > self.k:
+            kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
+            least = np.maximum(least, kth)
+        q, r = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        have = self.scores[which]
+        hq, hk = np.nonzero(have > -np.inf)
+        q, s, i = np.r_[q, hq], np.r_[scores[q, r], have[hq, hk]], np.r_[ids[r], self.ids[which][hq, hk]]
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rank < self.k
+        q, s, i, rank = q[kept], s[kept], i[kept], rank[kept]
+        self.scores[which[q], rank], self.ids[which[q], rank] = s, i
+        self.floors[which] = np.maximum(self.floors[which], self.scores[which, self.k - 1])
+
 
 class SortedLists:
-    """A block of integer vectors with its rows sorted by each dimension."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")  # [place, dimension], ascending
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
-
-    def top(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids that may be among the k best; nothing that scores below `floor` need be found."""
-        n = len(self.ids)
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        seen, depth = np.zeros(n, bool), 0
-        scores, ids = np.zeros(0), np.zeros(0, np.int64)
-        next_depth = max(8, n // 64)
-        while depth < n:
-            # the bound on all rows not met down to this depth
-            if depth:
-                a, b = self.sorted[n - depth], self.sorted[depth - 1]
-                bound = a[up] @ query[up] + b[down] @ query[down]
-                if bound < floor:
-                    break
-            to = min(n, next_depth)
-            if to < n and len(up) + len(down):
-                met = np.concatenate(
-                    [self.order[n - to : n - depth, up].ravel(), self.order[depth:to, down].ravel()]
-                )
-                new = np.zeros(n, bool)
-                new[met] = True
-                new &= ~seen
-            else:
-                to, new = n, ~seen
-            seen |= new
-            rows = np.flatnonzero(new)
-            rows = rows[self.ids[rows] != own]
-            found = self.vectors[rows] @ query
-            good = found >= floor
-            scores, ids = np.concatenate([scores, found[good]]), np.concatenate([ids, self.ids[rows[good]]])
-            if len(scores) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[best], ids[best]
-            if len(scores) == k:
-                floor = max(floor, scores[-1])
-            depth, next_depth = to, to * 4
-        return scores, ids
+    """A block of vectors with its rows sorted by each dimension."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
+        n = len(ids)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        ordered = np.take_along_axis(vectors, order, axis=0)
+        self.levels = []  # rows met first at each depth, and the values that bound all rows further down
+        met = np.zeros(n, bool)
+        for depth in sorted({max(1, n // 64), max(1, n // 16), max(1, n // 4), n}):
+            now = met.copy()
+            now[order[n - depth :].ravel()] = True
+            now[order[:depth].ravel()] = True
+            self.levels.append((np.flatnonzero(now & ~met), ordered[n - depth], ordered[depth - 1]))
+            met = now
+
+    def search(self, queries: np.ndarray, own: np.ndarray, best: Best, which: np.ndarray) -> None:
+        """Adds to best what this block has for the queries; own: the row number of each, which it does not find."""
+        by_row = np.argsort(self.rows)
+        at = np.minimum(np.searchsorted(self.rows, own, sorter=by_row), len(self.rows) - 1)
+        place = np.where(self.rows[by_row[at]] == own, by_row[at], -1)
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        active = np.arange(len(which))
+        for fresh, top, bottom in self.levels:
+            if len(fresh):
+                scores = queries[active] @ self.vectors[fresh].T
+                column = np.minimum(np.searchsorted(fresh, place[active]), len(fresh) - 1)
+                mine = (place[active] >= 0) & (fresh[column] == place[active])
+                scores[mine, column[mine]] = -np.inf
+                best.add(which[active], scores, self.ids[fresh])
+            bound = up[active] @ top + down[active] @ bottom
+            active = active[bound >= best.floors[which[active]]]
+            if not len(active):
+                return
 
 
 def _valid(vector: Column) -> Column:
@@ -67,15 +89,70 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False)) & (F.size(vector) > 0)
 
 
-def _query_blocks(queries: DataFrame, most: int) -> Iterator[list[tuple[int, list[int]]]]:
-    block = []
+def _query_blocks(queries: DataFrame, most: int) -> Iterator[dict]:
+    """Blocks of at most `most` queries: their row numbers, ids and vectors by length."""
+    held = []
+
+    def block():
+        by_length = {}
+        for k, (_, _, v) in enumerate(held):
+            by_length.setdefault(len(v), []).append(k)
+        return {
+            "rows": np.array([r for r, _, _ in held], np.int64), "ids": np.array([i for _, i, _ in held], np.int64),
+            "vectors": {d: (np.array(ks), np.array([held[k][2] for k in ks], float)) for d, ks in by_length.items()},
+        }
+
     for row in queries.toLocalIterator(prefetchPartitions=True):
-        block.append((row[0], row[1]))
-        if len(block) == most:
-            yield block
-            block = []
-    if block:
-        yield block
+        held.append(tuple(row))
+        if len(held) == most:
+            yield block()
+            held = []
+    if held:
+        yield block()
+
+
+def _searcher(shared, k: int, block_rows: int):
+    """Each task's k best rows of every query in shared.value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        best = Best(len(asked["ids"]), k, asked.get("floors"))
+
+        def search(held: list[pa.RecordBatch]) -> None:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            lists = rows.column(2).combine_chunks()
+            numbers, ids, ends = rows.column(0).to_numpy(), rows.column(1).to_numpy(), lists.offsets.to_numpy()
+            sizes, flat = np.diff(ends), lists.values.to_numpy().astype(float)
+            for d, (which, vectors) in asked["vectors"].items():
+                pick = np.flatnonzero(sizes == d)
+                if len(pick):
+                    block = SortedLists(numbers[pick], ids[pick], flat[ends[pick][:, None] + np.arange(d)])
+                    for a in range(0, len(which), CHUNK):
+                        some = which[a : a + CHUNK]
+                        block.search(vectors[a : a + CHUNK], asked["rows"][some], best, some)
+
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, block_rows):
+                held.append(batch.slice(at, block_rows))
+                n += held[-1].num_rows
+                if n >= block_rows:
+                    search(held)
+                    held, n = [], 0
+        if n:
+            search(held)
+        q, rank = np.nonzero(best.scores > -np.inf)
+        for a in range(0, len(q), 20_000):
+            x, y = q[a : a + 20_000], rank[a : a + 20_000]
+            made = (asked["rows"][x], asked["ids"][x], best.ids[x, y], best.scores[x, y].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, made)], names=["query_row", "query_id", "vec_id", "score"])
+
+    return run
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def top_k(
@@ -88,81 +165,43 @@ def top_k(
     scale=256,
     block_rows=16_384,
     query_block=32_768,
+    seed_rows=16_384,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k highest inner products of floor(scale * x) components
-    over all rows with other ids, ties to smaller ids; all rows if there are fewer.
+    over all other rows, ties to smaller ids; all rows if there are fewer. Scores are exact below 2^53.
 
-    Queries go to the tasks in blocks of query_block vectors, which bounds the broadcast; every further block is one
-    more pass over the table, whose rows are never shuffled. A task sends k rows per query. Rows with null ids and null,
-    empty or non-finite vectors take no part; vectors are compared with those of their own length only.
+    The whole-number vectors are stored once. Queries come to the driver and go to the tasks one block of query_block after
+    another, and each block's result is written before the next; every block is one pass over the rows, which are never
+    shuffled. Where there are many more rows than seed_rows, a block is first held against seed_rows of them, and tasks then
+    send only what reaches the k-th best of those. Rows with null ids and null, empty or non-finite vectors take no part;
+    vectors meet those of their own length only. Rows of one id are rows like others: only a query's own row is left out.
     """
-    spark = table.sparkSession
-    whole = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(x * scale))
-    rows = table.filter(F.col(id_col).isNotNull() & _valid(F.col(vector_col)))
-    chosen = rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("vector"))
-    queries = rows.filter(is_query).select(F.col(id_col).cast("long").alias("query_id"), whole.alias("vector"))
-    schema = "query_no long, query_id long, vec_id long, score long"
-
-    def searcher(shared, base):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked = shared.value
-            best = {q: (np.zeros(0), np.zeros(0, np.int64)) for q in range(len(asked))}
-            by_length: dict[int, list[int]] = {}
-            vectors = [np.array(v, float) for _, v in asked]
-            for q, v in enumerate(vectors):
-                by_length.setdefault(len(v), []).append(q)
-            held: list[pa.RecordBatch] = []
-
-            def search(held):
-                own = pa.Table.from_batches(held)
-                ids = own.column(0).to_numpy()
-                lists = own.column(1).combine_chunks()
-                ends = lists.offsets.to_numpy()
-                sizes, flat = np.diff(ends), lists.values.to_numpy().astype(float)
-                for length, which in by_length.items():
-                    pick = np.flatnonzero(sizes == length)
-                    if not len(pick):
-                        continue
-                    block = SortedLists(ids[pick], flat[ends[pick][:, None] + np.arange(length)])
-                    for q in which:
-                        scores, found = best[q]
-                        floor = scores[k - 1] if len(scores) == k else -np.inf
-                        s, i = block.top(vectors[q], asked[q][0], k, floor)
-                        if len(s):
-                            s, i = np.concatenate([scores, s]), np.concatenate([found, i])
-                            order = np.lexsort((i, -s))[:k]
-                            best[q] = s[order], i[order]
-
-            n = 0
-            for batch in batches:
-                held.append(batch)
-                n += batch.num_rows
-                if n >= block_rows:
-                    search(held)
-                    held, n = [], 0
-            if n:
-                search(held)
-            for a in range(0, len(asked), 4096):
-                some = [(q, *best[q]) for q in range(a, min(a + 4096, len(asked)))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([base + q for q, s, _ in some for _ in s], pa.int64()),
-                        pa.array([asked[q][0] for q, s, _ in some for _ in s], pa.int64()),
-                        pa.array([int(x) for _, _, i in some for x in i], pa.int64()),
-                        pa.array([int(x) for _, s, _ in some for x in s], pa.int64()),
-                    ],
-                    names=["query_no", "query_id", "vec_id", "score"],
-                )
-
-        return run
-
-    found, base = None, 0
-    for block in _query_blocks(queries, query_block):
-        part = chosen.mapInArrow(searcher(spark.sparkContext.broadcast(block), base), schema)
-        found = part if found is None else found.union(part)
-        base += len(block)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    order = W.partitionBy("query_no").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    spark, share = table.sparkSession, table.sparkSession.sparkContext.broadcast
+    whole = F.transform(quoted(vector_col).cast("array<double>"), lambda x: F.floor(x * scale))
+    chosen = table.filter(quoted(id_col).isNotNull() & _valid(quoted(vector_col))).select(
+        F.monotonically_increasing_id().alias("row"), long_id(table, id_col).alias("vec_id"), whole.alias("vector"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"),
+    )
+    rows = stored(chosen, "vectors")
+    candidates, schema = rows.select("row", "vec_id", "vector"), "query_row long, query_id long, vec_id long, score long"
+    seeds = None
+    if rows.count() > 8 * seed_rows:
+        seeds = stored(candidates.orderBy(F.xxhash64("row")).limit(seed_rows), "seeds")
+    out = None
+    for block in _query_blocks(rows.filter("asks").select("row", "vec_id", "vector"), query_block):
+        if seeds is not None:
+            shared = share(block)
+            sure = _ranked(seeds.mapInArrow(_searcher(shared, k, block_rows), schema), k).filter(F.col("rank") == k)
+            sure = sure.select("query_row", "score").toArrow()  # a row per query of the block at most
+            shared.destroy()
+            by_row = np.argsort(block["rows"])
+            block["floors"] = np.full(len(by_row), -np.inf)
+            at = by_row[np.searchsorted(block["rows"], sure.column(0).to_numpy(), sorter=by_row)]
+            block["floors"][at] = sure.column(1).to_numpy()
+        shared = share(block)
+        part = stored(_ranked(candidates.mapInArrow(_searcher(shared, k, block_rows), schema), k), "nearest")
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], schema + ", rank int")
+    return out.select("query_id", "rank", "vec_id", "score")
