@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import long_id, map_texts, slices, stored, texts_of, whole_text
 
 _ASSIGN = re.compile(
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
@@ -84,9 +84,9 @@ def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", reach=200) -> Dat
     scope = pa.struct([("role", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bases, weaks, around = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts_of(batch.column(1)):
                 base = base_spans(text)
                 weak = weak_spans(text, base)
                 bases.append([{"start": a, "kind_no": k, "end": b} for a, k, b in base])
@@ -98,8 +98,8 @@ def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", reach=200) -> Dat
                 names=["doc_id", "base", "weak", "scopes"],
             )
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return chosen.mapInArrow(
+    chosen = docs.select(long_id(docs, id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    return map_texts(chosen, 
         run, f"doc_id long, base array<{_SPAN}>, weak array<{_SPAN}>, scopes array<struct<role: string, lo: int, hi: int>>"
     )
 

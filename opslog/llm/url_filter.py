@@ -1,104 +1,46 @@
 """URL verdicts: host and path rules first, else logistic regression on hashed character n-grams.
 
-The regression learns from a small table of labelled addresses and knows nothing of the pages it judges.
+The regression learns from a small table of labelled addresses and knows nothing of the pages it judges. The default table is
+made by a rule: every word below gives a few addresses, in which the rest (prefix, second word, suffix, path) is dealt alike
+to both labels, so that only the words tell them apart; as many with names put together from pieces of allowed words stand for
+the names without a meaning that most hosts have.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 16
+from .common import long_id, map_texts, quoted, slices, texts_of
 
-#: Labelled addresses (1: block); the training table of the default model.
-BLOCKED = """
-http://ads.shopfront.test/click?id=3
-http://ads-track.metrics.test/en/1
-https://m.ads-track.banner.test/fr/20
-https://tracker.pixelcount.test/collect/77
-http://adserver.media.test/banner/300x250
-https://click.affiliate-hub.test/go/991
-http://doubleads.test/popup/4
-https://www.casino-bonus.test/free-spins
-https://www.lucky-casino.test/slots/win
-https://poker-bets.test/en/bonus
-https://www.cheap-pills.test/buy/viagra
-http://pharma-discount.test/pills/order
-https://www.xxx-videos.test/watch/12
-http://adult-cams.test/live/xxx
-https://sexchat.test/free
-http://free-download-crack.test/keygen/photoshop
-https://warez-torrents.test/download/crack
-http://www.spam-links.test/seo/backlinks
-https://www.win-prize-now.test/claim/prize
-http://popunder.adnetwork.test/serve
-https://phish-login.test/account/verify
-http://malware-host.test/setup.exe
-https://tracking.beacon.test/pixel.gif
-http://promo-ads.test/offers/click
-https://www.grand-casino.test/roulette/bonus
-http://online-casino-games.test/jackpot
-https://king-slots.test/casino/deposit
-https://pills-express.test/order/cialis
-http://order-pills.test/pharmacy/cheap
-https://banner-ads.test/track/impression
-http://ad-track.stats.test/en/9
-https://adclick.trackers.test/redirect
+BITS = 16
+SIZES = (3, 4, 5)
+_BASE, _MIX = 257, 0x9E3779B97F4A7C15
+_SEED = {"host": 1, "path": 2}
+
+#: Words of addresses to block, and of addresses to allow.
+BLOCK_WORDS = """
+ads adserver advert adclick banner popup popunder track tracker tracking pixel beacon affiliate clickbait casino slots poker
+roulette jackpot bets betting gamble bonus pills viagra cialis pharma-discount cheap-meds adult xxx porn sex cams escort
+warez torrent crack keygen serial-key nulled spam linkfarm backlinks seo-links prize winner giveaway phish malware trojan
+ransom scam hack-tool
 """.split()
-ALLOWED = """
-https://www.citylibrary.test/catalogue/1024
-http://news.dailypost.test/en/2024/05/17
-https://blog.gardening.test/en/39680.html
-https://docs.opencompiler.test/manual/chapter-2
-http://www.university.test/physics/lectures/4
-https://wiki.history.test/article/4471
-https://m.cooking.test/recipes/soup
-http://forum.astronomy.test/thread/872
-https://www.townhall.test/de/service
-https://journal.medicine.test/fr/issue/12
-http://archive.museum.test/es/collection/33
-https://blog.travel.test/fr/25163
-https://weather.region.test/en/today
-http://www.school.test/news/2023
-https://data.statistics.test/tables/56
-https://www.publisher.test/books/978
-http://music.theatre.test/programme/9
-https://sports.club.test/en/results/14
-https://m.bookshop.test/en/10719
-http://static.encyclopedia.test/page/3000
-https://science.magazine.test/en/42362
-http://www.orchestra.test/concerts
-https://letters.poetry.test/es/26123
-https://maps.hiking.test/trails/21
-https://wiki.botany.test/article/88
-http://wiki.railways.test/article/trains
-https://www.cathedral.test/history
-https://blog.painting.test/de/5521
-https://library.physics.test/article/31
-http://www.kindergarten.test/menu
-https://trains.museum.test/locomotives
-https://shop.bakery.test/bread
+ALLOW_WORDS = """
+library news journal university school physics history museum gallery garden cooking recipes travel hiking railway weather
+statistics forum astronomy medicine hospital council townhall theatre concert orchestra poetry letters publisher books archive
+wiki encyclopedia docs manual compiler software research science botany wildlife bakery market football cricket chess painting
+cathedral village farming harbour climate energy theory atlas thesis lantern
 """.split()
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def grams(host: str, path: str, sizes=(3, 4, 5)) -> list[int]:
-    """Buckets of the character n-grams of host and path, each marked at both ends."""
-    out = []
-    for mark, part in (("h", host), ("p", path)):
-        text = f"^{part}$"
-        for n in sizes:
-            out += [zlib.crc32(f"{mark}{text[k : k + n]}".encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for k in range(len(text) - n + 1)]
-    return out
-
-
 def split_url(url: str | None) -> tuple[str, str]:
     _, found, rest = (url or "").partition("://")
     if not found:
@@ -108,34 +50,77 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(str.maketrans(_UPPER, _LOWER)), slash + path
 
 
+def labelled_addresses(times: int = 6) -> tuple[list[str], list[int]]:
+    """The default training table, with 1 for addresses to block: twice `times` addresses for each word."""
+    urls, blocked = [], []
+    for label, words in ((0, ALLOW_WORDS), (1, BLOCK_WORDS)):
+        for k, word in enumerate(words):
+            for t in range(times * (1 + label)):
+                other = words[(k + 7 * t + 1) % len(words)]
+                name = (word, f"{word}-{other}", f"{other}{word}")[t % 3]
+                prefix = ("", "www.", "m.", "blog.")[(k + t) % 4]
+                suffix = ("com", "net", "org", "info", "example")[(k + 2 * t) % 5]
+                path = (f"/{('en', 'de', 'fr', 'es')[(k + t) % 4]}/{37 * k + 11 * t}", f"/{other}/{k}.html", "/")[(k + t) % 3]
+                urls.append(f"http{'s' * (t % 2)}://{prefix}{name}.{suffix}{path}")
+                blocked.append(label)
+                if not label:
+                    third = words[(k + 3 * t + 5) % len(words)]
+                    urls.append(f"http://{prefix}{word[:3]}{other[-4:-1]}{third[1:4]}.{suffix}{path.replace(other, third)}")
+                    blocked.append(0)
+    return urls, blocked
+
+
+def buckets(parts: list[bytes], which: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all parts (hosts or paths, each marked at both ends), and the part each is of."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 2
+    data = np.frombuffer(b"".join(b"^" + x + b"$" for x in parts), np.uint8).astype(np.uint64)
+    of = np.repeat(np.arange(len(parts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes from here to the part's end
+    found, owners = [], []
+    for n in SIZES:
+        at = np.flatnonzero(left >= n)
+        code = np.full(len(at), np.uint64(_SEED[which] * 16 + n))
+        for k in range(n):
+            code = code * np.uint64(_BASE) + data[at + k]
+        found.append((code * np.uint64(_MIX)) >> np.uint64(64 - BITS))
+        owners.append(of[at])
+    return np.concatenate(found).astype(np.int64), np.concatenate(owners)
+
+
+def grams(hosts: list[bytes], paths: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all addresses, and the address each is of."""
+    (a, of_a), (b, of_b) = buckets(hosts, "host"), buckets(paths, "path")
+    return np.concatenate([a, b]), np.concatenate([of_a, of_b])
+
+
 @dataclass
 class UrlModel:
     weights: np.ndarray
     bias: float
 
-    def score(self, host: str, path: str) -> float:
-        """Log odds of block."""
-        found = grams(host, path)
-        return self.bias + float(self.weights[found].sum()) / np.sqrt(max(1, len(found)))
+    def scores(self, hosts: list[bytes], paths: list[bytes]) -> np.ndarray:
+        """Log odds of block: the bias and the summed weights over the root of their number."""
+        found, of = grams(hosts, paths)
+        n = np.maximum(1, np.bincount(of, minlength=len(hosts)))
+        return self.bias + np.bincount(of, self.weights[found], len(hosts)) / np.sqrt(n)
 
 
-def fit(urls: list[str], blocked: list[int], *, rounds=600, rate=0.5, l2=1e-3) -> UrlModel:
+def fit(urls: list[str], blocked: list[int], *, rounds=600, rate=5.0, l2=1e-4) -> UrlModel:
     """Gradient descent over a table small enough for the driver, n-gram counts over the root of their number."""
-    rows = [grams(*split_url(u)) for u in urls]
-    flat = np.concatenate([np.array(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    norm = 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(rows))))
+    parts = [split_url(u) for u in urls]
+    flat, owner = grams(*([p[k].encode("utf-8", "replace") for p in parts] for k in (0, 1)))
+    norm = 1 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(urls))))
     y, w, bias = np.array(blocked, float), np.zeros(1 << BITS), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(np.bincount(owner, w[flat], len(rows)) * norm + bias)))
-        wrong = (p - y) / len(rows)
+        p = 1 / (1 + np.exp(-(np.bincount(owner, w[flat], len(urls)) * norm + bias)))
+        wrong = (p - y) / len(urls)
         w -= rate * (np.bincount(flat, (wrong * norm)[owner], len(w)) + l2 * w)
         bias -= rate * wrong.sum()
     return UrlModel(w.astype(np.float32), float(bias))
 
 
 def default_model() -> UrlModel:
-    return fit(BLOCKED + ALLOWED, [1] * len(BLOCKED) + [0] * len(ALLOWED))
+    return fit(*labelled_addresses())
 
 
 def host_of(url: Column) -> Column:
@@ -160,30 +145,29 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 def judge(
     pages: DataFrame, rules: list[tuple[str, str, str]], *, model: UrlModel | None = None, id_col="page_id", url_col="url"
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (log odds of block, for every row).
+    """page_id, host, path, rule, verdict, score (log odds of block; null where a rule decides).
 
     Rules are a short list that becomes one expression. A null address, or one without ://, has an empty host and path
-    and is judged by the model on those. Repeated rows stay; only id and address are read; nothing is shuffled.
+    and is judged by the model on those. Odds of exactly one block. Repeated rows stay; only id and address are read; nothing
+    is shuffled.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.score
-        for batch in batches:
-            scores = [score(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            columns = [*(batch.column(k) for k in range(batch.num_columns)), pa.array(scores, pa.float64())]
+        for batch in slices(batches, 1, 1 << 20, 5000):
+            open_rows = pc.is_null(batch.column(3)).to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array(open_rows))
+            hosts, paths = ([x.encode("utf-8", "replace") for x in texts_of(some.column(k))] for k in (1, 2))
+            scores = np.zeros(batch.num_rows)
+            if len(hosts):
+                scores[open_rows] = shared.value.scores(hosts, paths)
+            columns = [*(batch.column(k) for k in range(batch.num_columns)), pa.array(scores, mask=~open_rows)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score"])
 
-    parts = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
-    )
+    url = quoted(url_col)
+    parts = pages.select(long_id(pages, id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    scored = parts.mapInArrow(run, "page_id long, host string, path string, score double")
-    return scored.select(
-        "page_id",
-        "host",
-        "path",
-        rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("score") >= 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        "score",
-    )
+    ruled = parts.select("*", rule.alias("rule"), verdict.alias("verdict"))
+    scored = map_texts(ruled, run, "page_id long, host string, path string, rule string, verdict string, score double")
+    own = F.when(F.col("score") >= 0, F.lit("block")).otherwise(F.lit("allow"))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")
