@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, whole_text
-from .tokenize import BYTE_BPE, encoder
+from .common import long_id, map_texts, quoted, slices, spare, stored, whole_text
+from .tokenize import BYTE_BPE, encoder, with_end
 
 END_ID = 2
 
@@ -31,34 +32,32 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(
-    docs: DataFrame, *, id_col="doc_id", text_col="text", max_tokens=1024, tokenizer=BYTE_BPE, end_id=END_ID
+    docs: DataFrame, *, id_col="doc_id", text_col="text", max_tokens=1024, tokenizer=BYTE_BPE, end_id=END_ID, specials_as_text=False
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document; texts are not shuffled.
 
-    A null or empty text has the end id alone. A null id, like a repeated row, is a document of its own.
+    A null or empty text has the end id alone. A null id, like a repeated row, is a document of its own. Strings of the
+    tokenizer's added tokens become those tokens' ids, as the library has it, or ordinary text with specials_as_text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(encode(text) + end)
-                for k, (start, length) in enumerate(cut(len(ids) // 4, max_tokens)):
-                    for column, value in zip(
-                        out, (doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))
-                    ):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(v, t)
-                    for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))
-                ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
-
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        encode = encoder(tokenizer, specials_as_text)
+        for batch in slices(batches, 1, 4 << 20, 20_000):
+            ids, starts = with_end(*encode(batch.column(1)), end_id)
+            raw, sizes = memoryview(ids.astype("<u4")).cast("B"), np.diff(starts)
+            each = np.maximum(1, -(-sizes // max_tokens))
+            doc = np.repeat(np.arange(len(sizes)), each)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+            first = sizes - (each - 1) * max_tokens  # what the full pieces leave
+            start = np.where(piece > 0, first[doc] + (piece - 1) * max_tokens, 0)
+            length = np.where(piece > 0, max_tokens, first[doc])
+            at = 4 * (starts[doc] + start)
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length)), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    chosen = docs.select(long_id(docs, id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    return map_texts(chosen, run, "doc_id long, piece int, start long, length long, ids_crc32 long", rows=4000)
 
 
 class Bins:
@@ -172,44 +171,52 @@ def pack(
     by="norm",
     group_rows=65_536,
 ) -> DataFrame:
-    """pieces with sequence_id and offset.
+    """pieces with sequence_id and offset (columns of these names are replaced).
 
-    Pieces of the full length are sequences already. The others are dealt by their position into groups of about
-    group_rows, so that no task holds more however many there are, and each group is packed by itself: at most the
-    last few bins of a group are looser than they would be in one group. Only lengths and a row number enter a
-    group. pieces should be a stored table, as row positions must be the same whenever they are read.
-    An empty table gives an empty result. Null lengths count as 0.
+    A piece over a capacity, and one as long as a sequence, is a sequence by itself. The others are dealt by their position
+    into groups of about group_rows, so that no task holds more however many there are, and each group is packed by
+    itself: at most the last few bins of a group are looser than they would be in one group. pieces should be a stored
+    table, as row positions must be the same whenever they are read. An empty table gives an empty result. Null lengths
+    count as 0.
     """
-    extra = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    rows = pieces.select(*extra).withColumn("_row", F.monotonically_increasing_id())
-    size = F.coalesce(F.col(length_col), F.lit(0))
-    full = rows.filter(size == max_tokens).select(
-        *extra, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    extra = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    row, group = spare(extra, "row_no"), spare(extra, "group_no")
+    rows = pieces.select(*map(quoted, extra)).withColumn(row, F.monotonically_increasing_id())
+    size = F.coalesce(quoted(length_col), F.lit(0))
+    alone = (size >= max_tokens) | (size.cast("double") * size > max_attention)
+    full = rows.filter(alone).select(
+        *map(quoted, extra), (-1 - F.col(row)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    part = rows.filter(size != max_tokens)
+    part = rows.filter(~alone)
     groups = max(1, -(-part.count() // group_rows))
     columns = [f for f in pieces.schema.fields if f.name in extra]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row", kind="stable")
+        pdf = pdf.sort_values(row, kind="stable")
         lengths = pdf[length_col].fillna(0).to_numpy(np.int64)
         bins, offsets = best_fit(
             lengths, max_tokens=max_tokens, max_docs=max_docs, max_attention=max_attention, weights=weights, by=by
         )
-        pdf["sequence_id"] = pdf["_group"].iloc[0] * (1 << 32) + bins
+        pdf["sequence_id"] = pdf[group].iloc[0] * (1 << 32) + bins
         pdf["offset"] = offsets
         return pdf[[*extra, "sequence_id", "offset"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
     packed = (
-        part.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("long"))
-        .groupBy("_group")
+        part.withColumn(group, F.pmod(F.xxhash64(row), F.lit(groups)).cast("long"))
+        .groupBy(group)
         .applyInPandas(run, f"{schema}, sequence_id long, offset long")
     )
     return full.unionByName(packed)
 
 
-def pack_documents(docs: DataFrame, *, max_tokens=1024, **settings) -> DataFrame:
-    """Tokenizes, cuts and packs documents: one row per piece, with its sequence and its place there."""
-    pieces = stored(token_pieces(docs, max_tokens=max_tokens), "pieces")
-    return pack(pieces, max_tokens=max_tokens, **settings)
+def pack_documents(docs: DataFrame, *, max_tokens=1024, max_attention=None, tokens: dict | None = None, **settings) -> DataFrame:
+    """Tokenizes, cuts and packs documents: one row per piece, with its sequence and its place there.
+
+    Pieces are cut so short that one alone keeps both the token and the attention capacity. max_attention None is the
+    square of max_tokens, which a sequence of that many tokens can't exceed. tokens: settings of token_pieces.
+    """
+    most = float(max_tokens) ** 2 if max_attention is None else float(max_attention)
+    longest = max(1, min(max_tokens, isqrt(int(most))))
+    pieces = stored(token_pieces(docs, max_tokens=longest, **(tokens or {})), "pieces")
+    return pack(pieces, max_tokens=max_tokens, max_attention=most, **settings)

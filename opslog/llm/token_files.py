@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
-from .tokenize import BYTE_BPE, encoder
+from .common import long_id, map_texts, slices, whole_text
+from .tokenize import BYTE_BPE, encoder, with_end
 
 END_ID = 0
 
@@ -42,14 +42,17 @@ def write_tokens(
     text_col="text",
     tokenizer=BYTE_BPE,
     end_id=END_ID,
+    specials_as_text=False,
     encoding="dictionary",
     row_group_mb=32,
     page_kb=256,
 ) -> None:
     """Writes doc_id, block, start_in_block, n_tokens and tokens in ascending doc_id order; a block is one file.
 
-    Null and empty texts have the end id alone. Null ids come first; repeated rows are kept side by side.
-    The one shuffle is the range partitioning of the texts by doc_id; ids are made after it.
+    Null and empty texts have the end id alone. Null ids come first; rows of one id are kept side by side in the order in which
+    they are read, and an id that many rows share fills several files. Strings of the tokenizer's added tokens become those
+    tokens' ids, or ordinary text with specials_as_text. The one shuffle is the range partitioning of the texts by doc_id;
+    ids are made after it.
     """
     schema = pa.schema(
         [
@@ -62,25 +65,21 @@ def write_tokens(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, before = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
-        for batch in slices(batches):
-            ids = [encode(text) + end for text in batch.column(1).to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            ends = np.cumsum(n)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(before + ends - n), pa.array(n), lists], schema=schema
-            )
-            before += int(ends[-1])
+        encode, before = encoder(tokenizer, specials_as_text), 0
+        for batch in slices(batches, 1, 4 << 20, 20_000):
+            ids, starts = with_end(*encode(batch.column(1)), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.view(np.int32)))
+            columns = [batch.column(0), batch.column(2), pa.array(before + starts[:-1]), pa.array(np.diff(starts)), lists]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            before += int(starts[-1])
 
     ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-        .withColumn("block", F.spark_partition_id())
+        docs.select(long_id(docs, id_col).alias("doc_id"), whole_text(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+        .repartitionByRange("doc_id", "row")
+        .sortWithinPartitions("doc_id", "row")
+        .select("doc_id", "text", F.spark_partition_id().alias("block"))
     )
-    ids = ordered.mapInArrow(run, "doc_id long, block int, start_in_block long, n_tokens long, tokens array<int>")
+    ids = map_texts(ordered, run, "doc_id long, block int, start_in_block long, n_tokens long, tokens array<int>", rows=4000)
     ids.write.options(**_writer_options(encoding, row_group_mb, page_kb)).parquet(path)
 
 
@@ -116,7 +115,7 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
             )
 
     read = spark.read.parquet(path).select("doc_id", "block", "start_in_block", "tokens")
-    rows = read.mapInArrow(run, "doc_id long, block int, start_in_block long, n_tokens long, ids_crc32 long")
+    rows = map_texts(read, run, "doc_id long, block int, start_in_block long, n_tokens long, ids_crc32 long")
     # a row per file: far below any limit of a broadcast
     return rows.join(F.broadcast(block_starts(spark, path)), "block").select(
         "doc_id", (F.col("start_in_block") + F.col("block_start")).alias("start"), "n_tokens", "ids_crc32"
