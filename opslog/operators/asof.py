@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import recent_elements
+
 
 def as_of(
     probes: DataFrame,
@@ -37,7 +39,12 @@ def as_of(
     """
     if bin_s is not None:
         if not null_values:
-            raise ValueError("bins carry whole events, so null values can't be passed over")
+            for n, v in values.items():
+                there = events.filter((F.expr(v) if isinstance(v, str) else v).isNotNull())
+                probes = _as_of_in_bins(
+                    probes, there, keys=keys, probe_ts=probe_ts, event_ts=event_ts, values={n: v}, inclusive=inclusive, forward=forward, tie=tie, bin_s=bin_s
+                )
+            return probes
         return _as_of_in_bins(
             probes, events, keys=keys, probe_ts=probe_ts, event_ts=event_ts, values=values, inclusive=inclusive, forward=forward,
             tie=tie, bin_s=bin_s,
@@ -95,6 +102,36 @@ def _as_of_in_bins(probes, events, *, keys, probe_ts, event_ts, values, inclusiv
     return both.select(*kept, *(F.col("_hit")[n].alias(n) for n in made))
 
 
+def previous_in_key(rows: DataFrame, *, keys: Sequence[str], ts: str, tie: Sequence[str] = (), columns: dict[str, str], bin_s: int | None = None) -> DataFrame:
+    """Adds for each name of columns that column of the key's row before, null for the first. With bin_s, work is dealt by key and
+    bin of time, and the last row of the bin before comes from a table with a row per key and bin."""
+    found = F.struct(*(F.col(c).alias(n) for n, c in columns.items()))
+    if bin_s is None:
+        order = W.partitionBy(*keys).orderBy(ts, *tie)
+        return rows.withColumn("_prev", F.lag(found).over(order)).select(*rows.columns, *(F.col("_prev")[n].alias(n) for n in columns))
+    binned = rows.withColumn("_bin", time_bin(F.col(ts), bin_s))
+    by, bins = [*keys, "_bin"], W.partitionBy(*keys).orderBy("_bin")
+    ends = binned.groupBy(*by).agg(F.max_by(found, F.struct(ts, *tie)).alias("_end")).withColumn("_before", F.lag("_end").over(bins)).drop("_end")
+    lag = F.lag(found).over(W.partitionBy(*by).orderBy(ts, *tie))
+    both = binned.withColumn("_prev", lag).join(ends, by).withColumn("_prev", F.coalesce("_prev", "_before"))
+    return both.select(*rows.columns, *(F.col("_prev")[n].alias(n) for n in columns))
+
+
+def running_in_key(rows: DataFrame, *, keys: Sequence[str], ts: str, tie: Sequence[str] = (), sums: dict[str, str], bin_s: int | None = None) -> DataFrame:
+    """Adds for each name of sums that column's sum over the key's rows up to this one. bin_s as in previous_in_key."""
+    if bin_s is None:
+        upto = W.partitionBy(*keys).orderBy(ts, *tie).rowsBetween(W.unboundedPreceding, 0)
+        return rows.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
+    binned = rows.withColumn("_bin", time_bin(F.col(ts), bin_s))
+    by = [*keys, "_bin"]
+    before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    totals = binned.groupBy(*by).agg(*(F.sum(c).alias(f"_b_{n}") for n, c in sums.items()))
+    offsets = totals.select(*by, *(F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums))
+    upto = W.partitionBy(*by).orderBy(ts, *tie).rowsBetween(W.unboundedPreceding, 0)
+    both = binned.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}).join(offsets, by)
+    return both.select(*rows.columns, *((F.col(n) + F.col(f"_o_{n}")).alias(n) for n in sums))
+
+
 def seconds(later: Column, earlier: Column) -> Column:
     """later - earlier in seconds, exact to the microsecond."""
     return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(1e6)
@@ -150,32 +187,31 @@ def next_else_previous(probes, events, *, keys, probe_ts, event_ts, value) -> Da
     return both.withColumn("value_at", F.coalesce("_next", "_last")).drop("_next", "_last")
 
 
-def count_in_window(probes, events, *, keys, probe_ts, event_ts, window_s) -> DataFrame:
+def count_in_window(probes, events, *, keys, probe_ts, event_ts, window_s, bin_s=None) -> DataFrame:
     """Events in (t - window, t] of the probe's key."""
-    n = W.partitionBy(*keys).orderBy(event_ts).rangeBetween(W.unboundedPreceding, 0)
-    running = events.select(*keys, event_ts).withColumn("_n", F.count("*").over(n))
-    kw = dict(keys=keys, event_ts=event_ts)
-    now = as_of(probes, running, probe_ts=probe_ts, values={"_now": F.col("_n")}, **kw)
+    ones = events.select(*keys, event_ts).withColumn("_one", F.lit(1).cast("long"))
+    counted = running_in_key(ones, keys=keys, ts=event_ts, sums={"_n": "_one"}, bin_s=bin_s)
+    kw = dict(keys=keys, event_ts=event_ts, tie="_n", bin_s=bin_s)
+    now = as_of(probes, counted, probe_ts=probe_ts, values={"_now": F.col("_n")}, **kw)
     start = now.withColumn("_start", F.col(probe_ts) - F.expr(f"INTERVAL {int(window_s)} SECONDS"))
-    out = as_of(start, running, probe_ts="_start", values={"_before": F.col("_n")}, **kw)
+    out = as_of(start, counted, probe_ts="_start", values={"_before": F.col("_n")}, **kw)
     n_in = F.coalesce("_now", F.lit(0)) - F.coalesce("_before", F.lit(0))
     return out.withColumn("n_in_window", n_in).drop("_now", "_before", "_start")
 
 
-def last_distinct(probes, events, *, keys, probe_ts, event_ts, element, n, probe_id) -> DataFrame:
-    """The last n distinct elements before the probe, latest first, as an array.
+def last_distinct(probes, events, *, keys, probe_ts, event_ts, element, n) -> DataFrame:
+    """Adds recent: the last n distinct elements before the probe, latest first, null if there are none.
 
-    Elements enter through their state timeline: one as-of per (key, element), so work is probes x elements of the key.
+    Every event carries the list as of itself, made by one pass over each key's events in order; probes take the last list.
     """
-    kinds = events.select(*keys, element).distinct()
-    crossed = probes.join(kinds, list(keys), "left")
-    latest = as_of(
-        crossed, events, keys=[*keys, element], probe_ts=probe_ts, event_ts=event_ts, values={"_at": F.col(event_ts)},
-        inclusive=False,
-    )
-    order = W.partitionBy(probe_id).orderBy(F.col("_at").desc(), element)
-    top = latest.filter(F.col("_at").isNotNull()).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n)
-    lists = top.groupBy(probe_id).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_k", element))), lambda s: s[element]).alias("recent")
-    )
-    return probes.join(lists, probe_id, "left")
+    lists = recent_elements(events, keys=keys, ts=event_ts, element=element, n=n, name="recent")
+    return as_of(probes, lists, keys=keys, probe_ts=probe_ts, event_ts=event_ts, values={"recent": F.col("recent")}, inclusive=False, tie="no")
+
+
+def last_change(probes, events, *, key, probe_ts, event_ts, state, bin_s=None) -> DataFrame:
+    """Adds change_age_s: whole seconds since the asset's state last changed (from the implied 0 at first), 0 when it never did."""
+    was = previous_in_key(events.select(key, event_ts, state), keys=[key], ts=event_ts, columns={"_was": state}, bin_s=bin_s)
+    changes = was.filter(F.col(state) != F.coalesce("_was", F.lit(0))).select(key, event_ts)
+    out = as_of(probes, changes, keys=[key], probe_ts=probe_ts, event_ts=event_ts, values={"_changed": F.col(event_ts)}, bin_s=bin_s)
+    age = F.floor(seconds(F.col(probe_ts), F.col("_changed"))).cast("long")
+    return out.withColumn("change_age_s", F.coalesce(age, F.lit(0))).drop("_changed")

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .evaluate import poisson_weight
+from ..functions.shared import stored
+from .evaluate import hashed_uniform, poisson_weight
 
 
 def sample_rows(df: DataFrame, *, key: Sequence[str], n: int, seed: int) -> DataFrame:
     """n rows by the order of a seeded hash of their key: the same ones every time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *(F.col(c) for c in key)), *key).limit(n)
+    return df.orderBy(hashed_uniform(F.lit(seed), *(F.col(c) for c in key)), *key).limit(n)
 
 
 def sample_per_group(df: DataFrame, *, group: Sequence[str], key: Sequence[str], n: int, seed: int) -> DataFrame:
-    order = W.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), *(F.col(c) for c in key)), *key)
+    order = W.partitionBy(*group).orderBy(hashed_uniform(F.lit(seed), *(F.col(c) for c in key)), *key)
     return df.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).drop("_k")
 
 
@@ -30,7 +32,7 @@ def resample_balanced(df: DataFrame, *, stratum: str, key: Sequence[str], seed:
     scaled = counts.select(stratum, weight.alias("_w"), "_n", total.alias("_all")).withColumn("_sum", F.sum(F.col("_w") * F.col("_n")).over(W.partitionBy()))
     mean = scaled.select(stratum, (F.col("_all") * F.col("_w") / F.col("_sum")).alias("_mean"))
     whole = F.floor("_mean").cast("int")
-    u = (F.pmod(F.xxhash64(F.lit(seed), *(F.col(c) for c in key)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    u = hashed_uniform(F.lit(seed), *(F.col(c) for c in key))
     # one Poisson(1) draw per whole unit of the mean and one with the rest as its chance
     times = F.aggregate(
         F.transform(F.sequence(F.lit(0), whole), lambda i: F.when(i < whole, poisson_weight(F.lit(seed), i, *(F.col(c) for c in key))).otherwise((u < F.col("_mean") - whole).cast("int"))),
@@ -40,64 +42,96 @@ def resample_balanced(df: DataFrame, *, stratum: str, key: Sequence[str], seed:
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_mean", "_times")
 
 
-def _pass(df: DataFrame, decision: Sequence[str], columns: Sequence[str], chosen: str, w: np.ndarray, weight: str | None):
-    """Log likelihood, gradient and Hessian sums of one parameter vector, in one grouped pass."""
-    k = len(columns)
-    u = sum(F.col(c) * float(x) for c, x in zip(columns, w)) if k else F.lit(0.0)
-    by = W.partitionBy(*decision)
-    rows = df.withColumn("_u", u)
-    rows = rows.withColumn("_e", F.exp(F.col("_u") - F.max("_u").over(by)))
-    rows = rows.withColumn("_p", F.col("_e") / F.sum("_e").over(by))
-    own = F.col(weight) if weight else F.lit(1.0)
-    per = rows.groupBy(*decision).agg(
-        F.max(own).alias("_w"), F.sum(F.when(F.col(chosen) == 1, F.log("_p"))).alias("_ll"),
-        *(F.sum((F.col(chosen) - F.col("_p")) * F.col(c)).alias(f"_g{i}") for i, c in enumerate(columns)),
-        *(F.sum(F.col("_p") * F.col(c)).alias(f"_m{i}") for i, c in enumerate(columns)),
-        *(F.sum(F.col("_p") * F.col(a) * F.col(b)).alias(f"_h{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if j >= i),
-    )
-    s = per.agg(
-        F.sum(F.col("_w") * F.col("_ll")).alias("ll"),
-        *(F.sum(F.col("_w") * F.col(f"_g{i}")).alias(f"g{i}") for i in range(k)),
-        *(F.sum(F.col("_w") * (F.col(f"_h{i}_{j}") - F.col(f"_m{i}") * F.col(f"_m{j}"))).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)),
-    ).first()
-    grad = np.array([s[f"g{i}"] or 0.0 for i in range(k)])
-    hess = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            hess[i, j] = hess[j, i] = s[f"h{i}_{j}"] or 0.0
-    return s["ll"] or 0.0, grad, hess
+def design(df: DataFrame, *, decision: Sequence[str], columns: Sequence[str], chosen: str, weight: str | None = None, cluster: Sequence[str] = (), replicates: int = 0, seed: int = 7) -> DataFrame:
+    """One row for each decision, stored: rows (chosen, features) of its alternatives and its weights, the own one first and
+    then one for each bootstrap replicate: a Poisson(1) draw of its cluster times the own one. Every later pass reads this table only."""
+    row = F.struct(F.col(chosen).cast("double").alias("y"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    own = F.max(weight).cast("double") if weight else F.lit(1.0)
+    per = df.groupBy(*dict.fromkeys([*decision, *cluster])).agg(F.array_sort(F.collect_list(row)).alias("rows"), own.alias("own"))
+    weights = F.array("own")
+    if replicates:
+        draw = lambda b: F.col("own") * poisson_weight(F.lit(seed), b, *(F.col(c) for c in cluster))
+        weights = F.concat(weights, F.transform(F.sequence(F.lit(1), F.lit(replicates)), draw))
+    return stored(per.select("rows", weights.alias("weights")), "design")
 
 
-def fit_choice(df: DataFrame, *, decision: Sequence[str], columns: Sequence[str], chosen: str, l2: float = 1e-3, rounds: int = 20, weight: str | None = None, tolerance: float = 1e-8) -> dict[str, float]:
-    """Conditional logit by damped Newton steps. Only K + K^2 sums reach the driver each round."""
-    w = np.zeros(len(columns))
-    ll, grad, hess = _pass(df, decision, columns, chosen, w, weight)
-    goal = ll - 0.5 * l2 * w @ w
+def _pass(table: DataFrame, w: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood [b], gradient [b, k] and Hessian [b, k, k] for each row of w, under the weights from `first` on.
+
+    Tasks send these sums only; a batch of decisions is a few matrix products.
+    """
+    n, k = w.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, 1 + k + k * k))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.column(0)
+            flat, starts = rows.flatten(), rows.offsets.to_numpy()[:-1] - rows.offsets[0].as_py()
+            y = flat.field("y").to_numpy(zero_copy_only=False)
+            x = flat.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), k)
+            own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[:, first : first + n]
+            of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(y)]))
+            u = x @ w.T
+            e = np.exp(u - np.maximum.reduceat(u, starts)[of])
+            p = e / np.add.reduceat(e, starts)[of]
+            total[:, 0] += (own[of] * np.where(y[:, None] == 1, np.log(p), 0)).sum(axis=0)
+            total[:, 1 : 1 + k] += ((y[:, None] - p) * own[of]).T @ x
+            for b in range(n):
+                px = p[:, b : b + 1] * x
+                mean = np.add.reduceat(px, starts)
+                h = (px * own[of, b : b + 1]).T @ x - (mean * own[:, b : b + 1]).T @ mean
+                total[b, 1 + k :] += h.reshape(-1)
+        b, i = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(b.reshape(-1)), pa.array(i.reshape(-1)), pa.array(total.reshape(-1))], names=["b", "i", "v"])
+
+    sums = table.mapInArrow(run, "b long, i long, v double").groupBy("b", "i").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros((n, 1 + k + k * k))
+    out[sums.column(0).to_numpy(), sums.column(1).to_numpy()] = sums.column(2).to_numpy()
+    return out[:, 0], out[:, 1 : 1 + k], out[:, 1 + k :].reshape(n, k, k)
+
+
+def _fit(table: DataFrame, n: int, k: int, first: int, l2: float, rounds: int, tolerance: float) -> np.ndarray:
+    """Damped Newton steps for n sets of weights at once: a pass serves all of them, each with a step length of its own."""
+    w = np.zeros((n, k))
+    goal = lambda ll, w: ll - 0.5 * l2 * (w * w).sum(axis=1)
+    ll, grad, hess = _pass(table, w, first)
+    at, active = goal(ll, w), np.ones(n, bool)
     for _ in range(rounds):
-        step = np.linalg.solve(hess + l2 * np.eye(len(w)), grad - l2 * w)
-        scale = 1.0
-        while scale > 1e-4:
-            new = w + scale * step
-            ll, g, h = _pass(df, decision, columns, chosen, new, weight)
-            if ll - 0.5 * l2 * new @ new >= goal - 1e-12:
+        step = np.stack([np.linalg.solve(h + l2 * np.eye(k), g - l2 * x) if k else x for h, g, x in zip(hess, grad, w)])
+        scale = active.astype(float)
+        while True:
+            new = w + scale[:, None] * step
+            ll, g, h = _pass(table, new, first)
+            worse = active & (scale > 0) & ~(goal(ll, new) >= at - 1e-12)
+            if not worse.any():
                 break
-            scale /= 2
-        else:
-            break
-        gain = ll - 0.5 * l2 * new @ new - goal
-        w, grad, hess, goal = new, g, h, ll - 0.5 * l2 * new @ new
-        if gain < tolerance * max(1.0, abs(goal)):
+            scale[worse] = np.where(scale[worse] > 1e-4, scale[worse] / 2, 0.0)
+        gain = goal(ll, new) - at
+        w, grad, hess, at = new, g, h, goal(ll, new)
+        active &= gain >= tolerance * np.maximum(1.0, np.abs(at))
+        if not active.any():
             break
-    return dict(zip(columns, w.tolist()))
+    return w
+
+
+def fit_choice(df: DataFrame, *, decision: Sequence[str], columns: Sequence[str], chosen: str, l2: float = 1e-3, rounds: int = 20, weight: str | None = None, tolerance: float = 1e-8) -> dict[str, float]:
+    """Conditional logit by damped Newton steps. Only K + K^2 sums reach the driver each round."""
+    table = design(df, decision=decision, columns=columns, chosen=chosen, weight=weight)
+    return dict(zip(columns, _fit(table, 1, len(columns), 0, l2, rounds, tolerance)[0].tolist()))
+
+
+def bootstrap_choice(df: DataFrame, *, decision: Sequence[str], columns: Sequence[str], chosen: str, cluster: Sequence[str], replicates: int, seed: int = 7, weight: str | None = None, l2: float = 1e-3, rounds: int = 20, tolerance: float = 1e-8) -> list[dict[str, float]]:
+    """Fits under Poisson(1) cluster weights, one per replicate, all of them in the same passes."""
+    table = design(df, decision=decision, columns=columns, chosen=chosen, weight=weight, cluster=cluster, replicates=replicates, seed=seed)
+    return [dict(zip(columns, w)) for w in _fit(table, replicates, len(columns), 1, l2, rounds, tolerance).tolist()]
 
 
-def bootstrap_choice(df: DataFrame, *, cluster: Sequence[str], replicates: int, seed: int = 7, **fit) -> list[dict[str, float]]:
-    """Fits under Poisson(1) cluster weights, one per replicate."""
-    out = []
-    for b in range(replicates):
-        drawn = df.withColumn("_bw", poisson_weight(F.lit(seed), F.lit(b), *(F.col(c) for c in cluster)).cast("double"))
-        out.append(fit_choice(drawn, weight="_bw", **fit))
-    return out
+def subset_rows(df: DataFrame, subsets: dict[str, Column]) -> DataFrame:
+    """The rows of each named condition, with the subset's name: designs that overlap are made in one pass."""
+    names = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in subsets.items())))
+    return df.withColumn("subset", F.explode(names))
 
 
 def normalised(weights: dict[str, float], by: str = "l1") -> dict[str, float]:
@@ -105,11 +139,11 @@ def normalised(weights: dict[str, float], by: str = "l1") -> dict[str, float]:
     return {n: v / size if size else 0.0 for n, v in weights.items()}
 
 
-def chosen_means(df: DataFrame, *, columns: Sequence[str], chosen: str) -> DataFrame:
-    """feature, mean_chosen, mean_other."""
-    long = df.unpivot([chosen], list(columns), "feature", "value")
+def chosen_means(df: DataFrame, *, columns: Sequence[str], chosen: str, by: Sequence[str] = ()) -> DataFrame:
+    """by..., feature, mean_chosen, mean_other."""
+    long = df.unpivot([*by, chosen], list(columns), "feature", "value")
     mean = lambda k: F.avg(F.when(F.col(chosen) == k, F.col("value")))
-    return long.groupBy("feature").agg(mean(1).alias("mean_chosen"), mean(0).alias("mean_other"))
+    return long.groupBy(*by, "feature").agg(mean(1).alias("mean_chosen"), mean(0).alias("mean_other"))
 
 
 def shapley(values: DataFrame, *, game: Sequence[str], mask: str, value: str, players: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from .joins import no_follow_up
+from .ranks import numbered, quantiles
 from .windows import throttle
 
 #: Reward of each outcome of a set route.
@@ -96,12 +97,13 @@ def parse_lookup(outcome: Column) -> Column:
 
 def thresholds(df: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
     """One row of exact percentiles: name -> (column, share)."""
-    return df.agg(*(F.percentile(c, q).alias(n) for n, (c, q) in specs.items()))
+    return quantiles(df, specs)
 
 
 def increasing_edges(df: DataFrame, column: str, shares: Sequence[float], step: float = 1.0) -> DataFrame:
     """edge_no, edge: percentiles, each at least `step` above the one before."""
-    edges = df.agg(F.percentile(column, F.array(*(F.lit(s) for s in shares))).alias("e"))
+    found = quantiles(df, {f"e{k}": (column, s) for k, s in enumerate(shares)})
+    edges = found.select(F.array(*found.columns).alias("e"))
     start = F.array().cast("array<double>")
     fold = F.aggregate("e", start, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, F.greatest(x, F.element_at(acc, -1) + step)).otherwise(x))))
     return edges.select(F.posexplode(fold).alias("edge_no", "edge"))
@@ -109,8 +111,6 @@ def increasing_edges(df: DataFrame, column: str, shares: Sequence[float], step:
 
 def surrogate_key(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """sample_id from a total order, to be written once and joined by ever after."""
-    from .joins import numbered
-
     return numbered(df, order, "sample_id")
 
 
@@ -168,3 +168,49 @@ def stratum_weights(df: DataFrame, *, stratum_col: str, is_train: Column) -> Dat
     counts = df.groupBy(stratum_col).agg(F.count_if(is_train).alias("n_train"))
     total = F.sum("n_train").over(W.partitionBy())
     return counts.select(stratum_col, "n_train", F.when(F.col("n_train") > 0, 1 / F.sqrt(F.col("n_train") / total)).alias("weight"))
+
+
+def decision_events(log: DataFrame, *, kind: str, request: str, ts: str, route: str, train: str) -> DataFrame:
+    """Requests only, with the route's and the train id's parts as columns of their own."""
+    rows = log.filter(F.col(kind) == request).select(F.col(ts).alias("t"), F.col(route).alias("route_id"), F.col(train).alias("focal_train"))
+    parts = rows.withColumns({"_r": parse.route_parts(F.col("route_id")), "_h": parse.headcode_parts(F.col("focal_train"))})
+    return parts.select("t", "route_id", "focal_train", "_r.*", "_h.*")
+
+
+def decision_summary(points: DataFrame, *, label: str, train: str, signal: str, ts: str) -> DataFrame:
+    """One row: decisions, of each label, distinct trains and signals, first and last time."""
+    return points.agg(
+        F.count("*").alias("n"), F.count_if(F.col(label) == "set").alias("n_set"), F.count_if(F.col(label) == "wait").alias("n_wait"),
+        F.count_distinct(train).alias("n_trains"), F.count_distinct(signal).alias("n_signals"), F.min(ts).alias("first"), F.max(ts).alias("last"),
+    )
+
+
+def reward_job(
+    points: DataFrame, *, key: str, train: str, ts: str, signal: str, element: str, label: str, route: str, reports: DataFrame, positions: DataFrame,
+    distances: DataFrame, outcomes: DataFrame, headways: DataFrame, weights: dict[str, float], bracket_s: float, **limits,
+) -> DataFrame:
+    """Rewards of decision points from what was recorded around them, one row for each point.
+
+    distance: hops from the train's same-day element to the signal (distances: element, signal, hops); delay: the change
+    between the reports that bracket the point; outcome and headway: attached by the point's key (unique in both). Parts that were not
+    measured stay null and count 0.
+    """
+    from ..sources.io import attached
+    from .asof import as_of
+    from .joins import bracket_changes
+
+    day = F.to_date(ts)
+    at = as_of(
+        points.withColumn("_day", day), positions.select(train, element, F.col("ts").alias("_at"), F.to_date("ts").alias("_day")), keys=[train, "_day"],
+        probe_ts=ts, event_ts="_at", values={"_element": F.col(element)},
+    ).drop("_day")
+    near = at.join(distances.select(F.col("element").alias("_element"), F.col("signal").alias(signal), F.col("hops").alias("distance")), ["_element", signal], "left")
+    delayed = bracket_changes(near.drop("_element"), reports, keys=[train], probe_ts=ts, report_ts="ts", value="value", window_s=bracket_s)
+    full = attached(attached(delayed.withColumnRenamed("change", "delay"), outcomes, key=key, columns=["outcome"]), headways, key=key, columns=["headway_s"])
+    return rewards(full, label=label, distance="distance", outcome="outcome", delay="delay", headway="headway_s", weights=weights, **limits)
+
+
+def reapplied(stored_rewards: DataFrame, *, label: str, weights: dict[str, float], **limits) -> DataFrame:
+    """Rewards with other weights and limits from the features of a stored reward table; its old rewards are replaced."""
+    features = stored_rewards.drop(*(c for c in stored_rewards.columns if c.startswith("r_") or c == "gate"))
+    return rewards(features, label=label, distance="distance", outcome="outcome", delay="delay", headway="headway_s", weights=weights, **limits)

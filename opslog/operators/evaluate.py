@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def _metrics(truth: str, predicted: str) -> list[Column]:
     hit = F.col(truth) == F.col(predicted)
@@ -32,11 +34,10 @@ def metrics_by(df: DataFrame, *, stratum: str, truth: str, predicted: str) -> Da
 
 
 def margins(df: DataFrame, *, best: str, other: str) -> DataFrame:
-    gap = F.col(best) - F.col(other)
-    return df.select(gap.alias("g")).agg(
-        F.count("g").alias("n"), F.avg("g").alias("mean"), F.percentile("g", 0.05).alias("p5"),
-        F.percentile("g", 0.95).alias("p95"), F.avg((F.col("g") >= 0).cast("double")).alias("share_ok"),
-    )
+    """One row: n, mean, p5, p95 and the share at or above 0 of best - other."""
+    gap = df.select((F.col(best) - F.col(other)).alias("g"))
+    sums = gap.agg(F.count("g").alias("n"), F.avg("g").alias("mean"), F.avg((F.col("g") >= 0).cast("double")).alias("share_ok"))
+    return sums.join(F.broadcast(quantiles(gap, {"p5": ("g", 0.05), "p95": ("g", 0.95)}))).select("n", "mean", "p5", "p95", "share_ok")  # one row each
 
 
 def baselines(df: DataFrame, *, n_options: str, chosen_index: str, preferred_index: str) -> DataFrame:
@@ -133,9 +134,28 @@ def run_summary(log: DataFrame, *, run: str, step: str, score: str, gate: float)
     )
 
 
+def phase_gates(log: DataFrame, *, run: str, phase: str, score: str, gates: dict[str, float]) -> DataFrame:
+    """run, phase, best_score, gate, passed: each run's best score in every phase against the phase's gate."""
+    limit = F.try_element_at(F.create_map(*(F.lit(x) for p in gates.items() for x in p)), F.col(phase))
+    best = log.groupBy(run, phase).agg(F.max(score).alias("best_score"))
+    return best.withColumn("gate", limit).withColumn("passed", F.coalesce(F.col("best_score") >= F.col("gate"), F.lit(True)))
+
+
+def with_interval(across: DataFrame, z: float = 1.96) -> DataFrame:
+    """across_runs of sample deviations with low and high: mean -+ z deviations over the root of the number of runs."""
+    half = F.lit(z) * F.col("std") / F.sqrt("n")
+    return across.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
+
+
+def hashed_uniform(*parts: Column) -> Column:
+    """A number in (0, 1) from the md5 of the columns as text, so that other engines can draw the same."""
+    digits = F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
 def poisson_weight(*parts: Column) -> Column:
-    """A Poisson(1) draw that depends only on the given columns: inverse distribution of a hashed uniform."""
-    u = (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """A Poisson(1) draw that depends only on the given columns: inverse distribution of a uniform from their md5."""
+    u = hashed_uniform(*parts)
     out, total, term = None, 0.0, 2.718281828459045**-1
     for k in range(12):
         total += term

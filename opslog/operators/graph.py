@@ -81,12 +81,14 @@ def endpoints(routes: DataFrame, *, route: str, points: str) -> DataFrame:
     return routes.select(route, F.explode(points).alias("point")).distinct()
 
 
-def same_key_pairs(routes: DataFrame, *, route: str, key: str) -> DataFrame:
-    """Ordered pairs of routes that share a key. A pair is the feature here: the number of routes of one key is bounded by
-    the yard, not by the log."""
-    a = routes.select(key, F.col(route).alias("a")).distinct()
-    b = routes.select(key, F.col(route).alias("b")).distinct()
-    return a.join(b, key).filter("a != b").select("a", "b").distinct()
+def same_key_classes(routes: DataFrame, *, route: str, key: str) -> DataFrame:
+    """route, key, n_linked: the class that says which routes share a key, and with how many others each does.
+
+    The ordered pairs are those of each class; they are not written out, as their number is the square of a class's size.
+    """
+    members = routes.select(route, key).filter(F.col(key).isNotNull()).distinct()
+    sizes = members.groupBy(key).agg((F.count("*") - 1).alias("n_linked"))
+    return members.join(sizes, key).select(route, key, "n_linked")
 
 
 def adjacency(*typed: tuple[str, str, DataFrame]) -> DataFrame:
@@ -98,26 +100,30 @@ def adjacency(*typed: tuple[str, str, DataFrame]) -> DataFrame:
     return out
 
 
+def neighbours(adjacent: DataFrame, nodes: DataFrame, *, node_type: str, node: str) -> DataFrame:
+    """node_type, node, neighbours: the sorted (type, node) structs that each node has an edge to; empty if none."""
+    rows = adjacent.groupBy(F.col("src_type").alias(node_type), F.col("src").alias(node)).agg(
+        F.array_sort(F.collect_set(F.struct(F.col("dst_type").alias("type"), F.col("dst").alias("node")))).alias("neighbours")
+    )
+    return nodes.select(node_type, node).distinct().join(rows, [node_type, node], "left").withColumn("n_neighbours", F.coalesce(F.size("neighbours"), F.lit(0)))
+
+
 def hops(edges: DataFrame, seeds: DataFrame, *, most: int = 30) -> DataFrame:
     """seed, node, hops: least number of edges from each seed group's nodes (seeds: seed, node).
 
-    A frontier join per hop, each stored; stops with an empty frontier. The edge table is the static network.
+    A frontier join per hop, each stored; a new frontier is what earlier ones do not hold. Stops with an empty frontier. The edge
+    table is the static network.
     """
     edges = stored(edges.select("src", "dst").distinct(), "edges")
-    frontier = stored(seeds.select("seed", "node").distinct(), "frontier")
-    levels = [frontier.withColumn("hops", F.lit(0))]
+    frontier = stored(seeds.select("seed", "node").distinct().withColumn("hops", F.lit(0)), "frontier")
     seen = frontier
     for k in range(1, most + 1):
         reached = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = stored(reached.join(seen, ["seed", "node"], "left_anti"), "frontier")
+        frontier = stored(reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(k)), "frontier")
         if frontier.isEmpty():
             break
-        levels.append(frontier.withColumn("hops", F.lit(k)))
         seen = seen.unionByName(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return seen
 
 
 def subgraph(distances: DataFrame, *, center: str, node: str, node_type: str, caps: dict[str, int], most_hops: int) -> DataFrame:
@@ -177,3 +183,35 @@ def graph_summary(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> D
             part = df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), "n")
             out = part if out is None else out.unionByName(part)
     return out
+
+
+def graph_checks(nodes: dict[str, DataFrame], edges: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """edge, n, n_src, n_dst, n_lost, coverage: for each edge table (edges, source kind, target kind) its edges, distinct ends, edges with
+    an end that its node table (one column, node) lacks, and the share of source nodes that have such an edge."""
+    out = None
+    for name, (table, src_kind, dst_kind) in edges.items():
+        src, dst = (nodes[k].select(F.col("node").alias(c), F.lit(True).alias(f"_{c}")).distinct() for k, c in ((src_kind, "src"), (dst_kind, "dst")))
+        met = table.select("src", "dst").join(src, "src", "left").join(dst, "dst", "left")
+        total = nodes[src_kind].agg(F.count_distinct("node").alias("_all"))
+        part = met.agg(
+            F.count("*").alias("n"), F.count_distinct("src").alias("n_src"), F.count_distinct("dst").alias("n_dst"),
+            F.count_if(F.col("_src").isNull() | F.col("_dst").isNull()).alias("n_lost"), F.count_distinct(F.when(F.col("_src"), F.col("src"))).alias("_had"),
+        ).join(F.broadcast(total)).select(F.lit(name).alias("edge"), "n", "n_src", "n_dst", "n_lost", (F.col("_had") / F.col("_all")).alias("coverage"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def route_attributes(routes: DataFrame, platforms: DataFrame, *, route: str, elements: str, ends: str, branch: Sequence) -> DataFrame:
+    """route, end_platform, end_signal, on_branch, first, last: what rules ask of a route.
+
+    end_platform: that of the last element which has one (platforms: element, platform); end_signal: the first of its sorted
+    ends; on_branch: whether any element belongs to the branch.
+    """
+    rows = routes.select(route, F.posexplode(elements).alias("_pos", "element"))
+    known = rows.join(platforms.select("element", "platform"), "element").groupBy(route).agg(F.max_by("platform", "_pos").alias("end_platform"))
+    made = routes.select(
+        route, F.element_at(F.array_sort(ends), 1).alias("end_signal"), F.arrays_overlap(elements, F.array(*(F.lit(b) for b in branch))).alias("on_branch"),
+        F.element_at(elements, 1).alias("first"), F.element_at(elements, -1).alias("last"),
+    )
+    return made.join(known, route, "left")
+

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .asof import as_of, seconds
+from ..functions.shared import stored
+from .asof import as_of, running_in_key, seconds
+from .ranks import numbered, running
 
 
 def _micros(c: Column) -> Column:
@@ -62,8 +64,35 @@ def bracket_changes(
     return out.withColumn("change", F.when(F.col("_near"), (F.col("_v1") - F.col("_v0")) / F.col("n_sharing"))).drop("_v0", "_v1", "_near")
 
 
+def bracket_changes_in_runs(
+    probes: DataFrame, reports: DataFrame, *, key: str, probe_id: str, probe_ts: str, report_ts: str, value: str, window_s: float, run_gap_s: float
+) -> DataFrame:
+    """bracket_changes inside runs: a key's reports are cut where they pause for over run_gap_s, a probe belongs to the run with the
+    nearest centre among those that hold it widened by window_s, and only that run's reports bracket it. run_no is null without one."""
+    from .windows import sessions
+
+    named = sessions(reports.select(F.col(key), F.col(report_ts), F.col(value)), keys=[key], ts=report_ts, gap_s=run_gap_s, name="run_no")
+    spans = intervals(named, keys=[key, "run_no"], ts=report_ts)
+    near = interval_join(probes, spans, key=key, probe_id=probe_id, probe_ts=probe_ts, span_id=["run_no"], buffer_s=window_s).drop("t_first", "t_last")
+    return bracket_changes(near, named, keys=[key, "run_no"], probe_ts=probe_ts, report_ts=report_ts, value=value, window_s=window_s)
+
+
+def clusters_of_unmatched(matched: DataFrame, *, span: str, key: str, ts: str, gap_s: float, tie: Sequence[str] = ()) -> DataFrame:
+    """The probes that interval_join left without a span, with cluster_no: they are sessions of their own by gaps."""
+    from .windows import sessions
+
+    return sessions(matched.filter(F.col(span).isNull()), keys=[key], ts=ts, gap_s=gap_s, tie=tie, name="cluster_no")
+
+
+def approach_distances(probes: DataFrame, positions: DataFrame, distances: DataFrame, *, key: str, probe_ts: str, event_ts: str, element: str, signal: str) -> DataFrame:
+    """hops, n: how far from the signal a probe's train was, by its last element before the probe (no same-day rule)."""
+    at = as_of(probes, positions, keys=[key], probe_ts=probe_ts, event_ts=event_ts, values={"_element": F.col(element)})
+    near = at.join(distances.select(F.col("element").alias("_element"), F.col("signal").alias(signal), "hops"), ["_element", signal])
+    return near.groupBy("hops").agg(F.count("*").alias("n"))
+
+
 def bracket_faults(bracketed: DataFrame, *, probe_ts: str, window_s: float) -> Column:
-    """Why a probe has no change: no_before, no_after, before_far, after_far, no_value, or ok."""
+    """Why a probe has no change: no_report, no_before, no_after, before_far, after_far, or ok."""
     return (
         F.when(F.col("before_ts").isNull() & F.col("after_ts").isNull(), "no_report")
         .when(F.col("before_ts").isNull(), "no_before").when(F.col("after_ts").isNull(), "no_after")
@@ -86,56 +115,56 @@ def upcoming(
 ) -> DataFrame:
     """Adds outlook: the next k schedule rows in (t, t + ahead_s] of others, as structs in time order.
 
-    Bins of ahead_s: a probe meets its own bin and the next, no more.
+    The schedule is numbered by time and cut into runs of one id. A probe takes its place as of its time and meets the k
+    numbers after it in its place's run and the first k rows of the 2k runs that follow. Neighbouring runs differ in id, so
+    those hold k rows of others, however dense the schedule is and however many of its rows are the probe's own.
     """
-    width = int(ahead_s * 1e6)
     own, other = exclude
-    s = schedule.select(
-        F.col(schedule_ts).alias("_st"), F.col(other).alias("_other"), *(F.col(c).alias(f"_c_{c}") for c in columns)
-    ).withColumn("_bin", F.floor(_micros(F.col("_st")) / width))
-    here = F.floor(_micros(F.col(probe_ts)) / width)
-    p = probes.select(probe_id, probe_ts, F.col(own).alias("_own"), F.explode(F.array(here, here + 1)).alias("_bin"))
+    cols = [f"_c_{c}" for c in columns]
+    s = schedule.filter(F.col(other).isNotNull()).select(
+        F.col(schedule_ts).alias("_st"), F.col(other).alias("_other"), *(F.col(c).alias(n) for c, n in zip(columns, cols))
+    )
+    s = numbered(s, ["_st", *cols, "_other"], "_n")
+    was = s.select((F.col("_n") + 1).alias("_n"), F.col("_other").alias("_was"))
+    flagged = s.join(was, "_n", "left").withColumn("_new", F.coalesce((F.col("_other") != F.col("_was")).cast("long"), F.lit(1)))
+    runs = stored(running(flagged.drop("_was"), ["_n"], "_new", "_run"), "runs")
+    first = runs.filter("_new = 1").select("_run", F.col("_n").alias("_first"))
+    rows = runs.drop("_new")
+    at = as_of(
+        probes.select(probe_id, probe_ts, F.col(own).alias("_own")), rows, keys=[], probe_ts=probe_ts, event_ts="_st", tie="_n",
+        values={"_place": F.col("_n"), "_at": F.col("_run")}, bin_s=max(int(ahead_s), 1),
+    ).select(probe_id, probe_ts, "_own", F.coalesce("_place", F.lit(0)).alias("_place"), F.coalesce("_at", F.lit(0)).alias("_at"))
+    same = at.withColumn("_n", F.explode(F.sequence(F.col("_place") + 1, F.col("_place") + k))).join(rows, "_n").filter("_run = _at")
+    heads = rows.join(first, "_run").filter(F.col("_n") - F.col("_first") < k).drop("_first")
+    later = at.withColumn("_run", F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + 2 * k))).join(heads, "_run")
     ahead = seconds(F.col("_st"), F.col(probe_ts))
-    met = p.join(s, "_bin").filter((ahead > 0) & (ahead <= ahead_s) & (F.col("_own") != F.col("_other")))
-    order = W.partitionBy(probe_id).orderBy("_st", *(f"_c_{c}" for c in columns))
-    top = met.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k)
-    row = F.struct("_k", ahead.alias("in_s"), *(F.col(f"_c_{c}").alias(c) for c in columns))
+    met = same.unionByName(later).filter((ahead > 0) & (ahead <= ahead_s) & (F.col("_own") != F.col("_other")))
+    top = met.withColumn("_k", F.row_number().over(W.partitionBy(probe_id).orderBy("_n"))).filter(F.col("_k") <= k)
+    row = F.struct("_k", ahead.alias("in_s"), *(F.col(n).alias(c) for c, n in zip(columns, cols)))
     lists = top.groupBy(probe_id).agg(F.array_sort(F.collect_list(row)).alias("outlook"))
     return probes.join(lists, probe_id, "left")
 
 
-def numbered(events: DataFrame, order: Sequence[str], name="seq") -> DataFrame:
-    """Adds a global running number from 1 in the given total order, without a task that sees all rows."""
-    dealt = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_no", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_off") + F.col("_no")).drop("_part", "_no", "_off")
-
-
 def last_events(
     probes: DataFrame, events: DataFrame, *, keys: Sequence[str], probe_id: str, probe_ts: str, event_ts: str,
-    columns: Sequence[str], k: int,
+    columns: Sequence[str], k: int, bin_s: int | None = None,
 ) -> DataFrame:
     """probe_id, rank (1 = latest), columns...: the last k events of the key at or before the probe.
 
     Events are numbered per key; a probe takes the number as of its time and meets the one or two blocks of k numbers that
-    hold its last k events, so each probe meets 2k rows at most.
+    hold its last k events, so each probe meets 2k rows at most. bin_s: for keys that hold a large part of all rows.
     """
-    order = W.partitionBy(*keys).orderBy(event_ts, *columns)
-    seq = events.select(*keys, event_ts, *columns).withColumn("_seq", F.row_number().over(order))
-    upto = W.partitionBy(*keys).orderBy(event_ts).rangeBetween(W.unboundedPreceding, 0)
-    counted = seq.withColumn("_upto", F.count("*").over(upto))
+    seq = events.select(*keys, event_ts, *columns).withColumn("_one", F.lit(1))
+    seq = running_in_key(seq, keys=keys, ts=event_ts, tie=columns, sums={"_seq": "_one"}, bin_s=bin_s).drop("_one")
     at = as_of(
-        probes.select(probe_id, probe_ts, *keys), counted, keys=keys, probe_ts=probe_ts, event_ts=event_ts,
-        values={"_pos": F.col("_upto")},
+        probes.select(probe_id, probe_ts, *keys), seq.select(*keys, event_ts, "_seq"), keys=keys, probe_ts=probe_ts, event_ts=event_ts, tie="_seq",
+        values={"_pos": F.col("_seq")}, bin_s=bin_s,
     ).filter("_pos IS NOT NULL")
     block = lambda c: F.floor((c - 1) / k)
     asks = at.withColumn("_block", F.explode(F.array(block(F.col("_pos")), block(F.col("_pos")) - 1))).select(probe_id, *keys, "_pos", "_block")
     rows = seq.withColumn("_block", block(F.col("_seq")))
     met = asks.join(rows, [*keys, "_block"]).filter((F.col("_seq") <= F.col("_pos")) & (F.col("_seq") > F.col("_pos") - k))
-    return met.select(probe_id, (F.col("_pos") - F.col("_seq") + 1).alias("rank"), event_ts, *columns)
+    return met.select(probe_id, (F.col("_pos") - F.col("_seq") + 1).cast("int").alias("rank"), event_ts, *columns)
 
 
 def conflicts(requests: DataFrame, events: DataFrame, *, request_id: str, ts: str, elements: str, element: str, event_ts: str, state: str, train: str, focal: str) -> DataFrame:
@@ -160,17 +189,22 @@ def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).distinct().join(right.select(key), key, "left_anti")
 
 
-def rule_matches(decisions: DataFrame, rules: DataFrame, *, predicates: dict[str, str], most_rules: int = 100_000) -> DataFrame:
+def rule_matches(decisions: DataFrame, rules: DataFrame, *, predicates: dict[str, str]) -> DataFrame:
     """Decisions with every rule whose conditions all hold; a null condition always holds.
 
-    predicates: rule array column to decision column. A rule base is a short list; the size is checked before it is broadcast.
+    predicates: rule array column to decision column. A rule is found by the values of its first condition that is not null, an
+    equal join; its other conditions are looked at then. Decisions enter once for each predicate, and once for rules without any.
     """
-    if rules.limit(most_rules + 1).count() > most_rules:
-        raise ValueError("too many rules for a broadcast")
+    names, of = list(predicates), list(predicates.values())
+    lead = F.coalesce(*(F.when(F.col(n).isNotNull(), k) for k, n in enumerate(names)), F.lit(len(names)))
+    values = F.coalesce(*(F.transform(n, lambda x: x.cast("string")) for n in names), F.array(F.lit("")))
+    keyed = rules.withColumn("_lead", lead).withColumn("_value", F.explode(F.array_distinct(values)))
+    asks = F.array(*(F.struct(F.lit(k).alias("_lead"), F.col(c).cast("string").alias("_value")) for k, c in enumerate(of)), F.struct(F.lit(len(of)).alias("_lead"), F.lit("").alias("_value")))
     holds = F.lit(True)
-    for rule_col, own in predicates.items():
-        holds = holds & (F.col(rule_col).isNull() | F.coalesce(F.array_contains(rule_col, F.col(own)), F.lit(False)))
-    return decisions.join(F.broadcast(rules), holds)
+    for n, c in predicates.items():
+        holds = holds & (F.col(n).isNull() | F.coalesce(F.array_contains(n, F.col(c)), F.lit(False)))
+    met = decisions.select("*", F.inline(asks)).join(keyed, ["_lead", "_value"]).filter(holds)
+    return met.drop("_lead", "_value").select(*decisions.columns, *rules.columns)
 
 
 def with_fallback(df: DataFrame, sidecars: Sequence[tuple[DataFrame, str]], *, value: str, default) -> DataFrame:

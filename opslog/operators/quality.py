@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import numbered, running
+
 
 def counts_by(df: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     """The columns of all sets, grp (which set), n: several group-bys in one pass by grouping sets."""
@@ -37,8 +39,8 @@ def normalisation(df: DataFrame, columns: Sequence[str], is_train: Column) -> Da
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """value, idx: distinct values numbered from 1 in sorted order. A vocabulary is small by definition."""
-    return df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct().withColumn("idx", F.row_number().over(W.orderBy("value")))
+    """value, idx: distinct values numbered from 1 in sorted order."""
+    return numbered(df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct(), ["value"], "idx")
 
 
 def session_split(df: DataFrame, *, session: Sequence[str], ts: str, split) -> DataFrame:
@@ -75,18 +77,9 @@ def top_and_bottom(df: DataFrame, *, by: str, tie: str, n: int) -> DataFrame:
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the average rank of a column. Ranks come from counts per distinct value, numbered over range partitions, so
-    no task sorts all rows."""
-    per = df.groupBy(column).agg(F.count("*").alias("_n"))
-    dealt = per.repartitionByRange(column).withColumn("_part", F.spark_partition_id())
-    inside = W.partitionBy("_part").orderBy(column)
-    sizes = dealt.groupBy("_part").agg(F.sum("_n").alias("_all"))
-    off = sizes.select("_part", F.coalesce(F.sum("_all").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    upto = F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    ranks = dealt.withColumn("_upto", upto).join(F.broadcast(off), "_part").select(
-        column, (F.col("_off") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)
-    )
-    return df.join(ranks, column)
+    """Adds the average rank of a column, from running totals of its values' counts."""
+    counts = running(df.groupBy(column).agg(F.count("*").alias("_n")), [column], "_n", "_upto")
+    return df.join(counts.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), column)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -58,3 +58,52 @@ def assemble(decisions: DataFrame, parts: Sequence[DataFrame], *, key: str, defa
     for part in parts:
         decisions = decisions.join(part, key, "left")
     return decisions.withColumns({c: F.coalesce(F.col(c), v) for c, v in (defaults or {}).items()})
+
+
+def route_nodes(asked: DataFrame, locks: DataFrame, occupancy: DataFrame, *, key: str, route: str, element: str, ts: str, event_ts: str, state: str) -> DataFrame:
+    """asked (key, route, ts, elements) with locked, the route's own state, and n_occupied of its elements, both as of ts."""
+    rows = state_at(asked, locks, key=route, probe_ts=ts, event_ts=event_ts, state=state, default=0).withColumnRenamed("state", "locked")
+    parts = rows.select(key, route, ts, F.explode("elements").alias(element))
+    on = state_at(parts, occupancy, key=element, probe_ts=ts, event_ts=event_ts, state=state, default=0)
+    return rows.join(on.groupBy(key, route).agg(F.count_if(F.col("state") == 1).alias("n_occupied")), [key, route], "left").fillna({"n_occupied": 0})
+
+
+def flag_inputs(candidates: DataFrame, occupancy: DataFrame, *, key: str, route: str, first: str, platform: str, cls: str, ts: str, event_ts: str, state: str, train: str, element: str) -> DataFrame:
+    """key, occupiers, options: of each decision's candidates (key, route, first, platform, cls, ts) the trains on their first
+    elements, and (cls, platform_occupied) structs, both in the order of routes. An element counts as held by its last event's train
+    if that occupied it."""
+    hit = as_of(candidates, occupancy, keys=[element], probe_ts=ts, event_ts=event_ts, values={"_st": F.col(state), "_train": F.col(train)}) if element == first else as_of(
+        candidates.withColumn(element, F.col(first)), occupancy, keys=[element], probe_ts=ts, event_ts=event_ts, values={"_st": F.col(state), "_train": F.col(train)})
+    holder = F.when(F.col("_st") == 1, F.col("_train"))
+    there = as_of(hit.withColumn("_own", holder).withColumn(element, F.col(platform)), occupancy, keys=[element], probe_ts=ts, event_ts=event_ts, values={"_pst": F.col(state)})
+    row = F.struct(F.col(route).alias("r"), F.col("_own").alias("o"), F.col(cls).alias("cls"), F.coalesce(F.col("_pst") == 1, F.lit(False)).alias("platform_occupied"))
+    listed = there.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_l"))
+    return listed.select(key, F.transform("_l", lambda x: x["o"]).alias("occupiers"), F.transform("_l", lambda x: F.struct(x["cls"].alias("cls"), x["platform_occupied"].alias("platform_occupied"))).alias("options"))
+
+
+def dynamic_edges(positions: DataFrame, berths: DataFrame, nodes: DataFrame, *, key: str, train: str, element: str, signal: str) -> DataFrame:
+    """key, kind, src, dst: each train to its current element and to the signal whose berth it holds, as far as those are nodes
+    of the decision's subgraph. positions: key, train, element; berths: key, signal, train; nodes: key, node."""
+    there = nodes.select(key, F.col("node"))
+    at = positions.filter(F.col(element).isNotNull()).select(key, F.lit("at").alias("kind"), F.col(train).alias("src"), F.col(element).alias("dst"))
+    held = berths.filter(F.col(train).isNotNull()).select(key, F.lit("holds").alias("kind"), F.col(train).alias("src"), F.col(signal).alias("dst"))
+    return at.unionByName(held).join(there.withColumnRenamed("node", "dst"), [key, "dst"], "left_semi").select(key, "kind", "src", "dst").distinct()
+
+
+def value_audit(df: DataFrame, *, lists: dict[str, str], flags: Sequence[str] = ()) -> DataFrame:
+    """part, n, n_null, min_size, max_size, mean_size, mean_value: sizes of nested lists and the mean of one number in them (lists: column
+    to field), and for flags the share that is true as mean_value."""
+    out = None
+    for c, f in lists.items():
+        size = F.size(c)
+        values = F.aggregate(F.transform(c, lambda x: F.coalesce(x[f].cast("double"), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+        part = df.agg(
+            F.lit(c).alias("part"), F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.min(size).cast("long").alias("min_size"),
+            F.max(size).cast("long").alias("max_size"), F.avg(size).alias("mean_size"), (F.sum(values) / F.nullif(F.sum(size), F.lit(0))).alias("mean_value"),
+        )
+        out = part if out is None else out.unionByName(part)
+    for c in flags:
+        part = df.agg(F.lit(c).alias("part"), F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), *(F.lit(None).cast(t).alias(n) for n, t in (("min_size", "long"), ("max_size", "long"), ("mean_size", "double"))), F.avg(F.col(c).cast("double")).alias("mean_value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+

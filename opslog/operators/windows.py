@@ -8,39 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .asof import as_of, seconds, time_bin
+from .asof import as_of, previous_in_key, running_in_key, seconds, time_bin
+from .ranks import numbered
+from .scan import discounted, keep_apart
 
 
-def state_prefix(events: DataFrame, *, key: str, ts: str, state: str, tie: str | None = None) -> DataFrame:
+def state_prefix(events: DataFrame, *, key: str, ts: str, state: str, tie: str | None = None, bin_s: int | None = None) -> DataFrame:
     """Per event: state after it, seconds in state 1 up to it and changes up to it. The state before is 0."""
-    order = W.partitionBy(key).orderBy(ts, *([tie] if tie else []))
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    was = F.coalesce(F.lag(state).over(order), F.lit(0))
-    dwell = F.when(was == 1, seconds(F.col(ts), F.lag(ts).over(order))).otherwise(0.0)
-    steps = events.select(key, ts, state, *([tie] if tie else [])).select(
-        "*", dwell.alias("_dwell"), (F.col(state) != was).cast("long").alias("_step")
-    )
-    return steps.select(
-        key, F.col(ts).alias("_at"), F.col(state).alias("_state"), *([F.col(tie)] if tie else []),
-        F.sum("_dwell").over(upto).alias("_in_1"), F.sum("_step").over(upto).alias("_changes"),
-    )
+    ties = [tie] if tie else []
+    rows = events.select(key, F.col(ts).alias("_at"), F.col(state).alias("_state"), *ties).withColumn("_ts", F.col("_at"))
+    rows = previous_in_key(rows, keys=[key], ts="_at", tie=ties, columns={"_was": "_state", "_before": "_ts"}, bin_s=bin_s)
+    was = F.coalesce("_was", F.lit(0))
+    dwell = F.when(was == 1, seconds(F.col("_at"), F.col("_before"))).otherwise(0.0)
+    steps = rows.withColumns({"_dwell": dwell, "_step": (F.col("_state") != was).cast("long")}).select(key, "_at", "_state", *ties, "_dwell", "_step")
+    return running_in_key(steps, keys=[key], ts="_at", tie=ties, sums={"_in_1": "_dwell", "_changes": "_step"}, bin_s=bin_s).drop("_dwell", "_step")
 
 
 def window_stats(
     probes: DataFrame, events: DataFrame, *, key: str, probe_id: str, probe_ts: str, event_ts: str, state: str,
-    windows_s: Sequence[int], tie: str | None = None,
+    windows_s: Sequence[int], tie: str | None = None, bin_s: int | None = None,
 ) -> DataFrame:
     """For each window W: share_W, the fraction of [t-W, t] in state 1, and changes_W, the changes in (t-W, t].
 
     Running sums of dwell and changes are made once; every end of every window is a probe of the same as-of join, so
-    the number of windows costs rows, not joins.
+    the number of windows costs rows, not joins. bin_s: for keys that hold a large part of all rows.
     """
-    prefix = state_prefix(events, key=key, ts=event_ts, state=state, tie=tie)
+    prefix = state_prefix(events, key=key, ts=event_ts, state=state, tie=tie, bin_s=bin_s)
     ends = F.array(F.lit(0), *(F.lit(int(w)) for w in windows_s))
     back = F.col(probe_ts) - F.make_dt_interval(secs=F.col("_back"))
     places = probes.select(key, probe_id, F.struct(*probes.columns).alias("_row"), probe_ts, F.explode(ends).alias("_back"))
     hit = as_of(
-        places.withColumn("_end", back), prefix, keys=[key], probe_ts="_end", event_ts="_at", tie=tie,
+        places.withColumn("_end", back), prefix, keys=[key], probe_ts="_end", event_ts="_at", tie=tie, bin_s=bin_s,
         values={"_in": F.col("_in_1"), "_ch": F.col("_changes"), "_st": F.col("_state"), "_when": F.col("_at")},
     )
     held = F.when(F.col("_st") == 1, seconds(F.col("_end"), F.col("_when"))).otherwise(0.0)
@@ -96,20 +94,9 @@ def positions(df: DataFrame, *, session: Sequence[str], order: Sequence[str]) ->
 
 
 def session_index(df: DataFrame, *, session: Sequence[str], start: str) -> DataFrame:
-    """session..., session_idx: a dense number over all sessions by (first time, session).
-
-    Sessions are numbered inside range partitions; partition offsets are summed over one row per partition, so no task sees all
-    sessions.
-    """
+    """session..., session_idx: a dense number from 0 over all sessions by (first time, session)."""
     firsts = df.groupBy(*session).agg(F.min(start).alias("_first"))
-    sorted_ = firsts.repartitionByRange("_first", *session).sortWithinPartitions("_first", *session)
-    local = sorted_.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_no", F.row_number().over(W.partitionBy("_part").orderBy("_first", *session))
-    )
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return local.join(F.broadcast(offsets), "_part").select(*session, (F.col("_off") + F.col("_no") - 1).alias("session_idx"))
+    return numbered(firsts, ["_first", *session], "_no").select(*session, (F.col("_no") - 1).alias("session_idx"))
 
 
 def gap_buckets(events: DataFrame, *, keys, ts, edges_s: Sequence[int]) -> DataFrame:
@@ -142,25 +129,12 @@ def gap_sweep(events: DataFrame, *, keys, ts, gaps_s: Sequence[int]) -> DataFram
 def throttle(events: DataFrame, *, keys: Sequence[str], ts: str, min_gap_s: int, tie: Sequence[str] = ()) -> DataFrame:
     """Keeps an event if at least min_gap_s passed since the last kept one of its key.
 
-    A gap of min_gap_s always restarts, so each key is first cut into independent pieces there, and only a piece's times
-    are folded together.
+    A gap of min_gap_s always restarts, so each key is first cut into independent pieces there; every piece is then read once in
+    order of time, with the last kept time as the only state.
     """
     pieces = sessions(events, keys=keys, ts=ts, gap_s=min_gap_s - 1e-6, tie=tie, name="_piece")
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = pieces.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_list(micros)).alias("_times"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-
-    def step(acc, t):
-        keep = acc["last"].isNull() | (t - acc["last"] >= int(min_gap_s * 1_000_000))
-        return F.when(
-            keep, F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))
-        ).otherwise(acc)
-
-    kept = times.select(*keys, F.explode(F.aggregate("_times", start, step)["kept"]).alias("_t"))
-    numbered = events.withColumn("_t", micros).withColumn(
-        "_k", F.row_number().over(W.partitionBy(*keys, "_t").orderBy(*(tie or [ts])))
-    )
-    return numbered.filter("_k = 1").join(kept, [*keys, "_t"], "left_semi").drop("_t", "_k")
+    timed = pieces.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    return keep_apart(timed, keys=[*keys, "_piece"], time="_t", order=["_t", *tie], gap=int(min_gap_s * 1_000_000)).drop("_t", "_piece")
 
 
 def transitions(df: DataFrame, *, session: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -178,18 +152,8 @@ def discounted_return(df: DataFrame, *, session: Sequence[str], position: str, r
 
 
 def return_to_go(df: DataFrame, *, session: Sequence[str], position: str, reward: str, gamma: float) -> DataFrame:
-    """session..., position, to_go: reward plus gamma times the next row's return, folded from the session's end."""
-    rows = df.groupBy(*session).agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct(F.col(position).alias("k"), F.col(reward).cast("double").alias("r"))))).alias("_rows")
-    )
-    start = F.array().cast("array<struct<k: int, g: double>>")
-
-    def step(acc, x):
-        ahead = F.when(F.size(acc) > 0, F.element_at(acc, -1)["g"]).otherwise(F.lit(0.0))
-        return F.concat(acc, F.array(F.struct(x["k"].cast("int").alias("k"), (x["r"] + gamma * ahead).alias("g"))))
-
-    folded = rows.select(*session, F.explode(F.aggregate("_rows", start, step)).alias("_x"))
-    return folded.select(*session, F.col("_x.k").alias(position), F.col("_x.g").alias("to_go"))
+    """session..., position, to_go: reward plus gamma times the next row's return, from the session's end back."""
+    return discounted(df, keys=session, position=position, value=reward, gamma=gamma)
 
 
 def order_faults(df: DataFrame, *, session: Sequence[str], position: str, ts: str) -> DataFrame:
@@ -204,9 +168,9 @@ def order_faults(df: DataFrame, *, session: Sequence[str], position: str, ts: st
     return rows.agg(*(F.count_if(F.col(c)).alias(c) for c in rows.columns))
 
 
-def prior_values(df: DataFrame, *, session: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Adds prior, the array of the session's earlier values in order."""
-    by = W.partitionBy(*session).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+def prior_values(df: DataFrame, *, session: Sequence[str], order: Sequence[str], value: str, most: int | None = None) -> DataFrame:
+    """Adds prior, the array of the session's earlier values in order; with `most`, the last ones only, which bounds its length."""
+    by = W.partitionBy(*session).orderBy(*order).rowsBetween(W.unboundedPreceding if most is None else -most, -1)
     return df.withColumn("prior", F.collect_list(value).over(by))
 
 
@@ -221,7 +185,3 @@ def neighbours_within(events: DataFrame, *, ts: str, span_s: int, keys: Sequence
     by = W.partitionBy("_day", *keys).orderBy("_t").rangeBetween(-reach, reach)
     counted = dealt.withColumn("n_near", F.count("*").over(by) - 1)
     return counted.filter(F.col("_day") == day(F.col("_t"))).drop("_t", "_day")
-
-
-def mean_by(df: DataFrame, group: Column, columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(group.alias("grp")).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"avg_{c}") for c in columns))

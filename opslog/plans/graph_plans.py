@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..operators import graph
 from .bind import ROUTES, query, r6, routes, table
 
@@ -67,75 +68,58 @@ def g7d_endpoints(spark, d):
     return graph.endpoints(_r(spark, d), route="route_id", points="ends").groupBy("point").agg(F.count("*").alias("n"))
 
 
-@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
+@query("""SELECT a.s_suppkey AS a, a.s_nationkey AS nation, count(b.s_suppkey) AS n_linked FROM supplier a LEFT JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1, 2""")
 def g7e_same_key(spark, d):
-    return graph.same_key_pairs(table(spark, d, "supplier"), route="s_suppkey", key="s_nationkey")
+    """The pairs of suppliers of one nation as classes, with each member's number of partners."""
+    out = graph.same_key_classes(table(spark, d, "supplier"), route="s_suppkey", key="s_nationkey")
+    return out.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("nation"), "n_linked")
 
 
-def _small(spark, d):
-    """Parts of the orders of one market segment's customers: a network of a few thousand edges at any size of the test tables."""
-    keys = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
-    kept = table(spark, d, "orders").join(keys, F.col("o_custkey") == F.col("c_custkey")).filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("route_id"))
-    return routes(spark, d).join(kept, "route_id", "left_semi")
-
-
-_SMALL = f"""{ROUTES}, few AS (SELECT * FROM routes WHERE o_orderstatus = 'P' AND route_id IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING')),
-pos AS (SELECT route_id, unnest(elements) AS e, unnest(range(len(elements))) AS k FROM few),
+_NETWORK = f"""{ROUTES},
+pos AS (SELECT route_id, unnest(elements) AS e, unnest(range(len(elements))) AS k FROM routes),
 pairs AS (SELECT a.e AS src, b.e AS dst FROM pos a JOIN pos b ON a.route_id = b.route_id AND b.k = a.k + 1 WHERE a.e <> b.e),
 con AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs)),
-seeds AS (SELECT DISTINCT signal AS seed, elements[1] AS node FROM few),
+seeds AS (SELECT DISTINCT signal AS seed, elements[1] AS node FROM routes),
 h1 AS (SELECT DISTINCT seed, dst AS node FROM seeds JOIN con ON src = node),
 h2 AS (SELECT DISTINCT seed, dst AS node FROM h1 JOIN con ON src = node),
 h3 AS (SELECT DISTINCT seed, dst AS node FROM h2 JOIN con ON src = node),
 hop AS (SELECT seed, node, min(h) AS hops FROM (SELECT *, 0 AS h FROM seeds UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY 1, 2)"""
 
 
-def _hops(spark, d):
-    few = _small(spark, d)
-    seeds = few.select(F.col("signal").alias("seed"), F.element_at("elements", 1).alias("node")).distinct()
-    return graph.hops(graph.connects(few, elements="elements"), seeds, most=3)
+def _hops(r, most):
+    seeds = r.select(F.col("signal").alias("seed"), F.element_at("elements", 1).alias("node")).distinct()
+    return graph.hops(graph.connects(r, elements="elements"), seeds, most=most)
 
 
-@query(f"WITH {_SMALL} SELECT seed, hops, count(*) AS n FROM hop GROUP BY 1, 2")
+@query(f"WITH {_NETWORK} SELECT seed, hops, count(*) AS n FROM hop GROUP BY 1, 2")
 def g9_hops(spark, d):
-    return _hops(spark, d).groupBy("seed", "hops").agg(F.count("*").alias("n"))
+    return _hops(routes(spark, d), 3).groupBy("seed", "hops").agg(F.count("*").alias("n"))
+
+
+@query()
+def g9_hops_all(spark, d):
+    """g9_hops to the operator's 30 hops."""
+    return _hops(routes(spark, d), 30).groupBy("seed", "hops").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_SMALL}, r AS (SELECT *, CASE WHEN node % 2 = 0 THEN 'track' ELSE 'signal' END AS kind FROM hop),
+@query(f"""WITH {_NETWORK}, r AS (SELECT *, CASE WHEN node % 2 = 0 THEN 'track' ELSE 'signal' END AS kind FROM hop),
   k AS (SELECT *, row_number() OVER (PARTITION BY seed, kind ORDER BY hops, node) AS k FROM r),
   n AS (SELECT * FROM k WHERE k <= CASE kind WHEN 'track' THEN 20 ELSE 5 END)
   SELECT a.seed, count(DISTINCT a.node) AS n_nodes, count(b.node) AS n_edges FROM n a LEFT JOIN con ON con.src = a.node LEFT JOIN n b ON b.seed = a.seed AND b.node = con.dst GROUP BY 1""")
 def g10_g11_subgraph(spark, d):
-    few = _small(spark, d)
+    r = routes(spark, d)
     kind = F.when(F.col("node") % 2 == 0, "track").otherwise("signal")
-    nodes = graph.subgraph(_hops(spark, d).withColumn("kind", kind), center="seed", node="node", node_type="kind", caps={"track": 20, "signal": 5}, most_hops=3)
-    inside = graph.edges_inside(graph.connects(few, elements="elements"), nodes, center="seed", node="node")
+    nodes = stored(graph.subgraph(_hops(r, 3).withColumn("kind", kind), center="seed", node="node", node_type="kind", caps={"track": 20, "signal": 5}, most_hops=3), "nodes")
+    inside = graph.edges_inside(graph.connects(r, elements="elements"), nodes, center="seed", node="node")
     n = nodes.groupBy("seed").agg(F.count("*").alias("n_nodes"))
     e = inside.groupBy("seed").agg(F.count("*").alias("n_edges"))
     return n.join(e, "seed", "left").select("seed", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
-def _all_hops(r, most):
-    seeds = r.select(F.col("signal").alias("seed"), F.element_at("elements", 1).alias("node")).distinct()
-    return graph.hops(graph.connects(r, elements="elements"), seeds, most=most)
-
-
-@query()
-def g9_hops_all(spark, d):
-    """g9_hops over all routes, to the operator's 30 hops."""
-    return _all_hops(routes(spark, d), 30).groupBy("seed", "hops").agg(F.count("*").alias("n"))
-
-
 @query()
 def g10_g11_subgraph_all(spark, d):
-    """g10_g11_subgraph over all routes."""
-    r = routes(spark, d)
-    kind = F.when(F.col("node") % 2 == 0, "track").otherwise("signal")
-    nodes = graph.subgraph(_all_hops(r, 3).withColumn("kind", kind), center="seed", node="node", node_type="kind", caps={"track": 20, "signal": 5}, most_hops=3)
-    inside = graph.edges_inside(graph.connects(r, elements="elements"), nodes, center="seed", node="node")
-    n = nodes.groupBy("seed").agg(F.count("*").alias("n_nodes"))
-    e = inside.groupBy("seed").agg(F.count("*").alias("n_edges"))
-    return n.join(e, "seed", "left").select("seed", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+    """The same, tested against brute force."""
+    return g10_g11_subgraph(spark, d)
 
 
 @query(f"WITH {ROUTES} SELECT signal, count(*) AS n, sum(element)::BIGINT AS s FROM (SELECT DISTINCT signal + 100 AS signal, unnest(elements[greatest(len(elements) - 1, 1):]) AS element FROM routes) GROUP BY 1")

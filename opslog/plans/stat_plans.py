@@ -251,7 +251,19 @@ def a29_run_summary(spark, d):
     return evaluate.run_summary(events(spark, d), run="user_id", step="event_id", score="value", gate=100)
 
 
-@query()
+_THRESHOLDS = [sum(2.718281828459045**-1 / __import__("math").factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def _poisson_sql(text: str) -> str:
+    """The Poisson(1) draw of evaluate.poisson_weight from the md5 of a text."""
+    u = f"((('0x' || substr(md5({text}), 1, 12))::UBIGINT + 0.5) / 281474976710656.0)"
+    return "CASE " + " ".join(f"WHEN {u} < {t!r} THEN {k}" for k, t in enumerate(_THRESHOLDS)) + " ELSE 12 END"
+
+
+@query(f"""WITH s AS (SELECT l_returnflag, l_orderkey, sum(l_discount) AS s, count(l_discount) AS n FROM lineitem GROUP BY 1, 2),
+  dr AS (SELECT l_returnflag, b, s, n, {_poisson_sql("'7|' || b || '|' || l_orderkey")} AS w FROM s, range(1, 101) AS t(b)),
+  m AS (SELECT l_returnflag, b, sum(w * s) / nullif(sum(w * n), 0) AS m, sum(s) / sum(n) AS e FROM dr GROUP BY 1, 2)
+  SELECT l_returnflag, round(any_value(e), 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1""")
 def a30_bootstrap(spark, d):
     out = evaluate.bootstrap(_lines(spark, d), cluster=["l_orderkey"], value="l_discount", replicates=100, strata=["l_returnflag"])
     return out.select("l_returnflag", *(r6(c, c) for c in ("estimate", "low", "high")))
@@ -272,6 +284,17 @@ def a33_attribution(spark, d):
     return out.select("l_partkey", "n_top", F.round(F.col("mean_weight") + 1e-7, 4).alias("mean_weight"), r6("coverage", "coverage"))
 
 
+_U = lambda text: f"((('0x' || substr(md5({text}), 1, 12))::UBIGINT + 0.5) / 281474976710656.0)"
+
+
+@query(f"""WITH u AS (SELECT event_id, event_type, {_U("'3|' || event_id")} AS u FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY u, event_id) AS k, row_number() OVER (ORDER BY u, event_id) AS g FROM u)
+  SELECT event_type, count(*) FILTER (k <= 20) AS n, sum(event_id) FILTER (k <= 20)::BIGINT AS ids, count(*) FILTER (g <= 50) AS n_first, coalesce(sum(event_id) FILTER (g <= 50), 0)::BIGINT AS first_ids FROM r GROUP BY 1""")
+def m1_m2_samples(spark, d):
+    per = choice.sample_per_group(events(spark, d), group=["event_type"], key=["event_id"], n=20, seed=3).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    few = choice.sample_rows(events(spark, d), key=["event_id"], n=50, seed=3).groupBy("event_type").agg(F.count("*").alias("n_first"), F.sum("event_id").alias("first_ids"))
+    return per.join(few, "event_type", "left").select("event_type", "n", "ids", F.coalesce("n_first", F.lit(0)).alias("n_first"), F.coalesce("first_ids", F.lit(0)).alias("first_ids"))
+
+
 @query()
 def m1_m3_sampling(spark, d):
     per = choice.sample_per_group(events(spark, d), group=["event_type"], key=["event_id"], n=20, seed=3).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -279,6 +302,46 @@ def m1_m3_sampling(spark, d):
     return per.join(again, "event_type")
 
 
+@query("""WITH p AS (SELECT o_orderpriority AS cell, avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END) AS share FROM orders GROUP BY 1)
+  SELECT cell, round(ln(share / (1 - share)), 4) AS weight FROM p""")
+def m4_m6_closed_form(spark, d):
+    """Two alternatives that differ in one constant: the fitted weight of each subset is the log odds of the share chosen."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_totalprice") > 150000).cast("int").alias("dear"))
+    rows = o.withColumn("x", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("chosen", (F.col("x") == F.col("dear")).cast("int"))
+    cells = [r[0] for r in o.select("o_orderpriority").distinct().collect()]  # five priorities
+    subsets = choice.subset_rows(rows, {c: F.col("o_orderpriority") == c for c in cells})
+    out = []
+    for c in cells:
+        w = choice.fit_choice(subsets.filter(F.col("subset") == c), decision=["o_orderkey"], columns=["x"], chosen="chosen", l2=0.0)
+        out.append((c, w["x"]))
+    return spark.createDataFrame(out, "cell string, weight double").select("cell", F.round("weight", 4).alias("weight"))
+
+
+@query(f"""WITH w AS (SELECT b, o_totalprice > 150000 AS dear, {_poisson_sql("'7|' || b || '|' || o_custkey")} AS w FROM orders, range(1, 21) AS t(b)),
+  s AS (SELECT b, sum(w) FILTER (dear) AS yes, sum(w) FILTER (NOT dear) AS no FROM w GROUP BY 1) SELECT b::INTEGER AS replicate, round(ln(yes / no), 4) AS weight FROM s""")
+def m5_bootstrap_closed_form(spark, d):
+    """The same with weights drawn for customers: 20 replicates fitted in the same passes."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") > 150000).cast("int").alias("dear"))
+    rows = o.withColumn("x", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("chosen", (F.col("x") == F.col("dear")).cast("int"))
+    fits = choice.bootstrap_choice(rows, decision=["o_orderkey"], columns=["x"], chosen="chosen", cluster=["o_custkey"], replicates=20, l2=0.0)
+    return spark.createDataFrame([(b, w["x"]) for b, w in enumerate(fits, 1)], "replicate int, weight double").select("replicate", F.round("weight", 4).alias("weight"))
+
+
+@query("""WITH b AS (SELECT *, l_extendedprice = max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS c FROM lineitem), s AS (SELECT 'final' AS subset, * FROM b WHERE l_linestatus = 'F' UNION ALL SELECT 'returned', * FROM b WHERE l_returnflag = 'R')
+  SELECT subset, round(avg(l_quantity) FILTER (c), 6) AS mean_chosen, round(avg(l_quantity) FILTER (NOT c), 6) AS mean_other FROM s GROUP BY 1""")
+def m6_subset_means(spark, d):
+    best = F.max("l_extendedprice").over(windows.W.partitionBy("l_orderkey"))
+    rows = _lines(spark, d).withColumn("chosen", (F.col("l_extendedprice") == best).cast("int")).withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    sets = choice.subset_rows(rows, {"final": F.col("l_linestatus") == "F", "returned": F.col("l_returnflag") == "R"})
+    return choice.chosen_means(sets, columns=["l_quantity"], chosen="chosen", by=["subset"]).select("subset", r6("mean_chosen", "mean_chosen"), r6("mean_other", "mean_other"))
+
+
+@query("""SELECT l_linenumber, count(*) AS n, round(avg(1 - abs(l_extendedprice - 1000 * l_quantity) / abs(nullif(1000 * l_quantity, 0))), 6) AS faithfulness FROM lineitem GROUP BY 1""")
+def m8_faithfulness(spark, d):
+    x = _lines(spark, d).withColumn("f", evaluate.faithfulness(F.col("l_extendedprice"), 1000.0 * F.col("l_quantity")))
+    return x.groupBy("l_linenumber").agg(F.count("*").alias("n"), r6(F.avg("f"), "faithfulness"))
+
+
 @query()
 def m4_choice_fit(spark, d):
     rows = _lines(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_quantity") / 50).alias("quantity"), F.col("l_discount").alias("discount"), "l_extendedprice")

@@ -10,10 +10,6 @@ from ..functions.shared import shared_dir
 from ..streaming import live
 from .bind import query, table
 
-#: The end of what the SQL of stream_inventory and stream_sessions asks for; the queries named _all go to the log's end.
-_UNTIL = "2024-01-25"
-
-
 #: Files of one day lie side by side in the log, so a row is at most a day behind those read before it.
 _LATE = "1 day"
 
@@ -41,9 +37,9 @@ def _sessions(spark, d):
     return live.run_available(live.live_sessions(log, key="user_id", ts="ts", late=_LATE), f"{base}/out", f"{base}/state")
 
 
-@query(f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '{_UNTIL}' GROUP BY 1, 2")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_inventory(spark, d):
-    return _inventory(spark, d).filter(F.col("day") < _UNTIL)
+    return _inventory(spark, d)
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -51,12 +47,13 @@ def stream_inventory_all(spark, d):
     return _inventory(spark, d)
 
 
-@query(f"""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 43200000000 THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-  s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g), f AS (SELECT user_id, no, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY 1, 2)
-  SELECT user_id, count(*) AS n_sessions, sum(n)::BIGINT AS n_events FROM f WHERE last < TIMESTAMP '{_UNTIL}' GROUP BY 1""")
+@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 43200000000 THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n_events FROM s GROUP BY user_id, no""")
 def stream_sessions(spark, d):
-    done = _sessions(spark, d).filter(F.col("session_end") - F.expr("INTERVAL 12 HOURS") < F.lit(_UNTIL).cast("timestamp"))
-    return done.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))
+    """Every session as the stream closed it."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return _sessions(spark, d).select("user_id", stamp("session_start").alias("first"), stamp(F.col("session_end") - F.expr("INTERVAL 12 HOURS")).alias("last"), F.col("n").alias("n_events"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 43200000000 THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -23,7 +23,7 @@ def _lines(spark, d):
 @query(f"""WITH x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {_ROUTE_TEXT} AS id FROM lineitem)
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {', '.join(f"nullif(regexp_extract(id, '{_ROUTE_RE}', {k}), '') AS {n}" for k, n in enumerate(('prefix', 'signal_no', 'letter', 'sub', 'cls'), 1))} FROM x""")
 def p1_route_id(spark, d):
-    text = F.expr(_ROUTE_TEXT.replace("||", "||"))
+    text = F.expr(_ROUTE_TEXT)
     parts = parse.route_parts(text)
     return _lines(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", parts.alias("p")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "p.*")
 
@@ -167,16 +167,19 @@ def s15_patch_window(spark, d):
     return fixed.groupBy("event_type").agg(F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT 0::BIGINT AS bad_start, 0::BIGINT AS bad_step, 0::BIGINT AS bad_time, 0::BIGINT AS repeated FROM (SELECT count(*) FROM events)")
+@query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events)
+  SELECT user_id, count(*) AS n, sum((k + 1) * (event_id % 1000))::BIGINT AS digest FROM p GROUP BY 1""")
 def s13_canonical_order(spark, d):
+    """Positions as found in the written files: a session's rows numbered anew in the order in which they lie there."""
     import uuid
 
     from ..operators import windows
 
-    placed = windows.positions(events(spark, d), session=["user_id"], order=["ts", "event_id"])
     path = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
-    io.write_in_order(placed, path, order=["user_id", "position"])
-    return windows.order_faults(spark.read.parquet(path), session=["user_id"], position="position", ts="ts")
+    io.write_in_order(events(spark, d).select("user_id", "ts", "event_id"), path, order=["user_id", "ts", "event_id"])
+    lain = spark.read.parquet(path).select("user_id", "event_id", F.concat(F.input_file_name(), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")).alias("at"))
+    placed = windows.positions(lain, session=["user_id"], order=["at"])
+    return placed.groupBy("user_id").agg(F.count("*").alias("n"), F.sum((F.col("position") + 1) * (F.col("event_id") % 1000)).alias("digest"))
 
 
 @query("""SELECT e.error, count(*) AS n FROM (

@@ -75,7 +75,7 @@ def j3_occupant_and_age(spark, d):
   SELECT p.event_id, string_agg(event_type, '>' ORDER BY k) AS recent FROM p LEFT JOIN r ON p.event_id = r.event_id AND k <= 2 GROUP BY p.event_id""")
 def j4_last_distinct(spark, d):
     out = asof.last_distinct(
-        purchases(spark, d), timeline(spark, d), keys=["user_id"], probe_ts="ts", event_ts="ts", element="event_type", n=2, probe_id="event_id"
+        purchases(spark, d), timeline(spark, d), keys=["user_id"], probe_ts="ts", event_ts="ts", element="event_type", n=2
     )
     return out.select("event_id", F.when(F.col("recent").isNotNull(), F.array_join("recent", ">")).alias("recent"))
 
@@ -302,9 +302,14 @@ def w15_return_to_go(spark, d):
     return rows.join(out, ["user_id", "session_no", "position"]).select("event_id", F.round(F.col("to_go") + 1e-9, 4).alias("to_go"))
 
 
-@query("SELECT 0::BIGINT AS bad_start, 0::BIGINT AS bad_step, 0::BIGINT AS bad_time, 0::BIGINT AS repeated FROM (SELECT count(*) FROM events)")
+@query(f"""WITH {_POS}, moved AS (SELECT user_id, session_no, ts, event_id, CASE WHEN event_id % 97 = 0 THEN k + 1 ELSE k END AS k, CASE WHEN event_id % 89 = 0 THEN ts - INTERVAL 20 HOUR ELSE ts END AS t FROM q),
+  pairs AS (SELECT k, t, lag(k) OVER w AS pk, lag(t) OVER w AS pt FROM moved WINDOW w AS (PARTITION BY user_id, session_no ORDER BY k, t))
+  SELECT count(*) FILTER (pk IS NULL AND k <> 0) AS bad_start, count(*) FILTER (k - pk <> 1) AS bad_step, count(*) FILTER (t < pt) AS bad_time, count(*) FILTER (k = pk) AS repeated FROM pairs""")
 def w16_order_checks(spark, d):
-    return windows.order_faults(_positioned(spark, d), session=["user_id", "session_no"], position="position", ts="ts")
+    """Sessions with planted faults: places moved and times set back."""
+    rows = _positioned(spark, d).withColumn("position", F.when(F.col("event_id") % 97 == 0, F.col("position") + 1).otherwise(F.col("position")))
+    rows = rows.withColumn("ts", F.when(F.col("event_id") % 89 == 0, F.col("ts") - F.expr("INTERVAL 20 HOURS")).otherwise(F.col("ts")))
+    return windows.order_faults(rows, session=["user_id", "session_no"], position="position", ts="ts")
 
 
 @query(f"""WITH {_SESS} SELECT event_id, coalesce(string_agg(event_type, '>') OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM s""")
@@ -397,9 +402,9 @@ def j14_last_events(spark, d):
     return out.select("event_id", "rank", "other_id")
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS sample_id FROM events")
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS sample_id, event_type, user_id, round(value, 4) AS value, length(props)::INTEGER AS n_props FROM events")
 def d6_surrogate_key(spark, d):
-    return decisions.surrogate_key(events(spark, d), ["ts", "event_id"]).select("event_id", "sample_id")
+    return decisions.surrogate_key(events(spark, d), ["ts", "event_id"]).select("event_id", "sample_id", "event_type", "user_id", F.round("value", 4).alias("value"), F.length("props").alias("n_props"))
 
 
 @query("""WITH n AS (SELECT e.event_id, (SELECT min(x.ts) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'purchase' AND x.ts >= e.ts) AS nx, ts FROM events e WHERE event_type = 'view')

@@ -129,3 +129,49 @@ def rule_rows(rules: DataFrame, *, json_columns: Sequence[str]) -> DataFrame:
 def row_errors(checks: dict[str, Column]) -> Column:
     """The names of the checks whose violation holds, as an array."""
     return F.array_compact(F.array(*(F.when(F.coalesce(v, F.lit(False)), F.lit(n)) for n, v in checks.items())))
+
+
+def read_movements(spark: SparkSession, path: str, *, times: Sequence[str], reference: str, start, end) -> DataFrame:
+    """The cached table of reports with the clock fix applied, once: rows already marked as fixed are left as they are."""
+    return parse.clock_fix(spark.read.parquet(path), times=times, reference=reference, start=start, end=end)
+
+
+def write_tokens(tokens: DataFrame, path: str, *, ts: str, tie: Sequence[str] = ()) -> DataFrame:
+    """A token stream in order of time, written once and read from there."""
+    write_in_order(tokens, path, order=[ts, *tie])
+    return tokens.sparkSession.read.schema(tokens.schema).parquet(path)
+
+
+def patch_counts(df: DataFrame, *, ts: str, start: str, end: str, patches: dict[str, Column]) -> DataFrame:
+    """column, n_inside, n_changed, before, after: what patch_in_window does to each column (sums where the column is a number)."""
+    inside = (F.col(ts) >= F.lit(start).cast("timestamp_ntz")) & (F.col(ts) < F.lit(end).cast("timestamp_ntz"))
+    rows = []
+    for c, v in patches.items():
+        new = F.when(inside, v).otherwise(F.col(c))
+        rows.append(F.struct(
+            F.lit(c).alias("column"), F.count_if(inside).alias("n_inside"), F.count_if(~new.eqNullSafe(F.col(c))).alias("n_changed"),
+            F.sum(F.col(c).cast("double")).alias("before"), F.sum(new.cast("double")).alias("after"),
+        ))
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+def write_rules(rules: DataFrame, path: str, *, json_columns: Sequence[str]) -> DataFrame:
+    """Rules with nested columns as JSON text, written as Parquet and CSV; one row: how many went in and came back from each."""
+    flat = rule_rows(rules, json_columns=json_columns)
+    flat.write.parquet(f"{path}/parquet")
+    flat.write.option("header", True).option("escape", '"').csv(f"{path}/csv")
+    spark = rules.sparkSession
+    back = {"parquet": spark.read.schema(flat.schema).parquet(f"{path}/parquet"), "csv": spark.read.schema(flat.schema).option("header", True).option("escape", '"').csv(f"{path}/csv")}
+    out = flat.agg(F.count("*").alias("n_rules"))
+    for name, df in back.items():
+        same = df.intersectAll(flat).agg(F.count("*").alias(f"n_{name}"))
+        out = out.join(F.broadcast(same))  # one row each
+    return out
+
+
+def attached(df: DataFrame, side: DataFrame, *, key: str, columns: Sequence[str]) -> DataFrame:
+    """df with columns of a side table that is unique by key; raises if it is not, so the number of rows stays."""
+    twice = duplicate_keys(side, key).take(1)
+    if twice:
+        raise ValueError(f"{key} {twice[0][0]} is in the side table {twice[0][1]} times")
+    return df.join(side.select(key, *columns), key, "left")
