@@ -96,3 +96,16 @@ def marginals(emission: np.ndarray, sizes: np.ndarray, steps: np.ndarray, counts
     on, was = odds[now] * g[now], f[now - 1]
     w = np.stack([np.full(len(now), s00), s01 * on, s10 * was, s11 * on * was])
     return both / (1 + both), (w / w.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
+
+def in_blocks(emission: np.ndarray, sizes: np.ndarray, steps: np.ndarray, counts: bool = True, words: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
+    """marginals of many chains, about that many words at a time, which bounds what the layout needs."""
+    ends = np.cumsum(sizes)
+    edges = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + words, words) if len(ends) else [], "left"))
+    edges = np.unique(np.r_[0, edges, len(sizes)])
+    out, pairs = np.empty(int(sizes.sum()), np.float32), np.zeros((2, 2))
+    for a, b in zip(edges[:-1], edges[1:]):
+        lo, hi = (int(ends[k - 1]) if k else 0 for k in (a, b))
+        out[lo:hi], own = marginals(emission[lo:hi], sizes[a:b], steps, counts)
+        pairs += own
+    return out, pairs

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ALNUM_BYTES, long_id, map_texts, quoted, slices, stored, whole_text, words_of
-from .crf import marginals
+from .crf import in_blocks, marginals
 
 BITS = 18
 LABEL_BITS = 22
@@ -115,20 +115,20 @@ def fit_field(texts: Iterable[str], toxic: Sequence[float], *, rounds: int = 20,
     inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
     now = np.flatnonzero(inner)
     pairs = np.bincount(2 * y[now - 1].astype(int) + y[now], minlength=4).reshape(2, 2)
-    flat, owner = _flat([features(w) for w in words])
+    flat, owner = (x.astype(np.int32) for x in _flat([features(w) for w in words]))
     theta = np.zeros(size + 5)  # weights, bias, steps
     theta[size] = -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
-        emission = (np.bincount(owner, theta[flat], len(words)) + theta[size])[ids]
-        p, expected = marginals(emission, sizes, theta[size + 1 :].reshape(2, 2))
+        emission = (np.bincount(owner, theta[flat], len(words)) + theta[size]).astype(np.float32)[ids]
+        p, expected = in_blocks(emission, sizes, theta[size + 1 :].reshape(2, 2))
         wrong = np.bincount(ids, p - y, len(words))
         grad = np.concatenate([np.bincount(flat, wrong[owner], size), [wrong.sum()], (expected - pairs).reshape(-1)])
         grad = grad / len(ids) * 1000 + l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     model = Model(theta[:size].astype(np.float32), float(theta[size]), theta[size + 1 :].reshape(2, 2), np.zeros(4))
-    p, _ = marginals(model.emissions(words)[ids], sizes, model.steps, counts=False)
+    p, _ = in_blocks(model.emissions(words)[ids], sizes, model.steps, counts=False)
     model.calibration = _fit_logistic(doc_features(p, sizes), toxic)
     return model
 

@@ -357,6 +357,9 @@ def test_marginals_of_whole_chains(monkeypatch, segment):
     got, pairs = crf.marginals(e, sizes, steps)
     own = [slow_chain(x, steps) for x in np.split(e, np.cumsum(sizes)[:-1]) if len(x)]
     assert np.allclose(got, np.concatenate([p for _, p, _ in own])) and np.allclose(pairs, sum(w for _, _, w in own))
+    for words in (1, 300, 10**6):
+        parts, sums = crf.in_blocks(e, sizes, steps, words=words)
+        assert np.allclose(parts, got, atol=1e-6) and np.allclose(sums, pairs)
 
 
 def test_marginals_against_enumeration():
