@@ -104,7 +104,7 @@ def _fit(table: DataFrame, n: int, k: int, first: int, l2: float, rounds: int, t
         while True:
             new = w + scale[:, None] * step
             ll, g, h = _pass(table, new, first)
-            worse = active & (scale > 0) & ~(goal(ll, new) >= at - 1e-12)
+            worse = active & (scale > 0) & ~(goal(ll, new) >= at - 1e-12 * np.maximum(1.0, np.abs(at)))
             if not worse.any():
                 break
             scale[worse] = np.where(scale[worse] > 1e-4, scale[worse] / 2, 0.0)

@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decisions, joins, quality, snapshot
-from .bind import TL, events, purchases, query, timeline
+from ..functions.shared import stored
+from ..operators import asof, decisions, graph, joins, quality, snapshot
+from .bind import TL, events, purchases, query, routes, timeline
+from .graph_plans import _CONNECTS
 
 _KINDS = "view", "click", "error", "signup"
 
 
-def build(spark, d):
-    log = events(spark, d)
-    points, _ = snapshot.centers(purchases(spark, d), timeline(spark, d).select("user_id", "ts", "event_type"), key="user_id", ts="ts", element="event_type")
+def _tokens(points, log):
+    """The last eight events of the user, with their ages."""
     recent = log.select("user_id", "ts", F.col("event_id").alias("token_id"), F.col("event_type").alias("token_kind"))
     tokens = joins.last_events(points.select("event_id", "user_id", "ts"), recent, keys=["user_id"], probe_id="event_id", probe_ts="ts", event_ts="ts", columns=["token_id", "token_kind"], k=8)
-    tokens = snapshot.nested(tokens.join(points.select("event_id", F.col("ts").alias("_t")), "event_id").withColumn("age_s", F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("_t")) / 1e6),
-                             key="event_id", name="tokens", columns=["token_id", "token_kind", "age_s"], order=["rank"])
+    return snapshot.nested(tokens.join(points.select("event_id", F.col("ts").alias("_t")), "event_id").withColumn("age_s", F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("_t")) / 1e6),
+                           key="event_id", name="tokens", columns=["token_id", "token_kind", "age_s"], order=["rank"])
+
+
+def _outlook(points, log):
+    """The next five events of other users within 15 minutes."""
     plan = log.select(F.col("ts").alias("sts"), F.col("user_id").alias("other_user"), F.col("event_id").alias("other_id"))
-    outlook = joins.upcoming(points.select("event_id", "ts", "user_id"), plan, probe_id="event_id", probe_ts="ts", schedule_ts="sts", exclude=("user_id", "other_user"), columns=["other_id", "other_user"], ahead_s=900, k=5)
+    return joins.upcoming(points.select("event_id", "ts", "user_id"), plan, probe_id="event_id", probe_ts="ts", schedule_ts="sts", exclude=("user_id", "other_user"), columns=["other_id", "other_user"], ahead_s=900, k=5)
+
+
+def build(spark, d):
+    log = events(spark, d)
+    points, _ = snapshot.centers(purchases(spark, d), timeline(spark, d).select("user_id", "ts", "event_type"), key="user_id", ts="ts", element="event_type")
+    tokens, outlook = _tokens(points, log), _outlook(points, log)
     asset = F.concat_ws(":", "user_id", "event_type")
     states = log.filter("event_type <> 'purchase'").select(asset.alias("asset"), F.col("ts").alias("ets"), (F.col("value") > 50).cast("int").alias("st"))
     kinds = points.select("event_id", "ts", F.explode(F.transform(F.array(*map(F.lit, _KINDS)), lambda k: F.concat_ws(":", F.col("user_id"), k))).alias("asset"))
@@ -45,3 +56,74 @@ def n1_snapshots(spark, d):
     ids = F.transform("tokens", lambda t: t["token_id"].cast("string"))
     on = F.aggregate("nodes", F.lit(0).cast("long"), lambda a, n: a + n["state"])
     return s.select("event_id", "center", F.array_join(ids, ",").alias("tokens"), F.coalesce(F.size("outlook"), F.lit(0)).alias("n_outlook"), on.alias("n_on"), F.size("violations").alias("n_violations"))
+
+
+#: How many parts are elements: an event lies at the part that its number falls on.
+_ELEMENTS = 2000
+
+
+def network_parts(spark, d):
+    """points, skipped and the parts of each snapshot over the network of parts: nodes and edges of the subgraph around the
+    user's last part, users there, and how users, parts and signals hang together. Parts of odd numbers are signals."""
+    log = events(spark, d).withColumn("element", F.col("event_id") % _ELEMENTS + 1)
+    reports = log.filter("event_type <> 'purchase'")
+    places = reports.select("user_id", "ts", "element")
+    points, skipped = snapshot.centers(purchases(spark, d), places, key="user_id", ts="ts", element="element")
+    points = stored(points, "points")
+    net = stored(graph.connects(routes(spark, d), elements="elements"), "connects")
+    seeds = points.select(F.col("center").alias("seed"), F.col("center").alias("node")).distinct()
+    near = graph.hops(net, seeds, most=1).withColumn("kind", F.when(F.col("node") % 2 == 0, "track").otherwise("signal"))
+    around = stored(graph.subgraph(near, center="seed", node="node", node_type="kind", caps={"track": 6, "signal": 3}, most_hops=1), "subgraphs")
+    edges = snapshot.nested(graph.edges_inside(net, around, center="seed", node="node"), key="seed", name="edges", columns=["src", "dst"], order=["src", "dst"])
+    asked = points.select("event_id", "user_id", "ts", F.col("center").alias("seed")).join(around.select("seed", "node", "kind", "hops"), "seed")
+    states = reports.select(F.col("element").alias("node"), F.col("ts").alias("ets"), (F.col("value") > 50).cast("int").alias("st"), F.col("user_id").alias("holder"))
+    at = dict(event_ts="ets", state="st")
+    rows = snapshot.element_nodes(asked, states, key="event_id", element="node", ts="ts", windows_s=[86400], **at)
+    rows = stored(asof.occupier_at(rows, states, key="node", probe_ts="ts", train="holder", **at), "nodes")
+    columns = ["node", "hops", "state", "share_86400", "changes_86400"]
+    tracks = snapshot.nested(rows.filter("kind = 'track'"), key="event_id", name="tracks", columns=columns, order=["hops", "node"])
+    berths = rows.filter("kind = 'signal'")
+    signals = snapshot.nested(berths, key="event_id", name="signals", columns=[*columns, "occupier"], order=["hops", "node"])
+    others = stored(snapshot.other_trains(rows, key="event_id", train="occupier", focal="user_id", cap=3), "others")
+    own = points.select("event_id", "ts", F.col("user_id").alias("focal"))
+    users = own.withColumn("user_id", F.col("focal")).unionByName(own.join(others, "event_id").withColumn("user_id", F.explode("others")).drop("others"))
+    placed = stored(asof.as_of(users, places, keys=["user_id"], probe_ts="ts", event_ts="ts", values={"element": F.col("element")}), "placed")
+    trains = snapshot.train_nodes(placed, key="event_id", focal="focal", train="user_id", columns=["element"], cap=4)
+    moving = snapshot.dynamic_edges(
+        placed.select("event_id", F.col("user_id").alias("train"), "element"), berths.select("event_id", F.col("node").alias("signal"), F.col("occupier").alias("train")),
+        rows.select("event_id", "node"), key="event_id", train="train", element="element", signal="signal",
+    )
+    moving = snapshot.nested(moving, key="event_id", name="dynamic_edges", columns=["kind", "src", "dst"], order=["kind", "src", "dst"])
+    parts = [tracks, signals, others, trains, moving, _tokens(points, log), _outlook(points, log).select("event_id", "outlook")]
+    return points, skipped, parts, edges
+
+
+@query(f"""WITH {TL}, {_CONNECTS}, lg AS (SELECT *, event_id % {_ELEMENTS} + 1 AS e FROM events WHERE event_type <> 'purchase'),
+  c AS (SELECT p.event_id, p.user_id, p.ts, lg.e AS center FROM p ASOF LEFT JOIN lg ON p.user_id = lg.user_id AND p.ts >= lg.ts),
+  hop AS (SELECT seed, node, min(h) AS hops FROM (SELECT center AS seed, center AS node, 0 AS h FROM c WHERE center IS NOT NULL UNION SELECT center, dst, 1 FROM c JOIN con ON src = center) GROUP BY 1, 2),
+  nk AS (SELECT *, row_number() OVER (PARTITION BY seed, node % 2 ORDER BY hops, node) AS k FROM hop), n AS (SELECT seed, node FROM nk WHERE k <= CASE WHEN node % 2 = 0 THEN 6 ELSE 3 END),
+  ed AS (SELECT a.seed, count(*) AS n FROM n a JOIN con ON con.src = a.node JOIN n b ON b.seed = a.seed AND b.node = con.dst GROUP BY 1),
+  q AS (SELECT c.event_id, c.user_id, c.ts, n.node FROM c JOIN n ON n.seed = c.center),
+  h AS (SELECT q.*, CASE WHEN lg.value > 50 THEN 1 ELSE 0 END AS st, CASE WHEN lg.value > 50 THEN lg.user_id END AS holder FROM q ASOF LEFT JOIN lg ON q.node = lg.e AND q.ts >= lg.ts),
+  hs AS (SELECT event_id, count(*) AS n_nodes, sum(st) AS n_on, list_sort(list_distinct(list(holder) FILTER (holder <> user_id)))[1:3] AS others FROM h GROUP BY 1),
+  tr AS (SELECT event_id, ts, user_id AS train FROM c WHERE center IS NOT NULL UNION ALL SELECT c.event_id, c.ts, unnest(others) FROM hs JOIN c ON c.event_id = hs.event_id),
+  ps AS (SELECT tr.event_id, tr.train, lg.e FROM tr ASOF LEFT JOIN lg ON tr.train = lg.user_id AND tr.ts >= lg.ts),
+  dy AS (SELECT event_id, count(*) AS n FROM (SELECT ps.event_id, 'at' AS kind, train AS src, e AS dst FROM ps JOIN h ON h.event_id = ps.event_id AND h.node = ps.e UNION SELECT event_id, 'holds', holder, node FROM h WHERE node % 2 = 1 AND holder IS NOT NULL) GROUP BY 1),
+  tk AS (SELECT c.event_id, least(count(*), 8) AS n FROM c JOIN events x ON x.user_id = c.user_id AND x.ts <= c.ts WHERE center IS NOT NULL GROUP BY 1),
+  ol AS (SELECT c.event_id, least(count(*), 5) AS n FROM c JOIN events x ON x.ts > c.ts AND x.ts <= c.ts + INTERVAL 15 MINUTE AND x.user_id <> c.user_id WHERE center IS NOT NULL GROUP BY 1)
+  SELECT c.event_id, coalesce(center, -1) AS center, CASE WHEN center IS NULL THEN 'no_center' ELSE '' END AS reason, coalesce(n_nodes, 0)::INTEGER AS n_nodes, coalesce(n_on, 0)::INTEGER AS n_on, coalesce(ed.n, 0)::INTEGER AS n_edges,
+    coalesce(array_to_string(others, ','), '') AS others, coalesce(dy.n, 0)::INTEGER AS n_dynamic, coalesce(tk.n, 0)::INTEGER AS n_tokens, coalesce(ol.n, 0)::INTEGER AS n_outlook,
+    CASE WHEN center IS NULL THEN 0 ELSE 1 + coalesce(len(others), 0) END::INTEGER AS n_trains
+  FROM c LEFT JOIN hs ON hs.event_id = c.event_id LEFT JOIN ed ON ed.seed = center LEFT JOIN dy ON dy.event_id = c.event_id LEFT JOIN tk ON tk.event_id = c.event_id LEFT JOIN ol ON ol.event_id = c.event_id""")
+def n1_network_snapshots(spark, d):
+    """Snapshots with all their parts, and the purchases skipped for want of a centre with the reason."""
+    points, skipped, parts, edges = network_parts(spark, d)
+    whole = snapshot.assemble(points, parts, key="event_id").join(edges.withColumnRenamed("seed", "center"), "center", "left").withColumn("reason", F.lit(""))
+    rows = whole.unionByName(skipped, allowMissingColumns=True)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    on = F.aggregate(F.concat(*(F.transform(F.coalesce(c, F.array()), lambda n: n["state"]) for c in ("tracks", "signals"))), F.lit(0), lambda a, x: a + x)
+    return rows.select(
+        "event_id", F.coalesce("center", F.lit(-1)).alias("center"), "reason", (size("tracks") + size("signals")).alias("n_nodes"), on.alias("n_on"),
+        size("edges").alias("n_edges"), F.coalesce(F.array_join(F.transform("others", lambda x: x.cast("string")), ","), F.lit("")).alias("others"),
+        size("dynamic_edges").alias("n_dynamic"), size("tokens").alias("n_tokens"), size("outlook").alias("n_outlook"), size("trains").alias("n_trains"),
+    )

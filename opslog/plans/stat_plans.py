@@ -295,7 +295,9 @@ def m1_m2_samples(spark, d):
     return per.join(few, "event_type", "left").select("event_type", "n", "ids", F.coalesce("n_first", F.lit(0)).alias("n_first"), F.coalesce("first_ids", F.lit(0)).alias("first_ids"))
 
 
-@query()
+@query(f"""WITH k AS (SELECT event_type, count(*) AS c FROM events GROUP BY 1), w AS (SELECT *, sqrt(sum(c) OVER () / c) AS w, sum(c) OVER () AS a FROM k), m AS (SELECT event_type, c, a * w / sum(w * c) OVER () AS mean FROM w),
+  t AS (SELECT event_type, c, CASE WHEN {_U("'3|' || event_id")} < mean - floor(mean) THEN 1 ELSE 0 END + coalesce(list_sum(list_transform(range(floor(mean)::BIGINT), lambda i: {_poisson_sql("'3|' || i || '|' || event_id")})), 0) AS times FROM events JOIN m USING (event_type))
+  SELECT event_type, least(max(c), 20)::BIGINT AS n, sum(times)::BIGINT AS n_resampled FROM t GROUP BY 1""")
 def m1_m3_sampling(spark, d):
     per = choice.sample_per_group(events(spark, d), group=["event_type"], key=["event_id"], n=20, seed=3).groupBy("event_type").agg(F.count("*").alias("n"))
     again = choice.resample_balanced(events(spark, d), stratum="event_type", key=["event_id"], seed=3).groupBy("event_type").agg(F.count("*").alias("n_resampled"))
@@ -342,13 +344,20 @@ def m8_faithfulness(spark, d):
     return x.groupBy("l_linenumber").agg(F.count("*").alias("n"), r6(F.avg("f"), "faithfulness"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT l_orderkey AS o, l_quantity / 50 AS x, l_discount AS z, rank() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC) = 1 AS y FROM lineitem),
+  n AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+    SELECT i + 1, a + ((hz + 0.001) * gx - hxz * gz) / det, b + ((hx + 0.001) * gz - hxz * gx) / det FROM (
+      SELECT i, a, b, sum(gx) - 0.001 * a AS gx, sum(gz) - 0.001 * b AS gz, sum(hx) AS hx, sum(hz) AS hz, sum(hxz) AS hxz, (sum(hx) + 0.001) * (sum(hz) + 0.001) - sum(hxz) * sum(hxz) AS det FROM (
+        SELECT i, a, b, o, sum(x) FILTER (y) - sum(e * x) / sum(e) AS gx, sum(z) FILTER (y) - sum(e * z) / sum(e) AS gz, sum(e * x * x) / sum(e) - (sum(e * x) / sum(e)) ** 2 AS hx,
+          sum(e * z * z) / sum(e) - (sum(e * z) / sum(e)) ** 2 AS hz, sum(e * x * z) / sum(e) - sum(e * x) / sum(e) * sum(e * z) / sum(e) AS hxz
+        FROM (SELECT n.i, n.a, n.b, d.o, d.x, d.z, d.y, exp(n.a * d.x + n.b * d.z) AS e FROM n, d WHERE n.i < 8) GROUP BY i, a, b, o) GROUP BY i, a, b))
+  SELECT 'quantity' AS feature, round(a, 6) AS weight FROM n WHERE i = 8 UNION ALL SELECT 'discount', round(b, 6) FROM n WHERE i = 8""")
 def m4_choice_fit(spark, d):
     rows = _lines(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_quantity") / 50).alias("quantity"), F.col("l_discount").alias("discount"), "l_extendedprice")
     best = F.max(F.struct("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")).over(windows.W.partitionBy("l_orderkey"))
     own = F.struct("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")
     rows = rows.withColumn("chosen", (own == best).cast("int")).select("l_orderkey", "quantity", "discount", "chosen")
-    w = choice.fit_choice(rows, decision=["l_orderkey"], columns=["quantity", "discount"], chosen="chosen", rounds=8)
+    w = choice.fit_choice(rows, decision=["l_orderkey"], columns=["quantity", "discount"], chosen="chosen", rounds=8, tolerance=1e-13)
     return spark.createDataFrame([(n, round(v, 6)) for n, v in w.items()], "feature string, weight double")
 
 
