@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shared import stored
-from .evaluate import hashed_uniform, poisson_weight
+from .evaluate import digest, hashed_uniform, poisson_of
 
 
 def sample_rows(df: DataFrame, *, key: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -33,9 +33,10 @@ def resample_balanced(df: DataFrame, *, stratum: str, key: Sequence[str], seed:
     mean = scaled.select(stratum, (F.col("_all") * F.col("_w") / F.col("_sum")).alias("_mean"))
     whole = F.floor("_mean").cast("int")
     u = hashed_uniform(F.lit(seed), *(F.col(c) for c in key))
+    digests = F.transform(F.sequence(F.lit(0), whole), lambda i: digest(F.lit(seed), i, *(F.col(c) for c in key)))
     # one Poisson(1) draw per whole unit of the mean and one with the rest as its chance
     times = F.aggregate(
-        F.transform(F.sequence(F.lit(0), whole), lambda i: F.when(i < whole, poisson_weight(F.lit(seed), i, *(F.col(c) for c in key))).otherwise((u < F.col("_mean") - whole).cast("int"))),
+        F.transform(digests, lambda h, i: F.when(i < whole, poisson_of(h)).otherwise((u < F.col("_mean") - whole).cast("int"))),
         F.lit(0), lambda a, x: a + x,
     )
     joined = df.join(F.broadcast(mean), stratum).withColumn("_times", times).filter("_times > 0")
@@ -50,8 +51,8 @@ def design(df: DataFrame, *, decision: Sequence[str], columns: Sequence[str], ch
     per = df.groupBy(*dict.fromkeys([*decision, *cluster])).agg(F.array_sort(F.collect_list(row)).alias("rows"), own.alias("own"))
     weights = F.array("own")
     if replicates:
-        draw = lambda b: F.col("own") * poisson_weight(F.lit(seed), b, *(F.col(c) for c in cluster))
-        weights = F.concat(weights, F.transform(F.sequence(F.lit(1), F.lit(replicates)), draw))
+        digests = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: digest(F.lit(seed), b, *(F.col(c) for c in cluster)))
+        weights = F.concat(weights, F.transform(digests, lambda h: F.col("own") * poisson_of(h)))
     return stored(per.select("rows", weights.alias("weights")), "design")
 
 

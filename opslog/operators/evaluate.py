@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -147,21 +148,32 @@ def with_interval(across: DataFrame, z: float = 1.96) -> DataFrame:
     return across.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
 
 
+def digest(*parts: Column) -> Column:
+    """The md5 of the columns as text, which every engine has: draws are read from its first 12 hex digits."""
+    return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
+
+
 def hashed_uniform(*parts: Column) -> Column:
-    """A number in (0, 1) from the md5 of the columns as text, so that other engines can draw the same."""
-    digits = F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 12)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
+    """A number in (0, 1) that depends only on the given columns."""
+    return (F.conv(F.substring(digest(*parts), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def poisson_weight(*parts: Column) -> Column:
-    """A Poisson(1) draw that depends only on the given columns: inverse distribution of a uniform from their md5."""
-    u = hashed_uniform(*parts)
-    out, total, term = None, 0.0, 2.718281828459045**-1
+def poisson_of(drawn: Column) -> Column:
+    """The Poisson(1) draw of a digest: how many steps of the distribution are at or below its uniform.
+
+    Steps are compared as hex digits, which order as the numbers do, so a draw needs no conversion.
+    """
+    out, total, term = F.lit(0), 0.0, math.exp(-1)
     for k in range(12):
         total += term
-        out = F.when(u < total, k) if out is None else out.when(u < total, k)
+        out = out + (drawn >= f"{math.ceil(total * (1 << 48) - 0.5):012x}").cast("int")
         term /= k + 1
-    return out.otherwise(12)
+    return out
+
+
+def poisson_weight(*parts: Column) -> Column:
+    """A Poisson(1) draw that depends only on the given columns."""
+    return poisson_of(digest(*parts))
 
 
 def bootstrap(df: DataFrame, *, cluster: Sequence[str], value: str, replicates: int = 200, seed: int = 7, level: float = 0.95, strata: Sequence[str] = ()) -> DataFrame:

@@ -164,3 +164,26 @@ def test_global_numbers_have_no_gaps(spark):
     df = spark.range(1000).withColumn("x", F.xxhash64("id"))
     out = joins.numbered(df, ["x"])
     assert out.agg(F.min("seq"), F.max("seq"), F.count_distinct("seq")).first() == (1, 1000, 1000)
+
+
+def test_poisson_draws_are_the_inverse_distribution(spark):
+    import hashlib
+    import math
+
+    def drawn(key):
+        u = (int(hashlib.md5(f"7|{key}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        total, k = math.exp(-1), 0
+        while u >= total:
+            k += 1
+            total += math.exp(-1) / math.factorial(k)
+        return k
+
+    rows = spark.range(5000).select("id", evaluate.poisson_weight(F.lit(7), F.col("id")).alias("w")).collect()
+    assert all(r.w == drawn(r.id) for r in rows)
+
+
+def test_weights_are_normalised():
+    weights = {"a": 3.0, "b": -1.0}
+    assert choice.normalised(weights) == {"a": 0.75, "b": -0.25}
+    assert choice.normalised(weights, "max") == {"a": 1.0, "b": -1 / 3}
+    assert choice.normalised({"a": 0.0}) == {"a": 0.0} and choice.normalised({}, "max") == {}

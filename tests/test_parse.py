@@ -87,3 +87,9 @@ def test_nested_sink_enforces_schema(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).dtypes == [("y", "string"), ("x", "bigint")]
     with pytest.raises(Exception):
         io.write_nested(df, T.StructType.fromDDL("missing string"), str(tmp_path / "bad"))
+
+
+def test_an_index_gives_its_action(spark):
+    rows = [(["a", "b"], 0), (["a", "b"], 2), (["a"], 2), (["a"], -1), (None, 1), (["a"], None)]
+    got = one(spark, rows, "c array<string>, i int", parse.action_of_index(F.col("c"), F.col("i")))
+    assert [r[0] for r in got] == [None, "b", None, None, None, None]
