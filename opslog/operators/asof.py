@@ -80,56 +80,71 @@ def time_bin(ts: Column, bin_s: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (bin_s * 1_000_000))
 
 
+def time_slot(keys: Sequence[str], ts: Column, bin_s: int) -> Column:
+    """Key and bin of time in one struct, which is never null: rows without a key or a time have slots like others, and joins by slot
+    keep them."""
+    return F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), time_bin(ts, bin_s).alias("bin"))
+
+
+def slots_of_key(keys: Sequence[str], slot: str = "_slot"):
+    """The slots of each key in order of time; one row a slot."""
+    return W.partitionBy(*(F.col(slot)[f"k{i}"] for i in range(len(keys)))).orderBy(F.col(slot)["bin"])
+
+
 def _as_of_in_bins(probes, events, *, keys, probe_ts, event_ts, values, inclusive, forward, tie, bin_s) -> DataFrame:
     """The same look-up without a task per key: first within (key, bin); probes that meet nothing there take the last
     event of the last earlier bin that has one (the first of the next, forward), from a table with a row per key and bin."""
     kept = [c for c in probes.columns if c not in values]
     made = {n: (F.expr(v) if isinstance(v, str) else v) for n, v in values.items()}
     order = F.struct(F.col(event_ts).alias("t"), *([F.col(tie).alias("o")] if tie else []))
-    binned = events.withColumn("_bin", time_bin(F.col(event_ts), bin_s)).withColumn("_found", F.struct(*(v.alias(n) for n, v in made.items())))
-    asked = probes.select(*kept, time_bin(F.col(probe_ts), bin_s).alias("_bin"))
+    dealt = events.withColumn("_slot", time_slot(keys, F.col(event_ts), bin_s)).withColumn("_found", F.struct(*(v.alias(n) for n, v in made.items())))
+    asked = probes.select(*kept, time_slot(keys, F.col(probe_ts), bin_s).alias("_slot"))
     near = as_of(
-        asked, binned, keys=[*keys, "_bin"], probe_ts=probe_ts, event_ts=event_ts, values={"_near": F.col("_found")}, inclusive=inclusive,
+        asked, dealt, keys=["_slot"], probe_ts=probe_ts, event_ts=event_ts, values={"_near": F.col("_found")}, inclusive=inclusive,
         forward=forward, tie=tie,
     )
     edge = (F.min_by if forward else F.max_by)("_found", order)
-    edges = binned.groupBy(*keys, "_bin").agg(edge.alias("_edge"))
-    places = asked.select(*keys, "_bin").distinct()
+    edges = dealt.groupBy("_slot").agg(edge.alias("_edge"))
+    places = asked.select("_slot").distinct()
+    parts = [*(F.col("_slot")[f"k{i}"].alias(f"_k{i}") for i in range(len(keys))), F.col("_slot")["bin"].alias("_bin")]
     far = as_of(
-        places, edges, keys=keys, probe_ts="_bin", event_ts="_bin", values={"_far": F.col("_edge")}, inclusive=False, forward=forward
-    )
-    both = near.join(far, [*keys, "_bin"], "left").withColumn("_hit", F.coalesce("_near", "_far"))
+        places.select("_slot", *parts), edges.select("_edge", *parts), keys=[f"_k{i}" for i in range(len(keys))], probe_ts="_bin",
+        event_ts="_bin", values={"_far": F.col("_edge")}, inclusive=False, forward=forward,
+    )
+    both = near.join(far.select("_slot", "_far"), "_slot", "left").withColumn("_hit", F.coalesce("_near", "_far"))
     return both.select(*kept, *(F.col("_hit")[n].alias(n) for n in made))
 
 
 def previous_in_key(rows: DataFrame, *, keys: Sequence[str], ts: str, tie: Sequence[str] = (), columns: dict[str, str], bin_s: int | None = None) -> DataFrame:
     """Adds for each name of columns that column of the key's row before, null for the first. With bin_s, work is dealt by key and
-    bin of time, and the last row of the bin before comes from a table with a row per key and bin."""
+    bin of time, and the last row of the bin before comes from a table with a row per key and bin. A null key is a key, and rows
+    without a time come first."""
     found = F.struct(*(F.col(c).alias(n) for n, c in columns.items()))
     if bin_s is None:
         order = W.partitionBy(*keys).orderBy(ts, *tie)
         return rows.withColumn("_prev", F.lag(found).over(order)).select(*rows.columns, *(F.col("_prev")[n].alias(n) for n in columns))
-    binned = rows.withColumn("_bin", time_bin(F.col(ts), bin_s))
-    by, bins = [*keys, "_bin"], W.partitionBy(*keys).orderBy("_bin")
-    ends = binned.groupBy(*by).agg(F.max_by(found, F.struct(ts, *tie)).alias("_end")).withColumn("_before", F.lag("_end").over(bins)).drop("_end")
-    lag = F.lag(found).over(W.partitionBy(*by).orderBy(ts, *tie))
-    both = binned.withColumn("_prev", lag).join(ends, by).withColumn("_prev", F.coalesce("_prev", "_before"))
+    dealt = rows.withColumn("_slot", time_slot(keys, F.col(ts), bin_s))
+    ends = dealt.groupBy("_slot").agg(F.max_by(found, F.struct(ts, *tie)).alias("_end"))
+    ends = ends.select("_slot", F.lag("_end").over(slots_of_key(keys)).alias("_before"))
+    lag = F.lag(found).over(W.partitionBy("_slot").orderBy(ts, *tie))
+    both = dealt.withColumn("_prev", lag).join(ends, "_slot").withColumn("_prev", F.coalesce("_prev", "_before"))
     return both.select(*rows.columns, *(F.col("_prev")[n].alias(n) for n in columns))
 
 
 def running_in_key(rows: DataFrame, *, keys: Sequence[str], ts: str, tie: Sequence[str] = (), sums: dict[str, str], bin_s: int | None = None) -> DataFrame:
-    """Adds for each name of sums that column's sum over the key's rows up to this one. bin_s as in previous_in_key."""
+    """Adds for each name of sums that column's sum over the key's rows up to this one; null values add nothing. bin_s, null keys and
+    times as in previous_in_key."""
     if bin_s is None:
         upto = W.partitionBy(*keys).orderBy(ts, *tie).rowsBetween(W.unboundedPreceding, 0)
         return rows.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
-    binned = rows.withColumn("_bin", time_bin(F.col(ts), bin_s))
-    by = [*keys, "_bin"]
-    before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    totals = binned.groupBy(*by).agg(*(F.sum(c).alias(f"_b_{n}") for n, c in sums.items()))
-    offsets = totals.select(*by, *(F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums))
-    upto = W.partitionBy(*by).orderBy(ts, *tie).rowsBetween(W.unboundedPreceding, 0)
-    both = binned.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}).join(offsets, by)
-    return both.select(*rows.columns, *((F.col(n) + F.col(f"_o_{n}")).alias(n) for n in sums))
+    dealt = rows.withColumn("_slot", time_slot(keys, F.col(ts), bin_s))
+    before = slots_of_key(keys).rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy("_slot").agg(*(F.sum(c).alias(f"_b_{n}") for n, c in sums.items()))
+    offsets = totals.select("_slot", *(F.sum(f"_b_{n}").over(before).alias(f"_o_{n}") for n in sums))
+    upto = W.partitionBy("_slot").orderBy(ts, *tie).rowsBetween(W.unboundedPreceding, 0)
+    both = dealt.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}).join(offsets, "_slot")
+    whole = lambda n: F.coalesce(F.col(n) + F.col(f"_o_{n}"), F.col(n), F.col(f"_o_{n}"))
+    return both.select(*rows.columns, *(whole(n).alias(n) for n in sums))
 
 
 def seconds(later: Column, earlier: Column) -> Column:

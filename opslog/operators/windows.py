@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .asof import as_of, previous_in_key, running_in_key, seconds, time_bin
+from .asof import as_of, previous_in_key, running_in_key, seconds, slots_of_key, time_slot
 from .ranks import numbered
 from .scan import discounted, keep_apart
 
@@ -64,16 +64,15 @@ def sessions(
         order = W.partitionBy(*keys).orderBy(ts, *tie)
         marked = events.withColumn("_new", _starts(F.col(ts), F.lag(ts).over(order), gap_s, boundaries))
         return marked.withColumn(name, F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
-    by_bin = [*keys, "_bin"]
-    rows = events.withColumn("_bin", time_bin(F.col(ts), bin_s))
-    order, bins = W.partitionBy(*by_bin).orderBy(ts, *tie), W.partitionBy(*keys).orderBy("_bin")
-    ends = rows.groupBy(*by_bin).agg(F.max(ts).alias("_end")).withColumn("_before", F.lag("_end").over(bins)).drop("_end")
+    rows = events.withColumn("_slot", time_slot(keys, F.col(ts), bin_s))
+    order, slots = W.partitionBy("_slot").orderBy(ts, *tie), slots_of_key(keys)
+    ends = rows.groupBy("_slot").agg(F.max(ts).alias("_end")).select("_slot", F.lag("_end").over(slots).alias("_before"))
     last = F.coalesce(F.lag(ts).over(order), F.col("_before"))
-    marked = rows.join(ends, by_bin).withColumn("_new", _starts(F.col(ts), last, gap_s, boundaries)).drop("_before")
-    begun = F.coalesce(F.sum("_sum").over(bins.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = marked.groupBy(*by_bin).agg(F.sum("_new").alias("_sum")).select(*by_bin, begun.alias("_begun"))
+    marked = rows.join(ends, "_slot").withColumn("_new", _starts(F.col(ts), last, gap_s, boundaries)).drop("_before")
+    begun = F.coalesce(F.sum("_sum").over(slots.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = marked.groupBy("_slot").agg(F.sum("_new").alias("_sum")).select("_slot", begun.alias("_begun"))
     own = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return marked.join(sums, by_bin).withColumn(name, own + F.col("_begun")).drop("_new", "_begun", "_bin").select(*events.columns, name)
+    return marked.join(sums, "_slot").withColumn(name, own + F.col("_begun")).select(*events.columns, name)
 
 
 def _starts(t: Column, last: Column, gap_s: float, boundaries: Sequence[str]) -> Column:

@@ -187,3 +187,23 @@ def test_weights_are_normalised():
     assert choice.normalised(weights) == {"a": 0.75, "b": -0.25}
     assert choice.normalised(weights, "max") == {"a": 1.0, "b": -1 / 3}
     assert choice.normalised({"a": 0.0}) == {"a": 0.0} and choice.normalised({}, "max") == {}
+
+
+def test_bins_keep_rows_without_key_or_time(spark):
+    """Work dealt by key and bin of time gives what it gives by key, null keys, times and values included."""
+    rows = [(k, None if t is None else at(t), v) for k in ("a", None) for t, v in ((None, 1), (5, None), (50, 4), (61, None), (300, 7), (301, None), (900, 2))]
+    log = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v int")
+    asks = spark.createDataFrame([(i, k, None if t is None else at(t)) for i, (k, t) in enumerate((k, t) for k in ("a", "b", None) for t in (None, 1, 62, 299, 1500))], "id int, k string, t timestamp_ntz")
+
+    def both(run):
+        one, binned = (sorted(map(str, run(b).collect())) for b in (None, 60))
+        assert one == binned
+        return one
+
+    assert len(both(lambda b: asof.previous_in_key(log, keys=["k"], ts="ts", columns={"was": "v"}, bin_s=b))) == len(rows)
+    assert len(both(lambda b: asof.running_in_key(log, keys=["k"], ts="ts", sums={"total": "v"}, bin_s=b))) == len(rows)
+    assert len(both(lambda b: windows.sessions(log, keys=["k"], ts="ts", gap_s=100, bin_s=b))) == len(rows)
+    for forward in (False, True):
+        for null_values in (False, True):
+            got = both(lambda b: asof.as_of(asks, log, keys=["k"], probe_ts="t", event_ts="ts", values={"last": "v"}, forward=forward, null_values=null_values, bin_s=b))
+            assert len(got) == 15
