@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
 from .asof import as_of, previous_in_key, running_in_key, seconds
 
 
@@ -104,7 +105,7 @@ def durations(events: DataFrame, *, key: str, ts: str, state: str, start=1, end=
 
 def running_times(routes: DataFrame, *, route: str, columns: dict[str, str]) -> DataFrame:
     """route and running times in seconds under new names, from a table of measured runs: the median of each column by route."""
-    return routes.groupBy(route).agg(*(F.percentile(c, 0.5).alias(n) for n, c in columns.items()))
+    return ranks.quantiles_by(routes, [route], {n: (c, 0.5) for n, c in columns.items()})
 
 
 def dwell(reports: DataFrame, *, keys: Sequence[str], ts: str, kind: str, arrival: str, departure: str, most_s=3600) -> DataFrame:
@@ -116,9 +117,7 @@ def dwell(reports: DataFrame, *, keys: Sequence[str], ts: str, kind: str, arriva
 
 def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
     """Exact, linearly interpolated quantiles per key."""
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("n"), *(F.percentile(value, q).alias(f"p{round(100 * q)}") for q in at)
-    )
+    return ranks.quantiles_by(df, keys, {f"p{round(100 * q)}": (value, q) for q in at}, [F.count("*").alias("n")])
 
 
 def ordered_paths(events: DataFrame, *, keys: Sequence[str], ts: str, element: str, state: str | None = None, least=2) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import numbered, running
+from .ranks import numbered, quantiles_by, running
 
 
 def counts_by(df: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
@@ -28,7 +28,7 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
 def group_quantiles(df: DataFrame, keys: Sequence[str], outer: Sequence[str], at: Sequence[float]) -> DataFrame:
     """Two levels: rows per key, then quantiles of those counts per outer group."""
     per_key = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    return per_key.groupBy(*outer).agg(F.count("*").alias("n_keys"), *(F.percentile("n_rows", q).alias(f"p{round(100 * q)}") for q in at))
+    return quantiles_by(per_key, outer, {f"p{round(100 * q)}": ("n_rows", q) for q in at}, [F.count("*").alias("n_keys")])
 
 
 def normalisation(df: DataFrame, columns: Sequence[str], is_train: Column) -> DataFrame:

@@ -69,3 +69,27 @@ def quantiles(df: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
         one = ranked.join(F.broadcast(total)).agg(*own)  # total is one row
         out = one if out is None else out.join(F.broadcast(one))
     return out.select(*specs)
+
+
+def quantiles_by(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, float]], more: Sequence[Column] = ()) -> DataFrame:
+    """keys..., more..., and exact, linearly interpolated quantiles of each group: name -> (column, share).
+
+    As in quantiles, distinct values are counted and take their places from running totals, so that a group with a large part of all
+    rows has no buffer of its values; a row per group is joined to them. A null key is a key; a group without values has nulls.
+    df is read once more for each column.
+    """
+    grouped = df.withColumn("_group", F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))))
+    out = grouped.groupBy("_group").agg(F.count("*").alias("_rows"), *more).drop("_rows")
+    for column in dict.fromkeys(c for c, _ in specs.values()):
+        counts = grouped.groupBy("_group", F.col(column).alias("v")).agg(F.count("*").alias("n")).filter("v IS NOT NULL")
+        ranked = running(counts, ["_group", "v"], "n", "upto")
+        ends = ranked.groupBy("_group").agg(F.min(F.col("upto") - F.col("n")).alias("before"), F.max("upto").alias("last"))
+        placed = ranked.join(ends, "_group")
+        own = []
+        for name, (c, share) in specs.items():
+            if c == column:
+                at = F.lit(float(share)) * (F.col("last") - F.col("before") - 1)
+                low, high = (F.min(F.when(F.col("upto") - F.col("before") > f(at), F.col("v").cast("double"))) for f in (F.floor, F.ceil))
+                own.append((low + (high - low) * (F.max(at) - F.floor(F.max(at)))).alias(name))
+        out = out.join(placed.groupBy("_group").agg(*own), "_group", "left")
+    return out.select(*(F.col("_group")[f"k{i}"].alias(k) for i, k in enumerate(keys)), *(c for c in out.columns if c != "_group"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from .asof import as_of, previous_in_key, running_in_key, seconds, slots_of_key, time_slot
-from .ranks import numbered
+from .ranks import numbered, quantiles_by
 from .scan import discounted, keep_apart
 
 
@@ -116,13 +117,9 @@ def gap_sweep(events: DataFrame, *, keys, ts, gaps_s: Sequence[int]) -> DataFram
     numbered = grid.withColumn("_new", new).withColumn(
         "_no", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
     )
-    spans = numbered.groupBy("gap_s", *keys, "_no").agg(seconds(F.max(ts), F.min(ts)).alias("span"))
-    return spans.groupBy("gap_s").agg(
-        F.count("*").alias("n_sessions"),
-        F.percentile("span", 0.5).alias("median_span_s"),
-        F.max("span").alias("max_span_s"),
-        F.avg((F.col("span") > 86400).cast("double")).alias("share_over_day"),
-    )
+    spans = stored(numbered.groupBy("gap_s", *keys, "_no").agg(seconds(F.max(ts), F.min(ts)).alias("span")).select("gap_s", "span"), "spans")
+    sums = [F.count("*").alias("n_sessions"), F.max("span").alias("max_span_s"), F.avg((F.col("span") > 86400).cast("double")).alias("share_over_day")]
+    return quantiles_by(spans, ["gap_s"], {"median_span_s": ("span", 0.5)}, sums)
 
 
 def throttle(events: DataFrame, *, keys: Sequence[str], ts: str, min_gap_s: int, tie: Sequence[str] = ()) -> DataFrame:

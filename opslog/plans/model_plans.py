@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions.shared import shared_dir, stored
-from ..operators import asof, chains, decisions, evaluate, graph, joins, quality, snapshot, windows
+from ..operators import asof, chains, decisions, evaluate, graph, joins, quality, ranks, snapshot, windows
 from ..sources import io
 from .bind import ROUTES, TL, events, purchases, query, r6, routes, table, timeline
 from .time_plans import _ONE, _SHARE, DAY, HALF_DAY, _sessions, _states, _stats
@@ -270,8 +270,11 @@ def j7_bracket_in_runs(spark, d):
 def j7b_faults_by_month(spark, d):
     b = _in_runs(spark, d)
     before, after = asof.seconds(F.col("ts"), F.col("before_ts")), asof.seconds(F.col("after_ts"), F.col("ts"))
-    return b.groupBy(F.date_format("ts", "yyyy-MM").alias("month"), joins.bracket_faults(b, probe_ts="ts", window_s=DAY).alias("reason")).agg(
-        F.count("*").alias("n"), F.round(F.percentile(before, 0.5), 4).alias("median_before_s"), F.round(F.percentile(after, 0.9), 4).alias("p90_after_s"))
+    rows = b.select(
+        F.date_format("ts", "yyyy-MM").alias("month"), joins.bracket_faults(b, probe_ts="ts", window_s=DAY).alias("reason"), before.alias("before"), after.alias("after")
+    )
+    out = ranks.quantiles_by(stored(rows, "faults"), ["month", "reason"], {"median_before_s": ("before", 0.5), "p90_after_s": ("after", 0.9)}, [F.count("*").alias("n")])
+    return out.select("month", "reason", "n", F.round("median_before_s", 4).alias("median_before_s"), F.round("p90_after_s", 4).alias("p90_after_s"))
 
 
 @query("""WITH sp AS (SELECT user_id, min(ts) AS a, min(ts) + INTERVAL 10 DAY AS b FROM events GROUP BY 1), q AS (SELECT event_id, e.user_id, ts FROM events e JOIN sp ON sp.user_id = e.user_id WHERE event_type = 'error' AND NOT ts BETWEEN a AND b),

@@ -53,6 +53,22 @@ def test_quantiles_are_exact(spark):
     assert m.n == 600 and np.isclose(m.p5, np.quantile([v - (0.0 if k % 3 == 0 else -v) for k, v in enumerate(x)], 0.05))
 
 
+def test_quantiles_of_groups(many):
+    rng = np.random.default_rng(2)
+    rows = [(("hot", "a", None)[min(2, int(k) // 6)], float(v)) for k, v in zip(rng.integers(0, 8, 3000), rng.integers(0, 900, 3000))]
+    rows += [("empty", None), ("one", 4.0), ("a", None)]
+    df = many.createDataFrame(rows, "g string, v double").repartition(9)
+    specs = {"p0": ("v", 0.0), "p37": ("v", 0.37), "p50": ("v", 0.5), "p100": ("v", 1.0)}
+    got = {r.g: r for r in ranks.quantiles_by(df, ["g"], specs, [F.count("*").alias("n")]).collect()}
+    assert set(got) == {g for g, _ in rows}
+    for g, r in got.items():
+        own = [v for k, v in rows if k == g and v is not None]
+        assert r.n == sum(k == g for k, _ in rows)
+        want = np.quantile(own, [0, 0.37, 0.5, 1]) if own else [None] * 4
+        assert np.allclose([r.p0, r.p37, r.p50, r.p100], want) if own else [r.p0, r.p37, r.p50, r.p100] == want
+    assert ranks.quantiles_by(df.filter("false"), ["g"], specs).count() == 0
+
+
 def test_rules_over_sorted_rows(spark):
     rng = np.random.default_rng(7)
     rows = [(int(k), int(t), int(e)) for k, t, e in zip(rng.integers(0, 5, 4000), rng.choice(10**6, 4000, replace=False), rng.integers(0, 6, 4000))]
