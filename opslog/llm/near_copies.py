@@ -170,7 +170,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
 
 
 def centres(inner: DataFrame) -> DataFrame:
@@ -184,8 +184,10 @@ def centres(inner: DataFrame) -> DataFrame:
 
 
 def texts_apart(inner: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, root: the texts of each bucket of four or more that links have not brought together."""
-    rooted = stored(inner.filter("n > 3").join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    """node, root: the texts of each bucket of three or more that links have not brought together.
+
+    Where hub and first text are one, the other texts of a bucket of three have not met either."""
+    rooted = stored(inner.filter("n > 2").join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     apart = rooted.groupBy("band", "key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b")
     return rooted.join(apart.select("band", "key"), ["band", "key"], "left_semi").select("node", "root").distinct()
 
