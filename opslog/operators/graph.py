@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.shared import stored
+from ..functions.shared import stored, write_table
+from .ranks import numbered
 
 
 def split_named(df: DataFrame, *, name: str, elements: str) -> tuple[DataFrame, DataFrame]:
@@ -111,19 +112,34 @@ def neighbours(adjacent: DataFrame, nodes: DataFrame, *, node_type: str, node: s
 def hops(edges: DataFrame, seeds: DataFrame, *, most: int = 30) -> DataFrame:
     """seed, node, hops: least number of edges from each seed group's nodes (seeds: seed, node).
 
-    A frontier join per hop, each stored; a new frontier is what earlier ones do not hold. Stops with an empty frontier. The edge
-    table is the static network.
+    Bit-parallel search: seed groups are numbered, and a row holds a node's bits for 64 of them. A round joins the frontier to the
+    edges once for all 64, ors what reaches a node with what it had, in one shuffle, and keeps the bits that are new as the next
+    frontier. Each round is stored; it stops when no bit is new. The edge table is the static network.
     """
+    spark = edges.sparkSession
     edges = stored(edges.select("src", "dst").distinct(), "edges")
-    frontier = stored(seeds.select("seed", "node").distinct().withColumn("hops", F.lit(0)), "frontier")
-    seen = frontier
-    for k in range(1, most + 1):
-        reached = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = stored(reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(k)), "frontier")
-        if frontier.isEmpty():
+    known = stored(numbered(seeds.select("seed").distinct(), ["seed"], "_no"), "seeds")
+    word = F.floor((F.col("_no") - 1) / 64).cast("int")
+    at = known.select(F.col("seed").alias("_seed"), word.alias("word"), F.expr("shiftleft(1L, cast((_no - 1) % 64 as int))").alias("new"))
+    given = seeds.select("seed", "node").distinct().join(at, F.col("seed").eqNullSafe(F.col("_seed")))
+    first = given.groupBy("node", "word").agg(F.bit_or("new").alias("new")).withColumn("seen", F.col("new"))
+    rounds = [write_table(first, "reached")]
+    layout = spark.read.parquet(rounds[0]).schema
+    for _ in range(most):
+        last = spark.read.schema(layout).parquet(rounds[-1])
+        moved = last.filter("new <> 0").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "word", F.col("new").alias("come"), F.lit(0).cast("long").alias("seen"))
+        both = moved.unionByName(last.select("node", "word", F.lit(0).cast("long").alias("come"), "seen")).groupBy("node", "word").agg(F.bit_or("come").alias("come"), F.bit_or("seen").alias("seen"))
+        fresh = F.col("come").bitwiseAND(F.bitwise_not("seen"))
+        rounds.append(write_table(both.select("node", "word", fresh.alias("new"), F.col("seen").bitwiseOR(F.col("come")).alias("seen")), "reached"))
+        if spark.read.schema(layout).parquet(rounds[-1]).filter("new <> 0").isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    out = None
+    for k, path in enumerate(rounds):
+        part = spark.read.schema(layout).parquet(path).filter("new <> 0").select("node", "word", "new", F.lit(k).alias("hops"))
+        out = part if out is None else out.unionByName(part)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("new", i) == 1)
+    placed = out.select("node", "hops", "word", F.explode(bits).alias("bit")).withColumn("_no", (F.col("word") * 64 + F.col("bit") + 1).cast("long"))
+    return placed.join(known, "_no").select("seed", "node", "hops")
 
 
 def subgraph(distances: DataFrame, *, center: str, node: str, node_type: str, caps: dict[str, int], most_hops: int) -> DataFrame:

@@ -96,12 +96,26 @@ def g9_hops(spark, d):
     return _hops(routes(spark, d), 3).groupBy("seed", "hops").agg(F.count("*").alias("n"))
 
 
-@query()
+_SEARCH = """b(seed, node, hops) USING KEY (seed, node) AS (SELECT seed, node, 0 FROM seeds UNION
+    SELECT b.seed, con.dst, min(b.hops + 1) FROM b JOIN con ON con.src = b.node LEFT JOIN recurring.b AS r ON r.seed = b.seed AND r.node = con.dst WHERE r.node IS NULL GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_CONNECTS}, seeds AS (SELECT DISTINCT signal AS seed, elements[1] AS node FROM routes), {_SEARCH} SELECT seed, hops, count(*) AS n FROM b GROUP BY 1, 2")
 def g9_hops_all(spark, d):
     """g9_hops to the operator's 30 hops."""
     return _hops(routes(spark, d), 30).groupBy("seed", "hops").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH RECURSIVE {_CONNECTS}, seeds AS (SELECT p_type || '-' || p_size AS seed, p_partkey AS node FROM part WHERE p_partkey IN (SELECT src FROM con)), {_SEARCH}
+  SELECT seed, hops, count(*) AS n, sum(node)::BIGINT AS nodes FROM b GROUP BY 1, 2""")
+def g9_hops_many_seeds(spark, d):
+    """To 30 hops from the parts of each type and size: more seed groups than a long has bits."""
+    net = stored(graph.connects(routes(spark, d), elements="elements"), "connects")
+    parts = table(spark, d, "part").select(F.concat_ws("-", "p_type", "p_size").alias("seed"), F.col("p_partkey").alias("node"))
+    seeds = parts.join(net.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    return graph.hops(net, seeds, most=30).groupBy("seed", "hops").agg(F.count("*").alias("n"), F.sum("node").alias("nodes"))
+
+
 @query(f"""WITH {_NETWORK}, r AS (SELECT *, CASE WHEN node % 2 = 0 THEN 'track' ELSE 'signal' END AS kind FROM hop),
   k AS (SELECT *, row_number() OVER (PARTITION BY seed, kind ORDER BY hops, node) AS k FROM r),
   n AS (SELECT * FROM k WHERE k <= CASE kind WHEN 'track' THEN 20 ELSE 5 END)
