@@ -61,3 +61,18 @@ def stream_sessions(spark, d):
   SELECT user_id, count(*) AS n_sessions, sum(n)::BIGINT AS n_events FROM f GROUP BY 1""")
 def stream_sessions_all(spark, d):
     return _sessions(spark, d).groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view')),
+  f AS (SELECT user_id, ts, k, ts AS kept, true AS keep FROM o WHERE k = 1
+    UNION ALL SELECT o.user_id, o.ts, o.k, CASE WHEN o.ts - f.kept >= INTERVAL 6 HOUR THEN o.ts ELSE f.kept END, o.ts - f.kept >= INTERVAL 6 HOUR
+    FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+  SELECT user_id, epoch_us(ts) AS t_us FROM f WHERE keep AND NOT EXISTS (
+    SELECT 1 FROM events x WHERE x.user_id = f.user_id AND x.event_type = 'purchase' AND x.ts BETWEEN f.ts AND f.ts + INTERVAL 6 HOUR)""")
+def stream_waits(spark, d):
+    """Views that no purchase answers within six hours, by timers over the days of the log."""
+    log, base = _log(spark, d)
+    with live.state_store(spark):
+        waits = live.live_waits(log, key="user_id", ts="ts", kind="event_type", trigger="view", request="purchase", min_gap_s=21_600, lookahead_s=21_600, late=_LATE)
+        out = live.run_available(waits, f"{base}/out", f"{base}/state")
+    return out.select(F.col("key").alias("user_id"), F.col("t").alias("t_us"))

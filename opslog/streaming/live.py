@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def read_log(spark: SparkSession, path: str, schema, *, files_per_trigger: int = 100) -> DataFrame:
@@ -30,3 +35,90 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.read.parquet(path)
+
+
+#: Keyed state with timers needs this store.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKS) -> Iterator[None]:
+    """The session's state store while a stream starts and runs; its own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+class _Waits(StatefulProcessor):
+    """Of one key: the last kept trigger, triggers whose look-ahead is not over, and requests that may still answer one.
+
+    Rows only go into the state, in whatever order they come. A timer at the end of the first open look-ahead decides: by then the
+    watermark has passed it, so all rows up to there are known, and triggers are thinned and answered in order of time.
+    """
+
+    def __init__(self, gap: int, ahead: int):
+        self.gap, self.ahead = gap, ahead
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("waits", "kept long, triggers array<long>, requests array<long>, timer long")
+
+    def _load(self) -> tuple:
+        held = self.state.get() if self.state.exists() else None
+        return (held[0], list(held[1]), list(held[2]), held[3]) if held else (None, [], [], None)
+
+    def _keep(self, kept, triggers: list[int], requests: list[int], timer) -> None:
+        """Stores the state with one timer, a millisecond after the first open look-ahead ends."""
+        due = -(-(triggers[0] + self.ahead) // 1000) + 1 if triggers else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.state.update((kept, triggers, requests, due))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept, triggers, requests, timer = self._load()
+        for batch in rows:
+            triggers += batch["at"][batch["kind"] == "trigger"].tolist()
+            requests += batch["at"][batch["kind"] == "request"].tolist()
+        self._keep(kept, sorted(set(triggers)), sorted(set(requests)), timer)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept, triggers, requests, _ = self._load()
+        past = timerValues.getCurrentWatermarkInMs() * 1000 - self.ahead  # all that is due, so that the next timer lies ahead
+        out = []
+        while triggers and triggers[0] < past:
+            t = triggers.pop(0)
+            if kept is None or t - kept >= self.gap:
+                kept = t
+                if not any(t <= r <= t + self.ahead for r in requests):
+                    out.append(t)
+        self._keep(kept, triggers, [r for r in requests if r >= past], None)
+        return iter([pd.DataFrame({"key": [key[0]] * len(out), "t": out}).astype({"key": "int64", "t": "int64"})] if out else [])
+
+    def close(self) -> None:
+        pass
+
+
+def live_waits(log: DataFrame, *, key: str, ts: str, kind: str, trigger: str, request: str, min_gap_s: int, lookahead_s: int, late: str = "1 hour") -> DataFrame:
+    """key, t (microseconds): triggers that nothing answered: rows of the trigger kind, thinned to one per min_gap_s, without a row of
+    the request kind in [t, t + lookahead_s].
+
+    A wait is given out once the watermark has passed its look-ahead, by an event-time timer. Rows may come in any order within
+    `late`; later ones are dropped. Rows without a key or a time are passed over. State of a key: its last kept trigger and the
+    rows of the last `late` + lookahead_s. key is a whole number. The session needs ROCKS as its state store.
+    """
+    at = F.col(ts).cast("timestamp")
+    named = F.when(F.col(kind) == trigger, "trigger").when(F.col(kind) == request, "request")
+    rows = log.filter(F.col(ts).isNotNull()).select(F.col(key).cast("long").alias("key"), at.alias("_t"), F.unix_micros(at).alias("at"), named.alias("kind"))
+    # a row without a key or kind still moves the watermark on, as a filter that reads the event time stays above it
+    stamped = rows.withWatermark("_t", late).filter("(key IS NOT NULL AND kind IS NOT NULL) OR _t IS NULL")
+    return stamped.groupBy("key").transformWithStateInPandas(
+        _Waits(int(min_gap_s * 1_000_000), int(lookahead_s * 1_000_000)), outputStructType="key long, t long", outputMode="Append", timeMode="EventTime"
+    )
