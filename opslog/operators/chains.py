@@ -115,6 +115,14 @@ def dwell(reports: DataFrame, *, keys: Sequence[str], ts: str, kind: str, arriva
     return stays.filter((F.col("dwell_s") >= 0) & (F.col("dwell_s") <= most_s))
 
 
+def dwell_by_class(reports: DataFrame, *, train: str, platform: str, cls: Column, ts: str, kind: str, arrival: str, departure: str, at: Sequence[float], most_s=3600) -> DataFrame:
+    """platform, cls, n, p<percent>...: exact quantiles of dwells per platform and class of train. Rows without a train, platform or
+    time are no reports."""
+    known = reports.filter(F.col(train).isNotNull() & F.col(platform).isNotNull() & F.col(ts).isNotNull()).withColumn("cls", cls)
+    stays = dwell(known, keys=[train, platform, "cls"], ts=ts, kind=kind, arrival=arrival, departure=departure, most_s=most_s)
+    return quantiles_by(stays, [platform, "cls"], "dwell_s", at)
+
+
 def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
     """Exact, linearly interpolated quantiles per key."""
     return ranks.quantiles_by(df, keys, {f"p{round(100 * q)}": (value, q) for q in at}, [F.count("*").alias("n")])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import spare
+from ..functions.shared import spare, stored
 
 
 def sorted_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], run: Callable, schema) -> DataFrame:
@@ -34,10 +34,11 @@ def starts(batch: pa.RecordBatch, last: tuple | None) -> tuple[np.ndarray, tuple
     return new, (pair[0][-1], pair[1][-1])
 
 
-def keep_apart(events: DataFrame, *, keys: Sequence[str], time: str, order: Sequence[str], gap: int) -> DataFrame:
-    """Rows at least `gap` after the last row kept of their key. time: a whole-number column, not null."""
+def keep_apart(events: DataFrame, *, keys: Sequence[str], time: str, order: Sequence[str], gap: int, after: str | None = None) -> DataFrame:
+    """Rows at least `gap` after the last row kept of their key. time: a whole-number column, not null. after: a column with the
+    time last kept before the key's first row, null where there is none."""
     n = len(events.columns)
-    at = events.columns.index(time)
+    at, entry = events.columns.index(time), events.columns.index(after) if after else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, kept_at = None, 0
@@ -49,7 +50,11 @@ def keep_apart(events: DataFrame, *, keys: Sequence[str], time: str, order: Sequ
             edges = np.r_[0, np.flatnonzero(new[1:]) + 1, len(times)]
             kept = []
             for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-                at_row = a if k or new[0] else a + int(np.searchsorted(times[a:b], kept_at + gap))
+                begins = bool(k or new[0])
+                if begins and entry is not None:
+                    kept_at = batch.column(entry)[a].as_py()
+                fresh = begins and (entry is None or kept_at is None)
+                at_row = a if fresh else a + int(np.searchsorted(times[a:b], kept_at + gap))
                 while at_row < b:
                     kept.append(at_row)
                     kept_at = int(times[at_row])
@@ -60,24 +65,140 @@ def keep_apart(events: DataFrame, *, keys: Sequence[str], time: str, order: Sequ
     return sorted_scan(events, keys, order, run, events.schema)
 
 
-def discounted(rows: DataFrame, *, keys: Sequence[str], position: str, value: str, gamma: float) -> DataFrame:
-    """keys..., position, to_go: value plus gamma times the next row's, from the last position of each key back."""
-    chosen = rows.select(*keys, position, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("to_go"))
-    schema, n = chosen.schema, len(chosen.columns)
+def last_kept(times: np.ndarray, start: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(upto, last): a step function from the earliest time at which a row may be kept to the last time then kept.
+
+    times: those of one bin, sorted; what was kept before the bin ends its reach before start + gap. Each row's successor is the
+    first row at least gap later; pointers to successors are doubled until all point to the end of their chain. An earliest time
+    of at most upto[k], and over upto[k - 1], ends at last[k].
+    """
+    times = np.unique(times)
+    entries = min(len(times), int(np.searchsorted(times, start + gap)) + 1)
+    after = np.searchsorted(times, times + gap)
+    point = np.where(after < len(times), after, np.arange(len(times)))
+    while True:
+        further = point[point]
+        if (further == point).all():
+            break
+        point = further
+    ends = times[point[:entries]]
+    steps = np.flatnonzero(np.r_[ends[1:] != ends[:-1], True])
+    return times[steps], ends[steps]
+
+
+def bin_steps(timed: DataFrame, *, slot: str, time: str, width: int, gap: int) -> DataFrame:
+    """slot, upto, last: the step function of last_kept for each bin. A task holds the times of one bin."""
+    chosen = timed.select(slot, time)
+    schema = f"{slot} {chosen.schema[slot].dataType.simpleString()}, upto long, last long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ahead = None, 0.0
+        key, held, name = None, [], None
+
+        def steps() -> pa.RecordBatch:
+            times = np.concatenate(held)
+            upto, last = last_kept(times, int(times[0]) // width * width, gap)
+            held.clear()
+            return pa.RecordBatch.from_arrays([name.take(pa.array(np.zeros(len(upto), np.int64))), pa.array(upto), pa.array(last)], names=[slot, "upto", "last"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
+            times = batch.column(1).to_numpy()
             new, key = starts(batch, key)
-            out = []
-            for first, x in zip(new.tolist(), batch.column(n - 1).to_pylist()):
-                ahead = x if first else x + gamma * ahead
-                out.append(ahead)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n - 1)), pa.array(out, pa.float64())], names=schema.names)
+            edges = np.r_[0, np.flatnonzero(new[1:]) + 1, len(times)]
+            for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                if (k or new[0]) and held:
+                    yield steps()
+                if k or new[0]:
+                    name = batch.column(0).slice(a, 1)
+                held.append(times[a:b])
+        if held:
+            yield steps()
+
+    return sorted_scan(chosen, [slot], [time], run, schema)
+
+
+def entries(steps: DataFrame, *, slot: str, gap: int) -> DataFrame:
+    """slot, after: the time last kept before each bin, null for none, from the bins' step functions.
+
+    A key's steps are read in order with the last kept time as the only state; there are as many as chains in a bin that end
+    apart, not as many as rows."""
+    parts = [f.name for f in steps.schema[slot].dataType.fields]
+    rows = steps.select(slot, F.struct(*(F.col(slot)[p].alias(p) for p in parts if p != "bin")).alias("_key"), F.col(slot)["bin"].alias("_bin"), "upto", "last")
+    kind = steps.schema[slot].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept, now, open_ = None, None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new, key = starts(batch, key)
+            firsts, befores = [], []
+            for row, (first, bin_, upto, last) in enumerate(zip(new.tolist(), *(batch.column(k).to_pylist() for k in (2, 3, 4)))):
+                if first:
+                    kept, now = None, None
+                if bin_ != now:
+                    now, open_ = bin_, True
+                    firsts.append(row)
+                    befores.append(kept)
+                if open_ and (kept is None or upto >= kept + gap):
+                    kept, open_ = last, False
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(firsts, pa.int64())), pa.array(befores, pa.int64())], names=[slot, "after"])
+
+    return sorted_scan(rows, ["_key"], ["_bin", "upto"], run, f"{slot} {kind}, after long")
+
+
+def affine_scan(rows: DataFrame, *, keys: Sequence[str], order: Sequence[str | Column], add: str, times: str) -> DataFrame:
+    """rows with add, times and `before` replaced: in the order of each key, y = add + times * (y of the row before; 0 at first).
+
+    add becomes y, times the product of all factors up to the row, so that y for another start is y + times * start; before is
+    the y of the row before. Rows of a batch are composed as affine maps, in as many steps as doublings of the batch.
+    """
+    schema = rows.withColumn("before", F.col(add)).schema
+    at = [rows.columns.index(c) for c in (add, times)]
 
-    return sorted_scan(chosen, keys, [F.col(position).desc()], run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last_y, last_w = None, 0.0, 1.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new, key = starts(batch, key)
+            y, w = (batch.column(k).to_numpy().astype(np.float64) for k in at)
+            place = np.arange(len(y))
+            begin = np.maximum.accumulate(np.where(new, place, 0))
+            step = 1
+            while step < len(y):
+                own = np.flatnonzero(place - step >= begin)
+                y[own], w[own] = y[own] + w[own] * y[own - step], w[own] * w[own - step]
+                step *= 2
+            if not new[0]:
+                head = int(np.argmax(new)) if new.any() else len(y)
+                y[:head] += w[:head] * last_y
+                w[:head] *= last_w
+            before = np.where(new, 0.0, np.r_[last_y, y[:-1]])
+            last_y, last_w = float(y[-1]), float(w[-1])
+            made = {at[0]: pa.array(y), at[1]: pa.array(w)}
+            yield pa.RecordBatch.from_arrays([*(made.get(k, batch.column(k)) for k in range(len(rows_columns))), pa.array(before)], names=[*rows_columns, "before"])
+
+    rows_columns = rows.columns
+    return sorted_scan(rows, keys, order, run, schema)
+
+
+def discounted(rows: DataFrame, *, keys: Sequence[str], position: str, value: str, gamma: float, bin_rows: int = 4096) -> DataFrame:
+    """keys..., position, to_go: value plus gamma times the next row's, from the last position of each key back.
+
+    Work is dealt by key and bin of positions: a bin's rows are composed into one affine map, the maps of a key's bins, one for
+    bin_rows positions, are composed from the last back, and what comes from later bins is then added inside. No task has more rows of
+    a key than a bin, but for the one row of each bin. A null value is 0.
+    """
+    slot = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.floor(F.col(position) / bin_rows).alias("bin"))
+    chosen = rows.select(*keys, position, slot.alias("_slot"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_y"), F.lit(float(gamma)).alias("_w"))
+    inner = stored(affine_scan(chosen, keys=["_slot"], order=[F.col(position).desc()], add="_y", times="_w").drop("before"), "to-go")
+    maps = inner.groupBy("_slot").agg(F.min_by(F.struct("_y", "_w"), position).alias("_map"))
+    parts = F.struct(*(F.col("_slot")[f"k{i}"].alias(f"k{i}") for i in range(len(keys))))
+    maps = maps.select("_slot", parts.alias("_key"), F.col("_slot")["bin"].alias("_bin"), F.col("_map._y").alias("_y"), F.col("_map._w").alias("_w"))
+    ahead = affine_scan(maps, keys=["_key"], order=[F.col("_bin").desc()], add="_y", times="_w").select("_slot", F.col("before").alias("_ahead"))
+    return inner.join(ahead, "_slot").select(*keys, position, (F.col("_y") + F.col("_w") * F.col("_ahead")).alias("to_go"))
 
 
 def recent_elements(events: DataFrame, *, keys: Sequence[str], ts: str, element: str, n: int, name="recent") -> DataFrame:

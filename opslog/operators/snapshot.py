@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import as_of, state_at
+from .ranks import quantiles_by
 from .windows import window_stats
 
 
@@ -31,10 +32,9 @@ def element_nodes(
 
     One row per decision and element of its subgraph; serves tracks and signals alike.
     """
-    rows = asked.withColumn("_ask", F.concat_ws("|", key, element))
-    rows = state_at(rows, events, key=element, probe_ts=ts, event_ts=event_ts, state=state, default=0)
-    rows = window_stats(rows, events, key=element, probe_id="_ask", probe_ts=ts, event_ts=event_ts, state=state, windows_s=windows_s)
-    return rows.drop("_ask") if static is None else rows.drop("_ask").join(static, element, "left")
+    rows = state_at(asked, events, key=element, probe_ts=ts, event_ts=event_ts, state=state, default=0)
+    rows = window_stats(rows, events, key=element, probe_id=key, probe_ts=ts, event_ts=event_ts, state=state, windows_s=windows_s)
+    return rows if static is None else rows.join(static, element, "left")
 
 
 def train_nodes(asked: DataFrame, *, key: str, focal: str, train: str, columns: Sequence[str], cap: int) -> DataFrame:
@@ -107,3 +107,28 @@ def value_audit(df: DataFrame, *, lists: dict[str, str], flags: Sequence[str] =
         out = part if out is None else out.unionByName(part)
     return out
 
+
+def value_quantiles(df: DataFrame, *, lists: dict[str, str], shares: Sequence[float]) -> DataFrame:
+    """part, n, q_<percent>...: exact, linearly interpolated quantiles of a number in nested lists (lists: column to field). Values
+    are counted and ranked by running totals, so no task holds a list's values of all rows."""
+    rows = None
+    for c, f in lists.items():
+        part = df.select(F.lit(c).alias("part"), F.explode(c).alias("_x")).select("part", F.col("_x")[f].cast("double").alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    specs = {f"q_{round(100 * q)}": ("value", q) for q in shares}
+    return quantiles_by(rows.filter("value IS NOT NULL"), ["part"], specs, [F.count("*").alias("n")])
+
+
+def value_sketches(df: DataFrame, *, lists: dict[str, str], k: int = 400) -> DataFrame:
+    """part, n, sketch: KLL sketches of the same values, one pass with partial sketches that merge; they can be kept and merged with
+    those of other tables. A quantile's rank is off by about 1.7 / k of n with a chance of a hundredth (0.4 % for k = 400)."""
+    rows = None
+    for c, f in lists.items():
+        part = df.select(F.lit(c).alias("part"), F.explode(c).alias("_x")).select("part", F.col("_x")[f].cast("double").alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.filter("value IS NOT NULL").groupBy("part").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("value", k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """part, n, q_<percent>... read from sketches."""
+    return sketches.select("part", "n", *(F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(f"q_{round(100 * q)}") for q in shares))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import stored
 from .asof import as_of, previous_in_key, running_in_key, seconds, slots_of_key, time_slot
 from .ranks import numbered, quantiles_by
-from .scan import discounted, keep_apart
+from .scan import bin_steps, discounted, entries, keep_apart
 
 
 def state_prefix(events: DataFrame, *, key: str, ts: str, state: str, tie: str | None = None, bin_s: int | None = None) -> DataFrame:
@@ -32,22 +32,25 @@ def window_stats(
     """For each window W: share_W, the fraction of [t-W, t] in state 1, and changes_W, the changes in (t-W, t].
 
     Running sums of dwell and changes are made once; every end of every window is a probe of the same as-of join, so
-    the number of windows costs rows, not joins. bin_s: for keys that hold a large part of all rows.
+    the number of windows costs rows, not joins. bin_s: for keys that hold a large part of all rows. Every probe row gives one row:
+    probe_id may repeat, or name several columns. A probe without a time has no share and no changes.
     """
+    numbered_ = stored(probes.withColumn("_no", F.monotonically_increasing_id()), "probes")
     prefix = state_prefix(events, key=key, ts=event_ts, state=state, tie=tie, bin_s=bin_s)
     ends = F.array(F.lit(0), *(F.lit(int(w)) for w in windows_s))
     back = F.col(probe_ts) - F.make_dt_interval(secs=F.col("_back"))
-    places = probes.select(key, probe_id, F.struct(*probes.columns).alias("_row"), probe_ts, F.explode(ends).alias("_back"))
+    places = numbered_.select(key, "_no", F.struct(*probes.columns).alias("_row"), probe_ts, F.explode(ends).alias("_back"))
     hit = as_of(
         places.withColumn("_end", back), prefix, keys=[key], probe_ts="_end", event_ts="_at", tie=tie, bin_s=bin_s,
         values={"_in": F.col("_in_1"), "_ch": F.col("_changes"), "_st": F.col("_state"), "_when": F.col("_at")},
     )
     held = F.when(F.col("_st") == 1, seconds(F.col("_end"), F.col("_when"))).otherwise(0.0)
     hit = hit.withColumn("_in", F.coalesce(F.col("_in") + held, F.lit(0.0))).withColumn("_ch", F.coalesce("_ch", F.lit(0)))
+    hit = hit.withColumns({c: F.when(F.col("_end").isNotNull(), F.col(c)) for c in ("_in", "_ch")})
     at = lambda c, w: F.max(F.when(F.col("_back") == w, F.col(c)))
     stats = [((at("_in", 0) - at("_in", w)) / w).alias(f"share_{w}") for w in windows_s]
     stats += [(at("_ch", 0) - at("_ch", w)).alias(f"changes_{w}") for w in windows_s]
-    return hit.groupBy(probe_id).agg(F.first("_row").alias("_row"), *stats).select(
+    return hit.groupBy("_no").agg(F.first("_row").alias("_row"), *stats).select(
         "_row.*", *(f"share_{w}" for w in windows_s), *(f"changes_{w}" for w in windows_s)
     )
 
@@ -109,28 +112,68 @@ def gap_buckets(events: DataFrame, *, keys, ts, edges_s: Sequence[int]) -> DataF
     return rows.groupBy(bucket.otherwise(len(edges_s)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def gap_sweep(events: DataFrame, *, keys, ts, gaps_s: Sequence[int]) -> DataFrame:
-    """For each gap G: sessions, their median and greatest span in seconds, and rows that are first in a session."""
-    grid = events.select(*keys, ts).withColumn("gap_s", F.explode(F.array(*(F.lit(int(g)) for g in gaps_s))))
-    order = W.partitionBy("gap_s", *keys).orderBy(ts)
-    new = F.coalesce((seconds(F.col(ts), F.lag(ts).over(order)) > F.col("gap_s")).cast("int"), F.lit(0))
-    numbered = grid.withColumn("_new", new).withColumn(
-        "_no", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    )
-    spans = stored(numbered.groupBy("gap_s", *keys, "_no").agg(seconds(F.max(ts), F.min(ts)).alias("span")).select("gap_s", "span"), "spans")
-    sums = [F.count("*").alias("n_sessions"), F.max("span").alias("max_span_s"), F.avg((F.col("span") > 86400).cast("double")).alias("share_over_day")]
-    return quantiles_by(spans, ["gap_s"], {"median_span_s": ("span", 0.5)}, sums)
+def gap_forest(
+    events: DataFrame, *, keys: Sequence[str], ts: str, gaps_s: Sequence[int], boundaries: Sequence[str] = (), bin_s: int | None = None
+) -> DataFrame:
+    """gap_s, keys..., first, last, gap_before, n_rows, n_leaking: the sessions of every gap, as levels of a forest.
+
+    Only the sessions of the smallest gap are made from the log, in one sort; those of each greater gap are unions of the level
+    below, read from its stored table. gap_before: seconds since the key's session before, null for the first. n_leaking: rows on
+    another side of a boundary time than the session's first row. Rows without a time are in no session.
+    """
+    gaps = sorted(gaps_s)
+    cuts = [F.lit(b).cast("timestamp_ntz") for b in boundaries]
+    rows = events.filter(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("first"))
+    rows = rows.withColumn("last", F.col("first"))
+    rows = previous_in_key(rows, keys=keys, ts="first", columns={"_end": "last"}, bin_s=bin_s).withColumn("gap_before", seconds(F.col("first"), F.col("_end")))
+    side = sum(((F.col("first") >= c).cast("int") for c in cuts), F.lit(0))
+    level = rows.withColumns({f"_n{k}": (side == k).cast("long") for k in range(len(cuts) + 1)}).drop("_end")
+    sides = [f"_n{k}" for k in range(len(cuts) + 1)]
+    out = None
+    for gap in gaps:
+        new = F.coalesce(F.col("gap_before") > gap, F.lit(True))
+        marked = level.withColumns({"_new": new.cast("long"), "_old": (~new).cast("int")})
+        told = running_in_key(marked, keys=keys, ts="first", tie=["_old"], sums={"_no": "_new"}, bin_s=bin_s)  # of equal times the one that cuts comes first
+        head = F.min_by(F.struct("gap_before"), F.struct("first", "_old"))["gap_before"]
+        joined = told.groupBy(*keys, "_no").agg(F.min("first").alias("first"), F.max("last").alias("last"), head.alias("gap_before"), *(F.sum(c).alias(c) for c in sides))
+        level = stored(joined.drop("_no"), "gap-level")
+        whole = sum((F.col(c) for c in sides), F.lit(0))
+        own = F.get(F.array(*sides), side)
+        part = level.select(F.lit(gap).alias("gap_s"), *keys, "first", "last", "gap_before", whole.alias("n_rows"), (whole - own).alias("n_leaking"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def gap_sweep(forest: DataFrame) -> DataFrame:
+    """For each gap of a gap_forest: sessions, median, 99th percentile and greatest of their spans in seconds, the shares of sessions
+    and of rows whose session spans over a day, transitions that the gap cuts, and rows that leak over a boundary."""
+    spans = forest.withColumn("span", seconds(F.col("last"), F.col("first")))
+    long_ = F.col("span") > 86400
+    sums = [
+        F.count("*").alias("n_sessions"), F.max("span").alias("max_span_s"), F.avg(long_.cast("double")).alias("share_over_day"),
+        (F.sum(F.when(long_, F.col("n_rows")).otherwise(0)) / F.sum("n_rows")).alias("share_rows_over_day"),
+        F.count("gap_before").alias("n_cut"), F.sum("n_leaking").alias("n_leaking"),
+    ]
+    return quantiles_by(spans, ["gap_s"], {"median_span_s": ("span", 0.5), "p99_span_s": ("span", 0.99)}, sums)
 
 
-def throttle(events: DataFrame, *, keys: Sequence[str], ts: str, min_gap_s: int, tie: Sequence[str] = ()) -> DataFrame:
-    """Keeps an event if at least min_gap_s passed since the last kept one of its key.
+def throttle(events: DataFrame, *, keys: Sequence[str], ts: str, min_gap_s: int, tie: Sequence[str] = (), bin_gaps: int = 64) -> DataFrame:
+    """Keeps an event if at least min_gap_s passed since the last kept one of its key. Rows without a time are not kept; of rows
+    with one time the first by tie counts.
 
-    A gap of min_gap_s always restarts, so each key is first cut into independent pieces there; every piece is then read once in
-    order of time, with the last kept time as the only state.
+    A key's rows are dealt in bins of bin_gaps gaps. A bin turns the time last kept before it into the time last kept in it; that
+    step function is made for each bin by itself, the functions of a key's bins are followed in order, and each bin is then thinned
+    from its own entry. No task has more rows of a key than those of a bin.
     """
-    pieces = sessions(events, keys=keys, ts=ts, gap_s=min_gap_s - 1e-6, tie=tie, name="_piece")
-    timed = pieces.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    return keep_apart(timed, keys=[*keys, "_piece"], time="_t", order=["_t", *tie], gap=int(min_gap_s * 1_000_000)).drop("_t", "_piece")
+    gap, timed = int(min_gap_s * 1_000_000), events.filter(F.col(ts).isNotNull())
+    if gap <= 0:
+        return timed
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    slot = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.floor(at / (gap * bin_gaps)).alias("bin"))
+    rows = timed.withColumns({"_t": at, "_slot": slot})
+    steps = bin_steps(rows, slot="_slot", time="_t", width=gap * bin_gaps, gap=gap)
+    entered = rows.join(entries(steps, slot="_slot", gap=gap), "_slot")
+    return keep_apart(entered, keys=["_slot"], time="_t", order=["_t", *tie], gap=gap, after="after").select(*events.columns)
 
 
 def transitions(df: DataFrame, *, session: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -147,9 +190,9 @@ def discounted_return(df: DataFrame, *, session: Sequence[str], position: str, r
     return df.groupBy(*session).agg(F.sum(F.pow(F.lit(gamma), F.col(position)) * F.col(reward)).alias("episode_return"))
 
 
-def return_to_go(df: DataFrame, *, session: Sequence[str], position: str, reward: str, gamma: float) -> DataFrame:
-    """session..., position, to_go: reward plus gamma times the next row's return, from the session's end back."""
-    return discounted(df, keys=session, position=position, value=reward, gamma=gamma)
+def return_to_go(df: DataFrame, *, session: Sequence[str], position: str, reward: str, gamma: float, bin_rows: int = 4096) -> DataFrame:
+    """session..., position, to_go: reward plus gamma times the next row's return, from the session's end back, in bins of positions."""
+    return discounted(df, keys=session, position=position, value=reward, gamma=gamma, bin_rows=bin_rows)
 
 
 def order_faults(df: DataFrame, *, session: Sequence[str], position: str, ts: str) -> DataFrame:
@@ -164,20 +207,39 @@ def order_faults(df: DataFrame, *, session: Sequence[str], position: str, ts: st
     return rows.agg(*(F.count_if(F.col(c)).alias(c) for c in rows.columns))
 
 
-def prior_values(df: DataFrame, *, session: Sequence[str], order: Sequence[str], value: str, most: int | None = None) -> DataFrame:
-    """Adds prior, the array of the session's earlier values in order; with `most`, the last ones only, which bounds its length."""
-    by = W.partitionBy(*session).orderBy(*order).rowsBetween(W.unboundedPreceding if most is None else -most, -1)
+def prior_values(df: DataFrame, *, session: Sequence[str], order: Sequence[str], value: str, most: int) -> DataFrame:
+    """Adds prior, the array of the session's last `most` earlier values in order."""
+    by = W.partitionBy(*session).orderBy(*order).rowsBetween(-most, -1)
     return df.withColumn("prior", F.collect_list(value).over(by))
 
 
+def value_lists(df: DataFrame, *, session: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """session..., values: each session's values in order, once; with n_prior of prior_counts, slice(values, 1, n_prior) is what
+    came before a row, so the whole history takes a value a row and not a list a row. A null value keeps its place."""
+    row = F.struct(*(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)), F.col(value).alias("_v"))
+    return df.groupBy(*session).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["_v"]).alias("values"))
+
+
+def prior_counts(df: DataFrame, *, session: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds n_prior: the rows of the session before this one. order must be total."""
+    return df.withColumn("n_prior", F.row_number().over(W.partitionBy(*session).orderBy(*order)) - 1)
+
+
 def neighbours_within(events: DataFrame, *, ts: str, span_s: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds n_near: other events within span_s before or after. Work is dealt by day; each day also sees the events
-    span_s around it, so no window spans the whole table."""
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    day = lambda x: F.floor(x / 86_400_000_000)
+    """Adds n_near: other events within span_s before or after, 0 for rows without a time.
+
+    Work is dealt in bins as wide as the span, and each row goes to its own bin and the one on either side, which hold all it
+    can be near to; so no window spans more than three spans, whatever the span."""
     reach = int(span_s * 1_000_000)
-    rows = events.withColumn("_t", t)
-    dealt = rows.withColumn("_day", F.explode(F.array_distinct(F.array(day(F.col("_t") - reach), day(F.col("_t")), day(F.col("_t") + reach)))))
-    by = W.partitionBy("_day", *keys).orderBy("_t").rangeBetween(-reach, reach)
-    counted = dealt.withColumn("n_near", F.count("*").over(by) - 1)
-    return counted.filter(F.col("_day") == day(F.col("_t"))).drop("_t", "_day")
+    width = max(reach, 1)
+    rows = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    own = F.floor(F.col("_t") / width)
+    dealt = rows.filter("_t IS NOT NULL").withColumn("_bin", F.explode(F.sequence(own - 1, own + 1)))
+    by = W.partitionBy("_bin", *keys).orderBy("_t").rangeBetween(-reach, reach)
+    counted = dealt.withColumn("n_near", F.count("*").over(by) - 1).filter(F.col("_bin") == own)
+    return counted.unionByName(rows.filter("_t IS NULL").withColumn("n_near", F.lit(0).cast("long")), allowMissingColumns=True).drop("_t", "_bin")
+
+
+def burst_class(n_near: Column) -> Column:
+    """Fixed names: alone, small_burst (1 or 2 others near), burst_3_to_9, burst_10plus."""
+    return F.when(n_near == 0, "alone").when(n_near < 3, "small_burst").when(n_near < 10, "burst_3_to_9").otherwise("burst_10plus")

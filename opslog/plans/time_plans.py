@@ -114,11 +114,27 @@ def j15_recent_count(spark, d):
     return asof.count_in_window(purchases(spark, d), timeline(spark, d), window_s=DAY, **KW).select("event_id", "n_in_window")
 
 
-@query("""SELECT e.event_id, (SELECT count(*) FROM events x WHERE x.ts BETWEEN e.ts - INTERVAL 60 MINUTE AND e.ts + INTERVAL 60 MINUTE) - 1 AS n_near FROM events e""")
+_NEAR = "(SELECT count(*) FROM events x WHERE x.ts BETWEEN e.ts - INTERVAL {0} MINUTE AND e.ts + INTERVAL {0} MINUTE) - 1"
+
+
+@query(f"SELECT e.event_id, {_NEAR.format(60)} AS n_near FROM events e")
 def j16_neighbours(spark, d):
     return windows.neighbours_within(events(spark, d), ts="ts", span_s=3600).select("event_id", "n_near")
 
 
+@query("""SELECT a.event_id, count(b.event_id) - 1 AS n_near FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 60 HOUR AND a.ts + INTERVAL 60 HOUR GROUP BY 1""")
+def j16_neighbours_of_days(spark, d):
+    """A span of two and a half days, among the user's own events."""
+    return windows.neighbours_within(events(spark, d), ts="ts", span_s=216_000, keys=["user_id"]).select("event_id", "n_near")
+
+
+@query(f"""SELECT CASE WHEN n = 0 THEN 'alone' WHEN n < 3 THEN 'small_burst' WHEN n < 10 THEN 'burst_3_to_9' ELSE 'burst_10plus' END AS class, count(*) AS n
+  FROM (SELECT {_NEAR.format(5)} AS n FROM events e) GROUP BY 1""")
+def j16_burst_classes(spark, d):
+    out = windows.neighbours_within(events(spark, d), ts="ts", span_s=300)
+    return out.groupBy(windows.burst_class(F.col("n_near")).alias("class")).agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {TL}, d AS (SELECT user_id, ts::DATE AS day, ts, event_type FROM tl),
   q AS (SELECT event_id, user_id, ts::DATE AS day, ts FROM p)
   SELECT q.event_id, d.event_type AS kind FROM q ASOF LEFT JOIN d ON q.user_id = d.user_id AND q.day = d.day AND q.ts >= d.ts""")
@@ -163,26 +179,42 @@ def w5_gap_buckets(spark, d):
     return windows.gap_buckets(events(spark, d), keys=["user_id"], ts="ts", edges_s=[3600, 21600, 86400])
 
 
-@query("""WITH x AS (SELECT g AS gap_s, user_id, ts, CASE WHEN (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 > g THEN 1 ELSE 0 END AS nw
+@query("""WITH x AS (SELECT g AS gap_s, user_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap, CASE WHEN gap > g THEN 1 ELSE 0 END AS nw,
+      CASE WHEN ts < TIMESTAMP '2024-01-12' THEN 0 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS side
     FROM events, (VALUES (7200), (43200), (86400)) AS t(g) WINDOW w AS (PARTITION BY g, user_id ORDER BY ts)),
   y AS (SELECT *, sum(nw) OVER (PARTITION BY gap_s, user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM x),
-  z AS (SELECT gap_s, user_id, no, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span FROM y GROUP BY 1, 2, 3)
-  SELECT gap_s, count(*) AS n_sessions, round(quantile_cont(span, 0.5), 6) AS median_span_s, round(max(span), 6) AS max_span_s,
-    round(avg(CASE WHEN span > 86400 THEN 1.0 ELSE 0.0 END), 6) AS share_over_day FROM z GROUP BY 1""")
+  z AS (SELECT gap_s, user_id, no, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span, count(*) AS n, sum(nw) AS cut, count(*) FILTER (side <> first_side) AS leak
+    FROM (SELECT *, min(side) OVER (PARTITION BY gap_s, user_id, no) AS first_side FROM y) GROUP BY 1, 2, 3)
+  SELECT gap_s, count(*) AS n_sessions, round(quantile_cont(span, 0.5), 6) AS median_span_s, round(quantile_cont(span, 0.99), 4) AS p99_span_s, round(max(span), 6) AS max_span_s,
+    round(avg(CASE WHEN span > 86400 THEN 1.0 ELSE 0.0 END), 6) AS share_over_day, round(sum(CASE WHEN span > 86400 THEN n ELSE 0 END) / sum(n), 6) AS share_rows_over_day,
+    sum(cut)::BIGINT AS n_cut, sum(leak)::BIGINT AS n_leaking FROM z GROUP BY 1""")
 def w5_gap_sweep(spark, d):
-    s = windows.gap_sweep(events(spark, d), keys=["user_id"], ts="ts", gaps_s=[7200, 43200, 86400])
-    return s.select("gap_s", "n_sessions", *(r6(c, c) for c in ("median_span_s", "max_span_s", "share_over_day")))
+    """One sort of the log for all gaps; two boundary times."""
+    forest = windows.gap_forest(events(spark, d), keys=["user_id"], ts="ts", gaps_s=[7200, 43200, 86400], boundaries=["2024-01-12", "2024-01-20"])
+    s = windows.gap_sweep(forest)
+    rounded = (r6(c, c) for c in ("median_span_s", "max_span_s", "share_over_day", "share_rows_over_day"))
+    return s.select("gap_s", "n_sessions", *rounded, F.round("p99_span_s", 4).alias("p99_span_s"), "n_cut", "n_leaking")
+
+
+_THROTTLED = """WITH RECURSIVE o AS (SELECT event_id, {key} AS key, ts, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS k FROM {log}),
+  f AS (SELECT event_id, key, ts, k, ts AS kept, true AS keep FROM o WHERE k = 1
+    UNION ALL SELECT o.event_id, o.key, o.ts, o.k, CASE WHEN o.ts - f.kept >= INTERVAL {gap} THEN o.ts ELSE f.kept END, o.ts - f.kept >= INTERVAL {gap}
+    FROM f JOIN o ON o.key = f.key AND o.k = f.k + 1)
+  SELECT event_id, key AS {name} FROM f WHERE keep"""
 
 
-@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
-  f AS (SELECT event_id, user_id, ts, k, ts AS kept, true AS keep FROM o WHERE k = 1
-    UNION ALL SELECT o.event_id, o.user_id, o.ts, o.k, CASE WHEN o.ts - f.kept >= INTERVAL 12 HOUR THEN o.ts ELSE f.kept END, o.ts - f.kept >= INTERVAL 12 HOUR
-    FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
-  SELECT event_id, user_id FROM f WHERE keep""")
+@query(_THROTTLED.format(key="user_id", name="user_id", log="events", gap="12 HOUR"))
 def w6_throttle(spark, d):
     return windows.throttle(events(spark, d), keys=["user_id"], ts="ts", min_gap_s=HALF_DAY, tie=["event_id"]).select("event_id", "user_id")
 
 
+@query(_THROTTLED.format(key="event_type", name="event_type", log="(SELECT event_id, event_type, CASE WHEN event_id % 50 > 0 THEN ts END AS ts FROM events) WHERE ts IS NOT NULL", gap="30 MINUTE"))
+def w6_throttle_dense(spark, d):
+    """Five keys that hold all events, whose gaps seldom restart the rule; every fiftieth event has no time."""
+    rows = events(spark, d).withColumn("ts", F.when(F.col("event_id") % 50 > 0, F.col("ts")))
+    return windows.throttle(rows, keys=["event_type"], ts="ts", min_gap_s=1800, tie=["event_id"]).select("event_id", "event_type")
+
+
 _ONE = "ev AS (SELECT event_id, user_id, ts, event_type, value, CASE WHEN event_type IN ('view','click') THEN 1 ELSE 0 END AS st FROM events)"
 
 
@@ -255,6 +287,14 @@ def w11_dwell(spark, d):
     return out.select("user_id", F.col("day").cast("string").alias("day"), r6("dwell_s", "dwell_s"))
 
 
+@query("""WITH s AS (SELECT user_id, event_id % 7 + 1 AS platform, (user_id % 10)::VARCHAR AS cls, (epoch_us(min(ts) FILTER (event_type = 'purchase')) - epoch_us(min(ts) FILTER (event_type = 'view'))) / 1e6 AS dwell FROM events GROUP BY 1, 2)
+  SELECT platform, cls, count(*) AS n, round(quantile_cont(dwell, 0.05), 4) AS p5, round(quantile_cont(dwell, 0.5), 4) AS p50, round(quantile_cont(dwell, 0.95), 4) AS p95 FROM s WHERE dwell BETWEEN 0 AND 864000 GROUP BY 1, 2""")
+def w11_dwell_by_class(spark, d):
+    rows = events(spark, d).withColumn("platform", F.col("event_id") % 7 + 1)
+    out = chains.dwell_by_class(rows, train="user_id", platform="platform", cls=(F.col("user_id") % 10).cast("string"), ts="ts", kind="event_type", arrival="view", departure="purchase", at=[0.05, 0.5, 0.95], most_s=864_000)
+    return out.select("platform", "cls", "n", *(F.round(c, 4).alias(c) for c in ("p5", "p50", "p95")))
+
+
 @query("""SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_type) AS path FROM events
   WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1 HAVING count(*) >= 2""")
 def w12_ordered_paths(spark, d):
@@ -302,6 +342,15 @@ def w15_return_to_go(spark, d):
     return rows.join(out, ["user_id", "session_no", "position"]).select("event_id", F.round(F.col("to_go") + 1e-9, 4).alias("to_go"))
 
 
+@query("""WITH q AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events)
+  SELECT a.event_id, round(sum(pow(0.9, b.k - a.k) * b.value) + 1e-9, 4) AS to_go FROM q a JOIN q b ON a.event_type = b.event_type AND b.k BETWEEN a.k AND a.k + 300 GROUP BY 1""")
+def w15_return_to_go_long(spark, d):
+    """Five long sessions, in bins of 128 positions; terms over 300 rows ahead are below the rounding."""
+    rows = windows.positions(events(spark, d), session=["event_type"], order=["ts", "event_id"])
+    out = windows.return_to_go(rows, session=["event_type"], position="position", reward="value", gamma=0.9, bin_rows=128)
+    return rows.join(out, ["event_type", "position"]).select("event_id", F.round(F.col("to_go") + 1e-9, 4).alias("to_go"))
+
+
 @query(f"""WITH {_POS}, moved AS (SELECT user_id, session_no, ts, event_id, CASE WHEN event_id % 97 = 0 THEN k + 1 ELSE k END AS k, CASE WHEN event_id % 89 = 0 THEN ts - INTERVAL 20 HOUR ELSE ts END AS t FROM q),
   pairs AS (SELECT k, t, lag(k) OVER w AS pk, lag(t) OVER w AS pt FROM moved WINDOW w AS (PARTITION BY user_id, session_no ORDER BY k, t))
   SELECT count(*) FILTER (pk IS NULL AND k <> 0) AS bad_start, count(*) FILTER (k - pk <> 1) AS bad_step, count(*) FILTER (t < pt) AS bad_time, count(*) FILTER (k = pk) AS repeated FROM pairs""")
@@ -314,7 +363,17 @@ def w16_order_checks(spark, d):
 
 @query(f"""WITH {_SESS} SELECT event_id, coalesce(string_agg(event_type, '>') OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM s""")
 def w17_prior_values(spark, d):
-    out = windows.prior_values(_sessions(spark, d), session=["user_id", "session_no"], order=["ts", "event_id"], value="event_type")
+    """Every row's history, cut from its session's one list."""
+    by = dict(session=["user_id", "session_no"], order=["ts", "event_id"])
+    rows = _sessions(spark, d)
+    lists = windows.value_lists(rows, value="event_type", **by)
+    out = windows.prior_counts(rows, **by).join(lists, by["session"])
+    return out.select("event_id", F.array_join(F.slice("values", F.lit(1), F.col("n_prior")), ">").alias("prior"))
+
+
+@query(f"""WITH {_SESS} SELECT event_id, coalesce(string_agg(event_type, '>') OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS prior FROM s""")
+def w17_last_values(spark, d):
+    out = windows.prior_values(_sessions(spark, d), session=["user_id", "session_no"], order=["ts", "event_id"], value="event_type", most=3)
     return out.select("event_id", F.array_join("prior", ">").alias("prior"))
 
 
