@@ -19,9 +19,30 @@ def sample_rows(df: DataFrame, *, key: Sequence[str], n: int, seed: int) -> Data
     return df.orderBy(hashed_uniform(F.lit(seed), *(F.col(c) for c in key)), *key).limit(n)
 
 
+def _least_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, spread: Column) -> DataFrame:
+    """The n first rows of each group by order: first of each of 64 parts of it, then of what those keep, so a group that holds
+    all rows is sorted in 64 tasks, and 64 n rows of it in one."""
+    first = W.partitionBy(*group, F.pmod(spread, F.lit(64))).orderBy(*order)
+    few = df.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= n)
+    return few.withColumn("_k", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_k") <= n).drop("_k")
+
+
 def sample_per_group(df: DataFrame, *, group: Sequence[str], key: Sequence[str], n: int, seed: int) -> DataFrame:
-    order = W.partitionBy(*group).orderBy(hashed_uniform(F.lit(seed), *(F.col(c) for c in key)), *key)
-    return df.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).drop("_k")
+    """n rows of each group, or all if it has fewer, by the order of a seeded hash of their key."""
+    keys = [F.col(c) for c in key]
+    return _least_per_group(df, group, [hashed_uniform(F.lit(seed), *keys), *keys], n, F.xxhash64(*keys))
+
+
+def sample_weighted(df: DataFrame, *, group: Sequence[str], key: Sequence[str], weight: str, n: int, seed: int) -> DataFrame:
+    """n rows of each group without replacement, drawn in turn with chances in proportion to weight, by exponential keys: the
+    least -ln(u) / weight. Rows whose weight is null or not over 0 are never drawn."""
+    keys = [F.col(c) for c in key]
+    at = -F.ln(F.greatest(hashed_uniform(F.lit(seed), *keys), F.lit(1e-300))) / F.col(weight)
+    return _least_per_group(df.filter(F.col(weight) > 0), group, [at, *keys], n, F.xxhash64(*keys))
+
+
+#: Strata whose means are broadcast; with more of them they are joined by a shuffle.
+FEW_STRATA = 100_000
 
 
 def resample_balanced(df: DataFrame, *, stratum: str, key: Sequence[str], seed: int) -> DataFrame:
@@ -39,7 +60,8 @@ def resample_balanced(df: DataFrame, *, stratum: str, key: Sequence[str], seed:
         F.transform(digests, lambda h, i: F.when(i < whole, poisson_of(h)).otherwise((u < F.col("_mean") - whole).cast("int"))),
         F.lit(0), lambda a, x: a + x,
     )
-    joined = df.join(F.broadcast(mean), stratum).withColumn("_times", times).filter("_times > 0")
+    few = counts.count() <= FEW_STRATA
+    joined = df.join(F.broadcast(mean) if few else mean, stratum).withColumn("_times", times).filter("_times > 0")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_mean", "_times")
 
 

@@ -185,26 +185,74 @@ def coverage_of(decisions: DataFrame, *, chosen: str, candidates: str) -> DataFr
     return decisions.agg(F.count("*").alias("n"), F.count_if(there).alias("n_covered"), F.avg(there.cast("double")).alias("share"))
 
 
+def coverage_misses(decisions: DataFrame, *, decision: str, chosen: str, candidates: str, prefix: str | None = None, sample: int = 10) -> DataFrame:
+    """decision, chosen, reason: up to `sample` decisions whose chosen action is no candidate, the least ids first.
+
+    reason: no_candidates, aliased (a candidate is the same without the prefix, a regular expression), or other.
+    """
+    there = F.coalesce(F.array_contains(candidates, F.col(chosen)), F.lit(False))
+    reason = F.when(F.coalesce(F.size(candidates), F.lit(0)) <= 0, "no_candidates")
+    if prefix:
+        plain = lambda x: F.regexp_replace(x.cast("string"), f"^(?:{prefix})", "")
+        reason = reason.when(F.array_contains(F.transform(candidates, plain), plain(F.col(chosen))), "aliased")
+    return decisions.filter(~there).orderBy(decision).limit(sample).select(decision, chosen, reason.otherwise("other").alias("reason"))
+
+
+def aliased_keys(left: DataFrame, right: DataFrame, key: str, *, prefix: str) -> DataFrame:
+    """key, other: keys of left that right lacks, with right's keys that are the same without the prefix (a regular expression)."""
+    plain = lambda c: F.regexp_replace(F.col(c).cast("string"), f"^(?:{prefix})", "")
+    gone = missing_keys(left, right, key).withColumn("_plain", plain(key))
+    others = right.select(F.col(key).alias("other")).distinct().withColumn("_plain", plain("other"))
+    return gone.join(others, "_plain").select(key, "other")
+
+
 def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).distinct().join(right.select(key), key, "left_anti")
 
 
+def rule_leads(decisions: DataFrame, rules: DataFrame, predicates: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """rules with _lead (the number of the condition that fewest decisions meet), _value (one row for each of its values) and
+    _n (decisions with that value); and the counts (_lead, _value, _n) of the values that rules name."""
+    names, of = list(predicates), list(predicates.values())
+    numbered_ = stored(rules.withColumn("_rule", F.monotonically_increasing_id()), "rules")
+    asks = F.array(*(F.struct(F.lit(k).alias("_lead"), F.col(c).cast("string").alias("_value")) for k, c in enumerate(of)))
+    counts = decisions.select(F.inline(asks)).groupBy("_lead", "_value").agg(F.count("*").alias("_n"))
+    values = F.array(*(F.struct(F.lit(k).alias("_lead"), F.array_distinct(F.transform(n, lambda x: x.cast("string"))).alias("_values")) for k, n in enumerate(names)))
+    conditions = numbered_.select("_rule", F.inline(values)).filter("_values IS NOT NULL").select("_rule", "_lead", F.explode_outer("_values").alias("_value"))
+    met = stored(conditions.join(counts, ["_lead", "_value"], "left").fillna({"_n": 0}), "rule-values")
+    total = met.groupBy("_rule", "_lead").agg(F.sum("_n").alias("_met"))
+    lead = total.groupBy("_rule").agg(F.min(F.struct("_met", "_lead"))["_lead"].alias("_lead"))
+    free = F.struct(F.lit(len(names)).alias("_lead"), F.lit("").alias("_value"), F.lit(0).cast("long").alias("_n"))
+    led = numbered_.join(lead.join(met, ["_rule", "_lead"]).select("_rule", F.struct("_lead", "_value", "_n").alias("_at")), "_rule", "left")
+    return led.select(*rules.columns, F.coalesce("_at", free).alias("_at")).select(*rules.columns, "_at.*"), met.select("_lead", "_value", "_n").distinct()
+
+
 def rule_matches(decisions: DataFrame, rules: DataFrame, *, predicates: dict[str, str]) -> DataFrame:
     """Decisions with every rule whose conditions all hold; a null condition always holds.
 
-    predicates: rule array column to decision column. A rule is found by the values of its first condition that is not null, an
-    equal join; its other conditions are looked at then. Decisions enter once for each predicate, and once for rules without any.
+    predicates: rule array column to decision column. A rule is found by the values of that of its conditions which the fewest
+    decisions meet, by an equal join; its other conditions are looked at then. A decision enters once for each of its values that
+    leads a rule, and once for rules without conditions. Values with over a thousandth of all decisions are split over parts, and
+    their rules repeated in each.
     """
     names, of = list(predicates), list(predicates.values())
-    lead = F.coalesce(*(F.when(F.col(n).isNotNull(), k) for k, n in enumerate(names)), F.lit(len(names)))
-    values = F.coalesce(*(F.transform(n, lambda x: x.cast("string")) for n in names), F.array(F.lit("")))
-    keyed = rules.withColumn("_lead", lead).withColumn("_value", F.explode(F.array_distinct(values)))
+    led, counts = rule_leads(decisions, rules, predicates)
+    led = stored(led, "rule-leads")
+    n = decisions.count()
+    parts = F.least(F.lit(64), F.ceil(F.col("_n") * 1000 / max(1, n))).cast("int")
+    leading = led.select("_lead", "_value").distinct().join(counts, ["_lead", "_value"], "left").fillna({"_n": n})
+    hot = F.broadcast(leading.withColumn("_parts", parts).filter("_parts > 1").drop("_n"))  # at most 1000 values a condition, and the free rules
     asks = F.array(*(F.struct(F.lit(k).alias("_lead"), F.col(c).cast("string").alias("_value")) for k, c in enumerate(of)), F.struct(F.lit(len(of)).alias("_lead"), F.lit("").alias("_value")))
+    used = [r[0] for r in led.select("_lead").distinct().collect()]  # at most one number a predicate
+    asked = decisions.select("*", F.inline(F.filter(asks, lambda a: a["_lead"].isin(used) if used else F.lit(False))))
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int")
+    asked = asked.join(hot, ["_lead", "_value"], "left").withColumn("_part", spread).drop("_parts")
+    keyed = led.drop("_n").join(hot, ["_lead", "_value"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     holds = F.lit(True)
-    for n, c in predicates.items():
-        holds = holds & (F.col(n).isNull() | F.coalesce(F.array_contains(n, F.col(c)), F.lit(False)))
-    met = decisions.select("*", F.inline(asks)).join(keyed, ["_lead", "_value"]).filter(holds)
-    return met.drop("_lead", "_value").select(*decisions.columns, *rules.columns)
+    for name, c in predicates.items():
+        holds = holds & (F.col(name).isNull() | F.coalesce(F.array_contains(name, F.col(c)), F.lit(False)))
+    met = asked.join(keyed, ["_lead", "_value", "_part"]).filter(holds)
+    return met.select(*decisions.columns, *rules.columns)
 
 
 def with_fallback(df: DataFrame, sidecars: Sequence[tuple[DataFrame, str]], *, value: str, default) -> DataFrame:

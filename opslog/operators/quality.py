@@ -120,9 +120,31 @@ def outlier_months(monthly: DataFrame, *, month: str, value: str, k: float = 3.0
     return rows.withColumn("is_outlier", F.abs(F.col(value) - F.col("median")) > k * 1.4826 * F.col("mad"))
 
 
-def version_diff(old: DataFrame, new: DataFrame, *, key: str, columns: Sequence[str], allowed: Column) -> DataFrame:
-    """column, n_changed, n_forbidden: changes of new against old, and those outside the allowed rows."""
-    both = old.select(key, *(F.col(c).alias(f"_o_{c}") for c in columns)).join(new, key)
+def block_digests(df: DataFrame, *, key: str, columns: Sequence[str], blocks: int = 4096) -> DataFrame:
+    """block, n, digest: rows and the xor of row hashes of each block of keys; small enough to be kept beside a table's version."""
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
+    row = F.xxhash64(F.lit(1), key, *(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+    return df.groupBy(block).agg(F.count("*").alias("n"), F.bit_xor(row).alias("digest"), F.sum(row.cast("decimal(38,0)")).alias("total"))
+
+
+def version_diff(
+    old: DataFrame, new: DataFrame, *, key: str, columns: Sequence[str], allowed: Column, blocks: int = 4096, old_digests: DataFrame | None = None, new_digests: DataFrame | None = None
+) -> DataFrame:
+    """column, n_changed, n_forbidden: changes of new against old, and those outside the allowed rows.
+
+    Digests per block of keys are compared first, those given or newly made (one pass without a join); only rows of blocks that
+    differ are joined. With both given and no change, neither table is read but for the empty rest. Keys are unique; rows
+    without a partner in the other version are no changes.
+    """
+    settings = dict(key=key, columns=columns, blocks=blocks)
+    a = old_digests if old_digests is not None else block_digests(old, **settings)
+    b = new_digests if new_digests is not None else block_digests(new, **settings)
+    same = a.join(b.toDF("block", "_n", "_digest", "_total"), "block", "full").withColumn("same", (F.col("n") == F.col("_n")) & (F.col("digest") == F.col("_digest")) & (F.col("total") == F.col("_total")))
+    changed_blocks = [r[0] for r in same.filter(~F.coalesce("same", F.lit(False))).select("block").collect()]  # at most `blocks` numbers
+    inside = F.pmod(F.xxhash64(key), F.lit(blocks)).isin(changed_blocks) if len(changed_blocks) < blocks else F.lit(True)
+    if not changed_blocks:
+        inside = F.lit(False)
+    both = old.filter(inside).select(key, *(F.col(c).alias(f"_o_{c}") for c in columns)).join(new.filter(inside), key)
     changed = {c: ~F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in columns}
     sums = both.agg(*(x for c, d in changed.items() for x in (F.count_if(d).alias(f"_a_{c}"), F.count_if(d & ~allowed).alias(f"_b_{c}"))))
     return sums.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_a_{c}").alias("n_changed"), F.col(f"_b_{c}").alias("n_forbidden")) for c in columns))))
@@ -178,6 +200,64 @@ def leak_checks(*, center_type: Column | None = None, center: Column | None = No
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks)))
 
 
+#: Fields that a node of each kind may not have, and that an outlook row may not have.
+NODE_MARKS = {
+    "signal": ("is_focal_signal", "is_focal", "is_focal_node"),
+    "route": ("is_focal_route", "is_focal", "is_focal_node", "is_chosen"),
+    "track": ("is_focal_track",),
+}
+OUTLOOK_SIGNALS = ("planned_end_signal", "planned_signal")
+FLAG_SOURCES = ("planned_platform", "current_platform", "both")
+PLATFORMS = (1, 7)
+CHECKS = ("subgraph_center", "no_focal_graph_flags", "banned_fields", "schedule_outlook", "flags_source", "temporal_causality", "one_focal_train")
+
+
+def snapshot_violations(
+    df: DataFrame, *, center: str, current: Column, nodes: dict[str, str], tokens: str, age: str, outlook: str, platform: str, flags_source: Column, trains: str,
+    is_focal: str = "is_focal", banned: Sequence[str] = (), skip: Sequence[str] = (),
+) -> Column:
+    """array<string>: which of the seven causality checks (CHECKS, but for those in skip) a snapshot breaks, in that order.
+
+    center: a struct (type, id), to be the train's current track; nodes: kind to array column; tokens with an age that may not be
+    below 0; an outlook whose platforms are whole numbers in PLATFORMS and that names no signal; trains of which one is focal. Marks,
+    banned names and a platform of another type are faults of the schema, so of every row. A null array or value breaks nothing,
+    but for the one focal train, which must be there.
+    """
+    kind = {c: df.schema[c].dataType.elementType for c in [*nodes.values(), outlook]}
+    state = df.select(center, *nodes.values(), tokens, outlook, trains)
+    marked = any(set(NODE_MARKS.get(k, ())) & set(kind[c].names) for k, c in nodes.items())
+    named = bool(set(OUTLOOK_SIGNALS) & set(kind[outlook].names))
+    whole = kind[outlook][platform].dataType.typeName() in ("byte", "short", "integer", "long") if platform in kind[outlook].names else True
+    outside = F.exists(outlook, lambda o: ~o[platform].between(*PLATFORMS)) if whole and platform in kind[outlook].names else F.lit(not whole)
+    wrong = {
+        "subgraph_center": ~F.col(center)["type"].eqNullSafe(F.lit("track")) | (current.isNotNull() & ~F.col(center)["id"].eqNullSafe(current)),
+        "no_focal_graph_flags": F.lit(marked),
+        "banned_fields": F.lit(bool(banned_fields(state, banned))),
+        "schedule_outlook": F.lit(named) | F.coalesce(outside, F.lit(False)),
+        "flags_source": ~flags_source.isin(*FLAG_SOURCES),
+        "temporal_causality": F.exists(tokens, lambda t: t[age] < 0),
+        "one_focal_train": F.coalesce(F.size(F.filter(trains, lambda t: F.coalesce(t[is_focal], F.lit(False)))), F.lit(0)) != 1,
+    }
+    return F.array_compact(F.array(*(F.when(F.coalesce(wrong[c], F.lit(False)), F.lit(c)) for c in CHECKS if c not in skip)))
+
+
+def leak_report(df: DataFrame, violations: Column, *, key: str, per_group: Sequence[str] = (), sample: int | None = None, seed: int = 42, examples: int = 3) -> DataFrame:
+    """check, n_rows, n_bad, share, examples: one row for each of CHECKS, over all rows or a seeded sample per group (full or sampled
+    audit); examples: the least keys that break the check."""
+    from .choice import sample_per_group
+
+    rows = df if sample is None else sample_per_group(df, group=per_group, key=[key], n=sample, seed=seed)
+    audited = rows.select(key, violations.alias("_v"))
+    total = audited.agg(F.count("*").alias("n_rows"))
+    bad = audited.select(key, F.explode("_v").alias("check"))
+    least = W.partitionBy("check").orderBy(key)
+    few = bad.withColumn("_k", F.row_number().over(least)).filter(F.col("_k") <= examples).groupBy("check").agg(F.array_sort(F.collect_list(key)).alias("examples"))
+    counts = bad.groupBy("check").agg(F.count("*").alias("n_bad"))
+    names = total.select("n_rows", F.explode(F.array(*map(F.lit, CHECKS))).alias("check"))
+    out = names.join(counts, "check", "left").join(few, "check", "left").fillna({"n_bad": 0})
+    return out.select("check", "n_rows", "n_bad", (F.col("n_bad") / F.greatest("n_rows", F.lit(1))).alias("share"), F.coalesce("examples", F.array().cast(few.schema["examples"].dataType)).alias("examples"))
+
+
 def assert_no_leak(df: DataFrame, violations: Column) -> None:
     """Raises on the first row with violations."""
     bad = df.select(violations.alias("v")).filter(F.size("v") > 0).take(1)

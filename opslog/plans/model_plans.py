@@ -306,6 +306,26 @@ def j18_missing_keys(spark, d):
     return joins.missing_keys(table(spark, d, "lineitem"), table(spark, d, "supplier").filter("s_nationkey > 12").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey")
 
 
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' || o_custkey % 9 ELSE (o_custkey % 9)::VARCHAR END AS chosen, list_filter([(o_custkey % 9)::VARCHAR, (o_orderkey % 7)::VARCHAR], lambda x: o_orderkey % 11 > 0) AS options FROM orders),
+  m AS (SELECT * FROM o WHERE NOT list_contains(options, chosen) ORDER BY o_orderkey LIMIT 40)
+  SELECT o_orderkey, chosen, CASE WHEN len(options) = 0 THEN 'no_candidates' WHEN list_contains(options, regexp_replace(chosen, '^X', '')) THEN 'aliased' ELSE 'other' END AS reason FROM m""")
+def j18_misses(spark, d):
+    """The first forty chosen actions that are no candidates, with the reason: ids with another prefix, no candidates at all, or other."""
+    key = F.col("o_orderkey")
+    own = (F.col("o_custkey") % 9).cast("string")
+    options = F.filter(F.array(own, (key % 7).cast("string")), lambda x: key % 11 > 0)
+    o = table(spark, d, "orders").select("o_orderkey", F.when(key % 5 == 0, F.concat(F.lit("X"), own)).otherwise(own).alias("chosen"), options.alias("options"))
+    return joins.coverage_misses(o, decision="o_orderkey", chosen="chosen", candidates="options", prefix="X", sample=40)
+
+
+@query("""WITH a AS (SELECT DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN 'X' || l_suppkey ELSE l_suppkey::VARCHAR END AS name FROM lineitem), b AS (SELECT s_suppkey::VARCHAR AS name FROM supplier)
+  SELECT a.name, b.name AS other FROM a JOIN b ON regexp_replace(a.name, '^(X|DC)', '') = regexp_replace(b.name, '^(X|DC)', '') WHERE a.name NOT IN (SELECT name FROM b)""")
+def j18_aliased_keys(spark, d):
+    key = F.col("l_suppkey").cast("string")
+    left = table(spark, d, "lineitem").select(F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("X"), key)).otherwise(key).alias("name"))
+    return joins.aliased_keys(left, table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("name")), "name", prefix="X|DC")
+
+
 @query("SELECT o_orderkey, coalesce(round(q, 4), -1) AS quantity FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def j22_attach(spark, d):
     side = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_quantity"), 4).alias("quantity"))
@@ -379,6 +399,15 @@ def a13_value_audit(spark, d):
     return a.select("part", "n", "n_null", "min_size", "max_size", r6("mean_size", "mean_size"), r6("mean_value", "mean_value"))
 
 
+@query("""WITH l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), v AS (SELECT 'lines' AS part, l_quantity AS v FROM l UNION ALL SELECT 'taxes', l_tax FROM l)
+  SELECT part, count(*) AS n, round(quantile_cont(v, 0.05), 6) AS q_5, round(quantile_cont(v, 0.5), 6) AS q_50, round(quantile_cont(v, 0.99), 6) AS q_99 FROM v GROUP BY 1""")
+def a13_value_quantiles(spark, d):
+    lists = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_quantity")).alias("lines"), F.collect_list(F.struct("l_tax")).alias("taxes"))
+    whole = table(spark, d, "orders").join(lists, "o_orderkey", "left")
+    q = snapshot.value_quantiles(whole, lists={"lines": "l_quantity", "taxes": "l_tax"}, shares=[0.05, 0.5, 0.99])
+    return q.select("part", "n", *(r6(c, c) for c in ("q_5", "q_50", "q_99")))
+
+
 @query("""WITH m AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN [1, 2] WHEN 1 THEN [2, 3] ELSE [4, 1] END AS s FROM lineitem),
   c AS (SELECT l_orderkey, bool_or(s = [1, 2]) AS a, bool_or(s = [2, 3]) AS b, bool_or(s = [4, 1]) AS c, count(*) AS n FROM m GROUP BY 1)
   SELECT l_orderkey, n AS n_soft, b AND c AS conflict, array_to_string(list_sort(list_distinct(list_concat(list_concat(CASE WHEN a THEN [1, 2] ELSE [] END, CASE WHEN b THEN [2, 3] ELSE [] END), CASE WHEN c THEN [4, 1] ELSE [] END))), ',') AS accepted FROM c""")

@@ -156,6 +156,34 @@ def a19_leak_audit(spark, d):
     return x.select("o_orderkey", F.array_join(bad, ",").alias("violations"))
 
 
+_AUDITED = """x AS (SELECT o_orderkey, o_orderkey % 50 = 0 AS off_center, o_orderkey % 41 AS source, list(l_linenumber - 2) AS ages, list(l_suppkey % 9) AS platforms, count(*) FILTER (l_linenumber % 4 = 1) AS n_focal
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+  v AS (SELECT *, [CASE WHEN off_center THEN 'subgraph_center' END, CASE WHEN len(list_filter(platforms, lambda p: p NOT BETWEEN 1 AND 7)) > 0 THEN 'schedule_outlook' END, CASE WHEN source = 0 THEN 'flags_source' END,
+    CASE WHEN len(list_filter(ages, lambda a: a < 0)) > 0 THEN 'temporal_causality' END, CASE WHEN n_focal <> 1 THEN 'one_focal_train' END] AS bad FROM x)"""
+
+
+@query(f"""WITH {_AUDITED}, k AS (SELECT unnest(['subgraph_center', 'no_focal_graph_flags', 'banned_fields', 'schedule_outlook', 'flags_source', 'temporal_causality', 'one_focal_train']) AS "check"),
+  b AS (SELECT o_orderkey, unnest(bad) AS "check" FROM v), t AS (SELECT count(*) AS n FROM v), c AS (SELECT "check", count(*) AS n_bad, min(o_orderkey) AS least FROM b WHERE "check" IS NOT NULL GROUP BY 1)
+  SELECT k."check", t.n AS n_rows, coalesce(n_bad, 0) + CASE k."check" WHEN 'banned_fields' THEN t.n ELSE 0 END AS n_bad, coalesce(least, CASE k."check" WHEN 'banned_fields' THEN (SELECT min(o_orderkey) FROM v) ELSE -1 END) AS first_bad
+  FROM k CROSS JOIN t LEFT JOIN c ON k."check" = c."check" """)
+def a19_leak_report(spark, d):
+    """All seven checks over nested snapshots of orders with planted faults; one field of the tokens is banned."""
+    rows = table(spark, d, "orders").join(_lines(spark, d), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(
+        F.collect_list(F.struct((F.col("l_linenumber") - 2).alias("age_s"), F.col("l_partkey").alias("chosen_route"))).alias("tokens"),
+        F.collect_list(F.struct((F.col("l_suppkey") % 9).alias("planned_platform"))).alias("outlook"),
+        F.collect_list(F.struct(F.col("l_suppkey").alias("train"), (F.col("l_linenumber") % 4 == 1).alias("is_focal"))).alias("trains"),
+        F.collect_list(F.struct(F.col("l_partkey").alias("id"))).alias("tracks"),
+    )
+    key = F.col("o_orderkey")
+    rows = rows.withColumn("center", F.struct(F.lit("track").alias("type"), F.when(key % 50 == 0, key + 1).otherwise(key).alias("id")))
+    bad = quality.snapshot_violations(
+        rows, center="center", current=key, nodes={"track": "tracks"}, tokens="tokens", age="age_s", outlook="outlook", platform="planned_platform",
+        flags_source=F.when(key % 41 == 0, "focal_signal").otherwise("both"), trains="trains", banned=["chosen_route"],
+    )
+    report = quality.leak_report(rows, bad, key="o_orderkey", examples=1)
+    return report.select("check", "n_rows", "n_bad", F.coalesce(F.get("examples", F.lit(0)), F.lit(-1)).alias("first_bad"))
+
+
 _PRED = "p AS (SELECT l_linestatus AS stratum, l_linenumber % 3 AS truth, CASE WHEN l_quantity > 20 THEN l_linenumber % 3 ELSE (l_linenumber + 1) % 3 END AS pred FROM lineitem)"
 _METRICS = """count(*) AS n, round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END) FILTER (truth > 0), 6) AS top1_set,
   round(avg(CASE WHEN truth = 0 THEN 1.0 ELSE 0.0 END) FILTER (pred = 0), 6) AS wait_precision, round(avg(CASE WHEN pred = 0 THEN 1.0 ELSE 0.0 END) FILTER (truth = 0), 6) AS wait_recall,
@@ -304,6 +332,14 @@ def m1_m3_sampling(spark, d):
     return per.join(again, "event_type")
 
 
+@query(f"""WITH u AS (SELECT event_id, event_type, -ln({_U("'5|' || event_id")}) / (value + 1) AS k FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY k, event_id) AS n FROM u)
+  SELECT event_type, event_id FROM r WHERE n <= 30""")
+def m3_weighted_sample(spark, d):
+    """Thirty events of each kind without replacement, with chances in proportion to their values."""
+    rows = events(spark, d).withColumn("w", F.col("value") + 1)
+    return choice.sample_weighted(rows, group=["event_type"], key=["event_id"], weight="w", n=30, seed=5).select("event_type", "event_id")
+
+
 @query("""WITH p AS (SELECT o_orderpriority AS cell, avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END) AS share FROM orders GROUP BY 1)
   SELECT cell, round(ln(share / (1 - share)), 4) AS weight FROM p""")
 def m4_m6_closed_form(spark, d):
