@@ -178,3 +178,36 @@ def local_edges(edges: Column, nodes: Column) -> Column:
     """(src, dst) structs as positions in nodes, from 0; edges with an unknown end are left out."""
     at = F.transform(edges, lambda e: F.struct((F.array_position(nodes, e["src"]) - 1).alias("src"), (F.array_position(nodes, e["dst"]) - 1).alias("dst")))
     return F.filter(at, lambda e: (e["src"] >= 0) & (e["dst"] >= 0))
+
+
+def vocabulary_index(c: Column, vocabulary: Column) -> Column:
+    """Place in a sorted vocabulary from 1; 0 for nulls and unknown values."""
+    return F.coalesce(F.array_position(vocabulary, c.cast("string")).cast("int"), F.lit(0))
+
+
+def node_arrays(
+    nodes: Column, *, ident: str, numbers: dict[str, tuple[float, float]], flags: Sequence[str] = (), platforms: Sequence[str] = (), categories: dict[str, Column] | None = None, slots: int = 8
+) -> Column:
+    """A struct of parallel arrays of an array of node structs: ids, cont, binary and cat, one entry a node.
+
+    cont: each number's z-score (numbers: field to mean and deviation), clipped, 0 for null; binary: each flag as 0 or 1, then each
+    platform as one of `slots` places; cat: each category's place in its vocabulary (an array column), 0 if unknown. A null array
+    is an empty one.
+    """
+    flag = lambda n, f: F.coalesce(n[f].cast("boolean"), F.lit(False)).cast("int")
+    hot = lambda n, f: one_hot(n[f].cast("int"), slots)
+    return F.struct(
+        F.coalesce(F.transform(nodes, lambda n: n[ident].cast("string")), F.array().cast("array<string>")).alias("ids"),
+        F.coalesce(F.transform(nodes, lambda n: F.array(*(zscore(n[f].cast("double"), m, s) for f, (m, s) in numbers.items()))), F.array().cast("array<array<double>>")).alias("cont"),
+        F.coalesce(F.transform(nodes, lambda n: F.concat(F.array(*(flag(n, f) for f in flags)).cast("array<int>"), *(hot(n, f) for f in platforms))), F.array().cast("array<array<int>>")).alias("binary"),
+        F.coalesce(F.transform(nodes, lambda n: F.array(*(vocabulary_index(n[f], v) for f, v in (categories or {}).items())).cast("array<int>")), F.array().cast("array<array<int>>")).alias("cat"),
+    )
+
+
+def edge_arrays(edges: Column, src_ids: Column, dst_ids: Column) -> Column:
+    """A struct of two parallel arrays, the local places (from 0) of edges' ends in the ids of their kinds; edges with an end that is not
+    there are left out."""
+    at = F.transform(edges, lambda e: F.struct((F.array_position(src_ids, e["src"].cast("string")) - 1).alias("src"), (F.array_position(dst_ids, e["dst"].cast("string")) - 1).alias("dst")))
+    kept = F.filter(at, lambda e: (e["src"] >= 0) & (e["dst"] >= 0))
+    empty = F.array().cast("array<bigint>")
+    return F.struct(F.coalesce(F.transform(kept, lambda e: e["src"]), empty).alias("src"), F.coalesce(F.transform(kept, lambda e: e["dst"]), empty).alias("dst"))

@@ -139,6 +139,35 @@ def s8_registry(spark, d):
     return io.registry_assets(lines).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+_REGISTRY = """l AS (SELECT p_partkey, CASE p_partkey % 6
+    WHEN 0 THEN 'SDC' || p_partkey || chr((65 + p_size % 26)::INTEGER) WHEN 1 THEN 'RDW' || p_partkey || 'XY-' || p_size || '(M)' WHEN 2 THEN 'REC' || p_partkey || 'Q(PS)'
+    WHEN 3 THEN 'T' || CASE WHEN p_size % 2 = 0 THEN 'A' ELSE '' END || p_partkey WHEN 4 THEN 'LPLAT' || p_size || CASE WHEN p_size % 3 = 0 THEN 'A' ELSE 'B' END || 'TRS(S)' ELSE 'SXX' || p_partkey END AS name FROM part)"""
+
+
+@query(rf"""WITH {_REGISTRY}, x AS (SELECT DISTINCT name FROM l),
+  s AS (SELECT 'signal' AS kind, name, regexp_extract(name, '^S(DC|DW|DY|EC|TD)(\d+\w*)$', 1) || '|' || regexp_extract(name, '^S(DC|DW|DY|EC|TD)(\d+\w*)$', 2) AS fields FROM x WHERE regexp_matches(name, '^S(DC|DW|DY|EC|TD)(\d+\w*)$')),
+  r AS (SELECT 'route' AS kind, name, regexp_replace(name, '^R(DW|TD|DC|EC|DY)(\d+\w*)([A-Z]+)(-(\d+))?\((M|C|S|W|PS)\)$', '\1|\2|\3|\5|\6') AS fields FROM x WHERE regexp_matches(name, '^R(DW|TD|DC|EC|DY)(\d+\w*)([A-Z]+)(-(\d+))?\((M|C|S|W|PS)\)$')),
+  t AS (SELECT 'track' AS kind, name, CASE WHEN regexp_matches(name, '^.+[A-Za-z]') THEN 'alpha' ELSE 'numeric' END AS fields FROM x WHERE name LIKE 'T%'),
+  q AS (SELECT 'trts' AS kind, name, regexp_replace(name, '^LPLAT(\d+)([AB])TRS\(([NS])\)$', '\1|\2|\3') AS fields FROM x WHERE regexp_matches(name, '^LPLAT(\d+)([AB])TRS\(([NS])\)$'))
+  SELECT * FROM s UNION ALL SELECT * FROM r UNION ALL SELECT * FROM t UNION ALL SELECT * FROM q""")
+def s8_registry_tables(spark, d):
+    """Registry lines with a name for each part: signals, routes with and without sub, tracks, latches and names of no format."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    text = lambda *parts: F.concat(*(p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts))
+    name = (
+        F.when(key % 6 == 0, text("SDC", key, F.char((65 + size % 26).cast("int")))).when(key % 6 == 1, text("RDW", key, "XY-", size, "(M)"))
+        .when(key % 6 == 2, text("REC", key, "Q(PS)")).when(key % 6 == 3, text("T", F.when(size % 2 == 0, "A").otherwise(""), key))
+        .when(key % 6 == 4, text("LPLAT", size, F.when(size % 3 == 0, "A").otherwise("B"), "TRS(S)")).otherwise(text("SXX", key))
+    )
+    lines = table(spark, d, "part").select(F.concat_ws("  ", key.cast("string"), "p_brand", name).alias("value"))
+    out = None
+    for kind, df in io.registry_tables(io.registry_assets(lines)).items():
+        first, *fields = df.columns
+        part = df.select(F.lit(kind).alias("kind"), F.col(first).alias("name"), F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields)).alias("fields"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def s1_s2_s3_csv_to_parquet(spark, d):
     """Events to CSV, read back with a declared schema and column subset, cached as zstd Parquet, read pruned."""
@@ -167,6 +196,42 @@ def s15_patch_window(spark, d):
     return fixed.groupBy("event_type").agg(F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(CASE WHEN ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12' THEN value * 2 ELSE value END), 4) AS total,
+  CASE WHEN ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-11' THEN 1 ELSE 0 END AS rewritten FROM events GROUP BY ALL""")
+def s15_patch_days(spark, d):
+    """A table with a folder for each day, patched in place: only the window's days get new files."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+    events(spark, d).withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    names = lambda: spark.read.parquet(path).select("day", F.input_file_name().alias("file")).distinct()
+    before = stored(names(), "files")
+    io.patch_days(spark, path, day="day", ts="ts", start="2024-01-10 06:00:00", end="2024-01-12", patches={"value": F.col("value") * 2})
+    kept = names().join(before, ["day", "file"]).select("day").distinct().withColumn("rewritten", F.lit(0))
+    days = spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return days.join(kept, "day", "left").select(F.col("day").cast("string").alias("day"), "n", "total", F.coalesce("rewritten", F.lit(1)).alias("rewritten"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, list({'id': l_partkey, 'q': l_quantity, 'f': l_returnflag, 'n': l_linenumber} ORDER BY l_linenumber, l_partkey, l_suppkey) AS nodes FROM lineitem GROUP BY 1)
+  SELECT l_orderkey, array_to_string(list_transform(nodes, lambda x: x.id::VARCHAR), ',') AS ids, round(list_sum(list_transform(nodes, lambda x: greatest(-5, least(5, (x.q - 25.0) / 15.0)))) + 1e-9, 4) AS z,
+    array_to_string(list_transform(nodes, lambda x: CASE WHEN x.n % 2 = 0 THEN '1' ELSE '0' END || array_to_string([CASE WHEN k = x.n THEN '1' ELSE '0' END FOR k IN range(8)], '')), ',') AS bits,
+    array_to_string(list_transform(nodes, lambda x: coalesce(list_position(['A', 'R'], x.f), 0)::VARCHAR), ',') AS cats,
+    coalesce(array_to_string(list_transform(list_filter(range(1, len(nodes)), lambda i: list_position(list_transform(nodes, lambda x: x.id), nodes[i].id) > 0), lambda i: (list_position(list_transform(nodes, lambda x: x.id), nodes[i].id) - 1)::VARCHAR || '>' ||
+      (list_position(list_transform(nodes, lambda x: x.id), nodes[i + 1].id) - 1)::VARCHAR), ','), '') AS edges FROM p""")
+def p21_node_arrays(spark, d):
+    """Each order's lines as nodes, and edges from line to line; one edge of each order has an unknown end."""
+    row = F.struct("l_linenumber", F.col("l_partkey").alias("id"), "l_suppkey", F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("n"), (F.col("l_linenumber") % 2 == 0).alias("even"))
+    p = _lines(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("nodes"))
+    made = parse.node_arrays(F.col("nodes"), ident="id", numbers={"q": (25.0, 15.0)}, flags=["even"], platforms=["n"], categories={"f": F.array(F.lit("A"), F.lit("R"))})
+    steps = F.zip_with(F.slice("nodes", F.lit(1), F.size("nodes") - 1), F.slice("nodes", F.lit(2), F.size("nodes")), lambda a, b: F.struct(a["id"].alias("src"), b["id"].alias("dst")))
+    p = p.withColumn("enc", made).withColumn("steps", F.array_append(steps, F.struct(F.element_at("nodes", 1)["id"].alias("src"), F.lit(-1).cast("long").alias("dst"))))
+    e = p.withColumn("edges", parse.edge_arrays(F.col("steps"), F.col("enc.ids"), F.col("enc.ids")))
+    text = lambda c, f=lambda x: x.cast("string"): F.array_join(F.transform(c, f), ",")
+    z = F.aggregate(F.transform("enc.cont", lambda x: x[0]), F.lit(0.0), lambda a, x: a + x)
+    ends = F.array_join(F.zip_with("edges.src", "edges.dst", lambda a, b: F.concat_ws(">", a.cast("string"), b.cast("string"))), ",")
+    return e.select("l_orderkey", text("enc.ids").alias("ids"), F.round(z + 1e-9, 4).alias("z"), text("enc.binary", lambda x: F.array_join(F.transform(x, lambda y: y.cast("string")), "")).alias("bits"), text("enc.cat", lambda x: x[0].cast("string")).alias("cats"), ends.alias("edges"))
+
+
 @query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events)
   SELECT user_id, count(*) AS n, sum((k + 1) * (event_id % 1000))::BIGINT AS digest FROM p GROUP BY 1""")
 def s13_canonical_order(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parse
+from ..functions.shared import stored
 
 EVENTS = (
     "time timestamp_ntz, type string, id string, state tinyint, change string, trainid_filled string, "
@@ -76,6 +77,36 @@ def registry_assets(lines: DataFrame, *, column="value", first="SRTLP") -> DataF
     )
 
 
+#: Fixed formats of registry names: signals, routes and train-ready latches.
+SIGNAL_NAME = r"^S(DC|DW|DY|EC|TD)([0-9]+\w*)$"
+ROUTE_NAME = r"^R(DW|TD|DC|EC|DY)([0-9]+\w*)([A-Z]+)(?:-([0-9]+))?\((M|C|S|W|PS)\)$"
+LATCH_NAME = r"^LPLAT([0-9]+)([AB])TRS\(([NS])\)$"
+
+
+def registry_tables(assets: DataFrame) -> dict[str, DataFrame]:
+    """signal, route, track and trts: tables of the registry's assets (kind, name), by the formats of their names.
+
+    signal: full_name, prefix, signal_id; route: route_id, prefix, signal_no, letter, sub, cls; track: track_id, naming_pattern
+    (alpha if a letter follows the first, else numeric); trts: trts_id, platform_id, sub_section, direction. Names of another
+    format are left out, but for tracks, which have none. A route's letter is the last one before the sub or class; sub is null
+    where there is none.
+    """
+    part = lambda pattern, k: F.regexp_extract("name", pattern, k)
+    of = lambda kind, pattern: assets.filter((F.col("kind") == kind) & F.col("name").rlike(pattern))
+    letters = F.substring("name", 2, F.lit(1 << 20)).rlike("\\p{L}")
+    return {
+        "signal": of("S", SIGNAL_NAME).select(F.col("name").alias("full_name"), part(SIGNAL_NAME, 1).alias("prefix"), part(SIGNAL_NAME, 2).alias("signal_id")),
+        "route": of("R", ROUTE_NAME).select(
+            F.col("name").alias("route_id"), part(ROUTE_NAME, 1).alias("prefix"), part(ROUTE_NAME, 2).alias("signal_no"), part(ROUTE_NAME, 3).alias("letter"),
+            F.nullif(part(ROUTE_NAME, 4), F.lit("")).alias("sub"), part(ROUTE_NAME, 5).alias("cls"),
+        ),
+        "track": assets.filter("kind = 'T'").select(F.col("name").alias("track_id"), F.when(letters, "alpha").otherwise("numeric").alias("naming_pattern")),
+        "trts": of("L", LATCH_NAME).select(
+            F.col("name").alias("trts_id"), part(LATCH_NAME, 1).cast("int").alias("platform_id"), part(LATCH_NAME, 2).alias("sub_section"), part(LATCH_NAME, 3).alias("direction")
+        ),
+    }
+
+
 def physical_features(df: DataFrame, *, id_col: str, list_col: str, required: Sequence[str], prefix="R") -> DataFrame:
     """Trimmed and prefixed ids, incomplete rows left out, list items counted."""
     full = df.dropna(subset=[id_col, *required])
@@ -121,6 +152,24 @@ def patch_in_window(df: DataFrame, *, ts: str, start: str, end: str, patches: di
     return df.withColumns({c: F.when(inside, v).otherwise(F.col(c)) for c, v in patches.items()})
 
 
+def patch_days(spark: SparkSession, path: str, *, day: str, ts: str, start: str, end: str, patches: dict[str, Column]) -> DataFrame:
+    """Patches rows in [start, end) of a table partitioned by `day` (the date of ts), in place, and returns patch_counts of it.
+
+    Only the window's days are read and written: by dynamic partition overwrite, after the patched rows have been stored, so that
+    no file is read and replaced in one job. A day's files are swapped when all of them are written; those of other days keep
+    their names and times. A column may become null; the partition column may not be patched. counts are taken before the swap.
+    """
+    if {day, ts} & set(patches):
+        raise ValueError(f"{day} and {ts} place a row and can't be patched")
+    whole = spark.read.parquet(path)
+    last = F.to_date(F.lit(end).cast("timestamp_ntz") - F.expr("INTERVAL 1 MICROSECOND"))
+    touched = whole.filter(F.col(day).between(F.to_date(F.lit(start).cast("timestamp_ntz")), last))
+    counts = stored(patch_counts(touched, ts=ts, start=start, end=end, patches=patches), "patch-counts")
+    fixed = stored(patch_in_window(touched, ts=ts, start=start, end=end, patches=patches).select(*whole.columns), "patched")
+    fixed.repartition(day).write.option("partitionOverwriteMode", "dynamic").partitionBy(day).mode("overwrite").parquet(path)
+    return counts
+
+
 def rule_rows(rules: DataFrame, *, json_columns: Sequence[str]) -> DataFrame:
     """Nested columns as JSON text."""
     return rules.withColumns({c: F.to_json(F.col(c)) for c in json_columns})
