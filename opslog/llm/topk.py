@@ -1,8 +1,11 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
-Each task keeps its rows in blocks with one sorted list per dimension. Queries walk the lists down from both ends, a few
-depths at a time, and score the rows they meet there, all queries of a chunk in one matrix product; a query stops once no row
-further down any list can reach its k-th result.
+Vectors are turned by an orthogonal matrix fitted on a bounded sample, which leaves inner products as they are and puts most of
+their spread in few dimensions. Each task keeps its rows in blocks with one sorted list per turned dimension. A query walks each
+list from the end that its own component favours, from depth k on in doubling steps, the lists first whose next step lowers the
+bound most for the rows read. It scores the rows it meets, exactly, and stops once no row further down all lists can reach its
+k-th result: such a row is at most the lists' frontier in each dimension, and no longer than the block's longest row. How much is
+scored depends on the vectors: little of what is clustered, all of what is spread evenly.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import long_id, quoted, stored
+from .common import long_id, new_path, quoted, stored
 
-CHUNK = 256
+#: Rows on which the turning matrix is fitted; it only decides how much is scored, never what is found.
+FIT_ROWS = 4096
 
 
 class Best:
@@ -47,46 +51,94 @@ class Best:
         self.floors[which] = np.maximum(self.floors[which], self.scores[which, self.k - 1])
 
 
+def reach(size: np.ndarray, most: np.ndarray, longest: float) -> float:
+    """The largest size @ x with x <= most in each place and a length of at most `longest`; size is not negative.
+
+    The best x is size times a common factor, cut off at most; a place with the smaller most / size is cut off first.
+    """
+    used = size > 0
+    a, b = size[used], most[used]
+    order = np.argsort(b / a)
+    a, b = a[order], b[order]
+    room = longest**2 - np.r_[0.0, np.cumsum(b**2)[:-1]]
+    rest = np.cumsum((a**2)[::-1])[::-1]
+    factor = np.sqrt(np.maximum(room, 0.0) / rest)
+    free = np.flatnonzero(factor * a <= b)
+    if not len(free):
+        return float(a @ b)
+    cut = free[0]
+    return float(a[:cut] @ b[:cut] + factor[cut] * rest[cut])
+
+
 class SortedLists:
-    """A block of vectors with its rows sorted by each dimension."""
-
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
-        self.rows, self.ids, self.vectors = rows, ids, vectors
-        n = len(ids)
-        order = np.argsort(vectors, axis=0, kind="stable")
-        ordered = np.take_along_axis(vectors, order, axis=0)
-        self.levels = []  # rows met first at each depth, and the values that bound all rows further down
+    """A block of vectors with its rows sorted by each turned dimension. turn: an orthogonal matrix, None for none."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray | None = None):
+        self.rows, self.ids, self.vectors, self.turn = rows, ids, vectors, turn
+        turned = vectors if turn is None else vectors @ turn
+        order = np.argsort(turned, axis=0, kind="stable")
+        values = np.take_along_axis(turned, order, axis=0)
+        # [end, dimension, depth]: from the largest value down, and from the smallest up
+        self.order = np.stack([order[::-1].T, order.T])
+        self.values = np.stack([values[::-1].T, values.T])
+        self.longest = float(np.sqrt((vectors**2).sum(axis=1)).max(initial=0.0))
+        #: More than what rounding can add to a bound, for a query of length 1.
+        self.margin = 1e-9 * (1.0 + self.longest)
+        self.by_row = np.argsort(rows)
+
+    def _place(self, row: int) -> int:
+        at = min(int(np.searchsorted(self.rows, row, sorter=self.by_row)), len(self.rows) - 1)
+        return int(self.by_row[at]) if self.rows[self.by_row[at]] == row else -1
+
+    def search(self, queries: np.ndarray, own: np.ndarray, best: Best, which: np.ndarray) -> np.ndarray:
+        """Adds to best what this block has for the queries and returns how many rows each one scored; own: the row number of each,
+        which it does not find."""
+        turned = queries if self.turn is None else queries @ self.turn
+        return np.array([self._walk(queries[q], turned[q], int(own[q]), best, which[q : q + 1]) for q in range(len(which))], np.int64)
+
+    def _walk(self, query: np.ndarray, turned: np.ndarray, own: int, best: Best, which: np.ndarray) -> int:
+        n, dims = self.vectors.shape
+        every, end = np.arange(dims), (turned < 0).astype(np.int64)
+        size, margin = np.abs(turned), self.margin * (1.0 + float(np.sqrt(query @ query)))
         met = np.zeros(n, bool)
-        for depth in sorted({max(1, n // 64), max(1, n // 16), max(1, n // 4), n}):
-            now = met.copy()
-            now[order[n - depth :].ravel()] = True
-            now[order[:depth].ravel()] = True
-            self.levels.append((np.flatnonzero(now & ~met), ordered[n - depth], ordered[depth - 1]))
-            met = now
-
-    def search(self, queries: np.ndarray, own: np.ndarray, best: Best, which: np.ndarray) -> None:
-        """Adds to best what this block has for the queries; own: the row number of each, which it does not find."""
-        by_row = np.argsort(self.rows)
-        at = np.minimum(np.searchsorted(self.rows, own, sorter=by_row), len(self.rows) - 1)
-        place = np.where(self.rows[by_row[at]] == own, by_row[at], -1)
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        active = np.arange(len(which))
-        for fresh, top, bottom in self.levels:
+        mine = self._place(own)
+        if mine >= 0:
+            met[mine] = True
+        depth = np.zeros(dims, np.int64)
+        walk = every
+        while True:
+            step = np.where(depth[walk] == 0, best.k, depth[walk])
+            to = np.minimum(depth[walk] + step, n)
+            seen = [self.order[end[d], d, a:b] for d, a, b in zip(walk.tolist(), depth[walk].tolist(), to.tolist())]
+            depth[walk] = to
+            fresh = np.unique(np.concatenate(seen))
+            fresh = fresh[~met[fresh]]
             if len(fresh):
-                scores = queries[active] @ self.vectors[fresh].T
-                column = np.minimum(np.searchsorted(fresh, place[active]), len(fresh) - 1)
-                mine = (place[active] >= 0) & (fresh[column] == place[active])
-                scores[mine, column[mine]] = -np.inf
-                best.add(which[active], scores, self.ids[fresh])
-            bound = up[active] @ top + down[active] @ bottom
-            active = active[bound >= best.floors[which[active]]]
-            if not len(active):
-                return
+                met[fresh] = True
+                best.add(which, (self.vectors[fresh] @ query)[None, :], self.ids[fresh])
+            if (depth == n).any():
+                break
+            frontier = self.values[end, every, np.maximum(depth, 1) - 1]
+            if reach(size, np.where(end == 0, frontier, -frontier), self.longest) + margin < best.floors[which[0]]:
+                break
+            # what doubling a list's depth takes off the bound, for each row that it reads
+            ahead = self.values[end, every, np.minimum(2 * depth, n) - 1]
+            gain = size * np.abs(frontier - ahead) / depth
+            walk = np.argpartition(-gain, max(0, dims // 8 - 1))[: max(1, dims // 8)]
+        return int(met.sum()) - (mine >= 0)
+
+
+def turns(sample: DataFrame) -> dict[int, np.ndarray]:
+    """An orthogonal matrix for each length of sample.vector: the axes of the sample's spread, the widest first."""
+    by_length: dict[int, list] = {}
+    for (vector,) in sample.select("vector").collect():
+        by_length.setdefault(len(vector), []).append(vector)
+    return {d: np.linalg.eigh((x := np.array(v, float)).T @ x)[1][:, ::-1] for d, v in by_length.items() if d and len(v) >= d}
 
 
 def _valid(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vector.isNotNull() & ~F.coalesce(bad, F.lit(False)) & (F.size(vector) > 0)
+    return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
 def _query_blocks(queries: DataFrame, most: int) -> Iterator[dict]:
@@ -112,7 +164,7 @@ def _query_blocks(queries: DataFrame, most: int) -> Iterator[dict]:
 
 
 def _searcher(shared, k: int, block_rows: int):
-    """Each task's k best rows of every query in shared.value."""
+    """Each task's k best rows of every query in shared.value, which holds turning matrices by length too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
@@ -126,10 +178,8 @@ def _searcher(shared, k: int, block_rows: int):
             for d, (which, vectors) in asked["vectors"].items():
                 pick = np.flatnonzero(sizes == d)
                 if len(pick):
-                    block = SortedLists(numbers[pick], ids[pick], flat[ends[pick][:, None] + np.arange(d)])
-                    for a in range(0, len(which), CHUNK):
-                        some = which[a : a + CHUNK]
-                        block.search(vectors[a : a + CHUNK], asked["rows"][some], best, some)
+                    block = SortedLists(numbers[pick], ids[pick], flat[ends[pick][:, None] + np.arange(d)], asked["turns"].get(d))
+                    block.search(vectors, asked["rows"][which], best, which)
 
         held, n = [], 0
         for batch in batches:
@@ -171,10 +221,11 @@ def top_k(
     over all other rows, ties to smaller ids; all rows if there are fewer. Scores are exact below 2^53.
 
     The whole-number vectors are stored once. Queries come to the driver and go to the tasks one block of query_block after
-    another, and each block's result is written before the next; every block is one pass over the rows, which are never
-    shuffled. Where there are many more rows than seed_rows, a block is first held against seed_rows of them, and tasks then
-    send only what reaches the k-th best of those. Rows with null ids and null, empty or non-finite vectors take no part;
-    vectors meet those of their own length only. Rows of one id are rows like others: only a query's own row is left out.
+    another, and each block's result is appended to one table; every block is one pass over the rows, which are never shuffled.
+    Where there are many more rows than seed_rows, a block is first held against seed_rows of them, and tasks then send only
+    what reaches the k-th best of those. The lists' directions are fitted on at most FIT_ROWS rows. Rows with null ids and null
+    or non-finite vectors take no part; vectors meet those of their own length only, and empty ones each other with a score of 0.
+    Rows of one id are rows like others: only a query's own row is left out.
     """
     spark, share = table.sparkSession, table.sparkSession.sparkContext.broadcast
     whole = F.transform(quoted(vector_col).cast("array<double>"), lambda x: F.floor(x * scale))
@@ -184,11 +235,15 @@ def top_k(
     )
     rows = stored(chosen, "vectors")
     candidates, schema = rows.select("row", "vec_id", "vector"), "query_row long, query_id long, vec_id long, score long"
-    seeds = None
-    if rows.count() > 8 * seed_rows:
+    n, seeds = rows.count(), None
+    if n > 8 * seed_rows:
         seeds = stored(candidates.orderBy(F.xxhash64("row")).limit(seed_rows), "seeds")
-    out = None
+    matrices = turns(candidates.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, n // FIT_ROWS))) == 0).limit(FIT_ROWS))
+    path = new_path(spark, "nearest")
+    final = spark.createDataFrame([], schema + ", rank int")
+    final.write.parquet(path)
     for block in _query_blocks(rows.filter("asks").select("row", "vec_id", "vector"), query_block):
+        block["turns"] = matrices
         if seeds is not None:
             shared = share(block)
             sure = _ranked(seeds.mapInArrow(_searcher(shared, k, block_rows), schema), k).filter(F.col("rank") == k)
@@ -199,9 +254,6 @@ def top_k(
             at = by_row[np.searchsorted(block["rows"], sure.column(0).to_numpy(), sorter=by_row)]
             block["floors"][at] = sure.column(1).to_numpy()
         shared = share(block)
-        part = stored(_ranked(candidates.mapInArrow(_searcher(shared, k, block_rows), schema), k), "nearest")
+        _ranked(candidates.mapInArrow(_searcher(shared, k, block_rows), schema), k).write.mode("append").parquet(path)
         shared.destroy()
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema + ", rank int")
-    return out.select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema(final.schema).parquet(path).select("query_id", "rank", "vec_id", "score")
