@@ -1,9 +1,10 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-A run is a table of (h1, h2, n_docs, last_doc), bucketed and sorted by the hash, and no hash is in two runs. A batch of
-documents is grouped by hash and merge-anti-joined with the runs: hashes in none of them become the batch's own run, the
-others are noted as later appearances, in runs of their own. Two runs of a level are merged into one of the next, so n batches
-are rewritten log(n) times. All these joins are of tables bucketed alike: no run is shuffled once it is written.
+A run is a table of (h1, h2, n_docs, last_doc), bucketed and sorted by the hash, one file a bucket, and no hash is in two runs. A
+batch of documents is grouped by hash and merge-anti-joined with the runs: hashes in none of them become the batch's own run,
+the others are noted as later appearances, in runs of their own. Two runs of a level are merged into one of the next, so n
+batches are rewritten log(n) times. As a bucket is one sorted file, the planner takes its order as it is: runs are merged
+without being shuffled, sorted or broadcast. Only what is written as a new run is sorted, which for a merge is in order already.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +60,27 @@ def line_hashes(docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars=
     return map_texts(chosen, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", h1 long, h2 long")
 
 
+#: Lets the planner trust the order of a bucket that is one sorted file.
+TRUST_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def trusted_order(spark: SparkSession) -> Iterator[None]:
+    """The session with TRUST_ORDER on; its own setting comes back afterwards."""
+    before = spark.conf.getAll.get(TRUST_ORDER)
+    spark.conf.set(TRUST_ORDER, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TRUST_ORDER) if before is None else spark.conf.set(TRUST_ORDER, before)
+
+
 class LineRuns:
-    """The levels of runs, and those of later appearances. Their names are the only state on the driver: log(batches)."""
+    """The levels of runs, and those of later appearances. Their names are the only state on the driver: log(batches).
+
+    A context: on leaving it, all runs are dropped and deleted, whatever happened inside. Joins of runs are to be planned and run
+    inside it, where the order of their files is trusted.
+    """
 
     def __init__(self, spark: SparkSession, *, buckets: int | None = None):
         self.spark = spark
@@ -68,14 +89,30 @@ class LineRuns:
         self.again: list[str | None] = []
         self.paths: dict[str, str] = {}
 
+    def __enter__(self) -> LineRuns:
+        self.trust = trusted_order(self.spark)
+        self.trust.__enter__()
+        return self
+
+    def __exit__(self, *error) -> None:
+        try:
+            self.clear()
+        finally:
+            self.trust.__exit__(None, None, None)
+
+    def clear(self) -> None:
+        for name in list(self.paths):
+            self._drop(name)
+
     def _write(self, rows: DataFrame) -> str:
+        """rows (already dealt by hash to as many partitions as there are buckets) as a run: one file a bucket."""
         name, path = f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "line-run")
-        rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", path).saveAsTable(name)
         self.paths[name] = path
+        rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", path).saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         discard(self.spark, self.paths.pop(name))
 
     def _runs(self, levels: list[str | None]) -> list[DataFrame]:
@@ -85,12 +122,8 @@ class LineRuns:
         """Puts a run at level 0; two of a level are merged into one of the next by a join of their buckets."""
         at = 0
         while at < len(levels) and levels[at]:
-            other = levels[at]
-            a, b = self.spark.table(run), self.spark.table(other).toDF(*HASH, "n_more", "last_more")
-            n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0))
-            merged = a.join(b, HASH, "full").select(*HASH, n.alias("n_docs"), F.greatest("last_doc", "last_more").alias("last_doc"))
-            both = [run, other]
-            run = self._write(merged)
+            both = [run, levels[at]]
+            run = self._write(merged(*map(self.spark.table, both)))
             levels[at] = None
             for name in both:
                 self._drop(name)
@@ -100,20 +133,21 @@ class LineRuns:
         levels[at] = run
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """Rows whose hash is in no run: the merge-anti-join that a new batch starts with."""
+        """Rows whose hash is in no run: the merge-anti-join that a new batch starts with. lines: a table laid out like a run."""
         for run in self._runs(self.firsts):
-            lines = lines.join(run.select(*HASH), HASH, "left_anti")
+            lines = lines.hint("merge").join(run.select(*HASH).hint("merge"), HASH, "left_anti")
         return lines
 
     def add(self, lines: DataFrame) -> None:
         """One batch: (doc_id, h1, h2), at most once per document and line. What is new becomes a run."""
-        own = self._write(lines.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        dealt = lines.repartition(self.buckets, *HASH)
+        own = self._write(dealt.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
         if not any(self.firsts):
             self._push(self.firsts, own)
             return
         batch = self.spark.table(own)
         new = self._write(self.unseen(batch))
-        seen = self._write(batch.join(self.spark.table(new).select(*HASH), HASH, "left_anti"))
+        seen = self._write(batch.hint("merge").join(self.spark.table(new).select(*HASH).hint("merge"), HASH, "left_anti"))
         self._drop(own)
         self._push(self.firsts, new)
         self._push(self.again, seen)
@@ -123,7 +157,7 @@ class LineRuns:
         out = None
         for run in self._runs(self.firsts):
             for k, more in enumerate(self._runs(self.again)):
-                run = run.join(more.toDF(*HASH, f"n_{k}", f"last_{k}"), HASH, "left")
+                run = run.hint("merge").join(more.toDF(*HASH, f"n_{k}", f"last_{k}").hint("merge"), HASH, "left")
             n = sum((F.coalesce(c, F.lit(0)) for c in run.columns if c.startswith("n_")), F.lit(0))
             last = [c for c in run.columns if c.startswith("last_")]
             part = run.select(*HASH, n.alias("n_docs"), (F.greatest(*last) if len(last) > 1 else F.col(last[0])).alias("last_doc"))
@@ -131,9 +165,12 @@ class LineRuns:
             out = part if out is None else out.unionByName(part)
         return out
 
-    def clear(self) -> None:
-        for name in list(self.paths):
-            self._drop(name)
+
+def merged(run: DataFrame, other: DataFrame) -> DataFrame:
+    """Two runs as one: a merge join of their buckets, which leaves each bucket in its task."""
+    b = other.toDF(*HASH, "n_more", "last_more").hint("merge")
+    n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0))
+    return run.hint("merge").join(b, HASH, "full").select(*HASH, n.alias("n_docs"), F.greatest("last_doc", "last_more").alias("last_doc"))
 
 
 def repeated_lines(
@@ -141,19 +178,21 @@ def repeated_lines(
 ) -> DataFrame:
     """doc_id, copy, _drop: the hashes of the lines that each document loses (documents that lose none are not there).
 
-    The documents come in batches of about batch_docs, at least least_batches; the result does not depend on their number.
+    The documents come in batches of about batch_docs by the hash of their id, so that rows of one id are in one batch, at least
+    least_batches; the result does not depend on their number.
     """
-    spark = docs.sparkSession
-    batches = max(least_batches, -(-docs.count() // batch_docs))
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)).cast("int").alias("batch")
+    spark, id_ = docs.sparkSession, long_id(docs, id_col)
+    n_rows, twice = docs.count(), not docs.select(id_.alias("doc_id")).groupBy("doc_id").count().filter("count > 1").isEmpty()
+    batches = max(least_batches, -(-n_rows // batch_docs))
+    dealt = F.pmod(F.xxhash64(id_), F.lit(batches)).cast("int").alias("batch")
     path = new_path(spark, "lines")
     line_hashes(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, keep=[dealt]).write.partitionBy("batch").parquet(path)
     lines = spark.read.schema("doc_id long, copy long, h1 long, h2 long, batch int").parquet(path)
-    runs = LineRuns(spark)
-    for b in range(batches):
-        runs.add(lines.filter(F.col("batch") == b).select("doc_id", *HASH))
-    frequent = stored(runs.frequent(min_docs), "frequent-lines")
-    runs.clear()
+    with LineRuns(spark) as runs:
+        for b in range(batches):
+            own = lines.filter(F.col("batch") == b).select("doc_id", *HASH)
+            runs.add(own.distinct() if twice else own)  # rows of one id hold a line once; rows of different ids are not alike anyway
+        frequent = stored(runs.frequent(min_docs), "frequent-lines")
     held = join_counted(lines.drop("batch"), frequent, HASH, "n_docs", lines.count())
     lost = held.filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return lost.groupBy("doc_id", "copy").agg(F.collect_set(F.struct(*HASH)).alias("_drop"))
@@ -163,9 +202,9 @@ def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", **settings
     """docs with text_col cleaned and the columns n_lines, n_dropped, kept_sha256 added (such columns of docs are replaced).
 
     A key of at least min_chars code points that min_docs documents or more hold keeps its lines only in the largest
-    doc_id holding it. A null or empty text is one empty line and becomes an empty text. Each row counts as one
-    document, so repeated rows count separately and lose or keep their lines alike; a null id is never the largest
-    while another holds the line. An empty table stays empty; extra columns pass through.
+    doc_id holding it. A document is an id: rows of one id count once and lose or keep a line alike, each in its own text; rows
+    without an id count as one more document, which is never the largest. A null or empty text is one empty line and becomes an
+    empty text. Every row gives a row; an empty table stays empty; extra columns pass through.
     """
     min_chars = settings.get("min_chars", 20)
     repeated = repeated_lines(docs, id_col=id_col, text_col=text_col, **settings)

@@ -122,22 +122,17 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE = {
     "op3_line_dedup": rf"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
-  FROM documents),
-keyed AS (
-  SELECT doc_id, k, line,
-         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key
-  FROM l),
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT id, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM d),
+keyed AS (SELECT *, translate(trim(line, {_BLANKS}), '{_UPPER}', '{_LOWER}') AS key FROM l),
 often AS (
   SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+  GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
 marked AS (
-  SELECT d.*, coalesce(o.last_doc <> d.doc_id, false) AS dropped FROM keyed d LEFT JOIN often o USING (key))
+  SELECT d.*, o.key IS NOT NULL AND o.last_doc IS DISTINCT FROM d.doc_id AS dropped FROM keyed d LEFT JOIN often o USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id""",
+FROM marked GROUP BY id, doc_id""",
     "op7_decontamination": rf"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
