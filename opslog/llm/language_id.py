@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import join_counted, long_id, map_texts, quoted, slices, stored, texts_of, whole_text
@@ -46,12 +47,17 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", fit_rows=8000) -> TextModel:
-    """Trigram frequencies from a bounded sample: the fit_rows labelled documents that come first by their id's hash."""
+    """Trigram frequencies from a bounded sample: of each language the fit_rows documents that come first by the hash of id and
+    text, so that a rare language has a model as a common one has. A language's trigrams are weighed among themselves only."""
     labelled = docs.filter(quoted(lang_col).isNotNull()).select(
         quoted(id_col).alias("_id"), quoted(lang_col).alias("_lang"), whole_text(text_col).alias("_text")
     )
-    ids = labelled.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(fit_rows).distinct()
-    sample = labelled.join(F.broadcast(ids), "_id").select("_lang", "_text")
+    mark = F.xxhash64("_id", "_text")
+    marks = labelled.select("_lang", mark.alias("_mark"), F.pmod(mark, F.lit(64)).alias("_part"))
+    for part in (["_lang", "_part"], ["_lang"]):  # the first of each 64th of a language, then of those
+        marks = marks.withColumn("_no", F.row_number().over(W.partitionBy(*part).orderBy("_mark"))).filter(F.col("_no") <= fit_rows)
+    last = stored(marks.groupBy("_lang").agg(F.max("_mark").alias("_last")), "fit-marks")  # a row for each language
+    sample = labelled.join(last, "_lang").filter(mark <= F.col("_last")).select("_lang", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -183,8 +189,9 @@ def identify(
     trust_markup=0.95,
     smoothing=20.0,
     least=0.8,
+    keep=(),
 ) -> DataFrame:
-    """doc_id, declared, language, probability, kept.
+    """doc_id, declared, language, probability, kept, and the columns of `keep`, expressions over docs with names of their own.
 
     The text counts as at most text_grams independent trigrams, so that the other evidence can matter. All pages of a document
     count, pages that agree in host and markup once. A document is kept when its best language has a probability of `least`
@@ -195,8 +202,9 @@ def identify(
     model = fit_text(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, fit_rows=fit_rows)
     n = len(model.languages)
     scored = text_scores(
-        docs, model, id_col=id_col, text_col=text_col, keep=[quoted(lang_col).alias("declared"), quoted(source_col).alias("source")]
+        docs, model, id_col=id_col, text_col=text_col, keep=[quoted(lang_col).alias("declared"), quoted(source_col).alias("source"), *keep]
     )
+    carried = [c for c in scored.columns if c not in ("doc_id", "declared", "source", "grams", "log_p")]
     best = (F.array_position("log_p", F.array_max("log_p")) - 1).cast("int")
     rows = stored(scored.withColumn("best", F.when(F.col("grams") > 0, best)), "evidence")
     n_rows, *whole = rows.agg(F.count("*"), *(F.sum((F.col("best") == k).cast("long")) for k in range(n))).first()
@@ -238,4 +246,5 @@ def identify(
         F.element_at(F.array(*(F.lit(x) for x in model.languages)), place).alias("language"),
         (1 / mass).alias("probability"),
         ((F.col("grams") > 0) & (1 / mass >= least) & fits).alias("kept"),
+        *carried,
     )
