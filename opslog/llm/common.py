@@ -68,10 +68,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: int = 1, most_bytes: int =
             at = to
 
 
+#: What map_texts has set in each application.
+_BATCHES: dict[str, str] = {}
+
+
 def map_texts(df: DataFrame, run: Callable, schema, rows: int = 2000) -> DataFrame:
     """df.mapInArrow(run, schema) in batches of at most `rows` rows: a batch is held whole by the executor and its Python
-    worker, and the default of ten thousand is meant for short rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    worker, and the default of ten thousand is meant for short rows. A session's own setting of batches is left as it is."""
+    conf, app, name = df.sparkSession.conf, df.sparkSession.sparkContext.applicationId, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = conf.getAll.get(name)
+    if own is None or own == _BATCHES.get(app):
+        conf.set(name, rows)
+        _BATCHES[app] = str(rows)
     return df.mapInArrow(run, schema)
 
 

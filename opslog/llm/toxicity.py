@@ -153,7 +153,7 @@ def fit(
 ) -> Model:
     """Fits the field on a bounded sample: the fit_clean and fit_toxic training rows that come first by the hash of their id,
     as far as their whole texts have fit_chars together (a text that would go beyond is left out). Rows of fold 0 are never
-    read. Null labels are left out. Texts come to the driver one partition at a time and are kept as word numbers."""
+    read. Null labels are left out; of several texts of one id the least is taken. Texts come to the driver one partition at a time and are kept as word numbers."""
     rows = labels.select(quoted(id_col).alias("_id"), quoted(label_col).cast("int").alias("_y")).filter((fold("_id") != 0) & F.col("_y").isin(0, 1))
     sample = None
     for y, most in ((0, fit_clean), (1, fit_toxic)):
@@ -161,9 +161,10 @@ def fit(
         sample = some if sample is None else sample.union(some)
     texts = docs.select(quoted(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     # at most fit_clean + fit_toxic rows
-    found = stored(texts.join(F.broadcast(sample), "_id").withColumn("_size", F.char_length("_text")), "training")
+    joined = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))  # one text an id, whatever repeats
+    found = stored(joined.withColumn("_size", F.char_length("_text")), "training")
     upto = F.sum("_size").over(W.orderBy(F.xxhash64("_id"), "_id", "_size").rowsBetween(W.unboundedPreceding, 0))
-    sizes = found.select("_id", "_size", upto.alias("_upto")).filter(F.col("_upto") <= fit_chars).select("_id", "_size").distinct()
+    sizes = found.select("_id", "_size", upto.alias("_upto")).filter(F.col("_upto") <= fit_chars).select("_id", "_size").distinct()  # rows of the sample
     chosen = found.join(F.broadcast(sizes), ["_id", "_size"]).coalesce(4).sortWithinPartitions("_id", "_text").select("_text", "_y")
     toxic: list[float] = []
 
