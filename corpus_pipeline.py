@@ -10,10 +10,13 @@ from opslog.llm.common import stored, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the fused evidence settles. Rows with a null doc_id go: nothing can be decided on them."""
-    decided = language_id.identify(docs, table(spark, sf_dir, "pages"))
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """Documents whose language the fused evidence settles, row by row: what a decision rests on besides the pages of an id (its
+    text, declared language and source) tells rows of one id, or of none, apart."""
+    same = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    decided = language_id.identify(docs, table(spark, sf_dir, "pages"), keep=[same.alias("_same"), F.col("source").alias("_source")])
+    kept = decided.filter("kept").select(F.col("doc_id").alias("_id"), "_same", F.col("declared").alias("_lang"), "_source").distinct()
+    alike = docs["doc_id"].eqNullSafe(kept["_id"]) & (same == kept["_same"]) & docs["lang"].eqNullSafe(kept["_lang"]) & docs["source"].eqNullSafe(kept["_source"])
+    return docs.join(kept, alike, "left_semi")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

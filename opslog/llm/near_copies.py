@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import join_counted, long_id, map_texts, quoted, slices, spare, stored, texts_of, whole_text
 from .components import components
@@ -239,6 +240,12 @@ def near_copy_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", shing
     return join_counted(rows.select("doc_id", "same", "c1", "c2"), named, ["c1", "c2"], "n_rows", rows.count()).select("doc_id", "same", "root")
 
 
+def _in_order(docs: DataFrame, name: str):
+    """A column to order rows by; kinds that have no order, such as maps, by their text."""
+    kind = docs.schema[name].dataType
+    return quoted(name) if isinstance(kind, (T.NumericType, T.StringType, T.BooleanType, T.DatetimeType)) else quoted(name).cast("string")
+
+
 def drop_near_copies(docs: DataFrame, *, id_col="doc_id", text_col="text", **settings) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id, a null one last.
 
@@ -259,9 +266,10 @@ def drop_near_copies(docs: DataFrame, *, id_col="doc_id", text_col="text", **set
     left = joined(rows, marked.filter(~F.col("stays")).select("doc_id", "same"), "left_anti")
     repeated = marked.filter("stays AND n > 1").select("doc_id", "same")
     if not repeated.isEmpty():
-        others = [c for c in docs.columns if c != text_col]
-        order = W.partitionBy(id_, same).orderBy(*map(quoted, others))
-        number = spare(rows.columns, "near_no")
-        one = joined(left, repeated, "left_semi").withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).drop(number)
-        left = joined(left, repeated, "left_anti").unionByName(one)
+        order = [_in_order(docs, c) for c in docs.columns if c != text_col]
+        salt, number = spare(rows.columns, "near_salt"), spare(rows.columns, "near_no")
+        one = joined(left, repeated, "left_semi").withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+        for part in ([id_, same, salt], [id_, same]):  # the first of each 64th of the repeats, then of those
+            one = one.withColumn(number, F.row_number().over(W.partitionBy(*part).orderBy(*order))).filter(F.col(number) == 1)
+        left = joined(left, repeated, "left_anti").unionByName(one.drop(number, salt))
     return left.select(*map(quoted, docs.columns))
