@@ -158,45 +158,45 @@ def state_at(probes, events, *, key, probe_ts, event_ts, state, default=None, **
     return out if default is None else out.fillna({"state": default})
 
 
-def occupier_at(probes, events, *, key, probe_ts, event_ts, state, train, placeholders=()) -> DataFrame:
+def occupier_at(probes, events, *, key, probe_ts, event_ts, state, train, placeholders=(), bin_s=None) -> DataFrame:
     """The train of the last event if that event occupied the asset and names a real train, else null."""
     out = as_of(
-        probes, events, keys=[key], probe_ts=probe_ts, event_ts=event_ts,
+        probes, events, keys=[key], probe_ts=probe_ts, event_ts=event_ts, bin_s=bin_s,
         values={"_state": F.col(state), "_train": F.col(train)},
     )
     real = (F.col("_state") == 1) & ~F.coalesce(F.col("_train").cast("string").isin(*placeholders), F.lit(False))
     return out.withColumn("occupier", F.when(real, F.col("_train"))).drop("_state", "_train")
 
 
-def value_and_age(probes, events, *, keys, probe_ts, event_ts, value, inclusive=True) -> DataFrame:
+def value_and_age(probes, events, *, keys, probe_ts, event_ts, value, inclusive=True, bin_s=None) -> DataFrame:
     """The last value and its age in seconds; both null before the first event."""
     out = as_of(
-        probes, events, keys=keys, probe_ts=probe_ts, event_ts=event_ts, inclusive=inclusive,
+        probes, events, keys=keys, probe_ts=probe_ts, event_ts=event_ts, inclusive=inclusive, bin_s=bin_s,
         values={"value_at": value, "_at": F.col(event_ts)},
     )
     return out.withColumn("age_s", seconds(F.col(probe_ts), F.col("_at"))).drop("_at")
 
 
-def fresh_value(probes, events, *, keys, probe_ts, event_ts, value, most_age_s, default=0.0) -> DataFrame:
+def fresh_value(probes, events, *, keys, probe_ts, event_ts, value, most_age_s, default=0.0, bin_s=None) -> DataFrame:
     """The last value unless it is older than most_age_s (or there is none): then the default."""
-    out = value_and_age(probes, events, keys=keys, probe_ts=probe_ts, event_ts=event_ts, value=value)
+    out = value_and_age(probes, events, keys=keys, probe_ts=probe_ts, event_ts=event_ts, value=value, bin_s=bin_s)
     fresh = F.when(F.col("age_s") <= most_age_s, F.col("value_at"))
     return out.withColumn("value_at", F.coalesce(fresh, F.lit(default))).drop("age_s")
 
 
-def next_lag(probes, events, *, keys, probe_ts, event_ts, most_s) -> DataFrame:
+def next_lag(probes, events, *, keys, probe_ts, event_ts, most_s, bin_s=None) -> DataFrame:
     """Seconds to the next event strictly after the probe, null beyond most_s."""
     out = as_of(
         probes, events, keys=keys, probe_ts=probe_ts, event_ts=event_ts, values={"_next": F.col(event_ts)},
-        forward=True, inclusive=False,
+        forward=True, inclusive=False, bin_s=bin_s,
     )
     lag = seconds(F.col("_next"), F.col(probe_ts))
     return out.withColumn("lag_s", F.when(lag <= most_s, lag)).drop("_next")
 
 
-def next_else_previous(probes, events, *, keys, probe_ts, event_ts, value) -> DataFrame:
+def next_else_previous(probes, events, *, keys, probe_ts, event_ts, value, bin_s=None) -> DataFrame:
     """The next non-null value at or after the probe, else the last one before."""
-    kw = dict(keys=keys, probe_ts=probe_ts, event_ts=event_ts, null_values=False)
+    kw = dict(keys=keys, probe_ts=probe_ts, event_ts=event_ts, null_values=False, bin_s=bin_s)
     ahead = as_of(probes, events, values={"_next": value}, forward=True, **kw)
     both = as_of(ahead, events, values={"_last": value}, **kw)
     return both.withColumn("value_at", F.coalesce("_next", "_last")).drop("_next", "_last")

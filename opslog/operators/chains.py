@@ -72,9 +72,9 @@ def lifecycle(
     return out.withColumn("outcome", outcome).drop("_before", "_upto")
 
 
-def lead_time(probes: DataFrame, events: DataFrame, *, key: str, probe_ts: str, event_ts: str) -> DataFrame:
+def lead_time(probes: DataFrame, events: DataFrame, *, key: str, probe_ts: str, event_ts: str, bin_s: int | None = None) -> DataFrame:
     """Adds lead_s: seconds to the first event at or after the probe."""
-    hit = as_of(probes, events, keys=[key], probe_ts=probe_ts, event_ts=event_ts, forward=True, values={"_at": F.col(event_ts)})
+    hit = as_of(probes, events, keys=[key], probe_ts=probe_ts, event_ts=event_ts, forward=True, bin_s=bin_s, values={"_at": F.col(event_ts)})
     return hit.withColumn("lead_s", seconds(F.col("_at"), F.col(probe_ts))).drop("_at")
 
 

@@ -27,7 +27,7 @@ def set_triggers(requests: DataFrame, *, train: str, signal: str, ts: str, route
 def wait_triggers(
     occupations: DataFrame, approach: DataFrame, requests: DataFrame, *, train: str, element: str, ts: str,
     signal: str, request_train: str, request_signal: str, request_ts: str, min_gap_s: int, lookahead_s: int,
-    placeholders: Sequence[str] = (), valid: Column | None = None,
+    placeholders: Sequence[str] = (), valid: Column | None = None, bin_s: int | None = None,
 ) -> DataFrame:
     """Waits: a train occupies an approach element of a signal, at most one per min_gap_s and (train, signal), and nothing
     is requested for it in [t, t + lookahead_s]."""
@@ -38,7 +38,7 @@ def wait_triggers(
     asked = requests.select(
         F.col(request_train).alias("focal_train"), F.col(request_signal).alias("focal_signal"), F.col(request_ts).alias("_rt")
     )
-    waits = no_follow_up(thin, asked, keys=["focal_train", "focal_signal"], trigger_ts="t", request_ts="_rt", within_s=lookahead_s)
+    waits = no_follow_up(thin, asked, keys=["focal_train", "focal_signal"], trigger_ts="t", request_ts="_rt", within_s=lookahead_s, bin_s=bin_s)
     return waits.select(
         "focal_train", "focal_signal", "t", F.lit("wait").alias("label"),
         F.lit(None).cast("string").alias("chosen_route_id"), F.lit("occupation").alias("trigger_type"),
@@ -49,11 +49,11 @@ def decision_points(sets: DataFrame, waits: DataFrame) -> DataFrame:
     return sets.unionByName(waits)
 
 
-def lookahead_sweep(triggers: DataFrame, requests: DataFrame, *, keys: Sequence[str], trigger_ts: str, request_ts: str, thresholds_s: Sequence[int]) -> DataFrame:
+def lookahead_sweep(triggers: DataFrame, requests: DataFrame, *, keys: Sequence[str], trigger_ts: str, request_ts: str, thresholds_s: Sequence[int], bin_s: int | None = None) -> DataFrame:
     """threshold_s, n_kept: one as-of for all thresholds."""
     from .asof import as_of, seconds
 
-    hit = as_of(triggers, requests, keys=keys, probe_ts=trigger_ts, event_ts=request_ts, forward=True, values={"_next": F.col(request_ts)})
+    hit = as_of(triggers, requests, keys=keys, probe_ts=trigger_ts, event_ts=request_ts, forward=True, values={"_next": F.col(request_ts)}, bin_s=bin_s)
     lag = F.coalesce(seconds(F.col("_next"), F.col(trigger_ts)), F.lit(float("inf")))
     counts = hit.agg(*(F.count_if(lag > s).alias(str(s)) for s in thresholds_s))
     pairs = F.array(*(F.struct(F.lit(s).alias("threshold_s"), F.col(f"`{s}`").alias("n_kept")) for s in thresholds_s))
@@ -187,7 +187,7 @@ def decision_summary(points: DataFrame, *, label: str, train: str, signal: str,
 
 def reward_job(
     points: DataFrame, *, key: str, train: str, ts: str, signal: str, element: str, label: str, route: str, reports: DataFrame, positions: DataFrame,
-    distances: DataFrame, outcomes: DataFrame, headways: DataFrame, weights: dict[str, float], bracket_s: float, **limits,
+    distances: DataFrame, outcomes: DataFrame, headways: DataFrame, weights: dict[str, float], bracket_s: float, bin_s: int | None = None, **limits,
 ) -> DataFrame:
     """Rewards of decision points from what was recorded around them, one row for each point.
 
@@ -202,10 +202,10 @@ def reward_job(
     day = F.to_date(ts)
     at = as_of(
         points.withColumn("_day", day), positions.select(train, element, F.col("ts").alias("_at"), F.to_date("ts").alias("_day")), keys=[train, "_day"],
-        probe_ts=ts, event_ts="_at", values={"_element": F.col(element)},
+        probe_ts=ts, event_ts="_at", values={"_element": F.col(element)}, bin_s=bin_s,
     ).drop("_day")
     near = at.join(distances.select(F.col("element").alias("_element"), F.col("signal").alias(signal), F.col("hops").alias("distance")), ["_element", signal], "left")
-    delayed = bracket_changes(near.drop("_element"), reports, keys=[train], probe_ts=ts, report_ts="ts", value="value", window_s=bracket_s)
+    delayed = bracket_changes(near.drop("_element"), reports, keys=[train], probe_ts=ts, report_ts="ts", value="value", window_s=bracket_s, bin_s=bin_s)
     full = attached(attached(delayed.withColumnRenamed("change", "delay"), outcomes, key=key, columns=["outcome"]), headways, key=key, columns=["headway_s"])
     return rewards(full, label=label, distance="distance", outcome="outcome", delay="delay", headway="headway_s", weights=weights, **limits)
 

@@ -48,14 +48,14 @@ def interval_join(
 
 
 def bracket_changes(
-    probes: DataFrame, reports: DataFrame, *, keys: Sequence[str], probe_ts: str, report_ts: str, value: str, window_s: float
+    probes: DataFrame, reports: DataFrame, *, keys: Sequence[str], probe_ts: str, report_ts: str, value: str, window_s: float, bin_s: int | None = None
 ) -> DataFrame:
     """Adds before_ts, after_ts, n_sharing and change.
 
     The last report at or before the probe and the first after it, both within window_s, bracket it; the change of value
     between them is divided by the number of probes in the same bracket. No bracket, no change.
     """
-    kw = dict(keys=list(keys), probe_ts=probe_ts, event_ts=report_ts)
+    kw = dict(keys=list(keys), probe_ts=probe_ts, event_ts=report_ts, bin_s=bin_s)
     took = as_of(probes, reports, values={"before_ts": F.col(report_ts), "_v0": F.col(value)}, **kw)
     both = as_of(took, reports, values={"after_ts": F.col(report_ts), "_v1": F.col(value)}, forward=True, inclusive=False, **kw)
     near = (seconds(F.col(probe_ts), F.col("before_ts")) <= window_s) & (seconds(F.col("after_ts"), F.col(probe_ts)) <= window_s)
@@ -65,16 +65,16 @@ def bracket_changes(
 
 
 def bracket_changes_in_runs(
-    probes: DataFrame, reports: DataFrame, *, key: str, probe_id: str, probe_ts: str, report_ts: str, value: str, window_s: float, run_gap_s: float
+    probes: DataFrame, reports: DataFrame, *, key: str, probe_id: str, probe_ts: str, report_ts: str, value: str, window_s: float, run_gap_s: float, bin_s: int | None = None
 ) -> DataFrame:
     """bracket_changes inside runs: a key's reports are cut where they pause for over run_gap_s, a probe belongs to the run with the
     nearest centre among those that hold it widened by window_s, and only that run's reports bracket it. run_no is null without one."""
     from .windows import sessions
 
-    named = sessions(reports.select(F.col(key), F.col(report_ts), F.col(value)), keys=[key], ts=report_ts, gap_s=run_gap_s, name="run_no")
+    named = sessions(reports.select(F.col(key), F.col(report_ts), F.col(value)), keys=[key], ts=report_ts, gap_s=run_gap_s, name="run_no", bin_s=bin_s)
     spans = intervals(named, keys=[key, "run_no"], ts=report_ts)
     near = interval_join(probes, spans, key=key, probe_id=probe_id, probe_ts=probe_ts, span_id=["run_no"], buffer_s=window_s).drop("t_first", "t_last")
-    return bracket_changes(near, named, keys=[key, "run_no"], probe_ts=probe_ts, report_ts=report_ts, value=value, window_s=window_s)
+    return bracket_changes(near, named, keys=[key, "run_no"], probe_ts=probe_ts, report_ts=report_ts, value=value, window_s=window_s, bin_s=bin_s)
 
 
 def clusters_of_unmatched(matched: DataFrame, *, span: str, key: str, ts: str, gap_s: float, tie: Sequence[str] = ()) -> DataFrame:
@@ -84,9 +84,9 @@ def clusters_of_unmatched(matched: DataFrame, *, span: str, key: str, ts: str, g
     return sessions(matched.filter(F.col(span).isNull()), keys=[key], ts=ts, gap_s=gap_s, tie=tie, name="cluster_no")
 
 
-def approach_distances(probes: DataFrame, positions: DataFrame, distances: DataFrame, *, key: str, probe_ts: str, event_ts: str, element: str, signal: str) -> DataFrame:
+def approach_distances(probes: DataFrame, positions: DataFrame, distances: DataFrame, *, key: str, probe_ts: str, event_ts: str, element: str, signal: str, bin_s: int | None = None) -> DataFrame:
     """hops, n: how far from the signal a probe's train was, by its last element before the probe (no same-day rule)."""
-    at = as_of(probes, positions, keys=[key], probe_ts=probe_ts, event_ts=event_ts, values={"_element": F.col(element)})
+    at = as_of(probes, positions, keys=[key], probe_ts=probe_ts, event_ts=event_ts, values={"_element": F.col(element)}, bin_s=bin_s)
     near = at.join(distances.select(F.col("element").alias("_element"), F.col("signal").alias(signal), "hops"), ["_element", signal])
     return near.groupBy("hops").agg(F.count("*").alias("n"))
 
@@ -102,9 +102,9 @@ def bracket_faults(bracketed: DataFrame, *, probe_ts: str, window_s: float) -> C
     )
 
 
-def no_follow_up(triggers: DataFrame, requests: DataFrame, *, keys: Sequence[str], trigger_ts: str, request_ts: str, within_s: float) -> DataFrame:
+def no_follow_up(triggers: DataFrame, requests: DataFrame, *, keys: Sequence[str], trigger_ts: str, request_ts: str, within_s: float, bin_s: int | None = None) -> DataFrame:
     """Triggers without a request of the same keys in [t, t + within_s]."""
-    hit = as_of(triggers, requests, keys=keys, probe_ts=trigger_ts, event_ts=request_ts, forward=True, values={"_next": F.col(request_ts)})
+    hit = as_of(triggers, requests, keys=keys, probe_ts=trigger_ts, event_ts=request_ts, forward=True, values={"_next": F.col(request_ts)}, bin_s=bin_s)
     late = F.col("_next").isNull() | (seconds(F.col("_next"), F.col(trigger_ts)) > within_s)
     return hit.filter(late).drop("_next")
 
@@ -167,10 +167,10 @@ def last_events(
     return met.select(probe_id, (F.col("_pos") - F.col("_seq") + 1).cast("int").alias("rank"), event_ts, *columns)
 
 
-def conflicts(requests: DataFrame, events: DataFrame, *, request_id: str, ts: str, elements: str, element: str, event_ts: str, state: str, train: str, focal: str) -> DataFrame:
+def conflicts(requests: DataFrame, events: DataFrame, *, request_id: str, ts: str, elements: str, element: str, event_ts: str, state: str, train: str, focal: str, bin_s: int | None = None) -> DataFrame:
     """request_id, n_elements, n_occupied, n_by_other, first_occupied: each request's elements with their latest state."""
     one = requests.select(request_id, F.col(ts).alias("_rt"), F.col(focal).alias("_focal"), F.posexplode(elements).alias("_pos", element))
-    hit = as_of(one, events, keys=[element], probe_ts="_rt", event_ts=event_ts, values={"_st": F.col(state), "_tr": F.col(train)})
+    hit = as_of(one, events, keys=[element], probe_ts="_rt", event_ts=event_ts, values={"_st": F.col(state), "_tr": F.col(train)}, bin_s=bin_s)
     on = F.coalesce(F.col("_st") == 1, F.lit(False))
     return hit.groupBy(request_id).agg(
         F.count("*").alias("n_elements"), F.count_if(on).alias("n_occupied"),

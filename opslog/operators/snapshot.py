@@ -12,9 +12,9 @@ from .ranks import quantiles_by
 from .windows import window_stats
 
 
-def centers(decisions: DataFrame, positions: DataFrame, *, key: str, ts: str, element: str) -> tuple[DataFrame, DataFrame]:
+def centers(decisions: DataFrame, positions: DataFrame, *, key: str, ts: str, element: str, bin_s: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Decisions with their train's current element, and the skipped ones that have none, with the reason."""
-    located = as_of(decisions, positions, keys=[key], probe_ts=ts, event_ts="ts", values={"center": F.col(element)}, null_values=False)
+    located = as_of(decisions, positions, keys=[key], probe_ts=ts, event_ts="ts", values={"center": F.col(element)}, null_values=False, bin_s=bin_s)
     return located.filter("center IS NOT NULL"), located.filter("center IS NULL").drop("center").withColumn("reason", F.lit("no_center"))
 
 
@@ -26,14 +26,14 @@ def nested(rows: DataFrame, *, key: str, name: str, columns: Sequence[str], orde
 
 
 def element_nodes(
-    asked: DataFrame, events: DataFrame, *, key: str, element: str, ts: str, event_ts: str, state: str, windows_s: Sequence[int], static: DataFrame | None = None
+    asked: DataFrame, events: DataFrame, *, key: str, element: str, ts: str, event_ts: str, state: str, windows_s: Sequence[int], static: DataFrame | None = None, bin_s: int | None = None
 ) -> DataFrame:
     """asked (key, element, ts, ...) with the element's state, its window shares and changes, and static columns.
 
     One row per decision and element of its subgraph; serves tracks and signals alike.
     """
-    rows = state_at(asked, events, key=element, probe_ts=ts, event_ts=event_ts, state=state, default=0)
-    rows = window_stats(rows, events, key=element, probe_id=key, probe_ts=ts, event_ts=event_ts, state=state, windows_s=windows_s)
+    rows = state_at(asked, events, key=element, probe_ts=ts, event_ts=event_ts, state=state, default=0, bin_s=bin_s)
+    rows = window_stats(rows, events, key=element, probe_id=key, probe_ts=ts, event_ts=event_ts, state=state, windows_s=windows_s, bin_s=bin_s)
     return rows if static is None else rows.join(static, element, "left")
 
 
@@ -60,22 +60,22 @@ def assemble(decisions: DataFrame, parts: Sequence[DataFrame], *, key: str, defa
     return decisions.withColumns({c: F.coalesce(F.col(c), v) for c, v in (defaults or {}).items()})
 
 
-def route_nodes(asked: DataFrame, locks: DataFrame, occupancy: DataFrame, *, key: str, route: str, element: str, ts: str, event_ts: str, state: str) -> DataFrame:
+def route_nodes(asked: DataFrame, locks: DataFrame, occupancy: DataFrame, *, key: str, route: str, element: str, ts: str, event_ts: str, state: str, bin_s: int | None = None) -> DataFrame:
     """asked (key, route, ts, elements) with locked, the route's own state, and n_occupied of its elements, both as of ts."""
-    rows = state_at(asked, locks, key=route, probe_ts=ts, event_ts=event_ts, state=state, default=0).withColumnRenamed("state", "locked")
+    rows = state_at(asked, locks, key=route, probe_ts=ts, event_ts=event_ts, state=state, default=0, bin_s=bin_s).withColumnRenamed("state", "locked")
     parts = rows.select(key, route, ts, F.explode("elements").alias(element))
-    on = state_at(parts, occupancy, key=element, probe_ts=ts, event_ts=event_ts, state=state, default=0)
+    on = state_at(parts, occupancy, key=element, probe_ts=ts, event_ts=event_ts, state=state, default=0, bin_s=bin_s)
     return rows.join(on.groupBy(key, route).agg(F.count_if(F.col("state") == 1).alias("n_occupied")), [key, route], "left").fillna({"n_occupied": 0})
 
 
-def flag_inputs(candidates: DataFrame, occupancy: DataFrame, *, key: str, route: str, first: str, platform: str, cls: str, ts: str, event_ts: str, state: str, train: str, element: str) -> DataFrame:
+def flag_inputs(candidates: DataFrame, occupancy: DataFrame, *, key: str, route: str, first: str, platform: str, cls: str, ts: str, event_ts: str, state: str, train: str, element: str, bin_s: int | None = None) -> DataFrame:
     """key, occupiers, options: of each decision's candidates (key, route, first, platform, cls, ts) the trains on their first
     elements, and (cls, platform_occupied) structs, both in the order of routes. An element counts as held by its last event's train
     if that occupied it."""
-    hit = as_of(candidates, occupancy, keys=[element], probe_ts=ts, event_ts=event_ts, values={"_st": F.col(state), "_train": F.col(train)}) if element == first else as_of(
-        candidates.withColumn(element, F.col(first)), occupancy, keys=[element], probe_ts=ts, event_ts=event_ts, values={"_st": F.col(state), "_train": F.col(train)})
+    kw = dict(keys=[element], probe_ts=ts, event_ts=event_ts, bin_s=bin_s)
+    hit = as_of(candidates.withColumn(element, F.col(first)), occupancy, values={"_st": F.col(state), "_train": F.col(train)}, **kw)
     holder = F.when(F.col("_st") == 1, F.col("_train"))
-    there = as_of(hit.withColumn("_own", holder).withColumn(element, F.col(platform)), occupancy, keys=[element], probe_ts=ts, event_ts=event_ts, values={"_pst": F.col(state)})
+    there = as_of(hit.withColumn("_own", holder).withColumn(element, F.col(platform)), occupancy, values={"_pst": F.col(state)}, **kw)
     row = F.struct(F.col(route).alias("r"), F.col("_own").alias("o"), F.col(cls).alias("cls"), F.coalesce(F.col("_pst") == 1, F.lit(False)).alias("platform_occupied"))
     listed = there.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_l"))
     return listed.select(key, F.transform("_l", lambda x: x["o"]).alias("occupiers"), F.transform("_l", lambda x: F.struct(x["cls"].alias("cls"), x["platform_occupied"].alias("platform_occupied"))).alias("options"))
