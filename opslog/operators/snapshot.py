@@ -37,6 +37,12 @@ def element_nodes(
     return rows if static is None else rows.join(static, element, "left")
 
 
+def on_paths(nodes: DataFrame, paths: DataFrame, *, key: str, element: str, name: str = "on_path") -> DataFrame:
+    """nodes with a flag: whether the element lies on a path of its decision (paths: key, elements; any number a decision)."""
+    parts = paths.select(key, F.explode("elements").alias(element)).distinct().withColumn(name, F.lit(True))
+    return nodes.join(parts, [key, element], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def train_nodes(asked: DataFrame, *, key: str, focal: str, train: str, columns: Sequence[str], cap: int) -> DataFrame:
     """key, trains: the focal train first, then the others by id, `cap` at most, each with is_focal."""
     rows = asked.withColumn("is_focal", F.col(train) == F.col(focal)).withColumn("_late", (~F.col("is_focal")).cast("int"))
