@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
+#: Paths that each application has handed out and not discarded.
+_MADE: dict[str, set[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of its own; others must set it."""
@@ -25,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def write_table(df: DataFrame, name: str) -> str:
@@ -45,6 +51,20 @@ def discard(spark: SparkSession, path: str) -> None:
     """Deletes what new_path or write_table made, once nothing reads it any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what operators have stored inside. Results are lazy and read those tables, so they have to be written or
+    collected inside."""
+    app = spark.sparkContext.applicationId
+    before = set(_MADE.get(app, ()))
+    try:
+        yield
+    finally:
+        for path in _MADE.get(app, set()) - before:
+            discard(spark, path)
 
 
 def spare(columns: Iterable[str], base: str) -> str:

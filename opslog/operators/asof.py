@@ -214,13 +214,13 @@ def count_in_window(probes, events, *, keys, probe_ts, event_ts, window_s, bin_s
     return out.withColumn("n_in_window", n_in).drop("_now", "_before", "_start")
 
 
-def last_distinct(probes, events, *, keys, probe_ts, event_ts, element, n) -> DataFrame:
+def last_distinct(probes, events, *, keys, probe_ts, event_ts, element, n, bin_s=None) -> DataFrame:
     """Adds recent: the last n distinct elements before the probe, latest first, null if there are none.
 
     Every event carries the list as of itself, made by one pass over each key's events in order; probes take the last list.
     """
-    lists = recent_elements(events, keys=keys, ts=event_ts, element=element, n=n, name="recent")
-    return as_of(probes, lists, keys=keys, probe_ts=probe_ts, event_ts=event_ts, values={"recent": F.col("recent")}, inclusive=False, tie="no")
+    lists = recent_elements(events, keys=keys, ts=event_ts, element=element, n=n, name="recent", bin_s=bin_s)
+    return as_of(probes, lists, keys=keys, probe_ts=probe_ts, event_ts=event_ts, values={"recent": F.col("recent")}, inclusive=False, tie="no", bin_s=bin_s)
 
 
 def last_change(probes, events, *, key, probe_ts, event_ts, state, bin_s=None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import stored
 from .asof import as_of, running_in_key, seconds
-from .ranks import numbered, running
+from .ranks import numbered_runs
 
 
 def _micros(c: Column) -> Column:
@@ -124,12 +124,8 @@ def upcoming(
     s = schedule.filter(F.col(other).isNotNull()).select(
         F.col(schedule_ts).alias("_st"), F.col(other).alias("_other"), *(F.col(c).alias(n) for c, n in zip(columns, cols))
     )
-    s = numbered(s, ["_st", *cols, "_other"], "_n")
-    was = s.select((F.col("_n") + 1).alias("_n"), F.col("_other").alias("_was"))
-    flagged = s.join(was, "_n", "left").withColumn("_new", F.coalesce((F.col("_other") != F.col("_was")).cast("long"), F.lit(1)))
-    runs = stored(running(flagged.drop("_was"), ["_n"], "_new", "_run"), "runs")
-    first = runs.filter("_new = 1").select("_run", F.col("_n").alias("_first"))
-    rows = runs.drop("_new")
+    rows = stored(numbered_runs(s, ["_st", *cols, "_other"], "_other", "_n", "_run"), "runs")
+    first = rows.groupBy("_run").agg(F.min("_n").alias("_first"))
     at = as_of(
         probes.select(probe_id, probe_ts, F.col(own).alias("_own")), rows, keys=[], probe_ts=probe_ts, event_ts="_st", tie="_n",
         values={"_place": F.col("_n"), "_at": F.col("_run")}, bin_s=max(int(ahead_s), 1),

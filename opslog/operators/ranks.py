@@ -50,6 +50,29 @@ def running(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataF
     return _with_offsets(rows.withColumn(name, upto), part, F.sum(value), off).select(*kept, (F.col(off) + F.col(name)).alias(name))
 
 
+def numbered_runs(df: DataFrame, order: Sequence[str], value: str, name="seq", run="run") -> DataFrame:
+    """Adds a running number from 1 in the given total order, and the number of the run of rows with one value it lies in.
+
+    Both come from one stored deal: a row's value before it is that of its partition, for a partition's first row that of the last
+    one before; numbers and runs of earlier partitions are a row a partition."""
+    kept = [c for c in df.columns if c not in (name, run)]
+    rows, part, place = _dealt(df.select(*kept), order)
+    last, new, n_off, r_off = (spare(rows.columns, c) for c in ("last", "new", "n_off", "r_off"))
+    parts = W.orderBy(part)
+    ends = rows.groupBy(part).agg(F.max_by(F.struct(value), place).alias(last))
+    ends = ends.select(part, F.lag(last).over(parts).alias(last))  # one row a partition
+    inside = W.partitionBy(part).orderBy(place)
+    before = F.coalesce(F.lag(F.struct(value)).over(inside), F.col(last))
+    fresh = ~F.coalesce(before[value].eqNullSafe(F.col(value)) & before.isNotNull(), F.lit(False))
+    flagged = rows.join(F.broadcast(ends), part).withColumn(new, fresh.cast("long")).drop(last)
+    upto = parts.rowsBetween(W.unboundedPreceding, -1)
+    sums = flagged.groupBy(part).agg(F.count("*").alias(n_off), F.sum(new).alias(r_off))
+    sums = sums.select(part, *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in (n_off, r_off)))
+    own = F.sum(new).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    placed = flagged.withColumn(run, own).join(F.broadcast(sums), part)
+    return placed.select(*kept, (F.col(n_off) + F.col(place) + 1).alias(name), (F.col(r_off) + F.col(run)).alias(run))
+
+
 def quantiles(df: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
     """One row of exact, linearly interpolated quantiles: name -> (column, share). Null for a column without values.
 

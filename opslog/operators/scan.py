@@ -201,9 +201,21 @@ def discounted(rows: DataFrame, *, keys: Sequence[str], position: str, value: st
     return inner.join(ahead, "_slot").select(*keys, position, (F.col("_y") + F.col("_w") * F.col("_ahead")).alias("to_go"))
 
 
-def recent_elements(events: DataFrame, *, keys: Sequence[str], ts: str, element: str, n: int, name="recent") -> DataFrame:
+def recent_elements(events: DataFrame, *, keys: Sequence[str], ts: str, element: str, n: int, name="recent", bin_s: int | None = None) -> DataFrame:
     """keys..., ts, no (the event's place in its task) and the last n distinct elements up to each event, latest first (of one
-    time, the smaller first)."""
+    time, the smaller first).
+
+    bin_s: work is dealt by key and bin of time. The lists of a bin's own events are made by themselves, those before each bin
+    from the last list of every bin before, and an event's list is its own followed by what its bin began with."""
+    if bin_s is not None:
+        from .asof import time_slot
+
+        slot = time_slot(keys, F.col(ts), bin_s)
+        own = stored(recent_elements(events.withColumn("_slot", slot), keys=["_slot"], ts=ts, element=element, n=n, name=name), "recent")
+        ends = own.groupBy("_slot").agg(F.max_by(name, "no").alias(name))
+        joined = own.join(_lists_before(ends, name, n), "_slot")
+        whole = F.slice(F.array_union(name, F.coalesce("_before", F.array().cast(own.schema[name].dataType))), 1, n)
+        return joined.select(*(F.col("_slot")[f"k{i}"].alias(k) for i, k in enumerate(keys)), ts, "no", whole.alias(name))
     chosen = events.select(*keys, ts, F.col(element).alias(name))
     kind = chosen.schema[name].dataType.simpleString()
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "no long", f"`{name}` array<{kind}>"])
@@ -224,3 +236,26 @@ def recent_elements(events: DataFrame, *, keys: Sequence[str], ts: str, element:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at)), numbers, lists], names=names)
 
     return sorted_scan(chosen, keys, [ts, F.col(name).desc()], run, schema)
+
+
+def _lists_before(ends: DataFrame, name: str, n: int) -> DataFrame:
+    """_slot, _before: the last n distinct elements before each bin, from the last list of every bin; a key's bins are read in order
+    with one list as the state."""
+    parts = [f.name for f in ends.schema["_slot"].dataType.fields if f.name != "bin"]
+    rows = ends.select("_slot", F.struct(*(F.col("_slot")[p].alias(p) for p in parts)).alias("_key"), F.col("_slot")["bin"].alias("_bin"), name)
+    schema = f"_slot {ends.schema['_slot'].dataType.simpleString()}, _before {ends.schema[name].dataType.simpleString()}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new, key = starts(batch, key)
+            out = []
+            for first, own in zip(new.tolist(), batch.column(3).to_pylist()):
+                state = [] if first else state
+                out.append(state)
+                state = [*own, *(x for x in state if x not in own)][:n]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.column(3).type)], names=["_slot", "_before"])
+
+    return sorted_scan(rows, ["_key"], ["_bin"], run, schema)

@@ -80,6 +80,18 @@ def j4_last_distinct(spark, d):
     return out.select("event_id", F.when(F.col("recent").isNotNull(), F.array_join("recent", ">")).alias("recent"))
 
 
+@query("""WITH q AS (SELECT event_id, ts FROM events WHERE event_type = 'error'), l AS (SELECT q.event_id, e.user_id, max(e.ts) AS seen FROM q JOIN events e ON e.event_type = 'view' AND e.ts < q.ts AND e.ts >= q.ts - INTERVAL 3 DAY GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY seen DESC, user_id) AS k FROM l)
+  SELECT q.event_id, coalesce(string_agg(user_id::VARCHAR, '>' ORDER BY k), '') AS recent FROM q LEFT JOIN r ON q.event_id = r.event_id AND k <= 3 GROUP BY 1""")
+def j4_last_distinct_dense(spark, d):
+    """The last three users that viewed anything: one key with all views, in bins of six hours. Three users view within three days."""
+    one = F.lit(1).alias("one")
+    views = events(spark, d, "view").select(one, "ts", F.col("user_id").alias("viewer"))
+    probes = events(spark, d, "error").select(one, "event_id", F.col("ts").alias("t"))
+    out = asof.last_distinct(probes, views, keys=["one"], probe_ts="t", event_ts="ts", element="viewer", n=3, bin_s=21_600)
+    return out.select("event_id", F.coalesce(F.array_join(F.transform("recent", lambda x: x.cast("string")), ">"), F.lit("")).alias("recent"))
+
+
 @query(f"""WITH {TL}, h AS (SELECT p.event_id, (epoch_us(p.ts) - epoch_us(tl.ts)) / 1e6 AS lead FROM p ASOF LEFT JOIN tl ON p.user_id = tl.user_id AND p.ts > tl.ts)
   SELECT count(*) AS n, count(*) FILTER (lead IS NULL) AS n_none, round(avg(lead), 6) AS avg_lead FROM h""")
 def j5_strict_as_of(spark, d):

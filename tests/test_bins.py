@@ -211,3 +211,44 @@ def test_every_look_up_takes_bins(spark):
     for name, call in calls.items():
         whole = plain(call(None))
         assert whole and plain(call(700)) == whole, name
+
+
+@pytest.mark.parametrize("bin_s", [None, 50, 4000])
+def test_recent_elements_by_bins(spark, bin_s):
+    rng = random.Random(9)
+    rows = [(rng.choice(["k", None]), AT(t), rng.choice("abcde")) for t in rng.sample(range(3000), 300)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, e string").repartition(4)
+    got = {(r.k, r.ts): r.recent for r in scan.recent_elements(df, keys=["k"], ts="ts", element="e", n=3, bin_s=bin_s).collect()}
+    for key in ("k", None):
+        state = []
+        for k, t, e in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            state = [e, *(x for x in state if x != e)][:3]
+            assert got[k, t] == state
+
+
+def test_numbered_runs(spark):
+    from opslog.operators import ranks
+
+    rng = random.Random(10)
+    rows = [(k, rng.choice(["a", "a", "b", None])) for k in range(500)]
+    df = spark.createDataFrame(rng.sample(rows, 500), "k int, v string").repartition(6)
+    run, last = 0, object()
+    want = {}
+    for n, (k, v) in enumerate(rows, 1):
+        run += v != last
+        last = v
+        want[k] = (n, run)
+    assert {r.k: (r.seq, r.run) for r in ranks.numbered_runs(df, ["k"], "v").collect()} == want
+
+
+def test_scratch_deletes_what_was_stored(spark):
+    from opslog.functions import shared
+
+    kept = shared.write_table(spark.range(3), "kept")
+    with shared.scratch(spark):
+        inner = shared.write_table(spark.range(4), "inner")
+        assert spark.read.parquet(inner).count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(inner)
+    assert spark.read.parquet(kept).count() == 3
+    shared.discard(spark, kept)
