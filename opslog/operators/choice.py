@@ -65,16 +65,19 @@ def resample_balanced(df: DataFrame, *, stratum: str, key: Sequence[str], seed:
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_mean", "_times")
 
 
-def design(df: DataFrame, *, decision: Sequence[str], columns: Sequence[str], chosen: str, weight: str | None = None, cluster: Sequence[str] = (), replicates: int = 0, seed: int = 7) -> DataFrame:
+def design(df: DataFrame, *, decision: Sequence[str], columns: Sequence[str], chosen: str, weight: str | None = None, cluster: Sequence[str] = (), replicates: int = 0, seed: int = 7, subsets: Sequence[Column] = ()) -> DataFrame:
     """One row for each decision, stored: rows (chosen, features) of its alternatives and its weights, the own one first and
-    then one for each bootstrap replicate: a Poisson(1) draw of its cluster times the own one. Every later pass reads this table only."""
+    then one for each bootstrap replicate: a Poisson(1) draw of its cluster times the own one; then one for each subset: the own one
+    where its condition holds for a row of the decision, else 0. Every later pass reads this table only."""
     row = F.struct(F.col(chosen).cast("double").alias("y"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
     own = F.max(weight).cast("double") if weight else F.lit(1.0)
-    per = df.groupBy(*dict.fromkeys([*decision, *cluster])).agg(F.array_sort(F.collect_list(row)).alias("rows"), own.alias("own"))
+    per = df.groupBy(*dict.fromkeys([*decision, *cluster])).agg(F.array_sort(F.collect_list(row)).alias("rows"), own.alias("own"), *(F.max(F.coalesce(c, F.lit(False))).alias(f"in_{k}") for k, c in enumerate(subsets)))
     weights = F.array("own")
     if replicates:
         digests = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: digest(F.lit(seed), b, *(F.col(c) for c in cluster)))
         weights = F.concat(weights, F.transform(digests, lambda h: F.col("own") * poisson_of(h)))
+    if subsets:
+        weights = F.concat(weights, F.array(*(F.when(F.col(f"in_{k}"), F.col("own")).otherwise(0.0) for k in range(len(subsets)))))
     return stored(per.select("rows", weights.alias("weights")), "design")
 
 
@@ -151,6 +154,13 @@ def bootstrap_choice(df: DataFrame, *, decision: Sequence[str], columns: Sequenc
     return [dict(zip(columns, w)) for w in _fit(table, replicates, len(columns), 1, l2, rounds, tolerance).tolist()]
 
 
+def fit_subsets(df: DataFrame, *, decision: Sequence[str], columns: Sequence[str], chosen: str, subsets: dict[str, Column], weight: str | None = None, l2: float = 1e-3, rounds: int = 20, tolerance: float = 1e-8) -> dict[str, dict[str, float]]:
+    """A fit for each subset of decisions, all of them in the same passes over one table. A subset without decisions needs l2 > 0."""
+    table = design(df, decision=decision, columns=columns, chosen=chosen, weight=weight, subsets=list(subsets.values()))
+    fitted = _fit(table, len(subsets), len(columns), 1, l2, rounds, tolerance).tolist() if subsets else []
+    return {name: dict(zip(columns, w)) for name, w in zip(subsets, fitted)}
+
+
 def subset_rows(df: DataFrame, subsets: dict[str, Column]) -> DataFrame:
     """The rows of each named condition, with the subset's name: designs that overlap are made in one pass."""
     names = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in subsets.items())))

@@ -161,14 +161,16 @@ def hashed_uniform(*parts: Column) -> Column:
 def poisson_of(drawn: Column) -> Column:
     """The Poisson(1) draw of a digest: how many steps of the distribution are at or below its uniform.
 
-    Steps are compared as hex digits, which order as the numbers do, so a draw needs no conversion.
+    Steps are compared as hex digits, which order as the numbers do, so a draw needs no conversion, and the first step above the
+    uniform ends it, so most draws take two comparisons. drawn should be a column, not an expression to evaluate again.
     """
-    out, total, term = F.lit(0), 0.0, math.exp(-1)
+    out, total, term = None, 0.0, math.exp(-1)
     for k in range(12):
         total += term
-        out = out + (drawn >= f"{math.ceil(total * (1 << 48) - 0.5):012x}").cast("int")
+        below = drawn < f"{math.ceil(total * (1 << 48) - 0.5):012x}"
+        out = F.when(below, k) if out is None else out.when(below, k)
         term /= k + 1
-    return out
+    return out.otherwise(12)
 
 
 def poisson_weight(*parts: Column) -> Column:
@@ -184,7 +186,7 @@ def bootstrap(df: DataFrame, *, cluster: Sequence[str], value: str, replicates:
     """
     sums = df.groupBy(*strata, *cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     drawn = sums.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = drawn.withColumn("_w", poisson_weight(F.lit(seed), F.col("_b"), *(F.col(c) for c in cluster)))
+    drawn = drawn.withColumn("_d", digest(F.lit(seed), F.col("_b"), *(F.col(c) for c in cluster))).withColumn("_w", poisson_of(F.col("_d")))
     means = drawn.groupBy(*strata, "_b").agg(
         (F.sum(F.col("_w") * F.col("_s")) / F.nullif(F.sum(F.col("_w") * F.col("_n")), F.lit(0))).alias("_m"),
         (F.sum("_s") / F.sum("_n")).alias("_e"),

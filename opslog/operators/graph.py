@@ -29,13 +29,13 @@ def dedup_longest(df: DataFrame, *, key: str, elements: str, seq: str, starts: s
 
 
 def element_index(routes: DataFrame, *, route: str, elements: str, element="element") -> DataFrame:
-    """element, n_routes, routes (sorted)."""
+    """element, n_routes, routes (sorted). A list holds the routes over one element: routes are the static network's, not the log's."""
     rows = routes.select(route, F.explode(F.array_distinct(elements)).alias(element))
     return rows.groupBy(element).agg(F.count("*").alias("n_routes"), F.array_sort(F.collect_list(route)).alias("routes"))
 
 
 def outbound(routes: DataFrame, *, route: str, starts: str, columns: Sequence[str]) -> DataFrame:
-    """start, outbound: the structs of the routes that start there."""
+    """start, outbound: the structs of the routes that start there, as many as the static network has from one signal."""
     rows = routes.select(F.explode(starts).alias("start"), F.struct(route, *columns).alias("r"))
     return rows.groupBy("start").agg(F.array_sort(F.collect_list("r")).alias("outbound"))
 
@@ -174,7 +174,7 @@ def route_element_ids(routes: DataFrame, index: DataFrame, *, route: str, elemen
 
 
 def candidates(routes: DataFrame, *, route: str, starts: str) -> DataFrame:
-    """signal, candidates: sorted distinct routes from each start."""
+    """signal, candidates: sorted distinct routes from each start, as many as the static network has from one signal."""
     return routes.select(F.explode(starts).alias("signal"), route).groupBy("signal").agg(F.array_sort(F.collect_set(route)).alias("candidates"))
 
 

@@ -347,11 +347,8 @@ def m4_m6_closed_form(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_totalprice") > 150000).cast("int").alias("dear"))
     rows = o.withColumn("x", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("chosen", (F.col("x") == F.col("dear")).cast("int"))
     cells = [r[0] for r in o.select("o_orderpriority").distinct().collect()]  # five priorities
-    subsets = choice.subset_rows(rows, {c: F.col("o_orderpriority") == c for c in cells})
-    out = []
-    for c in cells:
-        w = choice.fit_choice(subsets.filter(F.col("subset") == c), decision=["o_orderkey"], columns=["x"], chosen="chosen", l2=0.0)
-        out.append((c, w["x"]))
+    fits = choice.fit_subsets(rows, decision=["o_orderkey"], columns=["x"], chosen="chosen", subsets={c: F.col("o_orderpriority") == c for c in cells}, l2=0.0)
+    out = [(c, w["x"]) for c, w in fits.items()]
     return spark.createDataFrame(out, "cell string, weight double").select("cell", F.round("weight", 4).alias("weight"))
 
 

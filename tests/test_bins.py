@@ -252,3 +252,14 @@ def test_scratch_deletes_what_was_stored(spark):
         spark.read.parquet(inner)
     assert spark.read.parquet(kept).count() == 3
     shared.discard(spark, kept)
+
+
+def test_subsets_are_fitted_together(spark):
+    rng = random.Random(11)
+    rows = [(d, d % 3, float(x), int(x == (rng.random() < 0.3 + 0.2 * (d % 3)))) for d in range(600) for x in (0, 1)]
+    df = spark.createDataFrame(rows, "d int, g int, x double, y int")
+    kw = dict(decision=["d"], columns=["x"], chosen="y", l2=1e-3)
+    both = choice.fit_subsets(df, subsets={f"g{k}": F.col("g") == k for k in range(3)} | {"all": F.lit(True), "none": F.lit(None).cast("boolean")}, **kw)
+    for k in range(3):
+        assert both[f"g{k}"]["x"] == pytest.approx(choice.fit_choice(df.filter(F.col("g") == k), **kw)["x"], abs=1e-6)
+    assert both["all"]["x"] == pytest.approx(choice.fit_choice(df, **kw)["x"], abs=1e-6) and both["none"]["x"] == 0
