@@ -40,6 +40,17 @@ def s4_load_diagnostics(spark, d):
     return out.select("n_rows", "share_usual_length", r6("share_headcode", "share_headcode"), "n_platforms")
 
 
+@query("""WITH m AS (SELECT 'x9' || (c_custkey % 10)::VARCHAR || chr((65 + c_custkey % 26)::INTEGER) || lpad((c_custkey % 100)::VARCHAR, 2, '0') || repeat('M', (c_custkey % 4)::INTEGER) AS id, CASE WHEN c_custkey % 6 > 0 THEN c_nationkey END AS platform FROM customer)
+  SELECT count(*) AS n_rows, round(avg(CASE WHEN length(id) = 8 THEN 1.0 ELSE 0.0 END), 6) AS share_usual_length, round(avg(CASE WHEN regexp_matches(substr(id, 3, 4), '^[0-9][A-Z][0-9]{2}$') THEN 1.0 ELSE 0.0 END), 6) AS share_headcode, count(DISTINCT platform) AS n_platforms FROM m""")
+def s4_mixed_ids(spark, d):
+    """Ids of four lengths, all but a few of them with a headcode inside, and rows without a platform."""
+    k = F.col("c_custkey")
+    parts = F.concat(F.lit("x9"), (k % 10).cast("string"), F.char((65 + k % 26).cast("int")), F.lpad((k % 100).cast("string"), 2, "0"), F.repeat(F.lit("M"), (k % 4).cast("int")))
+    c = table(spark, d, "customer").select(parts.alias("id"), F.when(k % 6 > 0, F.col("c_nationkey")).alias("platform"))
+    out = io.load_diagnostics(c, id_col="id", platform_col="platform", id_length=8)
+    return out.select("n_rows", r6("share_usual_length", "share_usual_length"), r6("share_headcode", "share_headcode"), "n_platforms")
+
+
 @query("SELECT l_orderkey::VARCHAR AS id, count(*)::INTEGER AS n FROM lineitem GROUP BY 1")
 def s5_route_lists(spark, d):
     """Elements as text of a list of quoted names, in CSV, and back."""
@@ -59,6 +70,19 @@ def s6_dimension_file(spark, d):
     return io.read_dimension(spark, path, "key long, name string", ["key"], {"name": "none"})
 
 
+@query("SELECT s_suppkey AS key, coalesce(CASE WHEN s_suppkey % 3 <> 0 THEN s_name END, 'none') AS name FROM supplier WHERE s_suppkey % 7 <> 0")
+def s6_commented_file(spark, d):
+    """The same dimension with a byte order mark, and a comment before every fifth line that would be a row without its mark."""
+    path, k = _path(spark, "dimension"), F.col("s_suppkey")
+    cell = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    row = F.concat_ws(",", cell(F.when(k % 7 != 0, k)), cell(F.when(k % 3 != 0, F.col("s_name"))))
+    note = F.concat(F.lit("# "), k.cast("string"), F.lit(",a comment, with commas"))
+    lines = table(spark, d, "supplier").select(k.alias("at"), F.posexplode(F.when(k % 5 == 0, F.array(note, row)).otherwise(F.array(row))).alias("no", "value"))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("at"), F.lit(0).alias("no"), F.lit("\ufeffkey,name").alias("value"))
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("at", "no").select("value").write.text(path)  # a dimension is one small file
+    return io.read_dimension(spark, path, "key long, name string", ["key"], {"name": "none"})
+
+
 @query("""SELECT CASE p_size % 4 WHEN 0 THEN 'Signal' WHEN 1 THEN 'Route' WHEN 2 THEN 'TRTS' ELSE 'Track' END AS asset_type, count(*) AS n, sum(p_partkey + 1)::BIGINT AS idx FROM part GROUP BY 1""")
 def s7_asset_index(spark, d):
     k = F.col("p_partkey").cast("string")
@@ -101,6 +125,15 @@ def s12_token_stream(spark, d):
     return apart.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("before").isNull() | (F.col("before") <= F.col("a")), F.col("n")).otherwise(0)).alias("n_in_order"))
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events WHERE event_type IN ('view', 'click')")
+def s12_token_places(spark, d):
+    """Each token's place in the written stream, counted over its files in the order of their names."""
+    path = _path(spark, "tokens")
+    io.write_tokens(events(spark, d, "view", "click").select("ts", "event_id"), path, ts="ts", tie=["event_id"])
+    lain = spark.read.parquet(path).select("event_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    return ranks.numbered(lain, ["file", "at"], "place").select("event_id", "place")
+
+
 @query("""WITH x AS (SELECT *, ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12' AS i FROM events)
   SELECT 'value' AS "column", count(*) FILTER (i) AS n_inside, count(*) FILTER (i AND value <> 0) AS n_changed, round(sum(value), 4) AS before, round(sum(CASE WHEN i THEN 0 ELSE value END), 4) AS after FROM x""")
 def s15_patch_counts(spark, d):
@@ -116,6 +149,18 @@ def s16_rule_files(spark, d):
     return io.write_rules(rules, _path(spark, "rules"), json_columns=["match", "preference"])
 
 
+@query("SELECT p_partkey::VARCHAR AS rule_id, p_brand AS brand, p_type || '\"' AS type, p_size::BIGINT AS preference, 2 AS n_forms FROM part WHERE p_size < 20")
+def s16_rule_contents(spark, d):
+    """Rules with quotes in their values, as read back from both forms of file."""
+    path, p = _path(spark, "rules"), table(spark, d, "part").filter("p_size < 20")
+    rules = p.select(F.col("p_partkey").cast("string").alias("rule_id"), F.struct(F.array("p_brand").alias("brands"), F.array(F.concat("p_type", F.lit('"'))).alias("types")).alias("match"), F.array("p_size").alias("preference"))
+    io.write_rules(rules, path, json_columns=["match", "preference"])
+    schema = "rule_id string, match string, preference string"
+    forms = spark.read.schema(schema).parquet(f"{path}/parquet").unionByName(spark.read.schema(schema).option("header", True).option("escape", '"').csv(f"{path}/csv"))
+    match, wish = F.from_json("match", "brands array<string>, types array<string>"), F.from_json("preference", "array<bigint>")
+    return forms.groupBy("rule_id", match["brands"][0].alias("brand"), match["types"][0].alias("type"), wish[0].alias("preference")).agg(F.count("*").cast("int").alias("n_forms"))
+
+
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'unknown' END AS meaning FROM orders")
 def p4_class_meaning(spark, d):
     return table(spark, d, "orders").select("o_orderkey", parse.lookup(F.col("o_orderstatus"), {"F": "finished", "O": "open"}, "unknown").alias("meaning"))
