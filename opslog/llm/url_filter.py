@@ -119,6 +119,18 @@ def fit(urls: list[str], blocked: list[int], *, rounds=600, rate=5.0, l2=1e-4) -
     return UrlModel(w.astype(np.float32), float(bias))
 
 
+def fit_labelled(labelled: DataFrame, *, url_col="url", label_col="blocked", fit_rows=20_000, **settings) -> UrlModel:
+    """A model of a labelled table of one's own: address, and whether to block it (1 or true). A bounded sample is fitted: of each label
+    the fit_rows addresses that come first by their hash. Null addresses and labels are left out; repeats count once.
+
+    `judge` takes it as `model`. Parts of hosts that no labelled address has can't tell; see the README for what the default table
+    finds of unseen words.
+    """
+    known = labelled.select(quoted(url_col).cast("string").alias("url"), quoted(label_col).cast("int").alias("y")).filter("url IS NOT NULL AND y IN (0, 1)").distinct()
+    sample = [r for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("url"), "url").limit(fit_rows).collect()]  # 2 * fit_rows addresses at most
+    return fit([r["url"] for r in sample], [r["y"] for r in sample], **settings)
+
+
 def default_model() -> UrlModel:
     return fit(*labelled_addresses())
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from opslog.llm import common, language_id, line_dedup, near_copies, queries, simhash, topk, toxicity
+from opslog.llm import common, language_id, line_dedup, near_copies, queries, simhash, topk, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 LINE = "a line that is long enough to count"
@@ -200,3 +200,23 @@ def test_a_sessions_own_batches_stay(spark):
             spark.conf.set(name, before)
         if mark:
             common._BATCHES[spark.sparkContext.applicationId] = mark
+
+
+def test_a_labelled_table_of_ones_own(spark):
+    """Hosts made letter by letter, split by host: those to block are drawn hosts of digits and consonants with numbered landing pages."""
+    rng = np.random.default_rng(21)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = []
+    for k in range(700):
+        if k % 2:
+            host, path = f"{draw('bcdfghjklmnpqrstvwxz0123456789', 11)}.{rng.choice(['com', 'net', 'info'])}", f"/l{rng.integers(1e6)}?c={k}"
+        else:
+            host, path = "".join(draw("bdlmnrst", 1) + draw("aeiou", 1) for _ in range(4)) + f".{rng.choice(['com', 'net', 'info'])}", f"/{draw('aeioulmnrst', 6)}/{k}"
+        rows += [(f"http://{host}{path}", k % 2, k)] * 2
+    rows += [(None, 1, -1), ("http://x.com/", None, -1)]
+    df = spark.createDataFrame(rows, "url string, blocked int, k int")
+    seen, unseen = df.filter("k % 5 > 1 OR k < 0"), df.filter("k % 5 <= 1 AND k >= 0").select(F.col("k").alias("page_id"), "url", "blocked")
+    model = url_filter.fit_labelled(seen, fit_rows=300)
+    got = url_filter.judge(unseen, [], model=model).join(unseen.select("page_id", "blocked").distinct(), "page_id").toPandas()
+    block = got[got.blocked == 1]
+    assert (block.verdict == "block").mean() >= 0.9 and (got[got.blocked == 0].verdict == "block").mean() <= 0.05
