@@ -4,8 +4,10 @@ Vectors are turned by an orthogonal matrix fitted on a bounded sample, which lea
 their spread in few dimensions. Each task keeps its rows in blocks with one sorted list per turned dimension. A query walks each
 list from the end that its own component favours, from depth k on in doubling steps, the lists first whose next step lowers the
 bound most for the rows read. It scores the rows it meets, exactly, and stops once no row further down all lists can reach its
-k-th result: such a row is at most the lists' frontier in each dimension, and no longer than the block's longest row. How much is
-scored depends on the vectors: little of what is clustered, all of what is spread evenly.
+k-th result: such a row is at most the lists' frontier in each dimension, and no longer than the block's longest row.
+
+How much is scored depends on the vectors: little of what is clustered, all of what is spread evenly. A query that could not
+stop even with a quarter of every list read scores its block in one matrix product with others of its kind.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import long_id, new_path, quoted, stored
 
+#: Queries that are looked at together.
+CHUNK = 256
+
 #: Rows on which the turning matrix is fitted; it only decides how much is scored, never what is found.
 FIT_ROWS = 4096
 
@@ -51,30 +56,30 @@ class Best:
         self.floors[which] = np.maximum(self.floors[which], self.scores[which, self.k - 1])
 
 
-def reach(size: np.ndarray, most: np.ndarray, longest: float) -> float:
-    """The largest size @ x with x <= most in each place and a length of at most `longest`; size is not negative.
+def reach(size: np.ndarray, most: np.ndarray, longest: float) -> np.ndarray:
+    """For each row of size (not negative), the largest size @ x with x <= most in each place and a length of at most `longest`.
 
     The best x is size times a common factor, cut off at most; a place with the smaller most / size is cut off first.
     """
-    used = size > 0
-    a, b = size[used], most[used]
-    order = np.argsort(b / a)
-    a, b = a[order], b[order]
-    room = longest**2 - np.r_[0.0, np.cumsum(b**2)[:-1]]
-    rest = np.cumsum((a**2)[::-1])[::-1]
-    factor = np.sqrt(np.maximum(room, 0.0) / rest)
-    free = np.flatnonzero(factor * a <= b)
-    if not len(free):
-        return float(a @ b)
-    cut = free[0]
-    return float(a[:cut] @ b[:cut] + factor[cut] * rest[cut])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        order = np.argsort(np.where(size > 0, most / size, np.inf), axis=1)
+    a, b = np.take_along_axis(size, order, 1), np.take_along_axis(np.where(size > 0, most, 0.0), order, 1)
+    none = np.zeros((len(a), 1))
+    cut_length, cut_product = np.cumsum(np.hstack([none, b**2]), axis=1), np.cumsum(np.hstack([none, a * b]), axis=1)
+    rest = np.cumsum((a**2)[:, ::-1], axis=1)[:, ::-1]
+    factor = np.sqrt(np.maximum(longest**2 - cut_length[:, :-1], 0.0) / np.where(rest > 0, rest, np.inf))
+    free = (factor * a <= b) & (a > 0)
+    first = free.argmax(axis=1)
+    some = np.arange(len(a))
+    held = cut_product[some, first] + factor[some, first] * rest[some, first]
+    return np.where(free.any(axis=1), held, cut_product[:, -1])
 
 
 class SortedLists:
     """A block of vectors with its rows sorted by each turned dimension. turn: an orthogonal matrix, None for none."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray | None = None):
-        self.rows, self.ids, self.vectors, self.turn = rows, ids, vectors, turn
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray | None = None, k: int = 5):
+        self.rows, self.ids, self.vectors, self.turn, self.k = rows, ids, vectors, turn, k
         turned = vectors if turn is None else vectors @ turn
         order = np.argsort(turned, axis=0, kind="stable")
         values = np.take_along_axis(turned, order, axis=0)
@@ -85,47 +90,66 @@ class SortedLists:
         #: More than what rounding can add to a bound, for a query of length 1.
         self.margin = 1e-9 * (1.0 + self.longest)
         self.by_row = np.argsort(rows)
-
-    def _place(self, row: int) -> int:
-        at = min(int(np.searchsorted(self.rows, row, sorter=self.by_row)), len(self.rows) - 1)
-        return int(self.by_row[at]) if self.rows[self.by_row[at]] == row else -1
+        #: Rows at the ends of the lists, which all queries score; without dimensions every row is one.
+        self.first = np.unique(self.order[:, :, : min(k, len(rows))]) if vectors.shape[1] else np.arange(len(rows))
 
     def search(self, queries: np.ndarray, own: np.ndarray, best: Best, which: np.ndarray) -> np.ndarray:
         """Adds to best what this block has for the queries and returns how many rows each one scored; own: the row number of each,
         which it does not find."""
+        n = len(self.rows)
+        at = np.minimum(np.searchsorted(self.rows, own, sorter=self.by_row), n - 1)
+        place = np.where(self.rows[self.by_row[at]] == own, self.by_row[at], -1)
         turned = queries if self.turn is None else queries @ self.turn
-        return np.array([self._walk(queries[q], turned[q], int(own[q]), best, which[q : q + 1]) for q in range(len(which))], np.int64)
-
-    def _walk(self, query: np.ndarray, turned: np.ndarray, own: int, best: Best, which: np.ndarray) -> int:
+        size, end = np.abs(turned), (turned < 0).astype(np.int64)
+        margin = self.margin * (1.0 + np.sqrt((queries**2).sum(axis=1)))
+        self._score(np.arange(len(which)), self.first, queries, place, best, which)
+        scored = np.full(len(which), n, np.int64)
+        if len(self.first) == n:
+            return scored - (place >= 0)
+        rest = np.ones(n, bool)
+        rest[self.first] = False
+        quarter = self.values[:, :, max(0, n // 4 - 1)]
+        lowest = reach(size, np.where(end == 0, quarter[0], -quarter[1]), self.longest) + margin
+        whole = lowest >= best.floors[which]
+        if whole.any():
+            self._score(np.flatnonzero(whole), np.flatnonzero(rest), queries, place, best, which)
+        for q in np.flatnonzero(~whole).tolist():
+            scored[q] = self._walk(queries[q], size[q], end[q], float(margin[q]), int(place[q]), best, which[q : q + 1])
+        return scored - (place >= 0)
+
+    def _score(self, some: np.ndarray, rows: np.ndarray, queries: np.ndarray, place: np.ndarray, best: Best, which: np.ndarray) -> None:
+        """All queries of `some` score all rows of `rows` (ascending), but for their own."""
+        if not len(rows):
+            return
+        scores = queries[some] @ self.vectors[rows].T
+        column = np.minimum(np.searchsorted(rows, place[some]), len(rows) - 1)
+        mine = (place[some] >= 0) & (rows[column] == place[some])
+        scores[mine, column[mine]] = -np.inf
+        best.add(which[some], scores, self.ids[rows])
+
+    def _walk(self, query: np.ndarray, size: np.ndarray, end: np.ndarray, margin: float, own: int, best: Best, which: np.ndarray) -> int:
         n, dims = self.vectors.shape
-        every, end = np.arange(dims), (turned < 0).astype(np.int64)
-        size, margin = np.abs(turned), self.margin * (1.0 + float(np.sqrt(query @ query)))
-        met = np.zeros(n, bool)
-        mine = self._place(own)
-        if mine >= 0:
-            met[mine] = True
-        depth = np.zeros(dims, np.int64)
-        walk = every
+        every, met = np.arange(dims), np.zeros(n, bool)
+        met[self.first] = True
+        if own >= 0:
+            met[own] = True
+        depth = np.full(dims, min(self.k, n), np.int64)
         while True:
-            step = np.where(depth[walk] == 0, best.k, depth[walk])
-            to = np.minimum(depth[walk] + step, n)
-            seen = [self.order[end[d], d, a:b] for d, a, b in zip(walk.tolist(), depth[walk].tolist(), to.tolist())]
+            frontier = self.values[end, every, depth - 1]
+            signed = np.where(end == 0, frontier, -frontier)
+            if (depth == n).any() or reach(size[None], signed[None], self.longest)[0] + margin < best.floors[which[0]]:
+                return int(met.sum())
+            # what doubling a list's depth takes off the bound, for each row that it reads
+            ahead = self.values[end, every, np.minimum(2 * depth, n) - 1]
+            gain = size * np.abs(frontier - ahead) / depth
+            walk = np.argpartition(-gain, max(0, dims // 8 - 1))[: max(1, dims // 8)]
+            to = np.minimum(2 * depth[walk], n)
+            fresh = np.unique(np.concatenate([self.order[end[d], d, a:b] for d, a, b in zip(walk.tolist(), depth[walk].tolist(), to.tolist())]))
             depth[walk] = to
-            fresh = np.unique(np.concatenate(seen))
             fresh = fresh[~met[fresh]]
             if len(fresh):
                 met[fresh] = True
                 best.add(which, (self.vectors[fresh] @ query)[None, :], self.ids[fresh])
-            if (depth == n).any():
-                break
-            frontier = self.values[end, every, np.maximum(depth, 1) - 1]
-            if reach(size, np.where(end == 0, frontier, -frontier), self.longest) + margin < best.floors[which[0]]:
-                break
-            # what doubling a list's depth takes off the bound, for each row that it reads
-            ahead = self.values[end, every, np.minimum(2 * depth, n) - 1]
-            gain = size * np.abs(frontier - ahead) / depth
-            walk = np.argpartition(-gain, max(0, dims // 8 - 1))[: max(1, dims // 8)]
-        return int(met.sum()) - (mine >= 0)
 
 
 def turns(sample: DataFrame) -> dict[int, np.ndarray]:
@@ -178,8 +202,10 @@ def _searcher(shared, k: int, block_rows: int):
             for d, (which, vectors) in asked["vectors"].items():
                 pick = np.flatnonzero(sizes == d)
                 if len(pick):
-                    block = SortedLists(numbers[pick], ids[pick], flat[ends[pick][:, None] + np.arange(d)], asked["turns"].get(d))
-                    block.search(vectors, asked["rows"][which], best, which)
+                    block = SortedLists(numbers[pick], ids[pick], flat[ends[pick][:, None] + np.arange(d)], asked["turns"].get(d), k)
+                    for a in range(0, len(which), CHUNK):
+                        some = which[a : a + CHUNK]
+                        block.search(vectors[a : a + CHUNK], asked["rows"][some], best, some)
 
         held, n = [], 0
         for batch in batches:
