@@ -40,6 +40,10 @@ def _raw(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
+#: Parts in which a language's documents are ranked, so that no task ranks all of a common one.
+FIT_PARTS = 64
+
+
 @dataclass
 class TextModel:
     languages: list[str]
@@ -47,17 +51,16 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", fit_rows=8000) -> TextModel:
-    """Trigram frequencies from a bounded sample: of each language the fit_rows documents that come first by the hash of id and
-    text, so that a rare language has a model as a common one has. A language's trigrams are weighed among themselves only."""
+    """Trigram frequencies from a bounded sample: of each language fit_rows documents (rounded up to FIT_PARTS) at most, so that a rare language has a model
+    as a common one has: those that come first by the hash of id and text in each of FIT_PARTS parts of the language."""
     labelled = docs.filter(quoted(lang_col).isNotNull()).select(
         quoted(id_col).alias("_id"), quoted(lang_col).alias("_lang"), whole_text(text_col).alias("_text")
     )
-    mark = F.xxhash64("_id", "_text")
-    marks = labelled.select("_lang", mark.alias("_mark"), F.pmod(mark, F.lit(64)).alias("_part"))
-    for part in (["_lang", "_part"], ["_lang"]):  # the first of each 64th of a language, then of those
-        marks = marks.withColumn("_no", F.row_number().over(W.partitionBy(*part).orderBy("_mark"))).filter(F.col("_no") <= fit_rows)
-    last = stored(marks.groupBy("_lang").agg(F.max("_mark").alias("_last")), "fit-marks")  # a row for each language
-    sample = labelled.join(last, "_lang").filter(mark <= F.col("_last")).select("_lang", "_text")
+    mark, part = F.xxhash64("_id", "_text"), F.pmod(F.xxhash64("_id", "_text"), F.lit(FIT_PARTS)).alias("_part")
+    first = W.partitionBy("_lang", "_part").orderBy("_mark")
+    marks = labelled.select("_lang", mark.alias("_mark"), part).withColumn("_no", F.row_number().over(first)).filter(F.col("_no") <= -(-fit_rows // FIT_PARTS))
+    last = stored(marks.groupBy("_lang", "_part").agg(F.max("_mark").alias("_last")), "fit-marks")  # FIT_PARTS rows a language
+    sample = labelled.withColumns({"_mark": mark, "_part": part}).join(last, ["_lang", "_part"]).filter("_mark <= _last").select("_lang", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
