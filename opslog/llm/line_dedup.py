@@ -140,8 +140,8 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """One batch: (doc_id, h1, h2), at most once per document and line. What is new becomes a run."""
-        dealt = lines.repartition(self.buckets, *HASH)
-        own = self._write(dealt.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        counted = lines.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))  # summed before it is shuffled
+        own = self._write(counted.repartition(self.buckets, *HASH))
         if not any(self.firsts):
             self._push(self.firsts, own)
             return
