@@ -43,6 +43,23 @@ def test_throttle_by_bins(wide, bin_gaps):
         assert sorted(r.t for r in got if r.k == key) == kept_by_rule([t for k, t in rows if k == key], dt.timedelta(seconds=60))
 
 
+def test_throttle_where_a_sort_merge_join_becomes_a_broadcast(wide):
+    """The plan changes once the sizes of both sides are known; a bin's rows must then still lie in one task."""
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "20KB", "adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0"}
+    old = {k: wide.conf.get(f"spark.sql.{k}", None) for k in conf}
+    try:
+        for k, v in conf.items():
+            wide.conf.set(f"spark.sql.{k}", v)
+        rng = random.Random(2)
+        rows = [(k, AT(rng.randint(0, 40_000))) for k in "abc" for _ in range(4000)]
+        got = windows.throttle(wide.createDataFrame(rows, "k string, t timestamp_ntz"), keys=["k"], ts="t", min_gap_s=60).collect()
+    finally:
+        for k, v in old.items():
+            wide.conf.unset(f"spark.sql.{k}") if v is None else wide.conf.set(f"spark.sql.{k}", v)
+    for key in "abc":
+        assert sorted(r.t for r in got if r.k == key) == kept_by_rule([t for k, t in rows if k == key], dt.timedelta(seconds=60))
+
+
 def test_throttle_splits_one_dense_key(wide):
     """No gap restarts the rule, one key has all rows, and no task thins over a quarter of them."""
     n = 20_000
