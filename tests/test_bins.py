@@ -98,6 +98,15 @@ def test_return_to_go_by_bins(wide, bin_rows):
     assert len(got) == len(rows)
 
 
+def test_neighbours_are_counted_in_frames_that_grow(spark):
+    """A frame with two moving ends is counted anew for each row, which is quadratic in rows per span."""
+    rows = spark.range(8).select((F.lit(ORIGIN).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 7)).alias("t"))
+    out = windows.neighbours_within(rows, ts="t", span_s=20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("specifiedwindowframe(") == plan.count("specifiedwindowframe(RangeFrame, unboundedpreceding$()") > 0
+    assert sorted((r.t, r.n_near) for r in out.collect()) == [(AT(7 * k), len([x for x in range(8) if x != k and abs(x - k) * 7 <= 20])) for k in range(8)]
+
+
 @pytest.mark.parametrize("hours", [1, 20, 36, 72])
 def test_neighbours_of_any_span(spark, hours):
     rng = random.Random(3)
