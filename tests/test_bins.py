@@ -289,3 +289,24 @@ def test_subsets_are_fitted_together(spark):
     for k in range(3):
         assert both[f"g{k}"]["x"] == pytest.approx(choice.fit_choice(df.filter(F.col("g") == k), **kw)["x"], abs=1e-6)
     assert both["all"]["x"] == pytest.approx(choice.fit_choice(df, **kw)["x"], abs=1e-6) and both["none"]["x"] == 0
+
+
+def test_network_from_steps_equals_that_from_arrays(spark):
+    """Equal edges whatever the order of a pair, loops and repeats; an edge is dealt once, and no route's array is gathered."""
+    paths = {1: [3, 1, 2], 2: [2, 1, 1, 3], 3: [5], 4: [7, None, 8, 9], 5: [9, 8]}
+    routes = spark.createDataFrame(list(paths.items()), "route int, elements array<int>")
+    rows = spark.createDataFrame([(r, k, e) for r, p in paths.items() for k, e in enumerate(p)], "route int, no int, element int")
+    marked = graph.steps(rows, route="route", order=["no"], element="element")
+    assert sorted((r.route, r.element) for r in marked.filter("is_first").collect()) == [(r, p[0]) for r, p in sorted(paths.items())]
+    got = graph.both_ways(marked.select("element", "next_element"))
+    want = sorted({e for p in paths.values() for a, b in zip(p, p[1:]) if a and b and a != b for e in ((a, b), (b, a))})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.connects(routes, elements="elements").collect())) == want
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+    assert graph.connects(routes, elements="elements")._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_subgraph_keeps_no_more_of_a_group_than_its_cap(spark):
+    rows = spark.range(40).selectExpr("1 AS c", "id AS node", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS kind", "cast(id / 10 AS int) AS hops")
+    out = graph.subgraph(rows, center="c", node="node", node_type="kind", caps={"a": 3, "b": 1}, most_hops=2)
+    assert sorted(r.node for r in out.collect()) == [0, 1, 2, 4]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
