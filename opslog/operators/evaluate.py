@@ -182,11 +182,18 @@ def bootstrap(df: DataFrame, *, cluster: Sequence[str], value: str, replicates:
     """strata..., estimate, low, high of the mean of value by a cluster bootstrap.
 
     Rows are summed per cluster first; each replicate weighs clusters by Poisson(1) draws, all replicates in one grouped
-    pass. With a cluster per row this is the plain bootstrap; for a paired one, value is the difference.
+    pass. With a cluster per row this is the plain bootstrap; for a paired one, value is the difference. A draw does not depend on
+    the stratum, so the sums of a cluster's strata travel together, and it is made once for all of them.
     """
     sums = df.groupBy(*strata, *cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    drawn = sums.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    parts = F.collect_list(F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(strata)), "_s", "_n"))
+    shared = bool(strata) and not set(strata) & set(cluster)
+    drawn = sums.groupBy(*cluster).agg(parts.alias("_parts")) if shared else sums
+    drawn = drawn.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = drawn.withColumn("_d", digest(F.lit(seed), F.col("_b"), *(F.col(c) for c in cluster))).withColumn("_w", poisson_of(F.col("_d")))
+    if shared:
+        one = drawn.select("_b", "_w", F.explode("_parts").alias("_p"))
+        drawn = one.select("_b", "_w", *(F.col("_p")[f"k{i}"].alias(c) for i, c in enumerate(strata)), "_p._s", "_p._n")
     means = drawn.groupBy(*strata, "_b").agg(
         (F.sum(F.col("_w") * F.col("_s")) / F.nullif(F.sum(F.col("_w") * F.col("_n")), F.lit(0))).alias("_m"),
         (F.sum("_s") / F.sum("_n")).alias("_e"),

@@ -207,3 +207,14 @@ def test_bins_keep_rows_without_key_or_time(spark):
         for null_values in (False, True):
             got = both(lambda b: asof.as_of(asks, log, keys=["k"], probe_ts="t", event_ts="ts", values={"last": "v"}, forward=forward, null_values=null_values, bin_s=b))
             assert len(got) == 15
+
+
+def test_bootstrap_draws_once_for_all_strata_of_a_cluster(spark):
+    """Draws are made before a cluster's strata are told apart; intervals are those of each stratum by itself."""
+    rows = spark.range(400).selectExpr("id % 50 AS c", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS s", "cast(id * id % 97 AS double) AS v")
+    out = evaluate.bootstrap(rows, cluster=["c"], value="v", replicates=20, strata=["s"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("explode(_parts") < plan.index("md5(")
+    for got in out.collect():
+        alone = evaluate.bootstrap(rows.filter(F.col("s").eqNullSafe(F.lit(got.s))), cluster=["c"], value="v", replicates=20).first()
+        assert [round(got[k], 9) for k in ("estimate", "low", "high")] == [round(alone[k], 9) for k in ("estimate", "low", "high")]
