@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from opslog.operators import snapshot, windows
+from opslog.operators import graph, snapshot, windows
 from opslog.plans import bind
 
 DATA = "/root/testdata/sf0.001"
@@ -52,3 +52,27 @@ def test_steps_of_routes_through_elements(spark):
     whole = {tuple(r) for r in bind.route_steps(spark, DATA).collect()}
     over = {r[0] for r in whole if r[2] in (3, 7)}
     assert over and {tuple(r) for r in bind.route_steps(spark, DATA, few).collect()} == {r for r in whole if r[0] in over}
+
+
+def test_hops_of_many_groups(spark):
+    """More seed groups than a row of the search has bits: distances and their totals, against brute force; and rows of a round."""
+    rng = random.Random(6)
+    edges = {(rng.randint(0, 79), rng.randint(0, 79)) for _ in range(120)}
+    edges |= {(b, a) for a, b in edges}
+    seeds = [(f"s{rng.randint(0, 699)}", rng.choice([*range(80), 500])) for _ in range(1500)]
+    big = 1 << 40  # a sum of nodes beyond what a double holds exactly
+    want = {}
+    for name in {s for s, _ in seeds}:
+        level = dict.fromkeys((n for s, n in seeds if s == name), 0)
+        for k in range(1, 5):
+            level |= {b: k for a, b in edges if level.get(a) == k - 1 and b not in level}
+        want |= {(name, n + big): k for n, k in level.items()}
+    e = spark.createDataFrame([(a + big, b + big) for a, b in sorted(edges)], "src long, dst long")
+    s = spark.createDataFrame([(name, n + big) for name, n in seeds], "seed string, node long")
+    assert len({name for name, _ in seeds}) > 64 * graph.LANES
+    assert {(r.seed, r.node): r.hops for r in graph.hops(e, s, most=4).collect()} == want
+    totals = {}
+    for (name, n), k in want.items():
+        had = totals.get((name, k), (0, 0))
+        totals[name, k] = had[0] + 1, had[1] + n
+    assert {(r.seed, r.hops): (r.n, r.nodes) for r in graph.hop_totals(e, s, most=4).collect()} == totals
