@@ -15,12 +15,14 @@ _LATE = "1 day"
 
 
 def _log(spark, d):
-    """The events as a folder that a stream can watch: day after day, then a row without key whose time closes all windows."""
+    """The events as a folder that a stream can watch: day after day, then a row without key whose time closes all windows. Days are
+    put apart first, so that none of them is looked for among all events."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events")
-    day = F.to_date("ts")
-    for (k,) in events.select(day).distinct().filter("to_date(ts) IS NOT NULL").orderBy(day).collect():
-        events.filter(day == F.lit(k)).write.mode("append").parquet(f"{base}/in")
+    dated = events.filter("ts IS NOT NULL").withColumn("_day", F.to_date("ts"))
+    dated.write.partitionBy("_day").parquet(f"{base}/days")
+    for (k,) in dated.select("_day").distinct().orderBy("_day").collect():
+        spark.read.schema(events.schema).parquet(f"{base}/days/_day={k}").write.mode("append").parquet(f"{base}/in")
     end = events.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"))
     end.select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema)).write.mode("append").parquet(f"{base}/in")
     return live.read_log(spark, f"{base}/in", events.schema), base

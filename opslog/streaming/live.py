@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +54,15 @@ def state_store(spark: SparkSession, provider: str = ROCKS) -> Iterator[None]:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
+#: Neighbouring keys, as a power of two, whose waits share a state and a timer: a call into Python serves them all.
+BLOCK_BITS = 8
+
+
 class _Waits(StatefulProcessor):
-    """Of one key: the last kept trigger, triggers whose look-ahead is not over, and requests that may still answer one.
+    """Of a block of keys: each key's last kept trigger, triggers whose look-ahead is not over, and requests that may still answer one.
 
     Rows only go into the state, in whatever order they come. A timer at the end of the first open look-ahead decides: by then the
-    watermark has passed it, so all rows up to there are known, and triggers are thinned and answered in order of time.
+    watermark has passed it, so all rows up to there are known, and triggers are thinned and answered in order of time, key by key.
     """
 
     def __init__(self, gap: int, ahead: int):
@@ -65,60 +70,76 @@ class _Waits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("waits", "kept long, triggers array<long>, requests array<long>, timer long")
+        self.state = handle.getValueState("waits", "kept binary, triggers binary, requests binary, timer long")
 
     def _load(self) -> tuple:
-        held = self.state.get() if self.state.exists() else None
-        return (held[0], list(held[1]), list(held[2]), held[3]) if held else (None, [], [], None)
+        """(key, time) of the last kept, open triggers and requests, and the timer."""
+        held = self.state.get() if self.state.exists() else (b"", b"", b"", None)
+        return *(np.frombuffer(bytes(x), np.int64).reshape(-1, 2) for x in held[:3]), held[3]
 
-    def _keep(self, kept, triggers: list[int], requests: list[int], timer) -> None:
+    def _keep(self, kept: np.ndarray, triggers: np.ndarray, requests: np.ndarray, timer) -> None:
         """Stores the state with one timer, a millisecond after the first open look-ahead ends."""
-        due = -(-(triggers[0] + self.ahead) // 1000) + 1 if triggers else None
+        due = -(-(int(triggers[:, 1].min()) + self.ahead) // 1000) + 1 if len(triggers) else None
         if due != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             if due is not None:
                 self.handle.registerTimer(due)
-        self.state.update((kept, triggers, requests, due))
+        self.state.update((kept.tobytes(), triggers.tobytes(), requests.tobytes(), due))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept, triggers, requests, timer = self._load()
-        for batch in rows:
-            triggers += batch["at"][batch["kind"] == "trigger"].tolist()
-            requests += batch["at"][batch["kind"] == "request"].tolist()
-        self._keep(kept, sorted(set(triggers)), sorted(set(requests)), timer)
+        came = [(batch[["key", "at"]].to_numpy(np.int64), batch["asks"].to_numpy(bool)) for batch in rows]
+        triggers = _in_order([triggers, *(at[~asks] for at, asks in came)])
+        requests = _in_order([requests, *(at[asks] for at, asks in came)])
+        self._keep(kept, triggers, requests, timer)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         kept, triggers, requests, _ = self._load()
         past = timerValues.getCurrentWatermarkInMs() * 1000 - self.ahead  # all that is due, so that the next timer lies ahead
-        out = []
-        while triggers and triggers[0] < past:
-            t = triggers.pop(0)
-            if kept is None or t - kept >= self.gap:
-                kept = t
-                if not any(t <= r <= t + self.ahead for r in requests):
-                    out.append(t)
-        self._keep(kept, triggers, [r for r in requests if r >= past], None)
-        return iter([pd.DataFrame({"key": [key[0]] * len(out), "t": out}).astype({"key": "int64", "t": "int64"})] if out else [])
+        due = triggers[triggers[:, 1] < past]
+        last, out = dict(kept.tolist()), []
+        keys, begins = np.unique(due[:, 0], return_index=True)
+        asked = np.searchsorted(requests[:, 0], keys), np.searchsorted(requests[:, 0], keys, side="right")
+        for k, a, b, c, d in zip(keys.tolist(), begins.tolist(), [*begins.tolist()[1:], len(due)], *(x.tolist() for x in asked)):
+            times, answers = due[a:b, 1], requests[c:d, 1]
+            at = int(np.searchsorted(times, last[k] + self.gap)) if k in last else 0
+            while at < len(times):
+                t = last[k] = int(times[at])
+                first = int(np.searchsorted(answers, t))
+                if first == len(answers) or answers[first] > t + self.ahead:
+                    out.append((k, t))
+                at = int(np.searchsorted(times, t + self.gap))
+        self._keep(np.array(list(last.items()), np.int64).reshape(-1, 2), triggers[triggers[:, 1] >= past], requests[requests[:, 1] >= past], None)
+        return iter([pd.DataFrame(out, columns=["key", "t"]).astype({"key": "int64", "t": "int64"})] if out else [])
 
     def close(self) -> None:
         pass
 
 
+def _in_order(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct (key, time) rows of all parts, sorted."""
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    return rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]] if len(rows) else rows
+
+
 def live_waits(log: DataFrame, *, key: str, ts: str, kind: str, trigger: str, request: str, min_gap_s: int, lookahead_s: int, late: str = "1 hour") -> DataFrame:
     """key, t (microseconds): triggers that nothing answered: rows of the trigger kind, thinned to one per min_gap_s, without a row of
     the request kind in [t, t + lookahead_s].
 
     A wait is given out once the watermark has passed its look-ahead, by an event-time timer. Rows may come in any order within
     `late`; later ones are dropped. Rows without a key or a time are passed over. State of a key: its last kept trigger and the
-    rows of the last `late` + lookahead_s. key is a whole number. The session needs ROCKS as its state store.
+    rows of the last `late` + lookahead_s; 2^BLOCK_BITS neighbouring keys share a state, so that Python is not called for each. key is
+    a whole number. The session needs ROCKS as its state store.
     """
     at = F.col(ts).cast("timestamp")
     named = F.when(F.col(kind) == trigger, "trigger").when(F.col(kind) == request, "request")
     rows = log.filter(F.col(ts).isNotNull()).select(F.col(key).cast("long").alias("key"), at.alias("_t"), F.unix_micros(at).alias("at"), named.alias("kind"))
     # a row without a key or kind still moves the watermark on, as a filter that reads the event time stays above it
     stamped = rows.withWatermark("_t", late).filter("(key IS NOT NULL AND kind IS NOT NULL) OR _t IS NULL")
-    return stamped.groupBy("key").transformWithStateInPandas(
+    dealt = stamped.select(F.shiftright("key", BLOCK_BITS).alias("block"), "key", "_t", "at", (F.col("kind") == "request").alias("asks"))
+    return dealt.groupBy("block").transformWithStateInPandas(
         _Waits(int(min_gap_s * 1_000_000), int(lookahead_s * 1_000_000)), outputStructType="key long, t long", outputMode="Append", timeMode="EventTime"
     )

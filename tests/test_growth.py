@@ -4,9 +4,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from opslog.operators import graph, snapshot, windows
 from opslog.plans import bind
+from opslog.streaming import live
 
 DATA = "/root/testdata/sf0.001"
 AT = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
@@ -76,3 +78,29 @@ def test_hops_of_many_groups(spark):
         had = totals.get((name, k), (0, 0))
         totals[name, k] = had[0] + 1, had[1] + n
     assert {(r.seed, r.hops): (r.n, r.nodes) for r in graph.hop_totals(e, s, most=4).collect()} == totals
+
+
+def test_waits_of_many_keys_share_states(spark, tmp_path, monkeypatch):
+    """Keys of several blocks, below zero too, in several triggers: one call into Python a block, and the waits of brute force."""
+    rng = random.Random(7)
+    keys = [*range(-3, 40), 255, 256, 5000]
+    rows = sorted({(rng.choice(keys), 60 * rng.randint(0, 3000), rng.choice(["view", "view", "buy", "other"])) for _ in range(1500)}, key=lambda r: r[1])
+    log = spark.createDataFrame([(k, AT(s), kind) for k, s, kind in rows], "user_id long, ts timestamp_ntz, kind string")
+    path = str(tmp_path / "log")
+    for lo in (0, 60_000, 120_000):
+        log.filter(F.col("ts").between(AT(lo), AT(lo + 59_999))).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([(None, AT(900_000), None)], log.schema).coalesce(1).write.mode("append").parquet(path)
+    with live.state_store(spark):
+        stream = live.read_log(spark, path, log.schema, files_per_trigger=1)
+        waits = live.live_waits(stream, key="user_id", ts="ts", kind="kind", trigger="view", request="buy", min_gap_s=7200, lookahead_s=3600, late="2 hours")
+        plan = waits._jdf.queryExecution().analyzed().toString()
+        got = sorted((r.key, r.t // 1_000_000 - 1_704_067_200) for r in live.run_available(waits, str(tmp_path / "out"), str(tmp_path / "state")).collect())
+    assert "shiftright" in plan
+    want = []
+    for key in keys:
+        last, buys = None, [s for k, s, kind in rows if k == key and kind == "buy"]
+        for s in sorted(s for k, s, kind in rows if k == key and kind == "view"):
+            if last is None or s - last >= 7200:
+                last = s
+                want += [] if any(s <= b <= s + 3600 for b in buys) else [(key, s)]
+    assert got == sorted(want) and len(got) > 100
